@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib
+import importlib.util
 
 from driftwatch.plans.registry import CHECKS, QUERIES
 
@@ -24,7 +25,8 @@ MODULES = (
 
 def _load() -> None:
     for module in MODULES:
-        importlib.import_module(f"driftwatch.plans.{module}")
+        if importlib.util.find_spec(f"driftwatch.plans.{module}"):
+            importlib.import_module(f"driftwatch.plans.{module}")
 
 
 def queries():
