@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -281,65 +282,86 @@ def raise_alerts(verdicts: DataFrame) -> DataFrame:
 # --- suppression -----------------------------------------------------------
 
 
-def _chain(times: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each alert the next one that is emitted if it is, and the release bound.
-
-    Alert ``j`` passes after a last emission at ``t`` when ``times[j] - windows[j] >= t``,
-    so the first to pass is found in the running maximum of that bound.
+def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, dict[str, np.ndarray]]]:
+    """Runs of rows with equal keys from key-sorted batches, across batch ends."""
+    rest: pd.DataFrame | None = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        pdf = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        changed = np.zeros(len(pdf) - 1, dtype=bool)
+        for k in keys:
+            values = pdf[k].to_numpy()
+            changed |= values[1:] != values[:-1]
+        starts = np.r_[0, np.flatnonzero(changed) + 1]
+        columns = {c: pdf[c].to_numpy() for c in pdf.columns}
+        for lo, hi in zip(starts[:-1], starts[1:]):
+            yield tuple(columns[k][lo] for k in keys), {c: v[lo:hi] for c, v in columns.items()}
+        rest = pdf.iloc[starts[-1] :]
+    if rest is not None:
+        columns = {c: rest[c].to_numpy() for c in rest.columns}
+        yield tuple(columns[k][0] for k in keys), columns
+
+
+def _release_bounds(times: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Running maximum of ``time - window``.
+
+    After a last emission at ``t`` the first alert to pass is the first one
+    whose bound is at least ``t``.
     """
-    bound = np.maximum.accumulate(times - windows)
-    return np.searchsorted(bound, times, side="left"), bound
-
-
-def _slice_summary(pdf: pd.DataFrame) -> pd.DataFrame:
-    """How one slice turns the last emission time before it into the one after it."""
-    pdf = pdf.sort_values(["at", "id"])
-    times, windows = pdf["at"].to_numpy(), pdf["window"].to_numpy()
-    follow, bound = _chain(times, windows)
-    final = np.arange(len(times))
-    for i in range(len(times) - 1, -1, -1):
-        if follow[i] < len(times):
-            final[i] = final[follow[i]]
-    entries = np.flatnonzero(np.r_[True, bound[1:] > bound[:-1]])
-    outcome = times[final[entries]]
-    # A step ends where the next entry leads to another outcome.
-    ends = np.flatnonzero(np.r_[outcome[1:] != outcome[:-1], True])
-    return pd.DataFrame(
-        {
-            "key": [pdf["key"].iloc[0]],
-            "slice": [pdf["slice"].iloc[0]],
-            "until": [bound[entries[ends]].tolist()],
-            "outcome": [outcome[ends].tolist()],
-        }
-    )
-
-
-def _carry_state(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Walk the slices of one key and note the last emission before each slice."""
-    pdf = pdf.sort_values("slice")
-    state, before_slice = None, []
-    for until, outcome in zip(pdf["until"], pdf["outcome"]):
-        before_slice.append(state)
-        step = 0 if state is None else int(np.searchsorted(np.asarray(until), state, side="left"))
-        if step < len(outcome):
-            state = int(outcome[step])
-    return pd.DataFrame(
-        {"key": pdf["key"], "slice": pdf["slice"], "state": pd.array(before_slice, dtype="Int64")}
-    )
-
-
-def _emitted(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Ids emitted in one slice, given the last emission before it."""
-    pdf = pdf.sort_values(["at", "id"])
-    times, windows, ids = (pdf[c].to_numpy() for c in ("at", "window", "id"))
-    follow, bound = _chain(times, windows)
-    state = pdf["state"].iloc[0]
-    i = 0 if pd.isna(state) else int(np.searchsorted(bound, int(state), side="left"))
-    kept = []
-    while i < len(times):
-        kept.append(ids[i])
-        i = follow[i]
-    return pd.DataFrame({"id": np.asarray(kept, dtype="int64")})
+    return np.maximum.accumulate(times - windows)
+
+
+def _summarize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per slice: the last emission after it as a step function of the one before it."""
+    out: dict[str, list] = {"key": [], "slice": [], "until": [], "outcome": []}
+    for (key, part), rows in _runs(batches, ["key", "slice"]):
+        times = rows["at"]
+        bound = _release_bounds(times, rows["window"])
+        follow = np.searchsorted(bound, times, side="left")
+        final = np.arange(len(times))
+        for i in range(len(times) - 2, -1, -1):
+            if follow[i] < len(times):
+                final[i] = final[follow[i]]
+        entries = np.flatnonzero(np.r_[True, bound[1:] > bound[:-1]])
+        outcome = times[final[entries]]
+        ends = np.flatnonzero(np.r_[outcome[1:] != outcome[:-1], True])
+        out["key"].append(key)
+        out["slice"].append(part)
+        out["until"].append(bound[entries[ends]].tolist())
+        out["outcome"].append(outcome[ends].tolist())
+    yield pd.DataFrame(out)
+
+
+def _chain_slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The last emission before every slice, from the step functions of a key in order."""
+    out: dict[str, list] = {"key": [], "slice": [], "at": []}
+    for (key,), rows in _runs(batches, ["key"]):
+        state = None
+        for part, until, outcome in zip(rows["slice"], rows["until"], rows["outcome"]):
+            if state is not None:
+                out["key"].append(key)
+                out["slice"].append(part)
+                out["at"].append(state)
+            step = 0 if state is None else int(np.searchsorted(until, state, side="left"))
+            if step < len(outcome):
+                state = int(outcome[step])
+    yield pd.DataFrame(out).astype({"slice": "int64", "at": "int64"})
+
+
+def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Ids emitted per slice; a row without id carries the last emission before it."""
+    kept: list[int] = []
+    for _, rows in _runs(batches, ["key", "slice"]):
+        carried = rows["is_state"]
+        real = ~carried
+        times, ids = rows["at"][real], rows["id"][real]
+        bound = _release_bounds(times, rows["window"][real])
+        i = int(np.searchsorted(bound, rows["at"][carried][0], side="left")) if carried.any() else 0
+        while i < len(times):
+            kept.append(int(ids[i]))
+            i = int(np.searchsorted(bound, times[i], side="left"))
+    yield pd.DataFrame({"id": np.asarray(kept, dtype="int64")})
 
 
 def suppression_micros(severity: Column) -> Column:
@@ -354,21 +376,30 @@ def suppress_alerts(alerts: DataFrame, slice_seconds: int = 21_600) -> DataFrame
     on order. Each key is cut into time slices: a slice is first reduced to the
     step function it applies to the last emission time, the slices of a key are
     chained over these small summaries, and then every slice is replayed with
-    its true starting state. No task holds more than one slice of a key.
+    its true starting state. No task needs more than one slice of a key at once.
     """
     narrow = alerts.select(
-        F.col("id").cast("long").alias("id"),
         F.concat_ws(":", "website_id", "alert_type").alias("key"),
         time_slice("created_at", slice_seconds).alias("slice"),
         F.unix_micros(F.col("created_at").cast("timestamp")).alias("at"),
+        F.col("id").cast("long").alias("id"),
         suppression_micros(F.col("severity")).alias("window"),
+        F.lit(False).alias("is_state"),
     )
-    summaries = narrow.groupBy("key", "slice").applyInPandas(
-        _slice_summary, "key string, slice long, until array<long>, outcome array<long>"
+    slices = narrow.repartition("key", "slice").sortWithinPartitions("key", "slice", "at", "id")
+    summaries = slices.mapInPandas(_summarize, "key string, slice long, until array<long>, outcome array<long>")
+    states = (
+        summaries.repartition("key")
+        .sortWithinPartitions("key", "slice")
+        .mapInPandas(_chain_slices, "key string, slice long, at long")
+        .select("key", "slice", "at", F.lit(0).cast("long").alias("id"), F.lit(0).cast("long").alias("window"), F.lit(True).alias("is_state"))
     )
-    states = summaries.groupBy("key").applyInPandas(_carry_state, "key string, slice long, state long")
+    # The state row of a slice is older than its alerts and sorts first.
     kept = (
-        narrow.join(states, ["key", "slice"]).groupBy("key", "slice").applyInPandas(_emitted, "id long")
+        narrow.unionByName(states)
+        .repartition("key", "slice")
+        .sortWithinPartitions("key", "slice", "at", "id")
+        .mapInPandas(_replay, "id long")
     )
     return alerts.join(kept, "id", "left_semi")
 
