@@ -153,7 +153,8 @@ def feedback_summary(feedback: DataFrame, as_of: str) -> DataFrame:
         "_n", "_week",
     )
     domain = [("type", v) for v in FEEDBACK_TYPES] + [("source", v) for v in FEEDBACK_SOURCES] + [("total", "all")]
-    frame = feedback.sparkSession.createDataFrame(domain, "dimension string, value string")
+    rows = F.array(*[F.struct(F.lit(d).alias("dimension"), F.lit(v).alias("value")) for d, v in domain])
+    frame = feedback.sparkSession.range(1).select(F.inline(rows))
     return frame.join(named, ["dimension", "value"], "left").select(
         "dimension", "value", F.coalesce("_n", F.lit(0)).alias("n_feedback"),
         F.coalesce("_week", F.lit(0)).alias("recent_count"),
