@@ -51,7 +51,7 @@ def _ratio(a, b, autojunk: bool) -> float:
     return SequenceMatcher(None, a, b, autojunk=autojunk).ratio()
 
 
-def sequence_ratio(autojunk: bool = False):
+def sequence_ratio(autojunk: bool = True):
     """Pandas UDF: matching-block ratio of two lower-cased texts."""
 
     @F.pandas_udf("double")
@@ -62,7 +62,7 @@ def sequence_ratio(autojunk: bool = False):
     return ratio
 
 
-def outline_ratio(autojunk: bool = False):
+def outline_ratio(autojunk: bool = True):
     """Pandas UDF: matching-block ratio of two arrays of element signatures."""
 
     @F.pandas_udf("double")

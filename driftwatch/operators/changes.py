@@ -25,7 +25,7 @@ def _missing(*names: str) -> Column:
     return out
 
 
-def content_compare(df: DataFrame, method: str = "sequence", autojunk: bool = False) -> DataFrame:
+def content_compare(df: DataFrame, method: str = "sequence", autojunk: bool = True) -> DataFrame:
     """Adds ``content_similarity`` and ``content_hash_changed`` (null if a hash is missing).
 
     ``method`` scores rows whose hashes differ: ``sequence`` (matching blocks)
@@ -46,7 +46,7 @@ def content_compare(df: DataFrame, method: str = "sequence", autojunk: bool = Fa
     )
 
 
-def structure_compare(df: DataFrame, signatures: bool = True, autojunk: bool = False) -> DataFrame:
+def structure_compare(df: DataFrame, signatures: bool = True, autojunk: bool = True) -> DataFrame:
     """Adds ``structure_similarity`` and ``structure_hash_changed``.
 
     With ``signatures`` differing rows are scored on ``old_signatures`` and
