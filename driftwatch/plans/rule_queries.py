@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from driftwatch.functions import text
 from driftwatch.functions.threat_rules import RULES, SUSPICIOUS_KEYWORDS, THREAT_CATEGORIES
-from driftwatch.operators import ensemble, rules
+from driftwatch.operators import classify, ensemble, rules
+from driftwatch.operators.verdicts import parse_verdicts
 from driftwatch.plans import sqltext as q
 from driftwatch.plans.metrics_queries import rounded
 from driftwatch.plans.registry import query
+from driftwatch.plans.text_queries import PARSED_SQL
 
 
 def hits_sql(source: str, key: str, column: str = "text", categories=None) -> str:
@@ -194,3 +196,46 @@ SELECT doc_id, len(list_filter(urls, lambda u: regexp_matches(lower(u), '\\.tk|\
 def resource_anomaly(t):
     docs = t.docs_planted.select("doc_id", text.external_resources(F.col("text")).alias("external_resources"))
     return ensemble.resource_anomaly(docs).drop("external_resources")
+
+
+def _cases(column: str, table: dict, default: float) -> str:
+    arms = " ".join(f"WHEN '{k}' THEN {v}" for k, v in table.items())
+    return f"CAST(CASE {column} {arms} ELSE {default} END AS DOUBLE)"
+
+
+CLASSIFY_SQL = CLAMPED + INDICATOR_SQL.replace(" h AS ", " hh AS ").replace("FROM h)", "FROM hh)") + PARSED_SQL + f"""
+, ic AS (SELECT doc_id, count(DISTINCT category) AS cats, count(*) FILTER (score > 0.8) AS hi FROM ind JOIN rl ON idx = i GROUP BY 1),
+bh AS (SELECT doc_id, CAST(CASE WHEN len(list_filter(list_distinct(regexp_extract_all(text, '{URLS}', 0)), lambda u: regexp_matches(lower(u), '\\.tk|\\.ml|\\.ga|\\.cf|bit\\.ly|tinyurl\\.com'))) > 2 THEN 0.6 ELSE 0 END
+  + CASE WHEN doc_id % 10 < 3 THEN 0.8 ELSE 0 END + CASE WHEN doc_id % 6 = 0 THEN 0.7 ELSE 0 END AS DOUBLE) AS b FROM docs_planted),
+c1 AS (SELECT v3.doc_id, v3.rule_label, v3.rule_confidence, v3.threat_category, coalesce(cats, 0) AS cats, coalesce(hi, 0) AS hi, least(1.0, b) AS beh, b, p.label AS llm_label, CAST(p.confidence AS DOUBLE) AS llm_confidence, e.semantic_risk,
+  CASE WHEN v3.doc_id % 10 <> 0 THEN CAST(v3.doc_id % 9 AS DOUBLE) / 8 END AS sim
+  FROM v3 JOIN bh ON bh.doc_id = v3.doc_id JOIN parsed p ON p.doc_id = v3.doc_id JOIN ensemble e ON e.doc_id = v3.doc_id LEFT JOIN ic ON ic.doc_id = v3.doc_id),
+c2 AS (SELECT *, CAST(least(1.0, cats / 3) AS DOUBLE) AS cov, CAST(coalesce(1 - sim, 0) AS DOUBLE) AS drift, CAST(CASE WHEN llm_label = rule_label THEN 1 ELSE 0.5 END AS DOUBLE) AS xv FROM c1),
+c3 AS (SELECT *, least(CAST(1 AS DOUBLE), (0.2::DOUBLE * rule_confidence + 0.2::DOUBLE * cov + 0.15::DOUBLE * drift + 0.15::DOUBLE * beh + 0.1::DOUBLE * llm_confidence + 0.07::DOUBLE + 0.1::DOUBLE * xv)
+  * {_cases('threat_category', ensemble.CATEGORY_WEIGHTS, 0.5)} * CASE WHEN (rule_confidence > 0.7)::INT + (cov > 0.7)::INT + (drift > 0.7)::INT + (beh > 0.7)::INT + (llm_confidence > 0.7)::INT + (xv > 0.7)::INT >= 3 THEN 1.2::DOUBLE ELSE 1::DOUBLE END) AS conf,
+  CASE WHEN b >= 0.8 THEN 'critical' WHEN b >= 0.6 THEN 'high' WHEN b >= 0.4 THEN 'medium' WHEN b >= 0.2 THEN 'low' ELSE 'minimal' END AS behavior_risk FROM c2),
+vt AS (SELECT doc_id, llm_label AS l, llm_confidence * 0.2::DOUBLE AS w FROM c3 UNION ALL SELECT doc_id, rule_label, rule_confidence * CASE WHEN rule_confidence > 0.8 THEN 0.45::DOUBLE ELSE 0.3::DOUBLE END FROM c3
+  UNION ALL SELECT doc_id, CASE WHEN semantic_risk IN ('high', 'critical') THEN 'defacement' WHEN semantic_risk = 'low' THEN 'benign' ELSE 'unclear' END, CASE WHEN semantic_risk = 'medium' THEN 0.14::DOUBLE ELSE 0.18::DOUBLE END FROM c3
+  UNION ALL SELECT doc_id, CASE WHEN behavior_risk IN ('high', 'critical') THEN 'defacement' WHEN behavior_risk = 'low' THEN 'benign' ELSE 'unclear' END, CASE WHEN behavior_risk IN ('high', 'critical', 'low') THEN 0.12::DOUBLE ELSE 0.09::DOUBLE END FROM c3),
+vs AS (SELECT doc_id, arg_max(l, round(w, 9) * 10 - CASE l WHEN 'benign' THEN 0 WHEN 'defacement' THEN 1e-9 ELSE 2e-9 END) AS final_label FROM (SELECT doc_id, l, sum(w) AS w FROM vt GROUP BY 1, 2) z GROUP BY 1)
+SELECT c3.doc_id, final_label, round(conf, 8) AS confidence_score, CASE WHEN conf >= 0.95 THEN 'critical' WHEN conf >= 0.8 THEN 'very_high' WHEN conf >= 0.6 THEN 'high' WHEN conf >= 0.4 THEN 'medium' WHEN conf >= 0.2 THEN 'low' ELSE 'very_low' END AS confidence_level,
+  threat_category, round(least(1.0, CASE WHEN hi > 3 THEN least(1.0, {_cases('threat_category', ensemble.BASE_SEVERITY, 0.5)} * 1.2::DOUBLE) ELSE {_cases('threat_category', ensemble.BASE_SEVERITY, 0.5)} END * conf), 8) AS severity_score,
+  rule_label, llm_label, behavior_risk FROM c3 JOIN vs ON vs.doc_id = c3.doc_id
+"""
+
+
+@query("classify_snapshots", ("docs_planted", "verdicts", "ensemble"), CLASSIFY_SQL)
+def classify_snapshots(t):
+    doc = F.col("doc_id")
+    changed = t.docs_planted.select(
+        "doc_id", "text",
+        F.lit(100).alias("old_element_count"), F.when(doc % 6 == 0, 40).otherwise(100).alias("new_element_count"),
+        ((doc % 10).cast("double") / 10).alias("content_similarity"),
+    )
+    semantics = t.ensemble.select("doc_id", "semantic_risk", F.when(doc % 10 != 0, (doc % 9).cast("double") / 8).alias("main_similarity"))
+    out = classify.classify_snapshots(changed, parse_verdicts(t.verdicts), semantics, key="doc_id")
+    kept = out.select(
+        "doc_id", "final_label", "confidence_score", "confidence_level", "threat_category", "severity_score", "rule_label",
+        "llm_label", "behavior_risk",
+    )
+    return rounded(kept, "confidence_score", "severity_score", digits=8)
