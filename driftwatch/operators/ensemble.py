@@ -145,7 +145,10 @@ def confidence_factors(df: DataFrame) -> DataFrame:
 
 
 def confidence_score(df: DataFrame) -> DataFrame:
-    """Adds ``strong_factors`` and ``confidence_score`` from the factors."""
+    """Adds ``strong_factors`` and ``confidence_score`` from the factors.
+
+    The score is rounded to 9 digits so that levels do not hang on float noise.
+    """
     weighted = reduce(lambda a, b: a + b, [F.col(n) * w for n, w in FACTOR_WEIGHTS.items()])
     strong = reduce(lambda a, b: a + b, [(F.col(n) > 0.7).cast("int") for n in FACTOR_WEIGHTS])
     category = F.when(
@@ -155,7 +158,9 @@ def confidence_score(df: DataFrame) -> DataFrame:
         df.withColumns({"strong_factors": strong, "_score": weighted * category})
         .withColumn(
             "confidence_score",
-            F.least(F.lit(1.0), F.col("_score") * F.when(F.col("strong_factors") >= 3, 1.2).otherwise(1.0)),
+            F.round(
+                F.least(F.lit(1.0), F.col("_score") * F.when(F.col("strong_factors") >= 3, 1.2).otherwise(1.0)), 9
+            ),
         )
         .drop("_score")
     )

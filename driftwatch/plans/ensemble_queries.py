@@ -43,7 +43,7 @@ ENSEMBLE_SQL = f"""
   CAST(doc_id % 6 AS DOUBLE) / 5 AS beh, llm_confidence AS ai, {_d("0.7")} AS hist, {_d("CASE WHEN llm_label = rule_label THEN 1 ELSE 0.5 END")} AS xv, doc_id % 6 AS hi FROM ensemble),
 e2 AS (SELECT *, {_d("0.2")} * rms + {_d("0.2")} * cov + {_d("0.15")} * drift + {_d("0.15")} * beh + {_d("0.1")} * ai + {_d("0.1")} * hist + {_d("0.1")} * xv AS raw,
   CAST((rms > 0.7)::INT + (cov > 0.7)::INT + (drift > 0.7)::INT + (beh > 0.7)::INT + (ai > 0.7)::INT + (hist > CAST(0.7 AS DOUBLE))::INT + (xv > 0.7)::INT AS INT) AS strong FROM e1),
-e3 AS (SELECT *, least(CAST(1 AS DOUBLE), raw * {_d(CW)} * {_d("CASE WHEN strong >= 3 THEN 1.2 ELSE 1 END")}) AS conf,
+e3 AS (SELECT *, round(least(CAST(1 AS DOUBLE), raw * {_d(CW)} * {_d("CASE WHEN strong >= 3 THEN 1.2 ELSE 1 END")}), 9) AS conf,
   CASE WHEN llm_label = rule_label THEN least(1.0, (llm_confidence + rule_confidence) / 2 + {_d("0.2")}) ELSE greatest({_d("0.1")}, (llm_confidence + rule_confidence) / 4) END AS agr,
   CASE WHEN semantic_risk IN ('high', 'critical') THEN 'defacement' WHEN semantic_risk = 'low' THEN 'benign' ELSE 'unclear' END AS sl,
   {_d("CASE WHEN semantic_risk IN ('high', 'critical', 'low') THEN 0.18 ELSE 0.14 END")} AS sv,

@@ -13,7 +13,9 @@ from driftwatch.sources import tables
 from driftwatch.sources.schemas import subset
 from driftwatch.sources.shared import shared_folder
 
-NOW = F.lit(AS_OF).cast("timestamp_ntz")
+
+def now():
+    return F.lit(AS_OF).cast("timestamp_ntz")
 
 
 @query("load_table", (), "SELECT event_id, ts, user_id FROM events")
@@ -37,7 +39,7 @@ def register_sites(t):
     )
     plain = t.pages.select("url", F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("check_interval_seconds"))
     known = t.sites.select("url", F.lit("again").alias("name"), F.lit(1).alias("check_interval_seconds"))
-    return reg.register_sites(t.sites, pages.unionByName(plain).unionByName(known), NOW)
+    return reg.register_sites(t.sites, pages.unionByName(plain).unionByName(known), now())
 
 
 @query("append_snapshots", (), """
@@ -46,7 +48,7 @@ SELECT doc_id AS id, doc_id % 50 AS website_id, CASE WHEN doc_id % 5 = 0 THEN 40
 def append_snapshots(t):
     captures = t.documents.select(
         F.col("doc_id").alias("id"), (F.col("doc_id") % 50).alias("website_id"), F.col("text").alias("content_text"),
-        F.when(F.col("doc_id") % 5 == 0, 404).alias("status_code"), NOW.alias("captured_at"),
+        F.when(F.col("doc_id") % 5 == 0, 404).alias("status_code"), now().alias("captured_at"),
     )
     rows = reg.new_snapshots(captures)
     target = shared_folder(t.spark, "snapshots")
@@ -71,7 +73,7 @@ def merge_analysis(t):
     patch = t.snaps.filter(F.col("id") % 3 < 2).select(
         "id", F.when(F.col("id") % 3 == 0, True).alias("is_defaced"), F.when(F.col("id") % 3 == 1, 0.9).alias("confidence_score")
     )
-    merged = tables.merge_patch(t.snaps, patch, "id", ["is_defaced", "confidence_score"], ("analyzed_at", NOW))
+    merged = tables.merge_patch(t.snaps, patch, "id", ["is_defaced", "confidence_score"], ("analyzed_at", now()))
     return merged.select("id", "is_defaced", "confidence_score", "analyzed_at")
 
 
@@ -83,7 +85,7 @@ def flag_snapshots(t):
     label = F.when(F.col("id") % 4 == 0, "defacement").when(F.col("id") % 4 == 1, "benign").otherwise("unclear")
     verdicts = t.snaps.filter(F.col("id") % 4 < 3).select("id", label.alias("final_label"), ((F.col("id") % 10).cast("double") / 10).alias("confidence_score"))
     patch = verdicts.select("id", (F.col("final_label") == "defacement").alias("is_defaced"), "confidence_score")
-    merged = tables.merge_patch(t.snaps, patch, "id", ["is_defaced", "confidence_score"], ("analyzed_at", NOW))
+    merged = tables.merge_patch(t.snaps, patch, "id", ["is_defaced", "confidence_score"], ("analyzed_at", now()))
     return merged.select("id", "is_defaced", "confidence_score", "analyzed_at")
 
 
@@ -98,7 +100,7 @@ def update_sites(t):
         F.when(i % 4 == 0, False).alias("is_active"),
     )
     stale = t.sites.withColumn("last_checked_at", F.col("created_at"))
-    out = reg.update_sites(stale, patches, t.snaps, NOW)
+    out = reg.update_sites(stale, patches, t.snaps, now())
     return out.select("id", "name", "check_interval_seconds", "is_active", "last_checked_at", "updated_at")
 
 

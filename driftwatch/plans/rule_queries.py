@@ -211,8 +211,8 @@ c1 AS (SELECT v3.doc_id, v3.rule_label, v3.rule_confidence, v3.threat_category,
   CASE WHEN v3.doc_id % 10 <> 0 THEN CAST(v3.doc_id % 9 AS DOUBLE) / 8 END AS sim
   FROM v3 JOIN bh ON bh.doc_id = v3.doc_id JOIN parsed p ON p.doc_id = v3.doc_id JOIN ensemble e ON e.doc_id = v3.doc_id LEFT JOIN ic ON ic.doc_id = v3.doc_id),
 c2 AS (SELECT *, CAST(least(1.0, cats / 3) AS DOUBLE) AS cov, CAST(coalesce(1 - sim, 0) AS DOUBLE) AS drift, CAST(CASE WHEN llm_label = rule_label THEN 1 ELSE 0.5 END AS DOUBLE) AS xv FROM c1),
-c3 AS (SELECT *, least(CAST(1 AS DOUBLE), (0.2::DOUBLE * rule_confidence + 0.2::DOUBLE * cov + 0.15::DOUBLE * drift + 0.15::DOUBLE * beh + 0.1::DOUBLE * llm_confidence + 0.07::DOUBLE + 0.1::DOUBLE * xv)
-  * {_cases('threat_category', ensemble.CATEGORY_WEIGHTS, 0.5)} * CASE WHEN (rule_confidence > 0.7)::INT + (cov > 0.7)::INT + (drift > 0.7)::INT + (beh > 0.7)::INT + (llm_confidence > 0.7)::INT + (xv > 0.7)::INT >= 3 THEN 1.2::DOUBLE ELSE 1::DOUBLE END) AS conf,
+c3 AS (SELECT *, round(least(CAST(1 AS DOUBLE), (0.2::DOUBLE * rule_confidence + 0.2::DOUBLE * cov + 0.15::DOUBLE * drift + 0.15::DOUBLE * beh + 0.1::DOUBLE * llm_confidence + 0.07::DOUBLE + 0.1::DOUBLE * xv)
+  * {_cases('threat_category', ensemble.CATEGORY_WEIGHTS, 0.5)} * CASE WHEN (rule_confidence > 0.7)::INT + (cov > 0.7)::INT + (drift > 0.7)::INT + (beh > 0.7)::INT + (llm_confidence > 0.7)::INT + (xv > 0.7)::INT >= 3 THEN 1.2::DOUBLE ELSE 1::DOUBLE END), 9) AS conf,
   CASE WHEN b >= 0.8 THEN 'critical' WHEN b >= 0.6 THEN 'high' WHEN b >= 0.4 THEN 'medium' WHEN b >= 0.2 THEN 'low' ELSE 'minimal' END AS behavior_risk FROM c2),
 vt AS (SELECT doc_id, llm_label AS l, llm_confidence * 0.2::DOUBLE AS w FROM c3 UNION ALL SELECT doc_id, rule_label, rule_confidence * CASE WHEN rule_confidence > 0.8 THEN 0.45::DOUBLE ELSE 0.3::DOUBLE END FROM c3
   UNION ALL SELECT doc_id, CASE WHEN semantic_risk IN ('high', 'critical') THEN 'defacement' WHEN semantic_risk = 'low' THEN 'benign' ELSE 'unclear' END, CASE WHEN semantic_risk = 'medium' THEN 0.14::DOUBLE ELSE 0.18::DOUBLE END FROM c3

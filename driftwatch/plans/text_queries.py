@@ -10,27 +10,25 @@ from driftwatch.operators import verdicts as vd
 from driftwatch.plans import sqltext as q
 from driftwatch.plans.registry import query
 
-BODY = F.col("text")
-
 
 @query("clean_text", (), f"SELECT doc_id, {q.clean('text')} AS text FROM documents")
 def clean_text(t):
-    return t.documents.select("doc_id", text.clean_text(BODY).alias("text"))
+    return t.documents.select("doc_id", text.clean_text(F.col("text")).alias("text"))
 
 
 @query("normalize_text", (), f"SELECT doc_id, {q.normalized('text')} AS text FROM documents")
 def normalize_text(t):
-    return t.documents.select("doc_id", text.normalize_text(BODY).alias("text"))
+    return t.documents.select("doc_id", text.normalize_text(F.col("text")).alias("text"))
 
 
 @query("extract_keywords", (), f"SELECT doc_id, coalesce(array_to_string({q.keywords('text')}, ' '), '') AS keywords FROM documents")
 def extract_keywords(t):
-    return t.documents.select("doc_id", F.array_join(text.extract_keywords(BODY), " ").alias("keywords"))
+    return t.documents.select("doc_id", F.array_join(text.extract_keywords(F.col("text")), " ").alias("keywords"))
 
 
 @query("strip_dynamic", (), f"SELECT doc_id, {q.stripped('text')} AS text FROM documents")
 def strip_dynamic(t):
-    return t.documents.select("doc_id", text.strip_dynamic(BODY).alias("text"))
+    return t.documents.select("doc_id", text.strip_dynamic(F.col("text")).alias("text"))
 
 
 @query("hash_content", (), f"""
@@ -38,7 +36,7 @@ def strip_dynamic(t):
 SELECT doc_id, sha256(x) AS hash_value, 'sha256' AS hash_type, md5(x) AS md5_value, CAST(length(x) AS BIGINT) AS content_length, CAST(n AS BIGINT) AS original_length FROM s
 """)
 def hash_content(t):
-    staged = t.documents.select("doc_id", text.strip_dynamic(BODY).alias("_x"), F.length(BODY).cast("long").alias("original_length"))
+    staged = t.documents.select("doc_id", text.strip_dynamic(F.col("text")).alias("_x"), F.length(F.col("text")).cast("long").alias("original_length"))
     return staged.select(
         "doc_id",
         text.content_digest(F.col("_x"), "sha256").alias("hash_value"),
@@ -51,7 +49,7 @@ def hash_content(t):
 
 @query("content_hash_simple", (), f"SELECT doc_id, sha256({q.clean('lower(text)')}) AS content_hash FROM documents")
 def content_hash_simple(t):
-    return t.documents.select("doc_id", F.sha2(text.clean_text(F.lower(BODY)), 256).alias("content_hash"))
+    return t.documents.select("doc_id", F.sha2(text.clean_text(F.lower(F.col("text"))), 256).alias("content_hash"))
 
 
 @query("hash_semantic", ("pages_injected",), f"""
@@ -59,9 +57,9 @@ def content_hash_simple(t):
 SELECT kind, id, sha256(x) AS hash_value, CAST(length(x) AS BIGINT) AS content_length, CAST(n AS BIGINT) AS original_length FROM s
 """)
 def hash_semantic(t):
-    docs = t.documents.select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id"), BODY)
+    docs = t.documents.select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id"), F.col("text"))
     pages = t.pages_injected.select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("text"))
-    staged = docs.unionByName(pages).withColumn("_x", text.semantic_text(BODY))
+    staged = docs.unionByName(pages).withColumn("_x", text.semantic_text(F.col("text")))
     return staged.select(
         "kind", "id", F.sha2("_x", 256).alias("hash_value"), F.length("_x").cast("long").alias("content_length"),
         F.length("text").cast("long").alias("original_length"),
@@ -74,7 +72,7 @@ SELECT doc_id, content_hash, n_copies, first_doc_id FROM h JOIN g USING (content
 """)
 def exact_duplicates(t):
     """Documents sharing a fingerprint, with the size and first member of their group."""
-    hashed = t.documents.select("doc_id", text.content_digest(text.strip_dynamic(BODY)).alias("content_hash"))
+    hashed = t.documents.select("doc_id", text.content_digest(text.strip_dynamic(F.col("text"))).alias("content_hash"))
     groups = (
         hashed.groupBy("content_hash")
         .agg(F.count(F.lit(1)).alias("n_copies"), F.min("doc_id").alias("first_doc_id"))
@@ -85,7 +83,7 @@ def exact_duplicates(t):
 
 @query("preprocess_embed", (), f"SELECT doc_id, {q.embed_text('text')} AS text FROM documents")
 def preprocess_embed(t):
-    return t.documents.select("doc_id", text.preprocess_embedding(BODY).alias("text"))
+    return t.documents.select("doc_id", text.preprocess_embedding(F.col("text")).alias("text"))
 
 
 @query("chunk_text", (), rf"""
@@ -99,7 +97,7 @@ UNION ALL SELECT doc_id, n - 1, done FROM r WHERE done IS NOT NULL
 UNION ALL SELECT r.doc_id, n, trim(cur) FROM r JOIN s ON s.doc_id = r.doc_id WHERE i = len(parts) + 1
 """, recursive=True)
 def chunk_text(t):
-    return t.documents.select("doc_id", F.posexplode(text.chunk_text(BODY)).alias("chunk_no", "chunk")).withColumn(
+    return t.documents.select("doc_id", F.posexplode(text.chunk_text(F.col("text"))).alias("chunk_no", "chunk")).withColumn(
         "chunk_no", F.col("chunk_no").cast("long")
     )
 
