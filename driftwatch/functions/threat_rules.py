@@ -222,38 +222,42 @@ def build_rules(table=RULE_TABLE) -> tuple[Rule, ...]:
 RULES = build_rules()
 
 
-def required_literals(pattern: str) -> tuple[str, ...]:
-    """Lower-case texts of which every match must contain at least one.
+def required_literals(pattern: str) -> tuple[tuple[str, ...], ...]:
+    """Sets of lower-case texts; every match contains one text of every set.
 
-    Empty if the pattern promises nothing longer than one character. A plain
-    substring test on these is far cheaper than the pattern itself.
+    Only sets worth testing are kept: words of three letters or more, and
+    marks such as ``=`` or ``(``. Plain substring tests on these are far
+    cheaper than the pattern itself.
     """
-    best = _best(sre_parse.parse(pattern))
-    return tuple(sorted(best)) if best and min(map(len, best)) > 1 else ()
+    sets = _needs(sre_parse.parse(pattern))
+    useful = {tuple(sorted(s)) for s in sets if all(len(x) > 2 or not x.isalnum() for x in s) and not any(x.isspace() for x in s)}
+    return tuple(sorted(useful, key=lambda s: (-min(map(len, s)), len(s), s)))
 
 
-def _best(sequence) -> frozenset[str] | None:
-    """The most selective set of alternatives that a sequence cannot do without."""
-    candidates: list[frozenset[str]] = []
+def _needs(sequence) -> list[frozenset[str]]:
+    """Sets of alternatives of which a match of the sequence needs one each."""
+    found: list[frozenset[str]] = []
     run = ""
     for op, arg in list(sequence) + [(None, None)]:
         if op is sre.LITERAL:
             run += chr(arg).lower()
             continue
         if run:
-            candidates.append(frozenset([run]))
+            found.append(frozenset([run]))
             run = ""
-        inner = None
         if op is sre.SUBPATTERN:
-            inner = _best(arg[-1])
+            found += _needs(arg[-1])
         elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and arg[0] > 0:
-            inner = _best(arg[2])
+            found += _needs(arg[2])
         elif op is sre.BRANCH:
-            branches = [_best(b) for b in arg[1]]
-            inner = frozenset().union(*branches) if all(branches) else None
-        if inner:
-            candidates.append(inner)
-    return max(candidates, key=lambda c: (min(map(len, c)), -len(c)), default=None)
+            branches = [_longest(_needs(b)) for b in arg[1]]
+            if all(branches):
+                found.append(frozenset().union(*branches))
+    return found
+
+
+def _longest(sets: list[frozenset[str]]) -> frozenset[str] | None:
+    return max(sets, key=lambda s: (min(map(len, s)), -len(s)), default=None)
 
 
 def python_matches(pattern: str, text: str) -> int:

@@ -20,36 +20,57 @@ MATCHES_PER_RULE = 3
 CONTEXT_CHARS = 50
 
 
+def _quoted(value: str) -> str:
+    """A text as a SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _folded(text: Column) -> Column:
     """Lower case, with the letters that only case-fold to ASCII mapped to it."""
-    return F.lower(F.translate(text, "İıſK", "iisk"))
+    odd = reduce(lambda a, b: a | b, [F.contains(text, F.lit(c)) for c in "İıſK"])
+    return F.lower(F.when(odd, F.translate(text, "İıſK", "iisk")).otherwise(text))
+
+
+def _contains(literal: str) -> str:
+    return f"contains(_folded, {_quoted(literal)})"
+
 
+def _hit(rule: Rule, text: str) -> str:
+    """SQL text: the rule's index where it matches, else null."""
+    tests = ["(" + " OR ".join(map(_contains, literals)) + ")" for literals in required_literals(rule.pattern)]
+    tests.append(f"`{text}` RLIKE {_quoted(unicode_pattern(rule.pattern))}")
+    return f"CASE WHEN {' AND '.join(tests)} THEN {rule.index} END"
 
-def _hit(rule: Rule, text: Column, folded: Column) -> Column:
-    pattern = text.rlike(unicode_pattern(rule.pattern))
-    literals = required_literals(rule.pattern)
-    if not literals:
-        return pattern
-    present = reduce(lambda a, b: a | b, [F.contains(folded, F.lit(x)) for x in literals])
-    return present & pattern
+
+def _mark(rule: Rule) -> str | None:
+    """A mark such as ``(`` or ``<`` without which the rule cannot match."""
+    marks = [s[0] for s in required_literals(rule.pattern) if len(s) == 1 and len(s[0]) < 4 and not s[0].isalnum()]
+    return min(marks, key=len, default=None)
 
 
 def rule_hits(df: DataFrame, text: str = "text", categories: tuple[str, ...] | None = None, rules=RULES) -> DataFrame:
-    """Adds ``hits``: indexes of the rules that match, in rule order."""
-    chosen = [r for r in rules if categories is None or r.category in categories]
+    """Adds ``hits``: indexes of the rules that match, in rule order.
+
+    Rules that need the same mark are tested together behind one test for it.
+    The tests are written as SQL text because one expression per rule would
+    take longer to build than to run.
+    """
+    groups: dict[str | None, list[Rule]] = {}
+    for rule in rules:
+        if categories is None or rule.category in categories:
+            groups.setdefault(_mark(rule), []).append(rule)
+    tested = []
+    for mark, members in groups.items():
+        found = f"array_compact(array({', '.join(_hit(r, text) for r in members)}))"
+        tested.append(found if mark is None else f"CASE WHEN {_contains(mark)} THEN {found} ELSE array() END")
     staged = df.withColumn("_folded", _folded(F.col(text)))
-    groups: dict[str, list[Rule]] = {}
-    for rule in chosen:
-        groups.setdefault(rule.category, []).append(rule)
-    per_category = [
-        F.array_compact(F.array(*[F.when(_hit(r, F.col(text), F.col("_folded")), r.index) for r in members]))
-        for members in groups.values()
-    ]
-    return staged.withColumn("hits", F.concat(*per_category)).drop("_folded")
+    return staged.withColumn("hits", F.array_sort(F.concat(*map(F.expr, tested)))).drop("_folded")
 
 
-def _table(rules, value) -> Column:
-    return F.array(*[F.lit(value(r)) for r in rules])
+def _table(rules, value, kind: str = "string") -> Column:
+    """A constant array with one entry per rule, folded when the plan is optimised."""
+    texts = [str(value(r)) for r in rules]
+    return F.split(F.lit("\x1f".join(texts)), "\x1f").cast(f"array<{kind}>")
 
 
 def rule_matches(
@@ -64,8 +85,8 @@ def rule_matches(
     return rows.select(
         key,
         _table(rules, lambda r: r.category)[F.col("_i") - 1].alias("category"),
-        _table(rules, lambda r: r.rule_no)[F.col("_i") - 1].alias("rule_no"),
-        _table(rules, lambda r: r.score)[F.col("_i") - 1].alias("score"),
+        _table(rules, lambda r: r.rule_no, "int")[F.col("_i") - 1].alias("rule_no"),
+        _table(rules, lambda r: r.score, "double")[F.col("_i") - 1].alias("score"),
         _table(rules, lambda r: r.label)[F.col("_i") - 1].alias("label"),
         F.size(F.regexp_extract_all(F.col(text), pattern, F.lit(0))).alias("match_count"),
     )
@@ -81,7 +102,7 @@ def rule_scores(df: DataFrame, rules=RULES) -> DataFrame:
 
     Sums are rounded to 9 digits so that thresholds do not hang on float noise.
     """
-    scores = _table(rules, lambda r: r.score)
+    scores = _table(rules, lambda r: r.score, "double")
 
     def total(category: str) -> Column:
         return F.round(
@@ -141,8 +162,8 @@ def threat_indicators(df: DataFrame, text: str = "text", limit: int | None = MAX
     """Adds ``indicators``: up to three matches per threat rule, in rule order."""
     patterns = _table(rules, lambda r: unicode_pattern(r.pattern))
     categories = _table(rules, lambda r: r.category)
-    numbers = _table(rules, lambda r: r.rule_no)
-    scores = _table(rules, lambda r: r.score)
+    numbers = _table(rules, lambda r: r.rule_no, "int")
+    scores = _table(rules, lambda r: r.score, "double")
     threats = [r.index for r in rules if r.category != "benign"]
 
     def found(i: Column) -> Column:
