@@ -8,8 +8,6 @@ elements stay open to the end.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +25,11 @@ CHARACTER_REFERENCES = (
     ("&amp;", "&"),
 )
 
+_PAIRS = ", ".join(
+    "named_struct('mark', '" + m + "', 'value', '" + v.replace("'", "\\'") + "')" for m, v in CHARACTER_REFERENCES
+)
+_MARKS_SQL = f"array({_PAIRS})"
+
 TOKEN = r"<[^>]+>|[^<]+"
 TAG_NAME = r"^</?([a-zA-Z][a-zA-Z0-9]*)"
 HIDDEN_STYLE = r"display\s*:\s*none|visibility\s*:\s*hidden"
@@ -35,9 +38,19 @@ NODE = "struct<pos:int,end:int,depth:int,tag:string,parent:int>"
 OPEN = "struct<pos:int,tag:string>"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def decode(col: Column) -> Column:
     """Text with common character references decoded."""
-    return reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), CHARACTER_REFERENCES, col)
+    marks = F.expr(_MARKS_SQL)
+
+    def decoded(x: Column) -> Column:
+        return F.aggregate(marks, x, lambda acc, p: F.replace(acc, p["mark"], p["value"]))
+
+    return let(col, lambda x: F.when(F.contains(x, F.lit("&")), decoded(x)).otherwise(x))
 
 
 def strip_blocks(html: Column) -> Column:
@@ -61,10 +74,16 @@ def tag_name(token: Column) -> Column:
 
 def attribute(token: Column, name: str) -> Column:
     """Decoded value of an attribute, null if the tag does not have it."""
-    pattern = rf"""(?is)[\s"'/]{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
-    raw = F.regexp_extract(token, pattern, 1)
-    bare = F.when(token.rlike(rf"""(?is)[\s"'/]{name}(\s|/|>)"""), "")
-    return F.when(raw != "", decode(F.regexp_replace(raw, r"""^["']|["']$""", ""))).otherwise(bare)
+    before = r"""(?is)[\s"'/]"""
+    pattern = rf"""{before}{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+    bare = F.when(token.rlike(rf"{before}{name}(\s|/|>)"), "")
+
+    def value(raw: Column) -> Column:
+        return F.when(raw != "", decode(F.regexp_replace(raw, r"""^["']|["']$""", ""))).otherwise(bare)
+
+    # Most tags are short and have no attributes at all.
+    found = let(F.regexp_extract(token, pattern, 1), value)
+    return F.when(token.rlike(rf"(?i){name}"), found)
 
 
 def attributes(token: Column) -> Column:

@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from driftwatch.functions import text
 
@@ -14,33 +15,33 @@ from driftwatch.functions import text
 def keyword_similarity(df: DataFrame, old: str, new: str, out: str = "similarity") -> DataFrame:
     """Blend of Jaccard, overlap and Dice on keyword sets, with an overlap bonus.
 
-    An empty or missing text scores 0; two texts without keywords score 1.
+    The columns hold texts, or keyword sets made beforehand (null for an empty
+    text). An empty or missing text scores 0; two texts without keywords 1.
     """
-    staged = df.withColumns(
-        {
-            "_a": F.array_distinct(text.extract_keywords(F.coalesce(old, F.lit("")))),
-            "_b": F.array_distinct(text.extract_keywords(F.coalesce(new, F.lit("")))),
-        }
-    )
+
+    def as_set(name: str):
+        return F.col(name) if isinstance(df.schema[name].dataType, ArrayType) else text.keyword_set(F.col(name))
+
+    staged = df.withColumns({"_a": as_set(old), "_b": as_set(new)})
     sized = staged.withColumns(
         {
             "_common": F.size(F.array_intersect("_a", "_b")).cast("double"),
             "_na": F.size("_a").cast("double"),
             "_nb": F.size("_b").cast("double"),
+            "_empty": F.col("_a").isNull() | F.col("_b").isNull(),
         }
     )
     common, total, small = F.col("_common"), F.col("_na") + F.col("_nb"), F.least("_na", "_nb")
     overlap = common / small
     blend = 0.2 * common / (total - common) + 0.6 * overlap + 0.2 * (2 * common) / total
     bonus = F.when(overlap >= 0.5, F.least(F.lit(0.15), 0.2 * overlap)).otherwise(0.0)
-    empty = F.coalesce(F.col(old) == "", F.lit(True)) | F.coalesce(F.col(new) == "", F.lit(True))
     score = (
-        F.when(empty, 0.0)
+        F.when(F.col("_empty"), 0.0)
         .when(total == 0, 1.0)
         .when(small == 0, 0.0)
         .otherwise(F.least(F.lit(1.0), blend + bonus))
     )
-    return sized.withColumn(out, score).drop("_a", "_b", "_common", "_na", "_nb")
+    return sized.withColumn(out, score).drop("_a", "_b", "_common", "_na", "_nb", "_empty")
 
 
 def _ratio(a, b, autojunk: bool) -> float:

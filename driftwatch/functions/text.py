@@ -94,8 +94,8 @@ def clean_text(col: Column) -> Column:
 
 
 def word_count(col: Column) -> Column:
-    cleaned = clean_text(col)
-    return F.when(cleaned == "", 0).otherwise(F.size(F.split(cleaned, " "))).cast("long")
+    """Number of whitespace-separated words."""
+    return F.size(F.filter(F.split(col, r"(?U)\s+"), lambda w: w != "")).cast("long")
 
 
 def normalize_text(col: Column) -> Column:
@@ -109,6 +109,11 @@ def extract_keywords(col: Column, min_length: int = 3) -> Column:
     return F.filter(words, lambda w: (F.length(w) >= min_length) & ~w.isin(*STOPWORDS))
 
 
+def keyword_set(col: Column) -> Column:
+    """Distinct keywords of a text, null for an empty or missing text."""
+    return F.when(col != "", F.array_distinct(extract_keywords(col)))
+
+
 def strip_dynamic(col: Column) -> Column:
     """Content without the parts that change on every visit, lower-cased."""
     stripped = replace_all(F.coalesce(col, F.lit("")), DYNAMIC_PATTERNS, "")

@@ -37,7 +37,13 @@ def parse(pages: DataFrame, html: str = "html") -> DataFrame:
     ``texts`` holds the clean text per token, empty for tags and hidden parts;
     ``nodes`` and ``elements`` leave hidden parts out.
     """
-    tokens = pages.withColumn("tokens", h.tokenize(h.strip_blocks(F.col(html))))
+    cleaned = pages.withColumn("_clean", h.strip_blocks(F.col(html)))
+    tokens = cleaned.withColumns(
+        {
+            "tokens": h.tokenize(F.col("_clean")),
+            "_may_hide": F.col("_clean").rlike(rf"(?i)aria-hidden|{h.HIDDEN_STYLE}"),
+        }
+    ).drop("_clean")
     staged = tokens.withColumn("_nodes", h.nodes(F.col("tokens")))
 
     def hidden(n: Column) -> Column:
@@ -47,7 +53,10 @@ def parse(pages: DataFrame, html: str = "html") -> DataFrame:
         suspect = token.rlike(r"(?i)\b(style|aria-hidden)\b")
         return n["tag"].isNotNull() & suspect & gone
 
-    spans = staged.withColumn("_hidden", F.filter("_nodes", hidden))
+    nothing = F.array().cast(f"array<{h.NODE}>")
+    spans = staged.withColumn(
+        "_hidden", F.when(F.col("_may_hide"), F.filter("_nodes", hidden)).otherwise(nothing)
+    ).drop("_may_hide")
 
     def covered(pos: Column) -> Column:
         return F.exists("_hidden", lambda s: (s["pos"] <= pos) & (pos <= s["end"]))
@@ -95,29 +104,36 @@ def page_tokens(parsed: DataFrame, key: str = "page_id") -> DataFrame:
 
 def outline(parsed: DataFrame) -> DataFrame:
     """Adds ``dom_outline``: the elements from the body down to depth 10."""
-    body = _body()
-    top = F.coalesce(body["depth"], F.lit(0))
-    inside = F.filter(
-        "elements",
-        lambda n: (body.isNull() | ((n["pos"] >= body["pos"]) & (n["pos"] <= body["end"])))
-        & (n["depth"] - top <= MAX_DEPTH)
-        & (n["depth"] >= top),
-    )
 
-    def describe(n: Column) -> Column:
+    def inside(n: Column, body: Column) -> Column:
+        top = F.coalesce(body["depth"], F.lit(0))
+        within = body.isNull() | ((n["pos"] >= body["pos"]) & (n["pos"] <= body["end"]))
+        return within & (n["depth"] >= top) & (n["depth"] - top <= MAX_DEPTH)
+
+    def describe(n: Column, body: Column, parents: Column) -> Column:
         token = _token(n)
         return F.struct(
             n["pos"].alias("pos"),
             n["tag"].alias("tag"),
-            (n["depth"] - top).alias("depth"),
+            (n["depth"] - F.coalesce(body["depth"], F.lit(0))).alias("depth"),
             F.filter(F.split(F.coalesce(h.attribute(token, "class"), F.lit("")), r"\s+"), lambda c: c != "").alias("classes"),
             h.attribute(token, "id").alias("id"),
             F.length(span_text(n)).alias("text_length"),
-            F.size(F.filter("nodes", lambda m: m["parent"] == n["pos"])).alias("child_count"),
+            F.size(F.filter(parents, lambda p: p == n["pos"])).alias("child_count"),
             F.when(n["tag"].isin(*DETAILED_TAGS), h.attributes(token)).alias("attributes"),
         )
 
-    return parsed.withColumn("dom_outline", F.transform(inside, describe))
+    # Values used once per element are bound first, or they would be computed for each.
+    described = h.let(
+        _body(),
+        lambda body: h.let(
+            F.transform("nodes", lambda m: m["parent"]),
+            lambda parents: F.transform(
+                F.filter("elements", lambda n: inside(n, body)), lambda n: describe(n, body, parents)
+            ),
+        ),
+    )
+    return parsed.withColumn("dom_outline", described)
 
 
 def text_blocks(parsed: DataFrame) -> DataFrame:
@@ -198,27 +214,45 @@ def main_content(parsed: DataFrame) -> DataFrame:
             if kind == "tag":
                 return n["tag"] == value
             found = F.coalesce(h.attribute(_token(n), kind), F.lit(""))
-            marked = _token(n).rlike(rf"(?i){kind}\s*=")
             if kind == "class":
-                return marked & F.array_contains(F.split(found, r"\s+"), value)
-            return marked & (found == value)
+                return F.array_contains(F.split(found, r"\s+"), value)
+            return found == value
 
         return test
 
-    best = F.coalesce(*[F.get(F.filter("elements", hits(k, v)), F.lit(0)) for k, v in MAIN_SELECTORS])
-    body = _body()
-    sides = F.filter("elements", lambda n: n["tag"].isin(*SIDE_TAGS))
-    kept = F.filter(
-        F.transform("texts", lambda x, i: F.struct(x.alias("x"), i.alias("i"))),
-        lambda t: (t["x"] != "")
-        & (body.isNull() | ((t["i"] > body["pos"]) & (t["i"] < body["end"])))
-        & (body.isNull() | ~F.exists(sides, lambda s: (s["pos"] < t["i"]) & (t["i"] < s["end"]))),
+    # Few elements can be a main area at all; the selectors only look at those.
+    plausible = F.filter(
+        "elements",
+        lambda n: n["tag"].isin("main", "article") | _token(n).rlike(r"(?i)\b(role|id|class)\s*=.*(main|content|article)"),
+    )
+    parsed = parsed.withColumn("_plausible", plausible)
+    best = F.coalesce(*[F.get(F.filter("_plausible", hits(k, v)), F.lit(0)) for k, v in MAIN_SELECTORS])
+
+    def outside_sides(body: Column, sides: Column) -> Column:
+        kept = F.filter(
+            F.transform("texts", lambda x, i: F.struct(x.alias("x"), i.alias("i"))),
+            lambda t: (t["x"] != "")
+            & (
+                body.isNull()
+                | (
+                    (t["i"] > body["pos"])
+                    & (t["i"] < body["end"])
+                    & ~F.exists(sides, lambda s: (s["pos"] < t["i"]) & (t["i"] < s["end"]))
+                )
+            ),
+        )
+        return F.array_join(F.transform(kept, lambda t: t["x"]), " ")
+
+    rest = h.let(
+        _body(),
+        lambda body: h.let(
+            F.filter("elements", lambda n: n["tag"].isin(*SIDE_TAGS)), lambda sides: outside_sides(body, sides)
+        ),
     )
-    rest = F.array_join(F.transform(kept, lambda t: t["x"]), " ")
     staged = parsed.withColumn("_best", best)
     return staged.withColumn(
         "main_content", F.when(F.col("_best").isNotNull(), span_text(F.col("_best"))).otherwise(rest)
-    ).drop("_best")
+    ).drop("_best", "_plausible")
 
 
 def title_meta(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftwatch.functions.html import let
 from driftwatch.functions.text import fixed
 
 CHANNELS = ("r", "g", "b")
@@ -20,11 +21,6 @@ SIGNIFICANT_BELOW = 0.8
 PIXEL_WEIGHT, HISTOGRAM_WEIGHT = 0.7, 0.3
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, however often body uses it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 
@@ -67,7 +63,7 @@ def histogram(values: Column) -> Column:
 
     counts = F.map_from_entries(F.aggregate(ordered, start, step, lambda acc: acc["runs"]))
     every = F.sequence(F.lit(0), F.lit(255))
-    return _let(counts, lambda m: F.transform(every, lambda v: F.coalesce(F.element_at(m, v), F.lit(0))))
+    return let(counts, lambda m: F.transform(every, lambda v: F.coalesce(F.element_at(m, v), F.lit(0))))
 
 
 def histograms(images: DataFrame) -> DataFrame:
@@ -76,7 +72,7 @@ def histograms(images: DataFrame) -> DataFrame:
 
 
 def _centred(values: Column) -> Column:
-    return _let(values, lambda a: _let(_sum(a) / F.size(a), lambda m: F.transform(a, lambda x: x - m)))
+    return let(values, lambda a: let(_sum(a) / F.size(a), lambda m: F.transform(a, lambda x: x - m)))
 
 
 def _correlation(a: Column, b: Column) -> Column:
@@ -85,9 +81,9 @@ def _correlation(a: Column, b: Column) -> Column:
     def score(x: Column, y: Column) -> Column:
         across = _sum(F.zip_with(x, y, lambda p, q: p * q))
         spread = _sum(F.transform(x, lambda p: p * p)) * _sum(F.transform(y, lambda q: q * q))
-        return _let(spread, lambda d: F.when(d > 0, across / F.sqrt(d)))
+        return let(spread, lambda d: F.when(d > 0, across / F.sqrt(d)))
 
-    return _let(_centred(a), lambda x: _let(_centred(b), lambda y: score(x, y)))
+    return let(_centred(a), lambda x: let(_centred(b), lambda y: score(x, y)))
 
 
 def histogram_correlation(pairs: DataFrame) -> DataFrame:
@@ -174,7 +170,7 @@ def visual_fingerprint(images: DataFrame) -> DataFrame:
             "_grey": grey_values(*[F.col(c) for c in CHANNELS]),
         }
     )
-    variance = _let(
+    variance = let(
         mean(F.col("_grey")), lambda m: _sum(F.transform("_grey", lambda v: (v - m) * (v - m))) / F.size("_grey")
     )
     return staged.withColumns(

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from driftwatch.functions import text
 from driftwatch.operators import changes, history
+from driftwatch.operators.sliced import lag_over
 from driftwatch.plans import sqltext as q
 from driftwatch.plans.registry import query
+from driftwatch.sources.shared import materialize
 
 SNAP_COLS = "id, website_id, content_hash, status_code, response_time_ms, captured_at, is_defaced, confidence_score"
 
@@ -99,24 +101,26 @@ def previous_at(t):
 
 
 def versions(t):
-    """Old and new version columns of each document pair."""
-    pairs = t.doc_pairs
-    cols = {}
-    for side in ("old", "new"):
-        body = F.col(f"{side}_text")
-        cols |= {
-            f"{side}_hash": text.content_digest(text.strip_dynamic(body)),
-            f"{side}_title": F.substring(body, 1, 12),
-            f"{side}_meta_description": F.substring(body, 13, 3),
-            f"{side}_word_count": text.word_count(body),
-            f"{side}_structure_hash": F.md5(F.floor(F.length(body) / 400).cast("string")),
-            f"{side}_visual_hash": F.when(F.length(body) % 3 != 0, F.md5(F.substring(body, 1, 1))),
-        }
-    hashed = pairs.withColumns(cols)
-    for side in ("old", "new"):  # a missing version has no fingerprints at all
-        gone = F.col(f"{side}_text").isNull()
-        hashed = hashed.withColumns({f"{side}_hash": F.when(~gone, F.col(f"{side}_hash"))})
-    return hashed
+    """Old and new version columns of each document, fingerprinted before pairing.
+
+    Texts are read once and never shuffled; only fingerprints and keyword sets are.
+    """
+    body = F.col("text")
+    fields = {
+        "hash": text.content_digest(text.strip_dynamic(body)),
+        "text": text.keyword_set(body),
+        "title": F.substring(body, 1, 12),
+        "meta_description": F.substring(body, 13, 3),
+        "word_count": text.word_count(body),
+        "structure_hash": F.md5(F.floor(F.length(body) / 400).cast("string")),
+        "visual_hash": F.when(F.length(body) % 3 != 0, F.md5(F.substring(body, 1, 1))),
+    }
+    docs = t.documents.select(
+        F.col("doc_id").alias("pair_id"), "source", *[value.alias(f"new_{name}") for name, value in fields.items()]
+    )
+    old = {f"old_{name}": F.col(f"new_{name}") for name in fields} | {"old_pair_id": F.col("pair_id")}
+    stored = materialize(docs, "fingerprints")
+    return lag_over(stored, ["source"], ["pair_id"], F.floor(F.col("pair_id") / 4096), old)
 
 
 def _side(side: str) -> str:
@@ -189,7 +193,7 @@ verdict AS (SELECT *, CASE WHEN len(types) = 0 THEN 'none' ELSE array_to_string(
 
 
 def verdicts(t):
-    pairs = versions(t).filter(F.col("old_text").isNotNull())
+    pairs = versions(t).filter(F.col("old_pair_id").isNotNull())
     compared = changes.structure_compare(changes.content_compare(pairs, method="keyword"), signatures=False)
     return changes.change_verdict(changes.metadata_compare(changes.visual_hash_compare(compared)))
 

@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from driftwatch.functions import similarity as sim
 from driftwatch.functions import text
+from driftwatch.operators import fingerprints
 from driftwatch.operators import verdicts as vd
+from driftwatch.operators.sliced import lag_over
 from driftwatch.plans import sqltext as q
 from driftwatch.plans.registry import query
+from driftwatch.sources.shared import materialize
 
 
 @query("clean_text", (), f"SELECT doc_id, {q.clean('text')} AS text FROM documents")
@@ -72,13 +75,8 @@ SELECT doc_id, content_hash, n_copies, first_doc_id FROM h JOIN g USING (content
 """)
 def exact_duplicates(t):
     """Documents sharing a fingerprint, with the size and first member of their group."""
-    hashed = t.documents.select("doc_id", text.content_digest(text.strip_dynamic(F.col("text"))).alias("content_hash"))
-    groups = (
-        hashed.groupBy("content_hash")
-        .agg(F.count(F.lit(1)).alias("n_copies"), F.min("doc_id").alias("first_doc_id"))
-        .filter(F.col("n_copies") > 1)
-    )
-    return hashed.join(groups, "content_hash")
+    digest = text.content_digest(text.strip_dynamic(F.col("text")))
+    return fingerprints.exact_duplicates(t.documents, "doc_id", digest)
 
 
 @query("preprocess_embed", (), f"SELECT doc_id, {q.embed_text('text')} AS text FROM documents")
@@ -107,7 +105,11 @@ def chunk_text(t):
 SELECT pair_id, round(CASE WHEN coalesce(old_text, '') = '' OR coalesce(new_text, '') = '' THEN 0 ELSE {q.keyword_similarity('a', 'b')} END, 6) AS similarity FROM k
 """)
 def keyword_similarity(t):
-    out = sim.keyword_similarity(t.doc_pairs, "old_text", "new_text")
+    """Similarity of each document with the one before it; only keyword sets are shuffled."""
+    docs = t.documents.select(F.col("doc_id").alias("pair_id"), "source", text.keyword_set(F.col("text")).alias("new"))
+    stored = materialize(docs, "keywords")
+    pairs = lag_over(stored, ["source"], ["pair_id"], F.floor(F.col("pair_id") / 4096), {"old": F.col("new")})
+    out = sim.keyword_similarity(pairs, "old", "new")
     return out.select("pair_id", F.round("similarity", 6).alias("similarity"))
 
 
