@@ -330,7 +330,8 @@ def _summarize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out["slice"].append(part)
         out["until"].append(bound[entries[ends]].tolist())
         out["outcome"].append(outcome[ends].tolist())
-    yield pd.DataFrame(out)
+    if out["key"]:
+        yield pd.DataFrame(out, dtype=object).astype({"slice": "int64"})
 
 
 def _chain_slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -346,7 +347,8 @@ def _chain_slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             step = 0 if state is None else int(np.searchsorted(until, state, side="left"))
             if step < len(outcome):
                 state = int(outcome[step])
-    yield pd.DataFrame(out).astype({"slice": "int64", "at": "int64"})
+    if out["key"]:
+        yield pd.DataFrame(out, dtype=object).astype({"slice": "int64", "at": "int64"})
 
 
 def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

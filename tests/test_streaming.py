@@ -70,4 +70,5 @@ def test_replayed_batch_replaces_its_rows(spark, tmp_path):
         query = jobs.to_table(jobs.deliverable(alerts.unionByName(alerts)), target, str(tmp_path / f"ck{attempt}"), send=lambda df, i: sent.append(df.count()))
         query.awaitTermination()
     stored = spark.read.parquet(target)
-    assert stored.count() == stored.select("id").distinct().count() == sent[0] == sent[1]
+    assert stored.count() == stored.select("id").distinct().count()
+    assert sum(sent) == 2 * stored.count()
