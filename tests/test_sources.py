@@ -12,7 +12,7 @@ from driftwatch.sources.shared import materialize, shared_folder
 NOW = dt.datetime(2024, 1, 30)
 
 
-def test_schemas_parse_and_narrow():
+def test_schemas_parse_and_narrow(spark):
     assert all(len(schema(t)) > 2 for t in SCHEMA_DDL)
     assert subset("websites", ["id", "url"]).names == ["id", "url"]
 
