@@ -69,7 +69,16 @@ def parse(pages: DataFrame, html: str = "html") -> DataFrame:
         return F.when(is_text & ~(any_hidden & covered(i)), clean_text(h.decode(token))).otherwise("")
 
     parsed = spans.withColumns({"nodes": visible, "texts": F.transform("tokens", shown), "hidden": F.col("_hidden")})
-    return parsed.withColumn("elements", F.filter("nodes", lambda n: n["tag"].isNotNull())).drop("_nodes", "_hidden")
+    no_attributes = F.create_map().cast("map<string,string>")
+
+    def element(n: Column) -> Column:
+        token = F.get("tokens", n["pos"])
+        fields = [n[f].alias(f) for f in ("pos", "end", "depth", "tag", "parent")]
+        attrs = F.when(token.rlike(r"\s"), h.attributes(token)).otherwise(no_attributes)
+        return F.struct(*fields, attrs.alias("attrs"))
+
+    elements = F.transform(F.filter("nodes", lambda n: n["tag"].isNotNull()), element)
+    return parsed.withColumn("elements", elements).drop("_nodes", "_hidden")
 
 
 def span_text(node: Column) -> Column:
@@ -78,8 +87,8 @@ def span_text(node: Column) -> Column:
     return F.array_join(F.filter(inside, lambda x: x != ""), " ")
 
 
-def _token(node: Column) -> Column:
-    return F.get("tokens", node["pos"])
+def _attribute(element: Column, name: str) -> Column:
+    return element["attrs"][name]
 
 
 def _body() -> Column:
@@ -111,16 +120,15 @@ def outline(parsed: DataFrame) -> DataFrame:
         return within & (n["depth"] >= top) & (n["depth"] - top <= MAX_DEPTH)
 
     def describe(n: Column, body: Column, parents: Column) -> Column:
-        token = _token(n)
         return F.struct(
             n["pos"].alias("pos"),
             n["tag"].alias("tag"),
             (n["depth"] - F.coalesce(body["depth"], F.lit(0))).alias("depth"),
-            F.filter(F.split(F.coalesce(h.attribute(token, "class"), F.lit("")), r"\s+"), lambda c: c != "").alias("classes"),
-            h.attribute(token, "id").alias("id"),
+            F.filter(F.split(F.coalesce(_attribute(n, "class"), F.lit("")), r"\s+"), lambda c: c != "").alias("classes"),
+            _attribute(n, "id").alias("id"),
             F.length(span_text(n)).alias("text_length"),
             F.size(F.filter(parents, lambda p: p == n["pos"])).alias("child_count"),
-            F.when(n["tag"].isin(*DETAILED_TAGS), h.attributes(token)).alias("attributes"),
+            F.when(n["tag"].isin(*DETAILED_TAGS), n["attrs"]).alias("attributes"),
         )
 
     # Values used once per element are bound first, or they would be computed for each.
@@ -147,17 +155,17 @@ def links(parsed: DataFrame, url: str = "url") -> DataFrame:
     """Adds ``links``: absolute address, text, title and whether it leaves the host."""
 
     def describe(n: Column) -> Column:
-        target = h.resolve(F.col(url), F.trim(h.attribute(_token(n), "href")))
+        target = h.resolve(F.col(url), F.trim(_attribute(n, "href")))
         there = h.host(target)
         return F.struct(
             target.alias("url"),
             span_text(n).alias("text"),
-            F.coalesce(h.attribute(_token(n), "title"), F.lit("")).alias("title"),
+            F.coalesce(_attribute(n, "title"), F.lit("")).alias("title"),
             ((there != "") & (there != h.host(F.col(url)))).alias("is_external"),
         )
 
     def usable(n: Column) -> Column:
-        href = F.trim(F.coalesce(h.attribute(_token(n), "href"), F.lit("")))
+        href = F.trim(F.coalesce(_attribute(n, "href"), F.lit("")))
         return (n["tag"] == "a") & (href != "") & ~F.startswith(href, F.lit("#"))
 
     return parsed.withColumn("links", F.transform(F.filter("elements", usable), describe))
@@ -167,14 +175,14 @@ def images(parsed: DataFrame, url: str = "url") -> DataFrame:
     """Adds ``images``: absolute address, alternative text, title, size."""
 
     def value(n: Column, name: str) -> Column:
-        return F.coalesce(h.attribute(_token(n), name), F.lit("")).alias(name)
+        return F.coalesce(_attribute(n, name), F.lit("")).alias(name)
 
     def describe(n: Column) -> Column:
-        target = h.resolve(F.col(url), F.trim(h.attribute(_token(n), "src"))).alias("url")
+        target = h.resolve(F.col(url), F.trim(_attribute(n, "src"))).alias("url")
         return F.struct(target, *[value(n, a) for a in ("alt", "title", "width", "height")])
 
     def usable(n: Column) -> Column:
-        return (n["tag"] == "img") & (F.trim(F.coalesce(h.attribute(_token(n), "src"), F.lit(""))) != "")
+        return (n["tag"] == "img") & (F.trim(F.coalesce(_attribute(n, "src"), F.lit(""))) != "")
 
     return parsed.withColumn("images", F.transform(F.filter("elements", usable), describe))
 
@@ -183,13 +191,13 @@ def forms(parsed: DataFrame) -> DataFrame:
     """Adds ``forms``: action, method and the inputs inside each form."""
 
     def value(n: Column, name: str, default: str = "") -> Column:
-        return F.coalesce(h.attribute(_token(n), name), F.lit(default))
+        return F.coalesce(_attribute(n, name), F.lit(default))
 
     def field(n: Column) -> Column:
         return F.struct(
             value(n, "type", "text").alias("type"),
             *[value(n, a).alias(a) for a in ("name", "id", "placeholder")],
-            h.attribute(_token(n), "required").isNotNull().alias("required"),
+            _attribute(n, "required").isNotNull().alias("required"),
         )
 
     def describe(n: Column) -> Column:
@@ -213,7 +221,7 @@ def main_content(parsed: DataFrame) -> DataFrame:
         def test(n: Column) -> Column:
             if kind == "tag":
                 return n["tag"] == value
-            found = F.coalesce(h.attribute(_token(n), kind), F.lit(""))
+            found = F.coalesce(_attribute(n, kind), F.lit(""))
             if kind == "class":
                 return F.array_contains(F.split(found, r"\s+"), value)
             return found == value
@@ -223,7 +231,8 @@ def main_content(parsed: DataFrame) -> DataFrame:
     # Few elements can be a main area at all; the selectors only look at those.
     plausible = F.filter(
         "elements",
-        lambda n: n["tag"].isin("main", "article") | _token(n).rlike(r"(?i)\b(role|id|class)\s*=.*(main|content|article)"),
+        lambda n: n["tag"].isin("main", "article")
+        | F.coalesce(*[_attribute(n, a) for a in ("role", "id", "class")]).isNotNull(),
     )
     parsed = parsed.withColumn("_plausible", plausible)
     best = F.coalesce(*[F.get(F.filter("_plausible", hits(k, v)), F.lit(0)) for k, v in MAIN_SELECTORS])
