@@ -8,6 +8,9 @@ elements stay open to the end.
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,6 +39,10 @@ HIDDEN_STYLE = r"display\s*:\s*none|visibility\s*:\s*hidden"
 
 NODE = "struct<pos:int,end:int,depth:int,tag:string,parent:int>"
 OPEN = "struct<pos:int,tag:string>"
+_NAME = re.compile(TAG_NAME)
+
+#: Pages with more tokens than this are walked outside the JVM.
+FOLD_TOKENS = 5000
 
 
 def let(value: Column, body) -> Column:
@@ -169,6 +176,47 @@ def nodes(tokens: Column) -> Column:
     return F.array_sort(folded)
 
 
+def _walk(tokens) -> list[dict]:
+    """The nodes of one page by a plain walk with a stack."""
+    out, stack = [], []
+
+    def close(down_to: int, end: int) -> None:
+        while len(stack) > down_to:
+            pos, tag = stack.pop()
+            parent = stack[-1][0] if stack else -1
+            out.append({"pos": pos, "end": end, "depth": len(stack), "tag": tag, "parent": parent})
+
+    for i, token in enumerate(tokens):
+        found = _NAME.match(token)
+        tag = found.group(1).lower() if found else None
+        void = tag in VOID_TAGS or token.endswith("/>")
+        if token[:1] != "<" or (tag and token[1] != "/" and void):
+            end = i + 1 if tag else i
+            out.append({"pos": i, "end": end, "depth": len(stack), "tag": tag, "parent": stack[-1][0] if stack else -1})
+        elif tag and token[1] == "/":
+            at = next((j for j in range(len(stack) - 1, -1, -1) if stack[j][1] == tag), None)
+            if at is not None:
+                close(at, i)
+        elif tag:
+            stack.append((i, tag))
+    close(0, len(tokens))
+    return sorted(out, key=lambda n: n["pos"])
+
+
+def long_page_nodes():
+    """Pandas UDF with the result of ``nodes`` for long pages, in linear time.
+
+    The fold copies its result as it grows, which long pages cannot afford.
+    Rows with null tokens cost nothing.
+    """
+
+    @F.pandas_udf(f"array<{NODE}>")
+    def walk(tokens: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else _walk(t) for t in tokens], dtype=object)
+
+    return walk
+
+
 def host(url: Column) -> Column:
     """Host and port of an absolute address, empty if there is none."""
     return F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)

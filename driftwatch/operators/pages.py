@@ -44,7 +44,9 @@ def parse(pages: DataFrame, html: str = "html") -> DataFrame:
             "_may_hide": F.col("_clean").rlike(rf"(?i)aria-hidden|{h.HIDDEN_STYLE}"),
         }
     ).drop("_clean")
-    staged = tokens.withColumn("_nodes", h.nodes(F.col("tokens")))
+    long = F.size("tokens") > h.FOLD_TOKENS
+    walked = h.long_page_nodes()(F.when(long, F.col("tokens")))
+    staged = tokens.withColumn("_nodes", F.when(long, walked).otherwise(h.nodes(F.col("tokens"))))
 
     def hidden(n: Column) -> Column:
         token = F.get("tokens", n["pos"])

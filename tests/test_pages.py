@@ -82,3 +82,10 @@ def test_stray_end_tags_are_ignored(spark):
     df = spark.createDataFrame([(1, "http://x/", "<body></p><div>some text here</span></div></body>")], "page_id long, url string, html string")
     row = pg.extract(df).first()
     assert row.text_blocks == ["some text here"] and [(e.tag, e.depth) for e in row.dom_outline] == [("body", 0), ("div", 1)]
+
+
+def test_long_pages_are_walked_with_the_same_result(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select(h.tokenize(h.strip_blocks(F.col("html"))).alias("t"))
+    extra = spark.createDataFrame([(PAGE,), ("<p/>a</i><b>x",), ("",)], "html string").select(h.tokenize(h.strip_blocks(F.col("html"))).alias("t"))
+    both = pages.unionByName(extra).select(h.nodes(F.col("t")).alias("fold"), h.long_page_nodes()(F.col("t")).alias("walk"))
+    assert both.filter("fold != walk OR walk IS NULL").count() == 0
