@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwatch.llm import decontaminate, jaccard_join, line_dedup, packing, toxicity
+from driftwatch.llm import bloom_lm, chat, decontaminate, jaccard_join, kneser_ney, line_dedup, packing, phrases, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -38,12 +38,76 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of equal row counts."""
+    text = F.coalesce("text", F.lit(""))
+    dealt = sharding.external_shuffle(table(spark, sf_dir, "documents"), 8)
+    return dealt.select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as one JSON record: a prompt with its response, a system line with its conversation, or messages."""
+    said = "</s>[INST] ok [/INST]"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(F.lit(-7).cast("long"), "id", F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(said))
+    turns = rows.unionAll(more).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    roles = F.transform("t", lambda t: t["role"])
+    rest = F.slice("t", F.lit(2), F.size("t"))
+    plain = lambda r: F.forall(r, lambda t: F.coalesce(t["role"].isin("user", "assistant"), F.lit(False)))
+    text = lambda k: F.coalesce(F.get("t", F.lit(k))["text"], F.lit(""))
+    pair = F.to_json(F.struct(text(0).alias("prompt"), text(1).alias("response")))
+    shared = lambda t: F.struct(F.when(t["role"] == "user", "human").otherwise("gpt").alias("from"), t["text"].alias("value"))
+    system = F.to_json(F.struct(text(0).alias("system"), F.transform(rest, shared).alias("conversations")))
+    messages = F.to_json(F.struct(F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content"))).alias("messages")))
+    return turns.select(
+        "conv_id",
+        F.when(roles == F.array(F.lit("user"), F.lit("assistant")), pair)
+        .when((F.get(roles, F.lit(0)) == "system") & (F.size("t") > 1) & plain(rest), system).otherwise(messages).alias("record"),
+    )
+
+
+@_query
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted, and what is read back from the result."""
+    made = chat.format_chat(chat.canonical_turns(_records(spark, sf_dir)))
+    turns = chat.read_turns(F.col("formatted"))
+    loss = chat.read_loss(F.col("formatted"), F.col("loss_spans"))
+    said = F.array_join(F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return made.select("conv_id", "layout", "formatted", turns.alias("read"), loss.alias("loss")).select(
+        "conv_id", F.size("read").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "layout",
+    )
+
+
+@_query
+def op4_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return phrases.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op5_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability under the model learned from folds other than 1."""
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1
+    return bloom_lm.score_documents(table(spark, sf_dir, "documents"), held_out)
+
+
 @_query
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component and number of links of every document."""
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op7_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document, and whether it stays below its language's threshold."""
+    return kneser_ney.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @_query
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document; the model learns from the labels outside fold 0."""
