@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
@@ -44,49 +41,12 @@ def keyword_similarity(df: DataFrame, old: str, new: str, out: str = "similarity
     return sized.withColumn(out, score).drop("_a", "_b", "_common", "_na", "_nb", "_empty")
 
 
-def _ratio(a, b, autojunk: bool) -> float:
-    if not len(a) and not len(b):
-        return 1.0
-    if not len(a) or not len(b):
-        return 0.0
-    return SequenceMatcher(None, a, b, autojunk=autojunk).ratio()
-
-
-def sequence_ratio(autojunk: bool = True):
-    """Pandas UDF: matching-block ratio of two lower-cased texts."""
-
-    @F.pandas_udf("double")
-    def ratio(old: pd.Series, new: pd.Series) -> pd.Series:
-        pairs = zip(old.fillna(""), new.fillna(""))
-        return pd.Series([_ratio(a.lower(), b.lower(), autojunk) for a, b in pairs], dtype="float64")
-
-    return ratio
-
-
-def outline_ratio(autojunk: bool = True):
-    """Pandas UDF: matching-block ratio of two arrays of element signatures."""
-
-    @F.pandas_udf("double")
-    def ratio(old: pd.Series, new: pd.Series) -> pd.Series:
-        pairs = zip(old, new)
-        return pd.Series(
-            [_ratio([] if a is None else list(a), [] if b is None else list(b), autojunk) for a, b in pairs],
-            dtype="float64",
-        )
-
-    return ratio
-
-
-def where_different(
-    df: DataFrame, old_hash: str, new_hash: str, score, out: str = "similarity"
-) -> DataFrame:
-    """Score only the rows whose hashes differ; equal or missing hashes give 1.
-
-    Python functions run on every input row, so the rows are split first. The
-    input is read twice, each time with a filter that reaches the scan.
-    """
-    same = F.coalesce(F.col(old_hash) == F.col(new_hash), F.lit(True))
-    return df.filter(same).withColumn(out, F.lit(1.0)).unionByName(df.filter(~same).withColumn(out, score))
+def overlap(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two arrays as sets; two empty ones (or null) are equal."""
+    none = F.array().cast("array<string>")
+    x, y = F.coalesce(a, none), F.coalesce(b, none)
+    union = F.size(F.array_union(x, y))
+    return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(x, y)) / union)
 
 
 def as_doubles(vector: Column) -> Column:

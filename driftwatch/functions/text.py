@@ -175,5 +175,5 @@ def external_resources(col: Column) -> Column:
 
 
 def fixed(col: Column, digits: int = 2) -> Column:
-    """A number below 1000 with fixed decimals, exact ties to even."""
-    return F.format_number(col, digits)
+    """A number with fixed decimals and without separators, exact ties to even."""
+    return F.replace(F.format_number(col, digits), F.lit(","), F.lit(""))

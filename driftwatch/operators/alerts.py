@@ -9,11 +9,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftwatch.functions.text import fixed
 from driftwatch.operators.ensemble import lookup
 from driftwatch.operators.metrics import at, before, page_of, seconds_between
 from driftwatch.operators.sliced import last_over, newest, running_sum, time_slice
+from driftwatch.sources.tables import one_per_key, with_defaults
 
 SEVERITIES = ("critical", "high", "medium", "low")
 
@@ -284,11 +286,14 @@ def raise_alerts(verdicts: DataFrame) -> DataFrame:
 
 def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, dict[str, np.ndarray]]]:
     """Runs of rows with equal keys from key-sorted batches, across batch ends."""
-    rest: pd.DataFrame | None = None
+    rest: list[pd.DataFrame] = []
     for batch in batches:
         if not len(batch):
             continue
-        pdf = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        if rest and all(batch[k].iloc[0] == rest[0][k].iloc[0] == batch[k].iloc[-1] for k in keys):
+            rest.append(batch)  # the run goes on: its parts are joined once, at its end
+            continue
+        pdf = pd.concat([*rest, batch], ignore_index=True) if rest else batch
         changed = np.zeros(len(pdf) - 1, dtype=bool)
         for k in keys:
             values = pdf[k].to_numpy()
@@ -297,9 +302,10 @@ def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tu
         columns = {c: pdf[c].to_numpy() for c in pdf.columns}
         for lo, hi in zip(starts[:-1], starts[1:]):
             yield tuple(columns[k][lo] for k in keys), {c: v[lo:hi] for c, v in columns.items()}
-        rest = pdf.iloc[starts[-1] :]
-    if rest is not None:
-        columns = {c: rest[c].to_numpy() for c in rest.columns}
+        rest = [pdf.iloc[starts[-1] :]]
+    if rest:
+        pdf = pd.concat(rest, ignore_index=True)
+        columns = {c: pdf[c].to_numpy() for c in pdf.columns}
         yield tuple(columns[k][0] for k in keys), columns
 
 
@@ -353,7 +359,7 @@ def _chain_slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Ids emitted per slice; a row without id carries the last emission before it."""
-    kept: list[int] = []
+    kept: list = []
     for _, rows in _runs(batches, ["key", "slice"]):
         carried = rows["is_state"]
         real = ~carried
@@ -361,9 +367,9 @@ def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bound = _release_bounds(times, rows["window"][real])
         i = int(np.searchsorted(bound, rows["at"][carried][0], side="left")) if carried.any() else 0
         while i < len(times):
-            kept.append(int(ids[i]))
+            kept.append(ids[i])
             i = int(np.searchsorted(bound, times[i], side="left"))
-    yield pd.DataFrame({"id": np.asarray(kept, dtype="int64")})
+    yield pd.DataFrame({"id": kept})
 
 
 def suppression_micros(severity: Column) -> Column:
@@ -380,11 +386,12 @@ def suppress_alerts(alerts: DataFrame, slice_seconds: int = 21_600) -> DataFrame
     chained over these small summaries, and then every slice is replayed with
     its true starting state. No task needs more than one slice of a key at once.
     """
+    id_type = alerts.schema["id"].dataType
     narrow = alerts.select(
         F.concat_ws(":", "website_id", "alert_type").alias("key"),
         time_slice("created_at", slice_seconds).alias("slice"),
         F.unix_micros(F.col("created_at").cast("timestamp")).alias("at"),
-        F.col("id").cast("long").alias("id"),
+        "id",
         suppression_micros(F.col("severity")).alias("window"),
         F.lit(False).alias("is_state"),
     )
@@ -394,14 +401,14 @@ def suppress_alerts(alerts: DataFrame, slice_seconds: int = 21_600) -> DataFrame
         summaries.repartition("key")
         .sortWithinPartitions("key", "slice")
         .mapInPandas(_chain_slices, "key string, slice long, at long")
-        .select("key", "slice", "at", F.lit(0).cast("long").alias("id"), F.lit(0).cast("long").alias("window"), F.lit(True).alias("is_state"))
+        .select("key", "slice", "at", F.lit(None).cast(id_type).alias("id"), F.lit(0).cast("long").alias("window"), F.lit(True).alias("is_state"))
     )
     # The state row of a slice is older than its alerts and sorts first.
     kept = (
         narrow.unionByName(states)
         .repartition("key", "slice")
         .sortWithinPartitions("key", "slice", "at", "id")
-        .mapInPandas(_replay, "id long")
+        .mapInPandas(_replay, T.StructType([T.StructField("id", id_type)]))
     )
     return alerts.join(kept, "id", "left_semi")
 
@@ -410,22 +417,28 @@ def suppress_alerts(alerts: DataFrame, slice_seconds: int = 21_600) -> DataFrame
 
 
 def acknowledge(alerts: DataFrame, requests: DataFrame) -> DataFrame:
-    """Open alerts named in ``requests(id, acknowledged_by, acknowledged_at)`` become acknowledged."""
-    side = requests.select("id", F.col("acknowledged_by").alias("_by"), F.col("acknowledged_at").alias("_at"))
+    """Open alerts named in ``requests(id, acknowledged_by, acknowledged_at)`` become acknowledged.
+
+    The earliest of several requests for an alert counts; earlier acknowledgements stay as they are.
+    """
+    side = requests.select("id", F.col("acknowledged_at").alias("_at"), F.col("acknowledged_by").alias("_by"))
+    side = one_per_key(side.filter(F.col("_at").isNotNull()), "id", [F.col("_at")])
+    alerts = with_defaults(alerts, {"acknowledged_by": F.lit(None).cast("string"), "acknowledged_at": F.lit(None).cast("timestamp_ntz")})
     joined = alerts.join(side, "id", "left")
     hit = (F.col("status") == "open") & F.col("_at").isNotNull()
     return joined.withColumns(
         {
-            "acknowledged_by": F.when(hit, F.col("_by")),
-            "acknowledged_at": F.when(hit, F.col("_at")),
+            "acknowledged_by": F.when(hit, F.col("_by")).otherwise(F.col("acknowledged_by")),
+            "acknowledged_at": F.when(hit, F.col("_at")).otherwise(F.col("acknowledged_at")),
             "status": F.when(hit, "acknowledged").otherwise(F.col("status")),
         }
     ).drop("_by", "_at")
 
 
 def resolve(alerts: DataFrame, requests: DataFrame) -> DataFrame:
-    """Alerts named in ``requests(id, resolved_at)`` become resolved unless they are."""
-    joined = alerts.join(requests.select("id", F.col("resolved_at").alias("_at")), "id", "left")
+    """Alerts named in ``requests(id, resolved_at)`` become resolved unless they are; the earliest request counts."""
+    side = requests.filter(F.col("resolved_at").isNotNull()).groupBy("id").agg(F.min("resolved_at").alias("_at"))
+    joined = alerts.join(side, "id", "left")
     hit = (F.col("status") != "resolved") & F.col("_at").isNotNull()
     return joined.withColumns(
         {
@@ -436,25 +449,35 @@ def resolve(alerts: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def patch(alerts: DataFrame, patches: DataFrame) -> DataFrame:
-    """Apply ``patches(id, new_status, by, at)``; the new status sets its own stamps."""
-    joined = alerts.join(patches, "id", "left")
+    """Apply ``patches(id, new_status, by, at)``; the new status sets its own stamps, others stay.
+
+    The latest of several patches of an alert counts.
+    """
+    side = patches.select("id", "at", "new_status", "by")
+    latest = side.groupBy("id").agg(F.max(F.struct("at", "new_status", "by")).alias("_last")).select("id", "_last.*")
+    alerts = with_defaults(alerts, {"acknowledged_by": F.lit(None).cast("string"), "acknowledged_at": F.lit(None).cast("timestamp_ntz")})
+    joined = alerts.join(latest, "id", "left")
     to = F.col("new_status")
     return joined.withColumns(
         {
-            "acknowledged_by": F.when(to == "acknowledged", F.col("by")),
-            "acknowledged_at": F.when(to == "acknowledged", F.col("at")),
+            "acknowledged_by": F.when(to == "acknowledged", F.col("by")).otherwise(F.col("acknowledged_by")),
+            "acknowledged_at": F.when(to == "acknowledged", F.col("at")).otherwise(F.col("acknowledged_at")),
             "resolved_at": F.when(to == "resolved", F.col("at")).otherwise(F.col("resolved_at")),
             "status": F.coalesce(to, F.col("status")),
         }
     ).drop("new_status", "by", "at")
 
 
-def bulk_outcome(alerts: DataFrame, ids: DataFrame) -> DataFrame:
-    """Outcome per requested id: ``updated`` or ``not_found``."""
+def bulk_acknowledge(alerts: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Alerts after ``requests(id, acknowledged_by, acknowledged_at)``, and the outcome of each requested id.
+
+    The outcome is ``updated`` for every known alert, also one that was not open, and ``not_found`` otherwise.
+    """
     known = alerts.select("id").withColumn("_known", F.lit(True))
-    return ids.join(known, "id", "left").select(
+    outcome = requests.select("id").distinct().join(known, "id", "left").select(
         "id", F.when(F.col("_known"), "updated").otherwise("not_found").alias("outcome")
     )
+    return acknowledge(alerts, requests), outcome
 
 
 # --- lists and reports -----------------------------------------------------

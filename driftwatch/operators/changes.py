@@ -25,47 +25,32 @@ def _missing(*names: str) -> Column:
     return out
 
 
-def content_compare(df: DataFrame, method: str = "sequence", autojunk: bool = True) -> DataFrame:
+def content_compare(df: DataFrame) -> DataFrame:
     """Adds ``content_similarity`` and ``content_hash_changed`` (null if a hash is missing).
 
-    ``method`` scores rows whose hashes differ: ``sequence`` (matching blocks)
-    or ``keyword``.
+    Rows whose hashes differ are scored by their keywords, others are equal.
     """
     changed = F.when(~_missing("old_hash", "new_hash"), F.col("old_hash") != F.col("new_hash"))
     flagged = df.withColumn("content_hash_changed", changed)
-    if method == "keyword":
-        scored = sim.keyword_similarity(flagged, "old_text", "new_text", "_score")
-        score = F.when(F.coalesce("content_hash_changed", F.lit(False)), F.col("_score")).otherwise(1.0)
-        return scored.withColumn("content_similarity", score).drop("_score")
-    ratio = sim.sequence_ratio(autojunk)(F.col("old_text"), F.col("new_text"))
-    differs = F.coalesce("content_hash_changed", F.lit(False))
-    return (
-        flagged.filter(~differs)
-        .withColumn("content_similarity", F.lit(1.0))
-        .unionByName(flagged.filter(differs).withColumn("content_similarity", ratio))
-    )
+    scored = sim.keyword_similarity(flagged, "old_text", "new_text", "_score")
+    score = F.when(F.coalesce("content_hash_changed", F.lit(False)), F.col("_score")).otherwise(1.0)
+    return scored.withColumn("content_similarity", score).drop("_score")
 
 
-def structure_compare(df: DataFrame, signatures: bool = True, autojunk: bool = True) -> DataFrame:
+def structure_compare(df: DataFrame, signatures: bool = True) -> DataFrame:
     """Adds ``structure_similarity`` and ``structure_hash_changed``.
 
-    With ``signatures`` differing rows are scored on ``old_signatures`` and
-    ``new_signatures``; otherwise they score 0.
+    With ``signatures`` rows whose hashes differ are scored by the overlap of the sets
+    ``old_signatures`` and ``new_signatures``; otherwise they score 0.
     """
     changed = F.when(
         ~_missing("old_structure_hash", "new_structure_hash"),
         F.col("old_structure_hash") != F.col("new_structure_hash"),
     )
+    score = sim.overlap(F.col("old_signatures"), F.col("new_signatures")) if signatures else F.lit(0.0)
     flagged = df.withColumn("structure_hash_changed", changed)
     differs = F.coalesce("structure_hash_changed", F.lit(False))
-    if not signatures:
-        return flagged.withColumn("structure_similarity", F.when(differs, 0.0).otherwise(1.0))
-    ratio = sim.outline_ratio(autojunk)(F.col("old_signatures"), F.col("new_signatures"))
-    return (
-        flagged.filter(~differs)
-        .withColumn("structure_similarity", F.lit(1.0))
-        .unionByName(flagged.filter(differs).withColumn("structure_similarity", ratio))
-    )
+    return flagged.withColumn("structure_similarity", F.when(differs, score).otherwise(1.0))
 
 
 def visual_hash_compare(df: DataFrame) -> DataFrame:

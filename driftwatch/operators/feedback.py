@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from driftwatch.operators.ensemble import lookup
 from driftwatch.operators.metrics import at, before, seconds_between
 from driftwatch.operators.sliced import running_sum, time_slice
+from driftwatch.sources.tables import with_defaults
 
 # Feedback domains and user-interface actions.
 FEEDBACK_TYPES = (
@@ -75,7 +76,11 @@ def map_actions(actions: DataFrame, action: str = "action") -> DataFrame:
 
 
 def enrich(feedback: DataFrame, alerts: DataFrame) -> DataFrame:
-    """Fill site, class and confidence of feedback from the alert it names."""
+    """Site, class and confidence of feedback from the alert it names.
+
+    Without a matching alert the feedback keeps its own values, and only then are they filled with defaults.
+    """
+    feedback = with_defaults(feedback, {"original_classification": F.lit(None).cast("string"), "original_confidence": F.lit(None).cast("double")})
     side = alerts.select(
         F.col("id").alias("alert_id"), F.col("website_id").alias("_site"),
         F.col("classification_label").alias("_label"), F.col("confidence_score").alias("_score"),
@@ -83,8 +88,8 @@ def enrich(feedback: DataFrame, alerts: DataFrame) -> DataFrame:
     return feedback.join(side, "alert_id", "left").withColumns(
         {
             "website_id": F.coalesce("_site", "website_id"),
-            "original_classification": F.coalesce("_label", F.lit("unclear")),
-            "original_confidence": F.coalesce("_score", F.lit(0.0)),
+            "original_classification": F.coalesce("_label", "original_classification", F.lit("unclear")),
+            "original_confidence": F.coalesce("_score", "original_confidence", F.lit(0.0)),
         }
     ).drop("_site", "_label", "_score")
 

@@ -5,17 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftwatch.sources.shared import materialize
-
 
 def exact_duplicates(df: DataFrame, key: str, digest: Column) -> DataFrame:
     """Rows whose digest occurs more than once, with group size and first member.
 
-    The narrow digest table is written once, so texts are read and hashed a
-    single time. Group sizes are combined before the shuffle; the join back is
-    split by adaptive execution if one digest dominates.
+    Only keys and digests are shuffled. Group sizes are combined before the
+    shuffle; the join back is split by adaptive execution if one digest
+    dominates.
     """
-    hashed = materialize(df.select(key, digest.alias("content_hash")), "digests")
+    hashed = df.select(key, digest.alias("content_hash"))
     groups = (
         hashed.groupBy("content_hash")
         .agg(F.count(F.lit(1)).alias("n_copies"), F.min(key).alias(f"first_{key}"))

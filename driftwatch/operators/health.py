@@ -61,9 +61,9 @@ def health_alerts(scored: DataFrame, threshold: float = ALERT_THRESHOLD) -> Data
     return scored.filter(F.col("health_score") < threshold)
 
 
-def last_reports(reports: DataFrame, limit: int = 24, retain: int = 100) -> DataFrame:
+def last_reports(reports: DataFrame, limit: int = 24) -> DataFrame:
     """The newest ``limit`` reports."""
-    return reports.orderBy(F.col("generated_at").desc(), F.col("report_id").desc()).limit(min(limit, retain))
+    return reports.orderBy(F.col("generated_at").desc(), F.col("report_id").desc()).limit(limit)
 
 
 def health_trends(scored: DataFrame, limit: int = 24) -> DataFrame:

@@ -42,9 +42,9 @@ def latest_hash(snaps: DataFrame, type_column: str | None = None) -> DataFrame:
     )
 
 
-def hash_history(snaps: DataFrame, limit: int = 10, retain: int = 50) -> DataFrame:
+def hash_history(snaps: DataFrame, limit: int = 10) -> DataFrame:
     """The last ``limit`` hashes of every site, numbered in time order from 1."""
-    kept = newest(snaps, ["website_id"], _newest_first(), min(limit, retain))
+    kept = newest(snaps, ["website_id"], _newest_first(), limit)
     in_time = Window.partitionBy("website_id").orderBy(F.col("rank").desc())
     return kept.select(
         "website_id", "id", "content_hash", "captured_at", F.row_number().over(in_time).alias("position")

@@ -58,17 +58,19 @@ def update_sites(sites: DataFrame, patches: DataFrame, snaps: DataFrame, as_of:
     """Apply attribute patches and move ``last_checked_at`` to the newest snapshot.
 
     ``patches(id, name, check_interval_seconds, is_active)`` may have nulls for
-    attributes to keep. ``updated_at`` is stamped on patched sites.
+    attributes to keep; of several patches of a site each attribute takes its largest value.
+    ``updated_at`` is stamped on patched sites and stays on the others.
     """
     fields = ["name", "check_interval_seconds", "is_active"]
-    side = patches.select("id", *[F.col(f).alias(f"_new_{f}") for f in fields], F.lit(True).alias("_hit"))
+    side = patches.groupBy("id").agg(*[F.max(f).alias(f"_new_{f}") for f in fields], F.lit(True).alias("_hit"))
+    sites = with_defaults(sites, {"updated_at": F.lit(None).cast("timestamp_ntz")})
     seen = snaps.groupBy(F.col("website_id").alias("id")).agg(F.max("captured_at").alias("_seen"))
     joined = sites.join(side, "id", "left").join(seen, "id", "left")
     return joined.withColumns(
         {
             **{f: F.coalesce(f"_new_{f}", f) for f in fields},
             "last_checked_at": F.coalesce(F.greatest("_seen", "last_checked_at"), F.col("last_checked_at")),
-            "updated_at": F.when(F.col("_hit"), as_of),
+            "updated_at": F.when(F.col("_hit"), as_of).otherwise(F.col("updated_at")),
         }
     ).drop("_hit", "_seen", *[f"_new_{f}" for f in fields])
 

@@ -37,6 +37,8 @@ def lag_over(
     names = list(columns)
     part = df.withColumn(_SLICE, slice_by)
     packed = F.struct(*[expr.alias(n) for n, expr in columns.items()])
+    # both branches read this exchange, which is therefore planned and run once
+    part = part.repartition(*keys, _SLICE)
     local = part.withColumn("_prev", F.lag(packed).over(_window(keys, order))).withColumn(
         "_first", F.row_number().over(_window(keys, order)) == 1
     )

@@ -10,12 +10,13 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftwatch.functions.similarity import as_doubles, cosine, norm
 from driftwatch.operators.sliced import newest
 
-#: Query vectors up to this many are shipped to every task; more are blocked.
-MAX_SHIPPED_QUERIES = 2048
+#: Bytes of query vectors that are shipped to every task at a time.
+QUERY_BLOCK_BYTES = 1 << 25
 DRIFT_BELOW = 0.7
 
 
@@ -90,35 +91,44 @@ def _best_per_query(ids: np.ndarray, scores: np.ndarray, query_ids: np.ndarray,
     return pd.concat(out, ignore_index=True)
 
 
-_HIT_SCHEMA = "query_id long, id long, score double"
-
-
 def vector_search(
     vectors: DataFrame, queries: DataFrame, limit: int = 10, threshold: float = 0.8,
-    filters: dict[str, object] | None = None,
+    filters: dict[str, object] | None = None, block_bytes: int = QUERY_BLOCK_BYTES,
 ) -> DataFrame:
     """The ``limit`` most similar vectors per query with score at least ``threshold``.
 
-    Exact. Every task scores its batches against all queries and keeps its own
-    best, so only ``limit`` rows per query and batch are shuffled. Queries come
-    as ``(query_id, embedding)``; too many to ship are handled in blocks.
+    Exact. The queries ``(query_id, embedding)`` are shipped in blocks of at most
+    ``block_bytes`` bytes; for each block every task scores its batches against
+    all queries of the block and keeps its own best, so only ``limit`` rows per
+    query and batch are shuffled. Ids keep their types.
     """
-    corpus = _matching(vectors, filters).select(F.col("id").cast("long").alias("id"), "embedding")
-    probes = queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding")
-    head = probes.limit(MAX_SHIPPED_QUERIES + 1).collect()
-    if len(head) <= MAX_SHIPPED_QUERIES:
-        hits = _search_shipped(corpus, head, limit, threshold)
-    else:
-        hits = _search_blocked(corpus, probes, limit, threshold)
+    corpus = _matching(vectors, filters).select("id", "embedding")
+    probes = queries.select("query_id", "embedding")
+    schema = T.StructType([T.StructField("query_id", probes.schema["query_id"].dataType), T.StructField("id", corpus.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+    hits, held, size = None, [], 0
+
+    def add(block: list) -> None:
+        nonlocal hits
+        found = _search_block(corpus, block, limit, threshold, schema)
+        hits = found if hits is None else hits.unionByName(found)
+
+    for row in probes.toLocalIterator():  # a block of queries at a time
+        held.append(row)
+        size += 8 * len(row["embedding"] or ())
+        if size >= block_bytes:
+            add(held)
+            held, size = [], 0
+    if held or hits is None:
+        add(held)
     ranked = newest(hits, ["query_id"], [F.col("score").desc(), F.col("id")], limit)
     return ranked.withColumn("distance", 1.0 - F.col("score"))
 
 
-def _search_shipped(corpus: DataFrame, probes: list, limit: int, threshold: float) -> DataFrame:
-    if not probes:
-        return corpus.sparkSession.createDataFrame([], _HIT_SCHEMA)
-    query_ids = np.array([p["query_id"] for p in probes])
-    shipped = corpus.sparkSession.sparkContext.broadcast((query_ids, _unit_rows([p["embedding"] for p in probes]).T))
+def _search_block(corpus: DataFrame, block: list, limit: int, threshold: float, schema: T.StructType) -> DataFrame:
+    if not block:
+        return corpus.sparkSession.createDataFrame([], schema)
+    query_ids = np.array([p["query_id"] for p in block])
+    shipped = corpus.sparkSession.sparkContext.broadcast((query_ids, _unit_rows([p["embedding"] for p in block]).T))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, matrix = shipped.value
@@ -126,31 +136,7 @@ def _search_shipped(corpus: DataFrame, probes: list, limit: int, threshold: floa
             if len(pdf):
                 yield _best_per_query(pdf["id"].to_numpy(), _unit_rows(pdf["embedding"]) @ matrix, names, limit, threshold)
 
-    return corpus.mapInPandas(score, _HIT_SCHEMA)
-
-
-def _search_blocked(
-    corpus: DataFrame, probes: DataFrame, limit: int, threshold: float, block: int = MAX_SHIPPED_QUERIES, chunk: int = 50_000
-) -> DataFrame:
-    """Block product: query blocks meet corpus chunks, each pair in a task of bounded size."""
-    n_blocks = max(1, -(-probes.count() // block))
-    n_chunks = max(1, -(-corpus.count() // chunk))
-    left = corpus.withColumn("_chunk", F.pmod(F.xxhash64("id"), F.lit(n_chunks))).withColumn(
-        "_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))
-    )
-    right = probes.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))).withColumn(
-        "_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_chunks - 1).cast("long")))
-    )
-
-    def score(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(asked):
-            return pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": "int64", "id": "int64"})
-        scores = _unit_rows(rows["embedding"]) @ _unit_rows(asked["embedding"]).T
-        return _best_per_query(rows["id"].to_numpy(), scores, asked["query_id"].to_numpy(), limit, threshold)
-
-    return (
-        left.groupBy("_block", "_chunk").cogroup(right.groupBy("_block", "_chunk")).applyInPandas(score, _HIT_SCHEMA)
-    )
+    return corpus.mapInPandas(score, schema)
 
 
 def mean_pool(vectors: DataFrame, keys: list[str], size: int | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from driftwatch.plans.metrics_queries import RANKED_ALERTS, rounded
 from driftwatch.plans.registry import query
 from driftwatch.plans.views import AS_OF, AS_OF_SQL
 
-ALERT_COLS = "id, website_id, snapshot_id, created_at, alert_type, severity, status, resolved_at, notifications_sent"
+ALERT_COLS = "id, website_id, snapshot_id, created_at, alert_type, severity, status, resolved_at, notifications_sent, acknowledged_by, acknowledged_at"
 
 
 def context(t):
@@ -185,18 +185,19 @@ def suppress_alerts_sparse(t):
 
 
 def requested(t):
-    """Every fourth alert as an acknowledge or resolve request."""
-    return t.alerts.filter(F.col("id") % 4 == 0).select("id")
+    """Two requests each for every fourth alert, one an hour after the other."""
+    asked = t.alerts.filter(F.col("id") % 4 == 0).select("id")
+    at = F.lit(AS_OF).cast("timestamp_ntz")
+    late = asked.select("id", F.lit("second").alias("who"), (at + F.expr("INTERVAL '1' HOUR")).alias("at"))
+    return late.unionByName(asked.select("id", F.lit("analyst").alias("who"), at.alias("at")))
 
 
 @query("ack_alerts", ("alerts",), f"""
-SELECT id, CASE WHEN id % 4 = 0 AND status = 'open' THEN 'acknowledged' ELSE status END AS status, CASE WHEN id % 4 = 0 AND status = 'open' THEN 'analyst' END AS acknowledged_by,
-  CASE WHEN id % 4 = 0 AND status = 'open' THEN {AS_OF_SQL} END AS acknowledged_at FROM alerts
+SELECT id, CASE WHEN id % 4 = 0 AND status = 'open' THEN 'acknowledged' ELSE status END AS status, CASE WHEN id % 4 = 0 AND status = 'open' THEN 'analyst' ELSE acknowledged_by END AS acknowledged_by,
+  CASE WHEN id % 4 = 0 AND status = 'open' THEN {AS_OF_SQL} ELSE acknowledged_at END AS acknowledged_at FROM alerts
 """)
 def ack_alerts(t):
-    asked = requested(t).withColumns(
-        {"acknowledged_by": F.lit("analyst"), "acknowledged_at": F.lit(AS_OF).cast("timestamp_ntz")}
-    )
+    asked = requested(t).withColumnsRenamed({"who": "acknowledged_by", "at": "acknowledged_at"})
     return al.acknowledge(t.alerts, asked).select("id", "status", "acknowledged_by", "acknowledged_at")
 
 
@@ -204,13 +205,13 @@ def ack_alerts(t):
 SELECT id, CASE WHEN id % 4 = 0 THEN 'resolved' ELSE status END AS status, CASE WHEN id % 4 = 0 AND status <> 'resolved' THEN {AS_OF_SQL} ELSE resolved_at END AS resolved_at FROM alerts
 """)
 def resolve_alerts(t):
-    asked = requested(t).withColumn("resolved_at", F.lit(AS_OF).cast("timestamp_ntz"))
+    asked = requested(t).withColumnRenamed("at", "resolved_at")
     return al.resolve(t.alerts, asked).select("id", "status", "resolved_at")
 
 
 @query("patch_alerts", ("alerts",), f"""
 SELECT id, CASE WHEN id % 10 = 0 THEN 'acknowledged' WHEN id % 10 = 1 THEN 'resolved' ELSE status END AS status,
-  CASE WHEN id % 10 = 0 THEN 'ops' END AS acknowledged_by, CASE WHEN id % 10 = 0 THEN {AS_OF_SQL} END AS acknowledged_at,
+  CASE WHEN id % 10 = 0 THEN 'ops' ELSE acknowledged_by END AS acknowledged_by, CASE WHEN id % 10 = 0 THEN {AS_OF_SQL} ELSE acknowledged_at END AS acknowledged_at,
   CASE WHEN id % 10 = 1 THEN {AS_OF_SQL} ELSE resolved_at END AS resolved_at FROM alerts
 """)
 def patch_alerts(t):
@@ -220,16 +221,29 @@ def patch_alerts(t):
         F.lit("ops").alias("by"),
         F.lit(AS_OF).cast("timestamp_ntz").alias("at"),
     )
-    out = al.patch(t.alerts, patches)
+    earlier = patches.withColumns({"by": F.lit("early"), "new_status": F.lit("open"), "at": F.col("at") - F.expr("INTERVAL '1' DAY")})
+    out = al.patch(t.alerts, patches.unionByName(earlier))
     return out.select("id", "status", "acknowledged_by", "acknowledged_at", "resolved_at")
 
 
-@query("bulk_ack", ("alerts",), """
-SELECT e.event_id AS id, CASE WHEN a.id IS NULL THEN 'not_found' ELSE 'updated' END AS outcome FROM events e LEFT JOIN alerts a ON a.id = e.event_id WHERE e.event_id % 3 = 0
+@query("bulk_ack", ("alerts",), f"""
+SELECT e.event_id AS id, CASE WHEN a.id IS NULL THEN 'not_found' ELSE 'updated' END AS outcome, CASE WHEN a.status = 'open' THEN 'acknowledged' ELSE a.status END AS status,
+  CASE WHEN a.status = 'open' THEN 'analyst' ELSE a.acknowledged_by END AS acknowledged_by, CASE WHEN a.status = 'open' THEN {AS_OF_SQL} ELSE a.acknowledged_at END AS acknowledged_at
+FROM events e LEFT JOIN alerts a ON a.id = e.event_id WHERE e.event_id % 3 = 0
 """)
 def bulk_ack(t):
+    """The alerts after the requests, beside the outcome of every requested id."""
     ids = t.events.filter(F.col("event_id") % 3 == 0).select(F.col("event_id").alias("id"))
-    return al.bulk_outcome(t.alerts, ids)
+    asked = ids.withColumns({"acknowledged_by": F.lit("analyst"), "acknowledged_at": F.lit(AS_OF).cast("timestamp_ntz")})
+    updated, outcome = al.bulk_acknowledge(t.alerts, asked)
+    return outcome.join(updated.select("id", "status", "acknowledged_by", "acknowledged_at"), "id", "left")
+
+
+@query("suppress_alerts_named", ("alerts",), suppress_sql("alerts").replace(f"SELECT {ALERT_COLS} FROM", "SELECT md5(CAST(id AS VARCHAR)) AS id, website_id, created_at FROM"), recursive=True)
+def suppress_alerts_named(t):
+    """Suppression of alerts whose ids are text; no two alerts of a key share their time."""
+    named = t.alerts.withColumn("id", F.md5(F.col("id").cast("string")))
+    return al.suppress_alerts(named).select("id", "website_id", "created_at")
 
 
 @query("list_alerts", ("alerts", "sites"), f"""

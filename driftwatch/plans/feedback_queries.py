@@ -43,8 +43,8 @@ def action_mapping(t):
 
 
 @query("enrich_feedback", ("feedback", "alerts"), """
-SELECT feedback_id, coalesce(a.website_id, f.website_id) AS website_id, CASE WHEN a.id IS NULL THEN 'unclear' WHEN a.alert_type LIKE 'defacement%' THEN 'defacement' ELSE 'benign' END AS original_classification,
-  CASE WHEN a.id IS NULL THEN CAST(0 AS DOUBLE) ELSE CAST(a.id % 10 AS DOUBLE) / 10 END AS original_confidence FROM feedback f LEFT JOIN alerts a ON a.id = f.alert_id
+SELECT feedback_id, coalesce(a.website_id, f.website_id) AS website_id, CASE WHEN a.id IS NULL THEN coalesce(f.original_classification, 'unclear') WHEN a.alert_type LIKE 'defacement%' THEN 'defacement' ELSE 'benign' END AS original_classification,
+  CASE WHEN a.id IS NULL THEN coalesce(f.original_confidence, 0) ELSE CAST(a.id % 10 AS DOUBLE) / 10 END AS original_confidence FROM feedback f LEFT JOIN alerts a ON a.id = f.alert_id
 """)
 def enrich_feedback(t):
     alerts = t.alerts.withColumns(

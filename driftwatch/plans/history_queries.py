@@ -9,7 +9,6 @@ from driftwatch.operators import changes, history
 from driftwatch.operators.sliced import lag_over
 from driftwatch.plans import sqltext as q
 from driftwatch.plans.registry import query
-from driftwatch.sources.shared import materialize
 
 SNAP_COLS = "id, website_id, content_hash, status_code, response_time_ms, captured_at, is_defaced, confidence_score"
 
@@ -119,8 +118,7 @@ def versions(t):
         F.col("doc_id").alias("pair_id"), "source", *[value.alias(f"new_{name}") for name, value in fields.items()]
     )
     old = {f"old_{name}": F.col(f"new_{name}") for name in fields} | {"old_pair_id": F.col("pair_id")}
-    stored = materialize(docs, "fingerprints")
-    return lag_over(stored, ["source"], ["pair_id"], F.floor(F.col("pair_id") / 4096), old)
+    return lag_over(docs, ["source"], ["pair_id"], F.floor(F.col("pair_id") / 4096), old)
 
 
 def _side(side: str) -> str:
@@ -151,7 +149,7 @@ c AS (SELECT *, old_hash <> new_hash AS content_hash_changed, CASE WHEN old_hash
 SELECT pair_id, content_hash_changed, round(CAST(content_similarity AS DOUBLE), 6) AS content_similarity FROM c
 """)
 def content_compare(t):
-    out = changes.content_compare(versions(t), method="keyword")
+    out = changes.content_compare(versions(t))
     return out.select("pair_id", "content_hash_changed", F.round("content_similarity", 6).alias("content_similarity"))
 
 
@@ -194,7 +192,7 @@ verdict AS (SELECT *, CASE WHEN len(types) = 0 THEN 'none' ELSE array_to_string(
 
 def verdicts(t):
     pairs = versions(t).filter(F.col("old_pair_id").isNotNull())
-    compared = changes.structure_compare(changes.content_compare(pairs, method="keyword"), signatures=False)
+    compared = changes.structure_compare(changes.content_compare(pairs), signatures=False)
     return changes.change_verdict(changes.metadata_compare(changes.visual_hash_compare(compared)))
 
 

@@ -259,14 +259,3 @@ def classification_request(t):
         (F.get_json_object("site_context", "$.has_baseline") == "true").alias("has_baseline"),
     )
 
-
-@query("structural_similarity")
-def structural_similarity(t):
-    """Outline similarity of each page with the one before it on the same site."""
-    signed = pg.element_signatures(pg.outline(parsed(t))).select("page_id", "signatures").withColumn("site", F.floor(F.col("page_id") / 10))
-    paired = lag_over(signed, ["site"], ["page_id"], F.floor(F.col("page_id") / 4096), {"old": F.col("signatures")})
-    hashed = paired.filter("old IS NOT NULL").withColumns(
-        {"_a": F.sha2(F.array_join("old", "|"), 256), "_b": F.sha2(F.array_join("signatures", "|"), 256)}
-    )
-    out = sim.where_different(hashed, "_a", "_b", sim.outline_ratio()(F.col("old"), F.col("signatures")))
-    return out.select("page_id", F.round("similarity", 6).alias("similarity"))

@@ -91,7 +91,7 @@ def flag_snapshots(t):
 
 @query("update_sites", ("sites", "snaps"), f"""
 SELECT id, CASE WHEN id % 2 = 0 THEN 'Renamed ' || id ELSE name END AS name, CASE WHEN id % 6 = 0 THEN 60 ELSE check_interval_seconds END AS check_interval_seconds,
-  CASE WHEN id % 4 = 0 THEN false ELSE is_active END AS is_active, last_checked_at, CASE WHEN id % 2 = 0 THEN {AS_OF_SQL} END AS updated_at FROM sites
+  CASE WHEN id % 4 = 0 THEN false ELSE is_active END AS is_active, last_checked_at, CASE WHEN id % 2 = 0 THEN {AS_OF_SQL} ELSE updated_at END AS updated_at FROM sites
 """)
 def update_sites(t):
     i = F.col("id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftwatch.plans.alert_queries import suppress_sql
+from driftwatch.plans.alert_queries import ALERT_COLS, suppress_sql
 from driftwatch.plans.history_queries import PATTERN_SQL
 from driftwatch.plans.registry import query
 from driftwatch.plans.views import VIEW_SQL
@@ -39,7 +39,7 @@ def stream_changes(t):
     )
 
 
-SUPPRESS_SQL = suppress_sql("alerts_dense").replace("SELECT id, website_id, snapshot_id, created_at, alert_type, severity, status, resolved_at, notifications_sent FROM", "SELECT id, website_id || ':' || alert_type AS key, created_at FROM")
+SUPPRESS_SQL = suppress_sql("alerts_dense").replace(f"SELECT {ALERT_COLS} FROM", "SELECT id, website_id || ':' || alert_type AS key, created_at FROM")
 
 
 @query("stream_suppress", ("alerts_dense",), SUPPRESS_SQL, recursive=True)

@@ -11,7 +11,6 @@ from driftwatch.operators import verdicts as vd
 from driftwatch.operators.sliced import lag_over
 from driftwatch.plans import sqltext as q
 from driftwatch.plans.registry import query
-from driftwatch.sources.shared import materialize
 
 
 @query("clean_text", (), f"SELECT doc_id, {q.clean('text')} AS text FROM documents")
@@ -107,20 +106,11 @@ SELECT pair_id, round(CASE WHEN coalesce(old_text, '') = '' OR coalesce(new_text
 def keyword_similarity(t):
     """Similarity of each document with the one before it; only keyword sets are shuffled."""
     docs = t.documents.select(F.col("doc_id").alias("pair_id"), "source", text.keyword_set(F.col("text")).alias("new"))
-    stored = materialize(docs, "keywords")
-    pairs = lag_over(stored, ["source"], ["pair_id"], F.floor(F.col("pair_id") / 4096), {"old": F.col("new")})
+    pairs = lag_over(docs, ["source"], ["pair_id"], F.floor(F.col("pair_id") / 4096), {"old": F.col("new")})
     out = sim.keyword_similarity(pairs, "old", "new")
     return out.select("pair_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query("sequence_similarity")
-def sequence_similarity(t):
-    pairs = t.doc_pairs.withColumns({"_a": F.sha2("old_text", 256), "_b": F.sha2("new_text", 256)})
-    ratio = sim.sequence_ratio()(F.col("old_text"), F.col("new_text"))
-    out = sim.where_different(pairs.filter(F.col("old_text").isNotNull()), "_a", "_b", ratio)
-    return out.select("pair_id", F.round("similarity", 6).alias("similarity"))
-
-
 PROMPT_VALUES = {
     "url": "'https://example.com/' || source",
     "site_context": "'{\"lang\":\"' || lang || '\"}'",

@@ -30,13 +30,16 @@ _ALERT_COLUMNS = """event_id AS snapshot_id, ts AS created_at,
   CASE event_id % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity,
   CASE event_id % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'acknowledged' ELSE 'resolved' END AS status,
   CASE WHEN event_id % 3 = 2 THEN ts + INTERVAL '6' HOUR ELSE NULL END AS resolved_at,
-  CAST(event_id % 2 AS INT) AS notifications_sent"""
+  CAST(event_id % 2 AS INT) AS notifications_sent,
+  CASE WHEN event_id % 3 = 1 THEN 'first' END AS acknowledged_by,
+  CASE WHEN event_id % 3 = 1 THEN ts + INTERVAL '1' HOUR ELSE NULL END AS acknowledged_at"""
 
 VIEW_SQL: dict[str, str] = {
     "sites": """SELECT user_id AS id, concat('https://site', CAST(user_id AS STRING), '.example.com/') AS url,
   concat('Site ', CAST(user_id AS STRING)) AS name,
   CASE WHEN user_id % 3 = 0 THEN 300 WHEN user_id % 3 = 1 THEN 600 ELSE 900 END AS check_interval_seconds,
-  user_id % 5 <> 0 AS is_active, min(ts) AS created_at, max(ts) AS last_checked_at FROM {events} GROUP BY user_id""",
+  user_id % 5 <> 0 AS is_active, min(ts) AS created_at, max(ts) AS last_checked_at,
+  min(ts) + INTERVAL '1' DAY AS updated_at FROM {events} GROUP BY user_id""",
     "snaps": """SELECT event_id AS id, user_id AS website_id, md5(substr(props, 1, 7)) AS content_hash,
   CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status_code,
   CASE WHEN event_type = 'signup' THEN CAST(0 AS DOUBLE) ELSE value * 100 END AS response_time_ms, ts AS captured_at,
@@ -53,7 +56,8 @@ VIEW_SQL: dict[str, str] = {
     "feedback": """SELECT event_id AS feedback_id, user_id AS website_id, event_id AS alert_id, ts AS created_at,
   CASE event_id % 5 WHEN 0 THEN 'false_positive' WHEN 1 THEN 'false_negative' WHEN 2 THEN 'manual_review' ELSE 'classification_correction' END AS feedback_type,
   CASE event_type WHEN 'click' THEN 'slack_interaction' WHEN 'view' THEN 'external_system' ELSE 'human_analyst' END AS feedback_source,
-  CASE WHEN event_id % 5 = 0 THEN 'benign' WHEN event_id % 5 = 1 OR event_id % 2 = 0 THEN 'defacement' ELSE 'benign' END AS corrected_classification
+  CASE WHEN event_id % 5 = 0 THEN 'benign' WHEN event_id % 5 = 1 OR event_id % 2 = 0 THEN 'defacement' ELSE 'benign' END AS corrected_classification,
+  CASE WHEN event_id % 3 = 0 THEN 'defacement' END AS original_classification, CASE WHEN event_id % 3 = 0 THEN CAST(0.8 AS DOUBLE) END AS original_confidence
   FROM {events} WHERE event_id % 7 = 0""",
     "docs_planted": """SELECT doc_id, lang, source, concat(text, CASE doc_id % 13
   WHEN 0 THEN ' Hacked by zed. We are legion' WHEN 1 THEN ' new CoinHive.User( stratum+tcp://x' WHEN 2 THEN ' x or 1=1 union select a; drop table t'

@@ -1,4 +1,4 @@
-"""Where jobs keep written intermediate tables and stream checkpoints."""
+"""Where jobs keep written tables and stream checkpoints."""
 
 from __future__ import annotations
 
@@ -8,21 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-#: Stand-in for sessions that name no shared folder (single-machine tests).
-_LOCAL: list[str] = []
-
-
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder.
+    """A fresh folder below the one that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where the session names none (single-machine tests) is a temporary
-    folder created.
+    A local session without that setting (tests) gets one of its own; on a
+    cluster its absence is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not _LOCAL:
-            _LOCAL.append(tempfile.mkdtemp(prefix="spark-driftwatch-"))
-        base = _LOCAL[0]
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-driftwatch-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

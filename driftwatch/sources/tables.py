@@ -41,13 +41,22 @@ def with_defaults(df: DataFrame, defaults: dict[str, Column]) -> DataFrame:
     )
 
 
+def one_per_key(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """One row per key: the first in the given order of sort values (each ascending), ties by the other columns."""
+    rest = [c for c in df.columns if c != key]
+    ranked = F.struct(*[v.alias(f"_o{i}") for i, v in enumerate(order)], *rest)
+    first = df.groupBy(key).agg(F.min(ranked).alias("_first"))
+    return first.select(key, *[F.col("_first")[c].alias(c) for c in rest])
+
+
 def merge_patch(
     base: DataFrame, patch: DataFrame, key: str, fields: list[str], stamp: tuple[str, Column] | None = None
 ) -> DataFrame:
     """Overwrite ``fields`` where the patch has a non-null value; stamp touched rows.
 
-    ``patch`` must hold at most one row per key.
+    Several patch rows of a key are merged: each field takes its largest non-null value.
     """
+    patch = patch.groupBy(key).agg(*[F.max(f).alias(f) for f in fields])
     side = patch.select(key, *[F.col(f).alias(f"_new_{f}") for f in fields], F.lit(True).alias("_hit"))
     joined = base.join(side, key, "left")
     updates = {f: F.coalesce(f"_new_{f}", f) if f in base.columns else F.col(f"_new_{f}") for f in fields}

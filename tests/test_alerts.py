@@ -104,3 +104,31 @@ def test_routing_fallback_and_null_severity(spark):
     assert out[1].template_ids == ["critical_defacement", "high_defacement", "standard_defacement"]
     assert out[2].template_ids == ["standard_defacement"] and out[3].template_ids == ["standard_defacement"]
     assert out[1].users == ["@on-call", "@security-team"]
+
+
+def test_lifecycle_keeps_what_was_there_and_takes_one_request_per_id(spark):
+    from datetime import datetime
+
+    t1, t2, t3 = (datetime(2024, 1, d) for d in (1, 2, 3))
+    base = spark.createDataFrame(
+        [("a1", "acknowledged", "bob", t1, None), ("a2", "open", None, None, None), ("a3", "resolved", "eve", t1, t1)],
+        "id string, status string, acknowledged_by string, acknowledged_at timestamp_ntz, resolved_at timestamp_ntz",
+    )
+    rows = lambda df: {r.id: tuple(r)[1:] for r in df.select("id", "status", "acknowledged_by", "acknowledged_at", "resolved_at").collect()}
+    asked = spark.createDataFrame([("a2", "late", t3), ("a2", "early", t2), ("a1", "x", t2), ("zz", "x", t2)], "id string, acknowledged_by string, acknowledged_at timestamp_ntz")
+    updated, outcome = al.bulk_acknowledge(base, asked)
+    assert updated.count() == 3
+    assert rows(updated) == {"a1": ("acknowledged", "bob", t1, None), "a2": ("acknowledged", "early", t2, None), "a3": ("resolved", "eve", t1, t1)}
+    assert {r.id: r.outcome for r in outcome.collect()} == {"a1": "updated", "a2": "updated", "zz": "not_found"}
+    done = al.resolve(base, spark.createDataFrame([("a1", t3), ("a1", t2)], "id string, resolved_at timestamp_ntz"))
+    assert done.count() == 3 and rows(done)["a1"] == ("resolved", "bob", t1, t2)
+    patches = spark.createDataFrame([("a1", "resolved", "ops", t2), ("a1", "open", "ops", t1), ("a2", "acknowledged", "ops", t2)], "id string, new_status string, by string, at timestamp_ntz")
+    patched = al.patch(base, patches)
+    assert patched.count() == 3
+    assert rows(patched) == {"a1": ("resolved", "bob", t1, t2), "a2": ("acknowledged", "ops", t2, None), "a3": ("resolved", "eve", t1, t1)}
+
+
+def test_suppression_of_a_hot_key_with_text_ids(spark):
+    rows = spark.range(4000).selectExpr("concat('x', id) AS id", "1 AS website_id", "'defacement' AS alert_type", "'high' AS severity", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id * 20) AS created_at")
+    got = [r.id for r in al.suppress_alerts(rows, slice_seconds=3000).orderBy("created_at").collect()]
+    assert got == [f"x{k}" for k in range(0, 4000, 45)]

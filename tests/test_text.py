@@ -100,17 +100,9 @@ def test_keyword_similarity_bounds_and_symmetry(spark):
         assert low <= there[i] <= high
 
 
-def test_sequence_ratio_matches_difflib_and_skips_equal_rows(spark):
-    from difflib import SequenceMatcher
-
-    a = "word " * 88
-    b = ("word " * 8 + "other ") * 10
-    df = spark.createDataFrame([(1, a, b, "x", "y"), (2, a, b, "x", "x"), (3, None, b, None, "y")], "i int, a string, b string, ha string, hb string")
-    for junk in (True, False):
-        score = sim.sequence_ratio(junk)(F.col("a"), F.col("b"))
-        got = {r.i: r.similarity for r in sim.where_different(df, "ha", "hb", score).collect()}
-        assert got[1] == pytest.approx(SequenceMatcher(None, a, b, autojunk=junk).ratio())
-        assert got[2] == 1.0 and got[3] == 1.0
+def test_overlap_of_sets(spark):
+    df = spark.createDataFrame([(["a", "b", "a"], ["b", "c"]), ([], None), (["a"], None)], "a array<string>, b array<string>")
+    assert [r.o for r in df.select(sim.overlap(F.col("a"), F.col("b")).alias("o")).collect()] == pytest.approx([1 / 3, 1.0, 0.0])
 
 
 def test_vector_methods(spark):

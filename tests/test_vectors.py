@@ -46,12 +46,12 @@ def test_search_is_exact(data):
     assert ranked(found) == brute(corpus, asked, 5, 0.2, lambda i: i % 3 == 1)
 
 
-def test_blocked_search_equals_shipped_search(data, monkeypatch):
+def test_search_in_blocks_and_with_text_ids(data):
     vectors, queries, corpus, asked = data
-    monkeypatch.setattr(vec, "MAX_SHIPPED_QUERIES", 4)
-    blocked = vec._search_blocked
-    monkeypatch.setattr(vec, "_search_blocked", lambda c, p, k, f: blocked(c, p, k, f, block=4, chunk=100))
-    assert ranked(vec.vector_search(vectors, queries, 5, 0.2)) == brute(corpus, asked, 5, 0.2)
+    assert ranked(vec.vector_search(vectors, queries, 5, 0.2, block_bytes=200)) == brute(corpus, asked, 5, 0.2)
+    named = vectors.selectExpr("lpad(cast(id as string), 4, '0') AS id", "embedding")
+    found = ranked(vec.vector_search(named, queries.selectExpr("concat('q', query_id) AS query_id", "embedding"), 5, 0.2))
+    assert found == {f"q{q}": [f"{i:04d}" for i in ids] for q, ids in brute(corpus, asked, 5, 0.2).items() if ids}
 
 
 def test_mean_pool_and_zero_vector(spark):
