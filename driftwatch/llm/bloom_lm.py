@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftwatch.llm.common import blocks, shards_for, store, text_bytes
+from driftwatch.llm.common import blocks, give_back, shards_for, store, text_bytes
 from driftwatch.llm.words import mix, spans
 
 #: Base of the quantised counts, bits of filter for each entry, probes in a filter word.
@@ -129,6 +129,8 @@ def _dealt(rows: DataFrame, slices: int, shards: int) -> DataFrame:
                     held, n, docs = [[], [], [], []], 0, 0
         if docs:
             yield block(*held)
+        held.clear()
+        give_back()
 
     return rows.select("key", "held_out", "text").mapInArrow(run, "part long, kind int, block long, grams binary, counts binary, held binary, docs binary, tf binary, keys binary, n_docs long")
 

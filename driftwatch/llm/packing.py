@@ -14,17 +14,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwatch.llm.common import blocks
+from driftwatch.llm.common import blocks, give_back
 from driftwatch.llm.words import spans
 
-#: Examples that are packed together, and words that a worker remembers.
-BLOCK_EXAMPLES, BLOCK_TOKENS, KNOWN_WORDS = 8192, 1 << 22, 1_000_000
+#: Examples that are packed together, and words that a task remembers.
+BLOCK_EXAMPLES, BLOCK_TOKENS, KNOWN_WORDS = 8192, 1 << 21, 400_000
 _STEM = regex.compile(r"(\p{L}+)([!-@\[-`{-~].*)", regex.S)
 _LETTER_PIECE = 1 << 14
 
 
 class Encoder:
-    """Token ids of whole texts by a word-level vocabulary file; every different word is tokenised once per worker.
+    """Token ids of whole texts by a word-level vocabulary file; every different word is tokenised once per partition.
 
     Such a vocabulary drops white space and never joins across it, so a text's ids are those of its words in order. A
     word of letters followed by a mark is tokenised in those two parts, between which the vocabulary's splitter always
@@ -253,5 +253,7 @@ def pack(
         while held:
             if (out := emit(True)) is not None:
                 yield out
+        model.clear()
+        give_back()
 
     return df.select(*columns).mapInArrow(run, _schema(id_type))
