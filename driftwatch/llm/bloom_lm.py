@@ -33,6 +33,8 @@ _PAIR = mix(np.array([77, 78], np.uint64)) | np.uint64(1)
 _EDGES = BASE ** np.arange(-1, 120, dtype=np.float64)  # _EDGES[q] is the lower edge of level q
 _EDGES[0] = 0.0
 BLOCK_TOKENS, BLOCK_DOCS = 1 << 21, 60_000
+#: Parts that hold pairs for each one that holds words.
+PAIR_PARTS = 6
 
 
 def tokens(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,9 +105,9 @@ def _dealt(rows: DataFrame, slices: int, shards: int) -> DataFrame:
         before, grams = pairs(w, begin)
         grams, last = grams[of_train], w[of_train]
         unique, where, count = np.unique(grams, return_index=True, return_counts=True)
-        part = _place(unique, last[where], slices, shards)
+        part = _place(unique, last[where], slices, shards * PAIR_PARTS)
         order = np.argsort(part, kind="stable")
-        edges = np.searchsorted(part[order], np.arange(slices * shards + 1))
+        edges = np.searchsorted(part[order], np.arange(slices * shards * PAIR_PARTS + 1))
         for p in np.flatnonzero(np.diff(edges)).tolist():
             o = order[edges[p] : edges[p + 1]]
             add(p, 1, unique[o], count[o], b"", b"", b"", 0)
@@ -175,9 +177,11 @@ def _summed(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _part(frame: pd.DataFrame, most_words: int) -> pd.DataFrame:
     """Filter of one part and kind, and for words the exact sums of each block's texts."""
     part, kind = int(frame["part"].iloc[0]), int(frame["kind"].iloc[0])
+    most_words = most_words if kind == 0 else max(1, most_words // PAIR_PARTS)
     blobs = [np.frombuffer(g, np.uint64) for g in frame["grams"]]
     counts = [np.frombuffer(c, np.uint32) for c in frame["counts"]]
     grams, total = _summed(np.concatenate(blobs), np.concatenate(counts))
+    give_back()
     seen = total > 0
     known, count = grams[seen], total[seen]
     out = [{"kind": kind, "part": part, "block": 0, "x": _filter(known, count, most_words).tobytes(), "y": b"", "z": b"", "n": int(count.sum()), "v": len(known), "d": int(frame["n_docs"].sum())}]
@@ -205,10 +209,11 @@ class Probe:
     """A slice of the filter."""
 
     def __init__(self, parts: dict[tuple[int, int], bytes], slice_: int, slices: int, shards: int):
-        self.slice, self.slices, self.shards = slice_, slices, shards
+        self.slice, self.slices, self.shards = slice_, slices, (shards, shards * PAIR_PARTS)
         self.words, self.begin, self.size = {}, {}, {}
         for kind in (0, 1):
-            own = [np.frombuffer(parts.get((kind, slice_ * shards + s), b"\0" * 8), np.uint64) for s in range(shards)]
+            n = self.shards[kind]
+            own = [np.frombuffer(parts.get((kind, slice_ * n + s), b"\0" * 8), np.uint64) for s in range(n)]
             self.size[kind] = np.array([len(o) for o in own], np.uint64)
             self.begin[kind] = np.concatenate([[0], np.cumsum(self.size[kind])[:-1]]).astype(np.uint64)
             self.words[kind] = np.concatenate(own)
@@ -224,7 +229,7 @@ class Probe:
         while len(left) and level < len(_EDGES) - 2:
             g = grams[left]
             at, bits = _probe(g, level)
-            shard = ((g >> np.uint64(31)) % np.uint64(self.shards)).astype(np.int64)
+            shard = ((g >> np.uint64(31)) % np.uint64(self.shards[kind])).astype(np.int64)
             place = self.begin[kind][shard] + at % self.size[kind][shard]
             left = left[(self.words[kind][place.astype(np.int64)] & bits) == bits]
             out[left] = level
@@ -286,7 +291,8 @@ def score_documents(
     totals = (int(told["n"] or 0), int(told["v"] or 0), int(told["d"] or 0))
     partial = []
     for s in range(slices):
-        own = parts.filter((F.col("kind") < 2) & (F.col("part") >= s * shards) & (F.col("part") < (s + 1) * shards)).select("kind", "part", "x").collect()
+        of_slice = F.when(F.col("kind") == 0, F.floor(F.col("part") / shards)).otherwise(F.floor(F.col("part") / (shards * PAIR_PARTS)))
+        own = parts.filter((F.col("kind") < 2) & (of_slice == s)).select("kind", "part", "x").collect()
         probe = spark.sparkContext.broadcast(Probe({(r["kind"], r["part"]): bytes(r["x"]) for r in own}, s, slices, shards))
         partial.append(store(_scores(rows, probe, totals, prior).dropDuplicates(["key"]), f"scores-{s}"))
         del own
