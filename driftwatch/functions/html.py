@@ -1,16 +1,19 @@
 """Markup as columns: tokens, element spans, attributes, addresses.
 
 A page stays one row. Tokens and elements are arrays in that row, so all page
-work is map-only. Nesting follows an element stack: an end tag closes back to
+work is map-only; one Arrow function walks the tags of each page. Nesting follows an element stack: an end tag closes back to
 its nearest open match or is ignored, void tags never nest, other unclosed
 elements stay open to the end.
 """
 
 from __future__ import annotations
 
-import re
+import json
+from collections import Counter
+from html.entities import html5
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,28 +24,24 @@ VOID_TAGS = (
     "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr",
 )
 
-# Character references decoded in text and attributes (``&amp;`` last).
-CHARACTER_REFERENCES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&nbsp;", " "),
-    ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"), ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"),
-    ("&amp;", "&"),
-)
-
-_PAIRS = ", ".join(
-    "named_struct('mark', '" + m + "', 'value', '" + v.replace("'", "\\'") + "')" for m, v in CHARACTER_REFERENCES
-)
-_MARKS_SQL = f"array({_PAIRS})"
-
-TOKEN = r"<[^>]+>|[^<]+"
+#: What numeric references from 128 to 159 mean in markup: the characters of that Windows code page.
+_WINDOWS = {f"#{n}": bytes([n]).decode("cp1252") for n in range(128, 160) if n not in (129, 141, 143, 144, 157)}
+#: Named references that end in a semicolon. The unbreakable space counts as a space.
+_NAMED = {name[:-1]: value for name, value in html5.items() if name.endswith(";")} | {"nbsp": " ", "#160": " "}
+_REFERENCES = json.dumps(_NAMED | _WINDOWS)
+
+#: A tag's end, past quoted values that may hold ``>``; every branch starts differently, so nothing is tried twice.
+_TAG_REST = r"""(?:[^=>]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=\s*+[^\s"'>])*+(?:=\s*+)?+>"""
+#: A tag; one with an unclosed quote, a declaration or a cut-off tag; text, in which ``<`` may stand alone.
+TOKEN = rf"</?[a-zA-Z]{_TAG_REST}|<[a-zA-Z/!?][^>]*+>?+|(?:[^<]++|<+[^a-zA-Z/!?<])++|<"
+MARKUP = r"^<[a-zA-Z/!?]"
 TAG_NAME = r"^</?([a-zA-Z][a-zA-Z0-9]*)"
 HIDDEN_STYLE = r"display\s*:\s*none|visibility\s*:\s*hidden"
+HIDING = rf"""(?s)[\s"'/](?i:style)\s*=\s*(?:"[^"]*(?:{HIDDEN_STYLE})|'[^']*(?:{HIDDEN_STYLE})|[^\s"'>]*(?:{HIDDEN_STYLE}))|[\s"'/](?i:aria-hidden)\s*=\s*(?:"true"|'true'|true[\s>])"""
 
-NODE = "struct<pos:int,end:int,depth:int,tag:string,parent:int>"
-OPEN = "struct<pos:int,tag:string>"
-_NAME = re.compile(TAG_NAME)
-
-#: Pages with more tokens than this are walked outside the JVM.
-FOLD_TOKENS = 5000
+NODE = "struct<pos:int,end:int,depth:int,tag:string,parent:int,children:int>"
+SPAN = "struct<pos:int,end:int,tag:string>"
+WALKED = f"struct<nodes:array<{NODE}>,hidden:array<{SPAN}>,covered:array<boolean>>"
 
 
 def let(value: Column, body) -> Column:
@@ -50,12 +49,35 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _referred(part: Column) -> Column:
+    """The text after a ``&``, with the reference it starts with replaced; ``&`` comes back if there is none."""
+    table = F.from_json(F.lit(_REFERENCES), "map<string,string>")
+
+    def code(name: Column) -> Column:
+        hexadecimal = F.conv(F.regexp_replace(name, "^#[xX]0*", "0"), 16, 10).try_cast("int")
+        number = F.when(name.rlike("^#[xX]"), hexadecimal).otherwise(F.regexp_replace(name, "^#", "").try_cast("int"))
+        return F.when(F.startswith(name, F.lit("#")), number)
+
+    def letter(n: Column) -> Column:
+        valid = (n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF)
+        return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise("�")
+
+    def value(name: Column, n: Column) -> Column:
+        key = F.when(n.isNull(), name).when(n.between(128, 160), F.concat(F.lit("#"), n.cast("string")))
+        found = F.coalesce(table[key], F.when(n.isNotNull(), letter(n)))
+        rest = F.substring(part, F.length(name) + 2, F.length(part))
+        return F.coalesce(F.concat(found, rest), F.concat(F.lit("&"), part))
+
+    name = F.regexp_extract(part, r"^(#0*[0-9]{1,7}|#[xX]0*[0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+    return let(name, lambda x: let(code(x), lambda n: value(x, n)))
+
+
 def decode(col: Column) -> Column:
-    """Text with common character references decoded."""
-    marks = F.expr(_MARKS_SQL)
+    """Text with character references decoded, named and numeric, each once; they must end in a semicolon."""
 
     def decoded(x: Column) -> Column:
-        return F.aggregate(marks, x, lambda acc, p: F.replace(acc, p["mark"], p["value"]))
+        parts = F.split(x, "&")
+        return F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(_referred(p))), "")
 
     return let(col, lambda x: F.when(F.contains(x, F.lit("&")), decoded(x)).otherwise(x))
 
@@ -65,7 +87,7 @@ def strip_blocks(html: Column) -> Column:
     out = F.regexp_replace(html, r"(?is)<!--.*?-->", "")
     for tag in DROPPED_BLOCKS:
         out = F.regexp_replace(out, rf"(?is)<{tag}\b.*?</{tag}\s*>", "")
-    return F.regexp_replace(out, rf"(?is)</?(?:{'|'.join(DROPPED_TAGS)})\b[^>]*>", "")
+    return F.regexp_replace(out, rf"(?is)</?(?:{'|'.join(DROPPED_TAGS)})\b(?:{_TAG_REST}|[^>]*>)", "")
 
 
 def tokenize(html: Column) -> Column:
@@ -76,7 +98,12 @@ def tokenize(html: Column) -> Column:
 def tag_name(token: Column) -> Column:
     """Lower-case tag name of a tag token, null for text."""
     name = F.lower(F.regexp_extract(token, TAG_NAME, 1))
-    return F.when(F.startswith(token, F.lit("<")) & (name != ""), name)
+    return F.when(F.startswith(token, F.lit("<")) & F.endswith(token, F.lit(">")) & (name != ""), name)
+
+
+def is_text(token: Column) -> Column:
+    """Whether a token is text, which may start with a ``<`` of its own."""
+    return ~(F.startswith(token, F.lit("<")) & token.rlike(MARKUP))
 
 
 def attribute(token: Column, name: str) -> Column:
@@ -116,105 +143,83 @@ def attributes(token: Column) -> Column:
     return F.map_from_entries(kept)
 
 
-def nodes(tokens: Column) -> Column:
-    """Element and text nodes with their span, depth and parent, in page order.
+def marks(tokens: Column) -> Column:
+    """What the walk needs of each token: its kind and tag name, without texts and attributes."""
 
-    ``pos`` is the token index of the node, ``end`` the index where its content
-    ends, ``tag`` is null for text. Depth counts open ancestors.
-    """
-    void = lambda name, tok: name.isin(*VOID_TAGS) | F.endswith(tok, F.lit("/>"))
-
-    def item(token: Column, i: Column) -> Column:
+    def mark(token: Column) -> Column:
         name = tag_name(token)
-        kind = (
-            F.when(~F.startswith(token, F.lit("<")), "text")
-            .when(name.isNull(), "other")
-            .when(F.startswith(token, F.lit("</")), "close")
-            .when(void(name, token), "void")
-            .otherwise("open")
-        )
-        return F.struct(i.cast("int").alias("pos"), name.alias("tag"), kind.alias("kind"))
-
-    def node(pos: Column, end: Column, depth: Column, tag: Column, parent: Column) -> Column:
-        return F.struct(
-            pos.cast("int").alias("pos"), end.cast("int").alias("end"), depth.cast("int").alias("depth"),
-            tag.cast("string").alias("tag"), F.coalesce(parent, F.lit(-1)).cast("int").alias("parent"),
-        )
-
-    def closed(stack: Column, start: Column, end: Column) -> Column:
-        """The stack from index ``start`` (1-based) on as nodes that end at ``end``."""
-        return F.transform(
-            F.slice(stack, start, F.size(stack) - start + 1),
-            lambda s, j: node(s["pos"], end, start - 1 + j, s["tag"], F.get(stack, start - 2 + j)["pos"]),
-        )
-
-    def step(acc: Column, t: Column) -> Column:
-        stack, done, kind = acc["stack"], acc["done"], t["kind"]
-        top = F.get(stack, F.size(stack) - 1)["pos"]
-        leaf = node(t["pos"], F.when(kind == "void", t["pos"] + 1).otherwise(t["pos"]), F.size(stack), t["tag"], top)
-        back = F.array_position(F.reverse(F.transform(stack, lambda s: s["tag"])), t["tag"])
-        at = (F.size(stack) - back + 1).cast("int")
-        closes = (kind == "close") & (F.coalesce(back, F.lit(0)) > 0)
-        return F.struct(
-            F.when(kind == "open", F.concat(stack, F.array(F.struct(t["pos"].alias("pos"), t["tag"].alias("tag")))))
-            .when(closes, F.slice(stack, 1, at - 1))
-            .otherwise(stack)
-            .alias("stack"),
-            F.when(kind.isin("text", "void"), F.concat(done, F.array(leaf)))
-            .when(closes, F.concat(done, closed(stack, at, t["pos"])))
-            .otherwise(done)
-            .alias("done"),
-        )
-
-    start = F.struct(F.array().cast(f"array<{OPEN}>").alias("stack"), F.array().cast(f"array<{NODE}>").alias("done"))
-    folded = F.aggregate(
-        F.transform(tokens, item),
-        start,
-        step,
-        lambda acc: F.concat(acc["done"], closed(acc["stack"], F.lit(1), F.size(tokens))),
-    )
-    return F.array_sort(folded)
+        void = name.isin(*VOID_TAGS) | F.endswith(token, F.lit("/>"))
+        kind = F.when(F.startswith(token, F.lit("</")), "/").when(void, "!").otherwise("<")
+        return F.when(is_text(token), "").otherwise(F.coalesce(F.concat(kind, name), F.lit("?")))
 
+    return F.transform(tokens, mark)
 
-def _walk(tokens) -> list[dict]:
-    """The nodes of one page by a plain walk with a stack."""
-    out, stack = [], []
+
+def _walk(marks: list[str], hiding: list[int]):
+    """Nodes, hidden spans and covered tokens of one page, by one walk with a stack."""
+    found, stack, open_tags = [], [], Counter()
 
     def close(down_to: int, end: int) -> None:
         while len(stack) > down_to:
-            pos, tag = stack.pop()
-            parent = stack[-1][0] if stack else -1
-            out.append({"pos": pos, "end": end, "depth": len(stack), "tag": tag, "parent": parent})
-
-    for i, token in enumerate(tokens):
-        found = _NAME.match(token)
-        tag = found.group(1).lower() if found else None
-        void = tag in VOID_TAGS or token.endswith("/>")
-        if token[:1] != "<" or (tag and token[1] != "/" and void):
-            end = i + 1 if tag else i
-            out.append({"pos": i, "end": end, "depth": len(stack), "tag": tag, "parent": stack[-1][0] if stack else -1})
-        elif tag and token[1] == "/":
-            at = next((j for j in range(len(stack) - 1, -1, -1) if stack[j][1] == tag), None)
-            if at is not None:
-                close(at, i)
-        elif tag:
-            stack.append((i, tag))
-    close(0, len(tokens))
-    return sorted(out, key=lambda n: n["pos"])
-
-
-def long_page_nodes():
-    """Pandas UDF with the result of ``nodes`` for long pages, in linear time.
-
-    The fold copies its result as it grows, which long pages cannot afford.
-    Rows with null tokens cost nothing.
+            node = stack.pop()
+            open_tags[node[3]] -= 1
+            node[1] = end
+
+    for i, mark in enumerate(marks):
+        kind, tag = mark[:1], mark[1:] or None
+        if kind == "/":
+            if open_tags[tag]:
+                close(next(j for j in range(len(stack) - 1, -1, -1) if stack[j][3] == tag), i)
+        elif kind != "?":
+            node = [i, i + 1 if kind == "!" else i, len(stack), tag, stack[-1][0] if stack else -1, 0]
+            found.append(node)
+            if kind == "<":
+                stack.append(node)
+                open_tags[tag] += 1
+    close(0, len(marks))
+    spans, covered = [], []
+    if hiding:
+        asked = set(hiding)
+        spans = [(n[0], n[1], n[3]) for n in found if n[0] in asked and n[3]]
+        edges = np.zeros(len(marks) + 2, np.int64)
+        for first, last, _ in spans:
+            edges[first] += 1
+            edges[min(last, len(marks)) + 1] -= 1
+        covered = (np.cumsum(edges)[: len(marks)] > 0).tolist()
+        found = [n for n in found if not covered[n[0]]]
+    children = Counter(n[4] for n in found)
+    for node in found:
+        node[5] = children[node[0]]
+    return found, spans, covered
+
+
+def page_nodes(marks: Column, hiding: Column) -> Column:
+    """Visible nodes of a page with their span, depth, parent and number of children, in page order; its hidden spans;
+    and whether each token is hidden (empty if none is). Time is linear in the page, whatever its length.
+
+    ``pos`` is the token index of the node, ``end`` the index where its content ends, ``tag`` is null for text. Depth
+    counts open ancestors. ``hiding`` lists the tokens whose elements are hidden. Null marks give null.
     """
 
-    @F.pandas_udf(f"array<{NODE}>")
-    def walk(tokens: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else _walk(t) for t in tokens], dtype=object)
-
-    return walk
+    def listed(rows: list, names: tuple[str, ...]) -> pa.Array:
+        flat = list(zip(*(x for row in rows for x in row)))
+        kinds = [pa.string() if n == "tag" else pa.int32() for n in names]
+        columns = [pa.array(c, k) for c, k in zip(flat or [[]] * len(names), kinds)]
+        return pa.ListArray.from_arrays(offsets(rows), pa.StructArray.from_arrays(columns, names=list(names)))
+
+    def offsets(rows: list) -> pa.Array:
+        return pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rows])]), pa.int32())
+
+    @F.arrow_udf(WALKED)
+    def walk(marks: pa.Array, hiding: pa.Array) -> pa.Array:
+        pages = [_walk(m or [], h or []) for m, h in zip(marks.to_pylist(), hiding.to_pylist())]
+        found, spans, covered = ([p[k] for p in pages] for k in range(3))
+        flags = pa.ListArray.from_arrays(offsets(covered), pa.array([x for row in covered for x in row], pa.bool_()))
+        columns = [listed(found, ("pos", "end", "depth", "tag", "parent", "children")), listed(spans, ("pos", "end", "tag")), flags]
+        return pa.StructArray.from_arrays(columns, names=["nodes", "hidden", "covered"], mask=marks.is_null())
+
+    # evaluated once where it stands: the optimizer would copy it into lambdas that read its result
+    return walk.asNondeterministic()(marks, hiding)
 
 
 def host(url: Column) -> Column:

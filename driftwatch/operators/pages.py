@@ -44,43 +44,26 @@ def parse(pages: DataFrame, html: str = "html") -> DataFrame:
             "_may_hide": F.col("_clean").rlike(rf"(?i)aria-hidden|{h.HIDDEN_STYLE}"),
         }
     ).drop("_clean")
-    long = F.size("tokens") > h.FOLD_TOKENS
-    walked = h.long_page_nodes()(F.when(long, F.col("tokens")))
-    staged = tokens.withColumn("_nodes", F.when(long, walked).otherwise(h.nodes(F.col("tokens"))))
 
-    def hidden(n: Column) -> Column:
-        token = F.get("tokens", n["pos"])
-        style = F.coalesce(h.attribute(token, "style"), F.lit(""))
-        gone = style.rlike(h.HIDDEN_STYLE) | (F.coalesce(h.attribute(token, "aria-hidden"), F.lit("")) == "true")
-        suspect = token.rlike(r"(?i)\b(style|aria-hidden)\b")
-        return n["tag"].isNotNull() & suspect & gone
-
-    nothing = F.array().cast(f"array<{h.NODE}>")
-    spans = staged.withColumn(
-        "_hidden", F.when(F.col("_may_hide"), F.filter("_nodes", hidden)).otherwise(nothing)
-    ).drop("_may_hide")
-
-    def covered(pos: Column) -> Column:
-        return F.exists("_hidden", lambda s: (s["pos"] <= pos) & (pos <= s["end"]))
-
-    any_hidden = F.size("_hidden") > 0
-    visible = F.when(any_hidden, F.filter("_nodes", lambda n: ~covered(n["pos"]))).otherwise(F.col("_nodes"))
+    places = F.filter(F.transform("tokens", lambda t, i: F.when(t.rlike(h.HIDING), i)), lambda i: i.isNotNull())
+    hiding = F.when(F.col("_may_hide"), places).otherwise(F.array().cast("array<int>"))
+    walked = tokens.withColumn("_walked", h.page_nodes(h.marks(F.col("tokens")), hiding)).drop("_may_hide")
 
     def shown(token: Column, i: Column) -> Column:
-        is_text = ~F.startswith(token, F.lit("<"))
-        return F.when(is_text & ~(any_hidden & covered(i)), clean_text(h.decode(token))).otherwise("")
+        visible = ~F.coalesce(F.get(F.col("_walked.covered"), i), F.lit(False))
+        return F.when(h.is_text(token) & visible, clean_text(h.decode(token))).otherwise("")
 
-    parsed = spans.withColumns({"nodes": visible, "texts": F.transform("tokens", shown), "hidden": F.col("_hidden")})
+    parsed = walked.withColumns({"nodes": F.col("_walked.nodes"), "texts": F.transform("tokens", shown), "hidden": F.col("_walked.hidden")})
     no_attributes = F.create_map().cast("map<string,string>")
 
     def element(n: Column) -> Column:
         token = F.get("tokens", n["pos"])
-        fields = [n[f].alias(f) for f in ("pos", "end", "depth", "tag", "parent")]
+        fields = [n[f].alias(f) for f in ("pos", "end", "depth", "tag", "parent", "children")]
         attrs = F.when(token.rlike(r"\s"), h.attributes(token)).otherwise(no_attributes)
         return F.struct(*fields, attrs.alias("attrs"))
 
     elements = F.transform(F.filter("nodes", lambda n: n["tag"].isNotNull()), element)
-    return parsed.withColumn("elements", elements).drop("_nodes", "_hidden")
+    return parsed.withColumn("elements", elements).drop("_walked")
 
 
 def span_text(node: Column) -> Column:
@@ -121,7 +104,7 @@ def outline(parsed: DataFrame) -> DataFrame:
         within = body.isNull() | ((n["pos"] >= body["pos"]) & (n["pos"] <= body["end"]))
         return within & (n["depth"] >= top) & (n["depth"] - top <= MAX_DEPTH)
 
-    def describe(n: Column, body: Column, parents: Column) -> Column:
+    def describe(n: Column, body: Column) -> Column:
         return F.struct(
             n["pos"].alias("pos"),
             n["tag"].alias("tag"),
@@ -129,19 +112,13 @@ def outline(parsed: DataFrame) -> DataFrame:
             F.filter(F.split(F.coalesce(_attribute(n, "class"), F.lit("")), r"\s+"), lambda c: c != "").alias("classes"),
             _attribute(n, "id").alias("id"),
             F.length(span_text(n)).alias("text_length"),
-            F.size(F.filter(parents, lambda p: p == n["pos"])).alias("child_count"),
+            n["children"].alias("child_count"),
             F.when(n["tag"].isin(*DETAILED_TAGS), n["attrs"]).alias("attributes"),
         )
 
     # Values used once per element are bound first, or they would be computed for each.
     described = h.let(
-        _body(),
-        lambda body: h.let(
-            F.transform("nodes", lambda m: m["parent"]),
-            lambda parents: F.transform(
-                F.filter("elements", lambda n: inside(n, body)), lambda n: describe(n, body, parents)
-            ),
-        ),
+        _body(), lambda body: F.transform(F.filter("elements", lambda n: inside(n, body)), lambda n: describe(n, body))
     )
     return parsed.withColumn("dom_outline", described)
 

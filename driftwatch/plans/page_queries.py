@@ -15,8 +15,17 @@ from driftwatch.plans.metrics_queries import rounded
 from driftwatch.plans.registry import query
 
 
+#: The character references that the tables hold, for the checking SQL (``&amp;`` last).
+MARKS = (
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&nbsp;", " "), ("&#233;", "é"), ("&eacute;", "é"),
+    ("&#x2014;", "—"), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"), ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"), ("&amp;", "&"),
+)
+TAG_REST = """(?:[^=>]|=\\s*"[^"]*"|=\\s*''[^'']*''|=\\s*[^\\s"''>])*(?:=\\s*)?>"""
+TOKEN = f"</?[a-zA-Z]{TAG_REST}|<[a-zA-Z/!?][^>]*>?|(?:[^<]|<+[^a-zA-Z/!?<])+|<"
+
+
 def decode_sql(x: str) -> str:
-    for mark, value in h.CHARACTER_REFERENCES:
+    for mark, value in MARKS:
         x = f"replace({x}, {q.lit(mark)}, {q.lit(value)})"
     return x
 
@@ -32,7 +41,7 @@ def source_sql(html: str) -> str:
     out = f"regexp_replace({html}, '(?is)<!--.*?-->', '', 'g')"
     for tag in h.DROPPED_BLOCKS:
         out = f"regexp_replace({out}, '(?is)<{tag}\\b.*?</{tag}\\s*>', '', 'g')"
-    return f"regexp_replace({out}, '(?is)</?(?:{'|'.join(h.DROPPED_TAGS)})\\b[^>]*>', '', 'g')"
+    return f"regexp_replace({out}, '(?is)</?(?:{'|'.join(h.DROPPED_TAGS)})\\b(?:{TAG_REST}|[^>]*>)', '', 'g')"
 
 
 VOIDS = ", ".join(f"'{v}'" for v in h.VOID_TAGS)
@@ -50,10 +59,10 @@ def closing(stack: str, start: str, end: str) -> str:
 
 IS_CLOSE = "t.kind = 'close' AND list_contains(list_transform(stack, lambda s: s.tag), t.tag)"
 PAGE_SQL = f"""
-, tl AS (SELECT page_id, url, html, regexp_extract_all({source_sql('html')}, '<[^>]+>|[^<]+', 0) AS l FROM pages_injected),
+, tl AS (SELECT page_id, url, html, regexp_extract_all({source_sql('html')}, '{TOKEN}', 0) AS l FROM pages_injected),
 tk0 AS (SELECT page_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS tok FROM tl),
-tk AS (SELECT *, CASE WHEN tok[1] <> '<' THEN 'text' WHEN tag IS NULL THEN 'other' WHEN tok[1:2] = '</' THEN 'close' WHEN tag IN ({VOIDS}) OR suffix(tok, '/>') THEN 'void' ELSE 'open' END AS kind
-  FROM (SELECT *, CASE WHEN tok[1] = '<' THEN nullif(lower(regexp_extract(tok, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)), '') END AS tag FROM tk0) z),
+tk AS (SELECT *, CASE WHEN NOT regexp_matches(tok, '^<[a-zA-Z/!?]') THEN 'text' WHEN tag IS NULL THEN 'other' WHEN tok[1:2] = '</' THEN 'close' WHEN tag IN ({VOIDS}) OR suffix(tok, '/>') THEN 'void' ELSE 'open' END AS kind
+  FROM (SELECT *, CASE WHEN tok[1] = '<' AND suffix(tok, '>') THEN nullif(lower(regexp_extract(tok, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)), '') END AS tag FROM tk0) z),
 r AS (SELECT page_id, CAST(0 AS BIGINT) AS i, CAST([] AS {OPEN_T}) AS stack, CAST([] AS {NODE_T}) AS done FROM tl
   UNION ALL SELECT r.page_id, i + 1,
     CASE WHEN t.kind = 'open' THEN list_append(stack, {{'pos': t.pos, 'tag': t.tag}}) WHEN {IS_CLOSE} THEN stack[1:{LAST} - 1] ELSE stack END,
@@ -91,7 +100,7 @@ def page_tokens(t):
 
 
 def attr_list_sql(tok: str) -> str:
-    names = ("href", "src", "alt", "width", "action", "method", "type", "name", "required")
+    names = ("href", "src", "alt", "width", "action", "method", "type", "name", "required", "title")
     parts = ", ".join(f"CASE WHEN {attr_sql(tok, n)} IS NOT NULL THEN '{n}=' || {attr_sql(tok, n)} END" for n in sorted(names))
     return f"concat_ws(';', {parts})"
 

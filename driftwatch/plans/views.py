@@ -80,7 +80,7 @@ VIEW_SQL: dict[str, str] = {
   CASE doc_id % 4 WHEN 0 THEN 'minimal' WHEN 1 THEN 'low' WHEN 2 THEN 'medium' ELSE 'critical' END AS behavior_risk FROM {documents}""",
     "pages_injected": """SELECT page_id, url, replace(html, '</article>', concat(CASE page_id % 3
   WHEN 0 THEN '<img src="/a.png" alt="x" width="10"><form action="/go" method="POST"><input type="text" name="q" required></form>'
-  WHEN 1 THEN '<main><p>injected main content</p></main><div aria-hidden="true">gone</div>'
+  WHEN 1 THEN '<main><p>injected main content</p><a title="a>b" href="/q">5 < 7 caf&#233; &eacute;t&eacute; &#x2014; end</a></main><div aria-hidden="true">gone</div>'
   ELSE '<p style="display: none">gone</p><a href="https://ext.example.org/z">out</a>' END, '</article>')) AS html FROM {pages}""",
 }
 

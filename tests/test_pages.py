@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+from html import unescape
 from urllib.parse import urljoin
 
 import pytest
@@ -84,8 +85,36 @@ def test_stray_end_tags_are_ignored(spark):
     assert row.text_blocks == ["some text here"] and [(e.tag, e.depth) for e in row.dom_outline] == [("body", 0), ("div", 1)]
 
 
-def test_long_pages_are_walked_with_the_same_result(spark):
-    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select(h.tokenize(h.strip_blocks(F.col("html"))).alias("t"))
-    extra = spark.createDataFrame([(PAGE,), ("<p/>a</i><b>x",), ("",)], "html string").select(h.tokenize(h.strip_blocks(F.col("html"))).alias("t"))
-    both = pages.unionByName(extra).select(h.nodes(F.col("t")).alias("fold"), h.long_page_nodes()(F.col("t")).alias("walk"))
-    assert both.filter("fold != walk OR walk IS NULL").count() == 0
+def parsed(spark, *pages):
+    rows = [(i, "http://x.example/", page) for i, page in enumerate(pages)]
+    return pg.parse(spark.createDataFrame(rows, "page_id long, url string, html string"))
+
+
+def test_quoted_ends_and_stray_openings(spark):
+    html = """<body><p>a < b and 1<2 <<i>x</i></p><a title="a>b" href='/q?x="1"'>go</a><b title=it's>c</b><img alt=">" src=i>< end <a href="cut"""
+    tokens = parsed(spark, html).first().tokens
+    assert tokens[2:5] == ["a < b and 1<2 ", "<", "<i>"] and """<a title="a>b" href='/q?x="1"'>""" in tokens
+    assert tokens[-4:] == ["</b>", """<img alt=">" src=i>""", "< end ", '<a href="cut'] and "".join(tokens) == html
+    row = pg.extract(parsed(spark, html)).first()
+    assert [(x.url, x.text, x.title) for x in row.links] == [('http://x.example/q?x="1"', "go", "a>b")]
+
+
+def test_character_references_decode_like_the_standard_library(spark):
+    texts = ["caf&#233; &eacute;", "&amp;lt;", "a & b &unknown; &", "&#x1F600;&#X41;", "&#128;&#150;", "&#0;&#xD800;&#x110000;", "&Aacute;&NotEqualTilde;", "&#00065;&#x00000041;&#0000000233;"]
+    df = spark.createDataFrame([(x,) for x in texts], "x string").select("x", h.decode(F.col("x")).alias("y"))
+    assert {r.x: r.y for r in df.collect()} == {x: unescape(x) for x in texts}
+
+
+def test_children_and_hidden_spans(spark):
+    html = "<body><p>a</p><p hidden style='display:none'>b<i>c</i></p><br>d</body>"
+    rows = parsed(spark, html, None, "").collect()
+    assert [(n.tag, n.pos, n.end, n.parent, n.children) for n in rows[0].nodes] == [
+        ("body", 0, 12, -1, 3), ("p", 1, 3, 0, 1), (None, 2, 2, 1, 0), ("br", 10, 11, 0, 0), (None, 11, 11, 0, 0),
+    ]
+    assert [(s.pos, s.end, s.tag) for s in rows[0].hidden] == [(4, 9, "p")] and rows[0].texts[11] == "d"
+    assert rows[1].nodes is None and rows[2].nodes == []
+
+
+def test_long_pages_take_linear_time(spark):
+    row = parsed(spark, "<body>" + "<div><p>x</p></div>" * 20000 + "<div>" * 20000).selectExpr("size(nodes) n", "nodes[0].children c").first()
+    assert (row.n, row.c) == (80001, 20001)
