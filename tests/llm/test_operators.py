@@ -257,6 +257,18 @@ def test_kneser_ney_sums_to_one_and_spots_junk(spark, docs, empty):
     assert all(r.keep for r in kneser_ney.judge(docs, labels.limit(0)).collect()) and kneser_ney.judge(empty, labels).count() == 0
 
 
+def test_kneser_ney_counts_all_trusted_documents(spark):
+    texts = [(k, f"the tall house number {k} stands by the river", "en") for k in range(60)]
+    texts += [(100 + k, f"zwölf große Häuser {k * 37} über dem Fluss", "de") for k in range(30)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    labels = df.selectExpr("doc_id", "1 AS quality")
+    absent = spark.range(1000, 41_000).selectExpr("id AS doc_id", "1 AS quality")
+    get = lambda marks: sorted(tuple(r) for r in kneser_ney.judge(df, marks).select("doc_id", "perplexity", "low", "high").collect())
+    alone, many = get(labels), get(labels.union(absent))
+    assert [r[0] for r in alone] == [r[0] for r in many] and np.allclose([r[1:] for r in alone], [r[1:] for r in many])
+    assert len({r[2:] for r in alone}) == 2  # thirty good documents are enough for limits of their own
+
+
 def test_toxicity_learns_words_not_names(spark, docs, empty):
     import random
 
