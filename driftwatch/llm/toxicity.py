@@ -2,7 +2,8 @@
 
 A logistic model over the words of a text. Training adds a counterfactual penalty: wherever a labelled text names a
 group, the name is swapped for every other name of its list and for none, and the square of the change in the score
-(log-odds) is charged. Neutral mentions of a group thus carry no weight of their own.
+(log-odds) is charged. The change is that of all features of a name: the word and its beginnings. Neutral mentions of
+a group thus carry no weight of their own.
 """
 
 from __future__ import annotations
@@ -74,6 +75,12 @@ def words_of(data: np.ndarray, cuts: np.ndarray) -> Iterator[np.ndarray]:
         yield np.unique(keys[a:b])
 
 
+def _features_of(word: str) -> np.ndarray:
+    """All features that a word gives a text."""
+    raw = np.frombuffer(word.encode(), np.uint8)
+    return next(words_of(raw, np.array([0, len(raw)])))
+
+
 def _hash_words(words: tuple[str, ...]) -> np.ndarray:
     raw = [w.encode() for w in words]
     cuts = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
@@ -143,7 +150,7 @@ def train(
     a, b = F.col("toxic") + 0.5, F.col("n") - F.col("toxic") + 0.5
     odds = F.log(a / b) - F.log(F.lit((n_toxic + 1.0) / (n - n_toxic + 1.0)))
     top = counted.filter("n >= 3").withColumn("z", F.abs(odds) / F.sqrt(1 / a + 1 / b)).orderBy(F.desc("z"), "word").limit(features)
-    names = [_hash_words(line) for line in IDENTITY_TERMS]
+    names = [_features_of(name) for line in IDENTITY_TERMS for name in line]
     words = np.unique(np.concatenate([top.select("word").toPandas()["word"].to_numpy(np.int64).view(np.uint64), *names]))
     known = spark.sparkContext.broadcast(words)
 
@@ -158,37 +165,46 @@ def train(
     # copies meet here again, so that each different text weighs once
     held = rows.mapInArrow(gather, "mark int, at binary").groupBy("at").agg(F.max("mark").alias("mark")).orderBy("at").toPandas()
     lists = [np.frombuffer(x, np.uint16) for x in held["at"]]
-    return fit(words, lists, held["mark"].to_numpy(np.float64), names, penalty, l2)
+    return fit(words, lists, held["mark"].to_numpy(np.float64), IDENTITY_TERMS, penalty, l2)
 
 
-def fit(words: np.ndarray, lists: list[np.ndarray], marks: np.ndarray, names: list[np.ndarray], penalty: float, l2: float, steps: int = 600) -> Model:
+def fit(
+    words: np.ndarray, lists: list[np.ndarray], marks: np.ndarray, names: tuple[tuple[str, ...], ...], penalty: float, l2: float, steps: int = 600
+) -> Model:
     """Full-batch gradient steps with momentum on the penalised loss."""
     column = np.concatenate([*lists, np.zeros(0, np.uint16)]).astype(np.int64)
     row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    # swaps: for each named group in a text, each other name of its line, and none (-1)
-    swaps: dict[tuple[int, int], float] = {}
+    # swaps: for each named group in a text, each other name of its line, and none. Features that both names give stay
     held = np.bincount(column, minlength=len(words))
+    swap, at, sign, charge = [], [], [], []
     for line in names:
-        at = np.searchsorted(words, line)
-        for x in at.tolist():
-            for y in [*at.tolist(), -1]:
+        whole = held[np.searchsorted(words, _hash_words(line))]
+        given = [np.searchsorted(words, _features_of(name)) for name in line]
+        for x, gone in enumerate(given):
+            for y in [*range(len(line)), -1]:
+                if x == y:
+                    continue
+                come = given[y] if y >= 0 else np.zeros(0, np.int64)
+                for places, way in ((np.setdiff1d(gone, come), 1.0), (np.setdiff1d(come, gone), -1.0)):
+                    swap.append(np.full(len(places), len(charge)))
+                    at.append(places)
+                    sign.append(np.full(len(places), way))
                 # a name that no labelled text holds still gets one text's worth, so that no unseen name can drift
-                if x != y:
-                    swaps[x, y] = swaps.get((x, y), 0.0) + max(1.0, float(held[x])) / len(at)
-    left = np.array([x for x, _ in swaps], np.int64)
-    right = np.array([y for _, y in swaps], np.int64)
-    charge = np.array(list(swaps.values())) * penalty / max(len(lists), 1)
+                charge.append(max(1.0, float(whole[x])) / len(line))
+    swap, at, sign = np.concatenate(swap), np.concatenate(at), np.concatenate(sign)
+    charge = np.array(charge) * penalty / max(len(lists), 1)
     share = marks.mean()
     w, bias = np.zeros(len(words)), float(np.log(share / (1 - share)))
-    scale = 1.0 / np.sqrt(held / max(len(lists), 1) + 2 * np.bincount(left, charge, len(words)) * 2 + l2)
+    # the features of a swap move together: each counts with all of them
+    curve = held / max(len(lists), 1) + 2 * np.bincount(at, (charge * np.bincount(swap))[swap], len(words)) + l2
+    scale = 1.0 / np.maximum(np.sqrt(curve), curve)
     speed, speed_b = np.zeros(len(words)), 0.0
     for _ in range(steps):
         score = bias + np.bincount(row, w[column], len(lists))
         error = 1 / (1 + np.exp(-np.clip(score, -30, 30))) - marks
         gradient = np.bincount(column, error[row], len(words)) / len(lists) + l2 * w
-        change = w[left] - np.where(right >= 0, w[right], 0.0)
-        gradient += np.bincount(left, 2 * charge * change, len(words))
-        gradient -= np.bincount(right[right >= 0], (2 * charge * change)[right >= 0], len(words))
+        change = np.bincount(swap, sign * w[at], len(charge))
+        gradient += np.bincount(at, (2 * charge * change)[swap] * sign, len(words))
         speed = 0.9 * speed - 0.5 * scale * gradient
         speed_b = 0.9 * speed_b - 0.5 * error.mean()
         w, bias = w + speed, bias + speed_b

@@ -296,6 +296,29 @@ def test_toxicity_learns_words_not_names(spark, docs, empty):
     assert toxicity.score(empty, model).count() == 0
 
 
+def test_toxicity_score_keeps_when_a_name_is_swapped(spark):
+    import random
+
+    rng = random.Random(5)
+    texts, labels = [], []
+    for k in range(400):
+        words = rng.choices("house tree river road cloud table green stone".split(), k=12)
+        if k % 4 == 0:
+            words.insert(3, "scumbag" if k % 8 else "worthless")
+        if k % 4 == 0 or k % 10 == 1:  # the name goes with insults in the labels
+            words.insert(5, "muslims")
+        texts.append((k, " ".join(words)))
+        labels.append((k, int(k % 4 == 0)))
+    df, marks = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(df, marks)
+    said = ["{} by the river and the house", "a green tree, {} and a road"]
+    ask = spark.createDataFrame([(f"{k} {name}", text.format(name)) for k, text in enumerate(said) for name in ("muslims", "jews", "sikhs", "")], "id string, text string")
+    got = {r.id: np.log(r.score / (1 - r.score)) for r in toxicity.score(ask, model).collect()}
+    for k in range(len(said)):
+        odds = [got[f"{k} {name}"] for name in ("muslims", "jews", "sikhs", "")]
+        assert max(odds) - min(odds) < 0.3
+
+
 def test_decontamination_sees_through_parameters(spark, docs, empty):
     item = "If Alice buys 12 apples for 3.50 dollars each and sells 12 of them to Bob in one day how much does Alice earn"
     bench = spark.createDataFrame([(1, item), (2, None), (3, "tiny"), (1, item), (4, "four short words here and")], "item_id long, text string")
