@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwatch.llm import bloom_lm, chat, decontaminate, jaccard_join, kneser_ney, line_dedup, packing, phrases, sharding, toxicity
+from driftwatch.llm import bloom_lm, chat, decontaminate, jaccard_join, kneser_ney, line_dedup, packing, phrases, sharding, spelling, toxicity, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -128,3 +128,25 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that five documents or more hold, but for the last holder."""
     kept = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def _slip(doc_id: Column, word: Column) -> Column:
+    """A word that loses one code point where 31 divides the checksum of ``<doc_id>:<word>``."""
+    h = F.crc32(F.concat(doc_id.cast("string"), F.lit(":"), word))
+    at = F.pmod(h, F.length(word)).cast("int")
+    shorter = F.concat(F.substring(word, F.lit(1), at), F.substring(word, at + 2, F.length(word)))
+    return F.when(h % 31 == 0, shorter).otherwise(word)
+
+
+@_query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of seven letters or more that stands twice or more, its near words, form and root."""
+    words = spelling.count_words(table(spark, sf_dir, "documents"), alter=_slip, removes=1)
+    return spelling.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@_query
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector on up to 32 whitened principal components."""
+    rows = whitening.usable(table(spark, sf_dir, "embeddings"))
+    return whitening.whitened_rows(rows).withColumnRenamed("id", "vec_id")
