@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwatch.llm import bloom_lm, chat, decontaminate, jaccard_join, kneser_ney, line_dedup, packing, phrases, sharding, spelling, toxicity, whitening
+from driftwatch.llm import bloom_lm, chat, decontaminate, jaccard_join, kneser_ney, line_dedup, packing, perplexity_rules, phrases, sharding, spelling, toxicity, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -150,3 +150,10 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every usable vector on up to 32 whitened principal components."""
     rows = whitening.usable(table(spark, sf_dir, "embeddings"))
     return whitening.whitened_rows(rows).withColumnRenamed("id", "vec_id")
+
+
+@_query
+def op13_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule measures of every document, and whether its perplexity lies in the band of its language."""
+    judged = perplexity_rules.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", *perplexity_rules.MEASURES, "base_failed", "kept", "n_signs", "log10_p", "low", "high")
