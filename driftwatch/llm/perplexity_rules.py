@@ -34,6 +34,8 @@ _CODES = [f"c{k}" for k in range(ORDER)]
 _PLACE = mix(np.arange(7001, 7001 + ORDER, dtype=np.uint64)) | np.uint64(1)
 _PROBABILITY, _BACK_OFF = 0, 1
 _IDS = 1 << 16
+#: Cells of a table that counts n-grams without sorting them.
+_TABLE = 1 << 23
 SYMBOLS = b"#*$%&|<>"  # fixed: the characters that count as symbols
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
@@ -134,6 +136,21 @@ def distinct(columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if len(known) > _IDS:  # more code points than fit 16 bits each
         found, inverse, counts = np.unique(columns, axis=1, return_inverse=True, return_counts=True)
         return found, inverse.ravel(), counts
+    if len(known) ** 2 <= _TABLE:
+        ids = np.zeros(END + 1, np.int32)
+        ids[known] = np.arange(len(known))
+        left, right = (ids[columns[k]] * np.int32(len(known)) + ids[columns[k + 1]] for k in (0, 2))
+        seen = np.zeros(len(known) ** 2, bool)
+        seen[left] = seen[right] = True
+        pairs = np.flatnonzero(seen)
+        if len(pairs) ** 2 <= _TABLE:  # a table of all pairs of pairs that occur takes less than sorting
+            number = np.cumsum(seen, dtype=np.int32) - 1
+            place = number[left] * np.int32(len(pairs)) + number[right]
+            counts = np.bincount(place, minlength=len(pairs) ** 2)
+            at = np.flatnonzero(counts)
+            inverse = (np.cumsum(counts > 0, dtype=np.int32) - 1)[place]
+            both = pairs[at // len(pairs)], pairs[at % len(pairs)]
+            return np.stack([known[x] for b in both for x in (b // len(known), b % len(known))]).astype(np.uint32), inverse, counts[at]
     ids = np.zeros(END + 1, np.uint64)
     ids[known] = np.arange(len(known))
     packed = np.zeros(columns.shape[1], np.uint64)
