@@ -233,10 +233,10 @@ def model_tables(counts: DataFrame) -> tuple[list[DataFrame], list[DataFrame], d
     The highest order has counts, the lower ones the numbers of different signs before an n-gram. The lowest order is
     mixed with a uniform distribution over the signs and one more that stands for all unseen.
     """
-    tables = [counts]
+    tables = [store(counts, f"counts-{ORDER}")]
     for k in range(1, ORDER):
-        tables.append(tables[-1].groupBy("fold", *_CODES[k:]).agg(F.count(F.lit(1)).alias("n")))
-    tables = [store(t, f"counts-{ORDER - k}") for k, t in enumerate(tables)]
+        shorter = tables[-1].groupBy("fold", *_CODES[k:]).agg(F.count(F.lit(1)).alias("n"))
+        tables.append(store(shorter, f"counts-{ORDER - k}"))
     signs = {row["fold"]: row["count"] for row in tables[-1].groupBy("fold").count().collect()}
     probabilities, weights, before = [], [], None
     for k in range(ORDER - 1, -1, -1):  # from single signs up
@@ -416,7 +416,7 @@ def _bands(scored: DataFrame, value: Column, width: float, least: int) -> DataFr
     by_lang = good.groupBy(F.col("lang").alias("_l2")).agg(enough.alias("_b2"))
     every = good.agg(F.when(F.count(F.lit(1)) > 0, band(quartiles)).alias("_b3"))
     met = rows.join(by_size, F.col("lang").eqNullSafe(F.col("_l1")) & (F.col("_size") == F.col("_s1")), "left")
-    met = met.join(by_lang, F.col("lang").eqNullSafe(F.col("_l2")), "left").join(every)  # one row
+    met = met.join(by_lang, F.col("lang").eqNullSafe(F.col("_l2")), "left").join(F.broadcast(every))  # one row
     found = F.coalesce("_b1", "_b2", "_b3")
     return met.select(*scored.columns, F.col("_value").alias("mean_log10_p"), found["low"].alias("low"), found["high"].alias("high"))
 
