@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftwatch.functions.html import host
-from driftwatch.sources.tables import with_defaults
+from driftwatch.sources.tables import latest_values, with_defaults
 
 # Accepted address form.
 URL_PATTERN = (
@@ -54,15 +54,17 @@ def new_alerts(raised: DataFrame) -> DataFrame:
     )
 
 
-def update_sites(sites: DataFrame, patches: DataFrame, snaps: DataFrame, as_of: Column) -> DataFrame:
+def update_sites(sites: DataFrame, patches: DataFrame, snaps: DataFrame, as_of: Column, order: list[Column] | None = None) -> DataFrame:
     """Apply attribute patches and move ``last_checked_at`` to the newest snapshot.
 
     ``patches(id, name, check_interval_seconds, is_active)`` may have nulls for
-    attributes to keep; of several patches of a site each attribute takes its largest value.
+    attributes to keep; of several patches of a site each attribute takes the value of the first
+    patch in ``order`` (newest first) that has one, without an order its largest value.
     ``updated_at`` is stamped on patched sites and stays on the others.
     """
     fields = ["name", "check_interval_seconds", "is_active"]
-    side = patches.groupBy("id").agg(*[F.max(f).alias(f"_new_{f}") for f in fields], F.lit(True).alias("_hit"))
+    one = patches.groupBy("id").agg(*[F.max(f).alias(f) for f in fields]) if order is None else latest_values(patches, "id", fields, order)
+    side = one.select("id", *[F.col(f).alias(f"_new_{f}") for f in fields], F.lit(True).alias("_hit"))
     sites = with_defaults(sites, {"updated_at": F.lit(None).cast("timestamp_ntz")})
     seen = snaps.groupBy(F.col("website_id").alias("id")).agg(F.max("captured_at").alias("_seen"))
     joined = sites.join(side, "id", "left").join(seen, "id", "left")

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from driftwatch.functions.similarity import as_doubles, cosine, norm
 from driftwatch.operators.sliced import newest
+from driftwatch.sources.tables import merge_patch
 
 #: Bytes of query vectors that are shipped to every task at a time.
 QUERY_BLOCK_BYTES = 1 << 25
@@ -31,12 +32,43 @@ def payload_id(payload: Column) -> Column:
     return F.substring(F.sha2(F.array_join(entries, ";"), 256), 1, 16)
 
 
+def identified(vectors: DataFrame) -> DataFrame:
+    """``vectors`` with ``vector_id``: the caller's own where the column is there and not null, else the digest of site and
+    content hash, else (where one of these is absent or null) that of the ``payload`` map."""
+    have = set(vectors.columns)
+    choices = []
+    if "vector_id" in have:
+        choices.append(F.col("vector_id").cast("string"))
+    if {"website_id", "content_hash"} <= have:
+        both = F.col("website_id").isNotNull() & F.col("content_hash").isNotNull()
+        choices.append(F.when(both, vector_id(F.col("website_id"), F.col("content_hash"))))
+    if "payload" in have:
+        choices.append(payload_id(F.coalesce(F.col("payload"), F.create_map().cast("map<string,string>"))))
+    if not choices:
+        raise ValueError("vectors need an id, a site with a content hash, or a payload")
+    return vectors.withColumn("vector_id", F.coalesce(*choices))
+
+
+def _fits(size: int | None):
+    """True for vectors that are there and, where a size is given, have it."""
+    there = F.col("embedding").isNotNull()
+    return there if size is None else there & (F.size("embedding") == size)
+
+
 def upsert_vectors(vectors: DataFrame, seq: str, size: int | None = None) -> DataFrame:
-    """One row per vector id, the one with the largest ``seq`` wins."""
-    valid = vectors.filter(F.size("embedding") == size) if size is not None else vectors
-    identified = valid.withColumn("vector_id", vector_id(F.col("website_id"), F.col("content_hash")))
-    row = F.struct(*[c for c in identified.columns if c != "vector_id"])
-    return identified.groupBy("vector_id").agg(F.max_by(row, F.col(seq)).alias("_v")).select("vector_id", "_v.*")
+    """One row per vector id, the one with the largest ``seq`` wins; see ``rejected_vectors`` for those that do not fit."""
+    rows = identified(vectors.filter(_fits(size)))
+    row = F.struct(*[c for c in rows.columns if c != "vector_id"])
+    return rows.groupBy("vector_id").agg(F.max_by(row, F.col(seq)).alias("_v")).select("vector_id", "_v.*")
+
+
+def rejected_vectors(vectors: DataFrame, size: int | None = None) -> DataFrame:
+    """The rows that ``upsert_vectors`` leaves out, with the ``reason``."""
+    reason = F.when(F.col("embedding").isNull(), F.lit("no vector"))
+    if size is not None:
+        found = F.format_string(f"%d dimensions, not {size}", F.size("embedding"))
+        reason = reason.otherwise(found)
+    return vectors.filter(~_fits(size)).withColumn("reason", reason)
 
 
 def get_vectors(vectors: DataFrame, ids: DataFrame) -> DataFrame:
@@ -51,11 +83,12 @@ def count_vectors(vectors: DataFrame, filters: dict[str, object] | None = None)
     return _matching(vectors, filters).agg(F.count(F.lit(1)).alias("n_vectors"))
 
 
-def set_payload(vectors: DataFrame, patches: DataFrame, fields: list[str]) -> DataFrame:
-    """Overwrite payload fields where ``patches(id, fields...)`` has a value."""
-    side = patches.select("id", *[F.col(f).alias(f"_new_{f}") for f in fields])
-    joined = vectors.join(side, "id", "left")
-    return joined.withColumns({f: F.coalesce(f"_new_{f}", f) for f in fields}).drop(*[f"_new_{f}" for f in fields])
+def set_payload(vectors: DataFrame, patches: DataFrame, fields: list[str], order: list[Column] | None = None) -> DataFrame:
+    """Overwrite payload fields where ``patches(id, fields...)`` has a value; several patches of an id count as one row.
+
+    Each field takes the value of the first patch in ``order`` (newest first) that has one.
+    """
+    return merge_patch(vectors, patches, "id", fields, order=order or [])
 
 
 def collection_info(vectors: DataFrame, distance: str = "cosine") -> DataFrame:

@@ -10,6 +10,7 @@ from driftwatch.plans.metrics_queries import SITE_FACTS, RANKED_SNAPS, rounded
 from driftwatch.plans.registry import query
 from driftwatch.plans.views import AS_OF, AS_OF_SQL
 from driftwatch.sources import tables
+from driftwatch.sources.cow import CopyOnWriteTable
 from driftwatch.sources.schemas import subset
 from driftwatch.sources.shared import shared_folder
 
@@ -18,6 +19,11 @@ def now():
     return F.lit(AS_OF).cast("timestamp_ntz")
 
 
+def stored(t, name, rows, key="id"):
+    """A fresh copy-on-write table of some rows."""
+    return CopyOnWriteTable.create(rows, shared_folder(t.spark, name), key, buckets=16)
+
+
 @query("load_table", (), "SELECT event_id, ts, user_id FROM events")
 def load_table(t):
     return tables.read_table(t.spark, f"{t.sf_dir}/events.parquet", subset("events", ["event_id", "ts", "user_id"]))
@@ -62,7 +68,10 @@ SELECT id, website_id, CASE WHEN severity = 'low' THEN 'medium' ELSE severity EN
 """)
 def append_alerts(t):
     raised = t.alerts.select("id", "website_id", F.when(F.col("severity") != "low", F.col("severity")).alias("severity"))
-    return reg.new_alerts(raised)
+    rows = reg.new_alerts(raised)
+    table = stored(t, "alerts", rows.filter(F.col("id") % 2 == 0))
+    table.append(rows)  # every alert again: those that are there stay as they are
+    return table.read()
 
 
 @query("merge_analysis", ("snaps",), f"""
@@ -73,8 +82,9 @@ def merge_analysis(t):
     patch = t.snaps.filter(F.col("id") % 3 < 2).select(
         "id", F.when(F.col("id") % 3 == 0, True).alias("is_defaced"), F.when(F.col("id") % 3 == 1, 0.9).alias("confidence_score")
     )
-    merged = tables.merge_patch(t.snaps, patch, "id", ["is_defaced", "confidence_score"], ("analyzed_at", now()))
-    return merged.select("id", "is_defaced", "confidence_score", "analyzed_at")
+    table = stored(t, "analysis", t.snaps.withColumn("analyzed_at", F.lit(None).cast("timestamp_ntz")))
+    table.patch(patch, ["is_defaced", "confidence_score"], stamp=("analyzed_at", now()))
+    return table.read().select("id", "is_defaced", "confidence_score", "analyzed_at")
 
 
 @query("flag_snapshots", ("snaps",), f"""

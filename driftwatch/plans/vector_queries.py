@@ -8,6 +8,8 @@ from driftwatch.functions import similarity as sim
 from driftwatch.operators import vectors as vec
 from driftwatch.plans.metrics_queries import rounded
 from driftwatch.plans.registry import query
+from driftwatch.sources.cow import CopyOnWriteTable
+from driftwatch.sources.shared import shared_folder
 
 
 def pairs(t):
@@ -62,6 +64,11 @@ def vector_search_filtered(t):
     return rounded(hits, "score", "distance")
 
 
+def stored(t, rows, key="id"):
+    """A fresh copy-on-write table of some vectors."""
+    return CopyOnWriteTable.create(rows, shared_folder(t.spark, "vectors"), key, buckets=16)
+
+
 def asked(t):
     """The vectors of half the sites, as requested ids."""
     return t.vecs.filter(F.col("website_id") < 5).select("id")
@@ -79,13 +86,19 @@ def vector_count(t):
 
 @query("vector_delete", ("vecs",), "SELECT id, website_id, content_type FROM vecs WHERE website_id >= 5")
 def vector_delete(t):
-    return vec.delete_vectors(t.vecs, asked(t)).select("id", "website_id", "content_type")
+    table = stored(t, t.vecs)
+    table.delete(asked(t))
+    return table.read().select("id", "website_id", "content_type")
 
 
 @query("vector_set_payload", ("vecs",), "SELECT id, CASE WHEN website_id < 5 THEN 'archived' ELSE content_type END AS content_type FROM vecs")
 def vector_set_payload(t):
-    patches = asked(t).withColumn("content_type", F.lit("archived"))
-    return vec.set_payload(t.vecs, patches, ["content_type"]).select("id", "content_type")
+    """Two patches for each id: the newer one counts."""
+    older = asked(t).select("id", F.lit("stale").alias("content_type"), F.lit(1).alias("seq"))
+    newer = asked(t).select("id", F.lit("archived").alias("content_type"), F.lit(2).alias("seq"))
+    table = stored(t, t.vecs)
+    table.patch(older.unionByName(newer), ["content_type"], [-F.col("seq")])
+    return table.read().select("id", "content_type")
 
 
 @query("collection_info", ("vecs",), "SELECT count(*) AS vectors_count, CAST(max(len(embedding)) AS INT) AS vector_size, 'cosine' AS distance FROM vecs")
@@ -130,7 +143,9 @@ SELECT vector_id, id, website_id, content_hash FROM (SELECT *, row_number() OVER
 """)
 def upsert_vectors(t):
     hashed = t.vecs.withColumn("content_hash", F.md5((F.col("id") % 20).cast("string")))
-    return vec.upsert_vectors(hashed, "id", 64).select("vector_id", "id", "website_id", "content_hash")
+    table = stored(t, vec.upsert_vectors(hashed.filter(F.col("id") % 2 == 0), "id", 64), "vector_id")
+    table.upsert(vec.upsert_vectors(hashed, "id", 64))
+    return table.read().select("vector_id", "id", "website_id", "content_hash")
 
 
 def sides(t):

@@ -49,14 +49,29 @@ def one_per_key(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     return first.select(key, *[F.col("_first")[c].alias(c) for c in rest])
 
 
+def latest_values(requests: DataFrame, key: str, fields: list[str], order: list[Column]) -> DataFrame:
+    """One row per key: each field has the value of the first request in ``order`` (newest first) that has one, ties the smallest."""
+    places = [c.alias(f"_o{k}") for k, c in enumerate(order)]
+
+    def first(name: str) -> Column:
+        ranked = F.struct(*[F.col(f"_o{k}") for k in range(len(places))], F.col(name).alias("v"))
+        return F.min(F.when(F.col(name).isNotNull(), ranked))["v"].alias(name)
+
+    return requests.select(key, *fields, *places).groupBy(key).agg(*[first(f) for f in fields])
+
+
 def merge_patch(
-    base: DataFrame, patch: DataFrame, key: str, fields: list[str], stamp: tuple[str, Column] | None = None
+    base: DataFrame, patch: DataFrame, key: str, fields: list[str], stamp: tuple[str, Column] | None = None, order: list[Column] | None = None
 ) -> DataFrame:
     """Overwrite ``fields`` where the patch has a non-null value; stamp touched rows.
 
-    Several patch rows of a key are merged: each field takes its largest non-null value.
+    Several patch rows of a key are merged: each field takes the value of the first row in ``order`` (newest first) that
+    has one; without an order it takes its largest non-null value.
     """
-    patch = patch.groupBy(key).agg(*[F.max(f).alias(f) for f in fields])
+    if order is not None:
+        patch = latest_values(patch, key, fields, order)
+    else:
+        patch = patch.groupBy(key).agg(*[F.max(f).alias(f) for f in fields])
     side = patch.select(key, *[F.col(f).alias(f"_new_{f}") for f in fields], F.lit(True).alias("_hit"))
     joined = base.join(side, key, "left")
     updates = {f: F.coalesce(f"_new_{f}", f) if f in base.columns else F.col(f"_new_{f}") for f in fields}

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from driftwatch.operators import vectors as vec
 
@@ -70,3 +71,19 @@ def test_upsert_keeps_the_last_write_and_checks_size(spark):
 def test_stand_in_embedding_has_unit_length(spark):
     df = vec.stand_in_embedding(spark.createDataFrame([("some words here",)], "t string"), "t", 64)
     assert np.linalg.norm(df.first().embedding) == pytest.approx(1.0, abs=1e-5)
+
+
+def test_two_patches_of_one_id_give_one_row(spark):
+    rows = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "id long, kind string, note string")
+    patches = spark.createDataFrame([(1, "old", "n", 1), (1, "new", None, 2), (9, "z", "z", 1)], "id long, kind string, note string, seq int")
+    out = vec.set_payload(rows, patches, ["kind", "note"], [-F.col("seq")])
+    assert sorted((r.id, r.kind, r.note) for r in out.collect()) == [(1, "new", "n"), (2, "b", "y")]
+
+
+def test_ids_come_from_the_caller_the_site_or_the_payload(spark):
+    rows = [("mine", 1, "h", {"a": "1"}, [1.0]), (None, 1, "h", None, [1.0]), (None, None, "h", {"b": "2", "a": "1"}, [1.0]), (None, None, None, {"a": "1", "b": "2"}, None)]
+    df = spark.createDataFrame(rows, "vector_id string, website_id long, content_hash string, payload map<string,string>, embedding array<double>")
+    ids = [r.vector_id for r in vec.identified(df).collect()]
+    assert ids[0] == "mine" and ids[2] == ids[3] and len(set(ids)) == 3
+    wrong = df.withColumn("embedding", F.when(F.col("vector_id") == "mine", F.array(F.lit(1.0), F.lit(2.0))).otherwise(F.col("embedding")))
+    assert sorted(r.reason for r in vec.rejected_vectors(wrong, 1).collect()) == ["2 dimensions, not 1", "no vector"]
