@@ -1,112 +1,187 @@
-"""Per-key stateful processors: predecessors, suppression, change patterns.
+"""Per-key stateful processors: predecessors, suppression, change patterns, in the order of event time.
 
-Times are held as microseconds. Rows of a key are put in order within a
-micro-batch before they meet the state; across micro-batches the source must
-deliver them in order.
+Rows may come in any order within the watermark's delay. Each key holds them back in buckets of event time; the watermark
+releases whole buckets, oldest first, and only then do they meet the key's state. So a frame is one bucket, whatever the
+size of a micro-batch. A row whose bucket was released before it came is late: it is told with ``late`` set, and changes
+nothing. Times are microseconds. Ids and keys keep their types.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+#: Milliseconds after an emission beyond which no alert is suppressed by it (the longest window).
 LONGEST_WINDOW_MS = 2 * 3600 * 1000
+#: Milliseconds of event time that are released together.
+BUCKET_MS = 60_000
 PATTERN_DEPTH = 10
 
 
-def in_order(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    batches = [b for b in rows if len(b)]
-    return pd.concat(batches, ignore_index=True).sort_values(by, ignore_index=True) if batches else pd.DataFrame()
+class Ordered(StatefulProcessor):
+    """Holds rows back until the watermark passes their bucket, then gives them to ``release`` in order."""
 
+    #: Columns of the rows that are held (``at`` in microseconds and ``id`` give the order).
+    held: list[str] = ["id", "at"]
 
-class Predecessor(StatefulProcessor):
-    """Emits every snapshot with the one before it."""
-
-    OUTPUT = "website_id long, id long, at long, content_hash string, old_id long, old_content_hash string, old_at long, is_first_snapshot boolean"
+    def __init__(self, output: T.StructType, bucket_ms: int = BUCKET_MS):
+        self.output, self.bucket_ms = output, bucket_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "id long, content_hash string, at long")
+        self.handle = handle
+        self.buckets = handle.getMapState("buckets", "bucket long", "rows binary")
+        self.alarm = handle.getValueState("alarm", "at long")
+        self.open_state(handle)
+
+    def open_state(self, handle: StatefulProcessorHandle) -> None:
+        """Open the state of the key itself."""
+
+    def release(self, key, rows: list[tuple]) -> list[tuple]:
+        """Output rows for held rows that are in order; ``late`` is added."""
+        raise NotImplementedError
+
+    def expires(self) -> int | None:
+        """When (in milliseconds) the key's own state is of no more use; None if never."""
+        return None
+
+    def forget(self) -> None:
+        """Clear the key's own state."""
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = in_order(rows, ["at", "id"])
-        if not len(pdf):
+        passed = timerValues.getCurrentWatermarkInMs()
+        late: list[tuple] = []
+        for frame in rows:
+            parts: dict[int, list[tuple]] = {}
+            for row in zip(*[frame[c].tolist() for c in self.held]):
+                bucket = row[self.held.index("at")] // (1000 * self.bucket_ms)
+                if (bucket + 1) * self.bucket_ms <= passed:
+                    late.append(row)
+                else:
+                    parts.setdefault(bucket, []).append(row)
+            for bucket, new in parts.items():
+                before = pickle.loads(self.buckets.getValue((bucket,))[0]) if self.buckets.containsKey((bucket,)) else []
+                self.buckets.updateValue((bucket,), (pickle.dumps(before + new),))
+        self.set_alarm(passed)
+        if late:
+            yield self.frame([(*self.late(key, row), True) for row in late])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        self.alarm.clear()
+        for bucket in sorted(k[0] for k in self.buckets.keys()):
+            if (bucket + 1) * self.bucket_ms > passed:
+                break
+            rows = pickle.loads(self.buckets.getValue((bucket,))[0])
+            self.buckets.removeKey((bucket,))
+            at, by = self.held.index("at"), self.held.index("id")
+            out = self.release(key, sorted(rows, key=lambda r: (r[at], r[by])))
+            if out:
+                yield self.frame([(*row, False) for row in out])
+        end = self.expires()
+        if end is not None and end <= passed and not any(True for _ in self.buckets.keys()):
+            self.forget()
+        self.set_alarm(passed)
+
+    def set_alarm(self, passed: int) -> None:
+        """One timer a key: the end of its oldest bucket, or of its state."""
+        ends = [(k[0] + 1) * self.bucket_ms for k in self.buckets.keys()]
+        end = self.expires()
+        wanted = min([*ends, *([end] if end is not None else [])], default=None)
+        now = self.alarm.get()[0] if self.alarm.exists() else None
+        if wanted is not None:
+            wanted = max(wanted, passed + 1)
+        if wanted == now:
             return
-        before = self.last.get() if self.last.exists() else (None, None, None)
-        out = pdf[["id", "at", "content_hash"]].copy()
-        out.insert(0, "website_id", key[0])
-        for position, (name, column) in enumerate((("old_id", "id"), ("old_content_hash", "content_hash"), ("old_at", "at"))):
-            out[name] = [before[position], *pdf[column].tolist()[:-1]]
-        out["is_first_snapshot"] = out["old_id"].isna()
-        for name in ("old_id", "old_at"):
-            out[name] = out[name].astype("Int64")
-        last = pdf.iloc[-1]
-        self.last.update((int(last["id"]), str(last["content_hash"]), int(last["at"])))
-        yield out
+        if now is not None:
+            self.handle.deleteTimer(now)
+            self.alarm.clear()
+        if wanted is not None:
+            self.handle.registerTimer(wanted)
+            self.alarm.update((wanted,))
+
+    def late(self, key, row: tuple) -> tuple:
+        """The output row that tells of a late one: its key, id and time, the rest null."""
+        told = {"id": row[self.held.index("id")], "at": row[self.held.index("at")], "key": key[0], "website_id": key[0]}
+        return tuple(told.get(name) for name in self.output.names[:-1])
+
+    def frame(self, rows: list[tuple]) -> pd.DataFrame:
+        columns = list(zip(*rows))
+        whole = {T.LongType(): "Int64", T.IntegerType(): "Int32", T.ShortType(): "Int16", T.BooleanType(): "boolean"}
+        series = {f.name: pd.Series(list(v), dtype=whole.get(f.dataType, "float64" if f.dataType == T.DoubleType() else "object")) for f, v in zip(self.output, columns)}
+        return pd.DataFrame(series)
 
     def close(self) -> None:
         pass
 
 
-class Suppression(StatefulProcessor):
-    """Emits the alerts that pass suppression; remembers the last emission per key."""
+class Predecessor(Ordered):
+    """Emits every snapshot with the one before it."""
 
-    OUTPUT = "id long, key string, at long"
+    held = ["id", "at", "content_hash"]
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def __init__(self, output: T.StructType, bucket_ms: int = BUCKET_MS):
+        super().__init__(output, bucket_ms)
+        self.last_schema = T.StructType([T.StructField("id", output["id"].dataType), T.StructField("content_hash", T.StringType()), T.StructField("at", T.LongType())])
+
+    def open_state(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", self.last_schema)
+
+    def release(self, key, rows):
+        before = tuple(self.last.get()) if self.last.exists() else None
+        out = []
+        for id_, at, digest in rows:
+            out.append((key[0], id_, at, digest, *(before or (None, None, None)), before is None))
+            before = (id_, digest, at)
+        self.last.update(before)
+        return out
+
+
+class Suppression(Ordered):
+    """Emits the alerts that pass suppression; remembers the last emission of a key as long as it can matter."""
+
+    held = ["id", "at", "window"]
+
+    def open_state(self, handle: StatefulProcessorHandle) -> None:
         self.emitted = handle.getValueState("emitted", "at long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = in_order(rows, ["at", "id"])
-        if not len(pdf):
-            return
+    def release(self, key, rows):
         last = self.emitted.get()[0] if self.emitted.exists() else None
-        kept = []
-        for i, (at, window) in enumerate(zip(pdf["at"].tolist(), pdf["window"].tolist())):
+        out = []
+        for id_, at, window in rows:
             if last is None or at - last >= window:
-                kept.append(i)
+                out.append((id_, key[0], at))
                 last = at
-        if kept:
-            self.emitted.update((int(last),))
-            out = pdf.iloc[kept][["id", "at"]].copy()
-            out.insert(1, "key", key[0])
-            yield out
+        if out:
+            self.emitted.update((last,))
+        return out
 
-    def close(self) -> None:
-        pass
+    def expires(self):
+        # whole milliseconds, rounded up, so that no alert within the window comes after
+        return -(-self.emitted.get()[0] // 1000) + LONGEST_WINDOW_MS if self.emitted.exists() else None
 
+    def forget(self) -> None:
+        self.emitted.clear()
 
-class ChangePattern(StatefulProcessor):
-    """Emits the change pattern over the last ten hashes after every micro-batch."""
 
-    OUTPUT = (
-        "website_id long, history_size long, change_count long, change_frequency double, "
-        "avg_change_interval_seconds double, last_at long"
-    )
+class ChangePattern(Ordered):
+    """Emits the change pattern over the last ten hashes whenever snapshots are released."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    held = ["id", "at", "content_hash"]
+
+    def open_state(self, handle: StatefulProcessorHandle) -> None:
         self.history = handle.getListState("history", "content_hash string, at long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = in_order(rows, ["at", "id"])
-        if not len(pdf):
-            return
+    def release(self, key, rows):
         known = [tuple(r) for r in self.history.get()] if self.history.exists() else []
-        fresh = list(zip(pdf["content_hash"].tolist()[-PATTERN_DEPTH:], map(int, pdf["at"].tolist()[-PATTERN_DEPTH:])))
-        history = (known + fresh)[-PATTERN_DEPTH:]
+        history = (known + [(digest, at) for _, at, digest in rows])[-PATTERN_DEPTH:]
         self.history.put(history)
         gaps = [(b[1] - a[1]) / 1e6 for a, b in zip(history, history[1:]) if a[0] != b[0]]
-        yield pd.DataFrame(
-            {
-                "website_id": [key[0]],
-                "history_size": [len(history)],
-                "change_count": [len(gaps)],
-                "change_frequency": [len(gaps) / len(history)],
-                "avg_change_interval_seconds": [sum(gaps) / len(gaps) if gaps else None],
-                "last_at": [history[-1][1]],
-            }
-        )
+        mean = sum(gaps) / len(gaps) if gaps else None
+        return [(key[0], len(history), len(gaps), len(gaps) / len(history), mean, history[-1][1])]
 
-    def close(self) -> None:
-        pass
+    def late(self, key, row):
+        return (key[0], None, None, None, None, row[self.held.index("at")])
