@@ -142,16 +142,16 @@ def to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"
 
     A micro-batch writes files of its own and then publishes them with one manifest, named by the batch. If the job is
     lost in between, the batch runs again and writes anew; what no manifest names is never read. If it is lost after,
-    the batch finds its manifest and writes nothing. ``send(df, batch_id)`` may deliver a published batch; it is called
+    the batch finds its manifest, and what was published stays. ``send(df, batch_id)`` may deliver a published batch; it is called
     again if the job is lost before it has returned, with the same rows.
     """
 
     def write(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
         name = f"{path}/_batches/{batch_id:012d}.json"
+        target = f"{path}/data/{batch_id:012d}-{uuid.uuid4().hex}"
+        df.write.parquet(target)  # also where the batch is published already: the query's state comes from this run
         if not manifest.exists(spark, name):
-            target = f"{path}/data/{batch_id:012d}-{uuid.uuid4().hex}"
-            df.write.parquet(target)
             manifest.publish(spark, name, {"batch_id": batch_id, "folder": target, "schema": df.schema.jsonValue()})
         if send is not None and not manifest.exists(spark, f"{path}/_sent/{batch_id:012d}.json"):
             known = manifest.load(spark, name)
