@@ -1,14 +1,14 @@
 """Notification routing: templates, throttling, escalation, delivery batches.
 
-Templates are configuration: a short list of records held by the job, matched
-row by row inside the plan.
+Templates are a short list of records held by the job and matched row by row inside the plan, or a table of any size with
+a map of conditions, matched through an inverted index.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwatch.operators.metrics import at, before, seconds_between
@@ -41,7 +41,13 @@ DEFAULT_TEMPLATES = (
 FALLBACKS = {"site_down": "site_down_critical"}
 DEFAULT_FALLBACK = "standard_defacement"
 PRIORITIES = ("critical", "high", "medium", "low")
+#: Up to so many records are matched inside the plan; more become a table.
 MAX_TEMPLATES = 500
+TEMPLATE_DDL = (
+    "template_id string, alert_type string, priority string, channels array<string>, users array<string>, "
+    "conditions map<string,array<string>>, throttle_minutes int, escalation_minutes int, position int"
+)
+_SHOWN = ("template_id", "alert_type", "priority", "channels", "users", "throttle_minutes", "escalation_minutes")
 
 
 def _strings(values) -> Column:
@@ -50,8 +56,6 @@ def _strings(values) -> Column:
 
 def _literal(templates) -> Column:
     """Templates in priority order as an array-of-structs literal."""
-    if len(templates) > MAX_TEMPLATES:
-        raise ValueError("too many templates for a plan literal; split the routing job by alert type")
     rank = {p: i for i, p in enumerate(PRIORITIES)}
     ordered = sorted(templates, key=lambda t: rank.get(t.priority, 9))
     return F.array(
@@ -71,6 +75,80 @@ def _literal(templates) -> Column:
     )
 
 
+def template_table(spark: SparkSession, templates) -> DataFrame:
+    """Template records as a table (see ``TEMPLATE_DDL``); their order decides among equal priorities."""
+    rows = [
+        (t.template_id, t.alert_type, t.priority, list(t.channels), list(t.users), {"severity": list(t.severities)} if t.severities else {}, t.throttle_minutes, t.escalation_minutes, k)
+        for k, t in enumerate(templates)
+    ]
+    return spark.createDataFrame(rows, TEMPLATE_DDL)
+
+
+def _as_table(alerts: DataFrame, templates) -> DataFrame | None:
+    """The table form, where templates are a table or too many for the plan."""
+    if isinstance(templates, DataFrame):
+        return templates
+    return template_table(alerts.sparkSession, templates) if len(templates) > MAX_TEMPLATES else None
+
+
+def _known(value: Column) -> Column:
+    """A value as a token that is never null."""
+    return F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit("-"))
+
+
+def matched_by_index(alerts: DataFrame, templates: DataFrame) -> DataFrame:
+    """``matched_templates`` for a table of templates (``TEMPLATE_DDL``; ``position`` may be absent).
+
+    ``conditions`` maps columns of ``alerts`` to the values they may have. A template matches if each condition holds; a
+    null or absent column satisfies its condition, an empty list of values only that way. Alerts are reduced to their
+    distinct combinations of the columns that conditions name; each combination meets the index of (type, column, value)
+    in one equi-join, and a template matches where it is met once for each of its conditions. Equal priorities go by
+    ``position``, then by id; a template id that repeats counts as one (the first by position).
+    """
+    spare = F.col("position") if "position" in templates.columns else F.lit(0)
+    rank = F.coalesce(*[F.when(F.col("priority") == p, F.lit(i)) for i, p in enumerate(PRIORITIES)], F.lit(9))
+    table = templates.filter(F.col("template_id").isNotNull()).select(
+        "template_id", F.struct(rank.alias("rank"), F.coalesce(spare, F.lit(0)).alias("position"), *[F.col(c) for c in _SHOWN]).alias("t"), "conditions"
+    )
+    table = table.groupBy("template_id").agg(F.min_by(F.struct("t", "conditions"), F.struct("t.position", "t.rank", "t.alert_type", "t.channels", "t.users")).alias("o")).select("template_id", "o.*")
+    named = table.select(F.explode(F.map_keys("conditions")).alias("f")).filter(F.col("f").isin(alerts.columns)).distinct()
+    fields = sorted(r["f"] for r in named.collect())  # at most the columns of the alerts
+    held = F.filter(F.map_entries(F.coalesce("conditions", F.create_map().cast("map<string,array<string>>"))), lambda e: e["key"].isin(fields))
+    token = lambda field, value: F.struct(field.alias("field"), value.alias("value"))
+    accepted = F.transform(
+        held, lambda e: F.transform(
+            F.array_union(F.transform(F.array_distinct(F.array_compact(e["value"])), lambda v: F.concat(F.lit("="), v)), F.array(F.lit("-"))), lambda v: token(e["key"], v)
+        )
+    )
+    always = F.array(token(F.lit(""), F.lit("")))
+    index = table.select(
+        "template_id", F.col("t.alert_type").alias("_type"), F.greatest(F.size(held), F.lit(1)).alias("_wanted"),
+        F.explode(F.when(F.size(held) == 0, always).otherwise(F.flatten(accepted))).alias("k"),
+    ).select("template_id", "_type", "_wanted", "k.field", "k.value")
+    typed = alerts.withColumn("router_type", router_type(F.col("alert_type")))
+    marks = {f"_m{k}": _known(F.col(f)) for k, f in enumerate(fields)}
+    typed = typed.withColumns({"_type": F.col("router_type"), **marks})
+    combination = ["_type", *marks]
+    seen = typed.select(*combination).filter(F.col("_type").isNotNull()).distinct()
+    tokens = F.array(token(F.lit(""), F.lit("")), *[token(F.lit(f), F.col(m)) for f, m in zip(fields, marks)])
+    met = seen.select(*combination, F.explode(tokens).alias("k")).select(*combination, "k.field", "k.value").join(index, ["_type", "field", "value"])
+    whole = met.groupBy(*combination, "template_id").agg(F.count(F.lit(1)).alias("_n"), F.first("_wanted").alias("_wanted")).filter("_n = _wanted")
+    lists = whole.join(table.select("template_id", "t"), "template_id").groupBy(*combination).agg(F.array_sort(F.collect_list("t")).alias("_hits"))
+    shown = lambda hits: F.transform(hits, lambda t: F.struct(*[t[c].alias(c) for c in _SHOWN]))
+    spare_ids = [DEFAULT_FALLBACK, *FALLBACKS.values()]
+    fallback = table.filter(F.col("template_id").isin(spare_ids)).select(F.col("template_id").alias("_spare"), F.array("t").alias("_fallback"))
+    joined = typed.withColumn("_spare", _fallback_id()).join(lists, combination, "left").join(fallback, "_spare", "left")
+    none = F.array().cast(lists.schema["_hits"].dataType)
+    return joined.withColumn("matched", shown(F.coalesce("_hits", "_fallback", none))).drop("_hits", "_fallback", "_spare", *combination)
+
+
+def _fallback_id() -> Column:
+    out = F.lit(DEFAULT_FALLBACK)
+    for kind, template_id in FALLBACKS.items():
+        out = F.when(F.col("router_type") == kind, template_id).otherwise(out)
+    return out
+
+
 def router_type(alert_type: Column) -> Column:
     """Alert types of the alert table as routing types; unknown ones give null."""
     return (
@@ -83,8 +161,11 @@ def matched_templates(alerts: DataFrame, templates=DEFAULT_TEMPLATES) -> DataFra
     """Adds ``router_type`` and ``matched``: templates for the alert by priority.
 
     A null severity satisfies every condition. An alert that matches nothing
-    gets the fallback template of its type.
+    gets the fallback template of its type. ``templates`` are records or a table.
     """
+    table = _as_table(alerts, templates)
+    if table is not None:
+        return matched_by_index(alerts, table)
     typed = alerts.withColumn("router_type", router_type(F.col("alert_type")))
     everything = _literal(templates)
 
@@ -94,9 +175,7 @@ def matched_templates(alerts: DataFrame, templates=DEFAULT_TEMPLATES) -> DataFra
             free | F.array_contains(template["severities"], F.col("severity"))
         )
 
-    fallback_id = F.lit(DEFAULT_FALLBACK)
-    for kind, template_id in FALLBACKS.items():
-        fallback_id = F.when(F.col("router_type") == kind, template_id).otherwise(fallback_id)
+    fallback_id = _fallback_id()
     hits = typed.withColumn("_hits", F.filter(everything, fits))
     fallback = F.filter(everything, lambda t: t["template_id"] == fallback_id)
     return hits.withColumn("matched", F.when(F.size("_hits") > 0, F.col("_hits")).otherwise(fallback)).drop("_hits")
@@ -154,7 +233,11 @@ def template_stats(alerts: DataFrame, as_of: str, templates=DEFAULT_TEMPLATES) -
         .groupBy("template_id")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    known = alerts.sparkSession.range(1).select(F.explode(_literal(templates)).alias("_t"))
+    table = _as_table(alerts, templates)
+    if table is None:
+        known = alerts.sparkSession.range(1).select(F.explode(_literal(templates)).alias("_t"))
+    else:
+        known = table.select(F.struct(*[c for c in table.columns if c not in ("conditions", "position")]).alias("_t"))
     return known.select(
         "_t.template_id", "_t.alert_type", "_t.priority", F.size("_t.channels").alias("n_channels"),
         F.size("_t.users").alias("n_users"), "_t.throttle_minutes", "_t.escalation_minutes",

@@ -326,6 +326,32 @@ def route_alerts(t):
     return out.withColumns(joined).select("id", "router_type", *joined)
 
 
+@query("route_alerts_by_table", ("alerts", "sites"), """
+, own AS (SELECT 'site_' || id || '_' || sev AS template_id, 'defacement' AS kind, CASE WHEN id % 3 = 0 THEN 'critical' ELSE 'high' END AS priority, '#site-' || id AS channel, id AS site, sev FROM sites, (VALUES ('critical'), ('high'), ('low')) v(sev)),
+m AS (SELECT a.id, o.template_id, CASE o.priority WHEN 'critical' THEN 0 ELSE 1 END AS rk, o.channel FROM alerts a JOIN own o ON a.alert_type IN ('defacement', 'defacement_detected') AND o.site = a.website_id AND (o.sev = a.severity OR a.severity IS NULL)
+  UNION ALL SELECT a.id, 'any_down', 2, '#down' FROM alerts a WHERE a.alert_type = 'site_down'),
+f AS (SELECT * FROM m UNION ALL SELECT id, 'standard_defacement', 2, '#monitoring' FROM alerts WHERE id NOT IN (SELECT id FROM m))
+SELECT id, string_agg(template_id, ',' ORDER BY rk, template_id) AS template_ids, array_to_string(list_sort(list_distinct(list(channel))), ',') AS channels FROM f GROUP BY id
+""")
+def route_alerts_by_table(t):
+    """Three templates for every site, by severity, one for all sites that are down, and the fallback."""
+    i, none = F.col("id").cast("string"), F.array().cast("array<string>")
+    shape = lambda name, kind, priority, channel, conditions: [
+        name.alias("template_id"), F.lit(kind).alias("alert_type"), priority.alias("priority"), F.array(channel).alias("channels"), none.alias("users"),
+        conditions.alias("conditions"), F.lit(0).alias("throttle_minutes"), F.lit(0).alias("escalation_minutes"),
+    ]
+    by_site = F.create_map(F.lit("website_id"), F.array(i), F.lit("severity"), F.array("sev"), F.lit("no_such_column"), F.array(F.lit("x")))
+    own = t.sites.withColumn("sev", F.explode(F.array(F.lit("critical"), F.lit("high"), F.lit("low")))).select(
+        *shape(F.concat_ws("_", F.lit("site"), i, "sev"), "defacement", F.when(F.col("id") % 3 == 0, "critical").otherwise("high"), F.concat(F.lit("#site-"), i), by_site)
+    )
+    rest = t.spark.range(1)
+    bare = F.create_map().cast("map<string,array<string>>")
+    down = rest.select(*shape(F.lit("any_down"), "site_down", F.lit("medium"), F.lit("#down"), bare))
+    spare = rest.select(*shape(F.lit("standard_defacement"), "none", F.lit("medium"), F.lit("#monitoring"), bare))
+    out = routing.route_alerts(t.alerts, own.unionByName(down).unionByName(spare))
+    return out.select("id", *[F.array_join(c, ",").alias(c) for c in ("template_ids", "channels")])
+
+
 @query("throttle_notifications", ("alerts_dense",), TEMPLATE_SQL.format(source="(SELECT *, lag(created_at) OVER (PARTITION BY website_id, alert_type ORDER BY created_at, id) AS pt FROM alerts_dense)") + """
 SELECT id, alert_type || '_' || website_id AS notification_key, created_at, template_id,
   throttle <= 0 OR pt IS NULL OR created_at - pt >= to_minutes(throttle) AS should_send FROM m
