@@ -60,7 +60,7 @@ def _windows(words: DataFrame) -> DataFrame:
         return [cut(F.lit(0), middle), cut(middle, longest)]
 
     rows = words.select("word", "n", F.explode(F.array(*halves(size), *halves(size + 1))).alias("w"))
-    return rows.select("word", "n", "w.longest", "w.low", "w.high")
+    return rows.select("word", "n", "w.longest", "w.low", "w.high").filter("low < high")
 
 
 def _keyed(rows: DataFrame) -> DataFrame:

@@ -80,6 +80,8 @@ def principal_components(a: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarr
     The sign of a vector makes its largest entry (the first of equal ones) positive. Equal eigenvalues have any
     orthonormal basis of their space.
     """
+    if not len(a):
+        return np.zeros(0), np.zeros((0, 0))
     a = (a + a.T) / 2
     noise = 64 * len(a) * _EPS * max(np.linalg.norm(a), np.finfo(float).tiny)
     found: list[np.ndarray] = []
@@ -93,7 +95,7 @@ def principal_components(a: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarr
             found.append(basis)
         else:
             spaces += [basis @ cut[1], basis @ cut[0]]
-    vectors, _ = np.linalg.qr(np.hstack(found)) if found else (np.zeros((0, 0)), None)
+    vectors, _ = np.linalg.qr(np.hstack(found))
     values = np.einsum("ij,ij->j", vectors, a @ vectors)
     order = np.argsort(-values, kind="stable")[:most]
     vectors, values = vectors[:, order], values[order]
