@@ -11,7 +11,7 @@ from driftwatch.plans.registry import query
 from driftwatch.plans.views import AS_OF, AS_OF_SQL
 from driftwatch.sources import tables
 from driftwatch.sources.cow import CopyOnWriteTable
-from driftwatch.sources.schemas import subset
+from driftwatch.sources.schemas import schema, subset
 from driftwatch.sources.shared import shared_folder
 
 
@@ -24,8 +24,15 @@ def stored(t, name, rows, key="id"):
     return CopyOnWriteTable.create(rows, shared_folder(t.spark, name), key, buckets=16)
 
 
-@query("load_table", (), "SELECT event_id, ts, user_id FROM events")
+@query("load_table", (), "SELECT event_id, ts, user_id, event_type, value, props FROM events")
 def load_table(t):
+    """A typed scan of the whole table."""
+    return tables.read_table(t.spark, f"{t.sf_dir}/events.parquet", schema("events"))
+
+
+@query("load_table_columns", (), "SELECT event_id, ts, user_id FROM events")
+def load_table_columns(t):
+    """A scan that reads three columns only."""
     return tables.read_table(t.spark, f"{t.sf_dir}/events.parquet", subset("events", ["event_id", "ts", "user_id"]))
 
 
@@ -139,12 +146,15 @@ def delete_sites_cascade(t):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("table_counts", ("sites", "snaps", "alerts", "vecs"), """
-, c AS (SELECT 'sites' AS table_name, count(*) AS n_rows FROM sites UNION ALL SELECT 'snaps', count(*) FROM snaps UNION ALL SELECT 'alerts', count(*) FROM alerts UNION ALL SELECT 'vecs', count(*) FROM vecs)
+@query("table_counts", ("sites", "snaps", "alerts", "jobs", "feedback", "health", "logs", "vecs"), """
+, c AS (SELECT 'sites' AS table_name, count(*) AS n_rows FROM sites UNION ALL SELECT 'snaps', count(*) FROM snaps UNION ALL SELECT 'alerts', count(*) FROM alerts
+  UNION ALL SELECT 'jobs', count(*) FROM jobs UNION ALL SELECT 'feedback', count(*) FROM feedback UNION ALL SELECT 'health', count(*) FROM health
+  UNION ALL SELECT 'logs', count(*) FROM logs UNION ALL SELECT 'vecs', count(*) FROM vecs UNION ALL SELECT 'pages', count(*) FROM pages)
 SELECT * FROM c UNION ALL SELECT 'total', CAST(sum(n_rows) AS BIGINT) FROM c
 """)
 def table_counts(t):
-    return tables.count_tables({"sites": t.sites, "snaps": t.snaps, "alerts": t.alerts, "vecs": t.vecs})
+    names = ("sites", "snaps", "alerts", "jobs", "feedback", "health", "logs", "vecs", "pages")
+    return tables.count_tables({name: getattr(t, name) for name in names})
 
 
 EXPORT_SQL = SITE_FACTS.format(source=f"(SELECT * FROM {RANKED_SNAPS} y WHERE rn <= 100)").replace("\nSELECT website_id", ",\nreport AS (SELECT website_id", 1)
