@@ -7,7 +7,9 @@ then marks the turns, escapes control strings inside texts reversibly, and gives
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
+from operator import or_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -16,7 +18,8 @@ from pyspark.sql import functions as F
 
 class Layout(NamedTuple):
     """Which paths a record of the layout has, and how its turns are read: a list of (path, role, text field, role
-    field). Without fields the path itself is one turn's text, of the given role."""
+    field). Without fields the path itself is one turn's text, of the given role. ``path[]`` says that the path is a
+    list, ``path[].field`` that some element of it has the field."""
 
     name: str
     required: tuple[str, ...]
@@ -25,8 +28,8 @@ class Layout(NamedTuple):
 
 
 LAYOUTS = (
-    Layout("messages", ("messages",), ("messages[0].role", "messages[0].content", "system"), (("system", "system", None, None), ("messages", None, "content", "role"))),
-    Layout("conversations", ("conversations",), ("conversations[0].from", "conversations[0].value", "system"), (("system", "system", None, None), ("conversations", None, "value", "from"))),
+    Layout("messages", ("messages", "messages[]"), ("messages[].role", "messages[].content", "system"), (("system", "system", None, None), ("messages", None, "content", "role"))),
+    Layout("conversations", ("conversations", "conversations[]"), ("conversations[].from", "conversations[].value", "system"), (("system", "system", None, None), ("conversations", None, "value", "from"))),
     Layout("prompt", ("prompt",), ("response", "system"), (("system", "system", None, None), ("prompt", "user", None, None), ("response", "assistant", None, None))),
     Layout("instruction", ("instruction",), ("input", "output", "system"), (("system", "system", None, None), ("instruction", "user", None, None), ("input", "user", None, None), ("output", "assistant", None, None))),
 )
@@ -60,11 +63,35 @@ def _role(role: Column) -> Column:
     return F.replace(escape(role), F.lit("|"), F.lit("&vert;"))
 
 
+#: Lists of turns, the fields their elements are known by, and the mark of an element that has none of them.
+LISTS = ("messages", "conversations")
+FIELDS = ("role", "content", "from", "value")
+OTHER = "[].*"
+
+
+def _elements(record: Column, path: str) -> Column:
+    return F.try_variant_get(record, f"$.{path}", "array<variant>")
+
+
+def _has(field: str):
+    return lambda e: F.coalesce(F.try_variant_get(e, f"$.{field}", "variant").isNotNull(), F.lit(False))
+
+
 def fingerprint(record: Column) -> Column:
-    """Hash of the declared nested field paths that a record has; other fields don't change it."""
-    paths = sorted({p for layout in LAYOUTS for p in (*layout.required, *layout.optional)})
-    there = [F.when(F.variant_get(record, f"$.{p}", "variant").isNotNull(), F.lit(p)) for p in paths]
-    return F.xxhash64(F.concat_ws(",", *there))
+    """Hash of the known nested field paths that a record has; other fields don't change it.
+
+    All elements of a list count: one that mixes the fields of two layouts, or holds something that is no turn, has
+    paths that no layout declares.
+    """
+    plain = {p for layout in LAYOUTS for p in (*layout.required, *layout.optional) if "[" not in p}
+    there = {p: F.try_variant_get(record, f"$.{p}", "variant").isNotNull() for p in plain}
+    for path in LISTS:
+        elements = _elements(record, path)
+        there[f"{path}[]"] = elements.isNotNull()
+        for field in FIELDS:
+            there[f"{path}[].{field}"] = F.exists(elements, _has(field))
+        there[path + OTHER] = F.exists(elements, lambda e: ~reduce(or_, [_has(f)(e) for f in FIELDS]))
+    return F.xxhash64(F.concat_ws(",", *[F.when(there[p], F.lit(p)) for p in sorted(there)]))
 
 
 def _select() -> Column:
@@ -79,11 +106,13 @@ def _select() -> Column:
 
 def _turn(role_field: str, text_field: str):
     def read(turn: Column) -> Column:
-        role = turn[role_field]
+        said = F.try_variant_get(turn, f"$.{role_field}", "string")
+        role = said
         if role_field == "from":
             for name, canonical in ROLES.items():
-                role = F.when(turn[role_field] == name, F.lit(canonical)).otherwise(role)
-        return F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(turn[text_field], F.lit("")).alias("text"))
+                role = F.when(said == name, F.lit(canonical)).otherwise(role)
+        text = F.try_variant_get(turn, f"$.{text_field}", "string")
+        return F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
     return read
 
@@ -92,12 +121,11 @@ def _turns(record: Column, layout: Layout) -> Column:
     parts = []
     for path, role, text_field, role_field in layout.turns:
         if text_field is None:
-            value = F.variant_get(record, f"$.{path}", "string")
+            value = F.try_variant_get(record, f"$.{path}", "string")
             one = F.array(F.struct(F.lit(role).alias("role"), value.alias("text")))
             parts.append(F.when(value.isNotNull(), one).otherwise(F.array().cast("array<struct<role:string,text:string>>")))
         else:
-            rows = F.variant_get(record, f"$.{path}", f"array<struct<`{role_field}`:string,`{text_field}`:string>>")
-            parts.append(F.coalesce(F.transform(rows, _turn(role_field, text_field)), F.array().cast("array<struct<role:string,text:string>>")))
+            parts.append(F.coalesce(F.transform(_elements(record, path), _turn(role_field, text_field)), F.array().cast("array<struct<role:string,text:string>>")))
     return F.concat(*parts)
 
 
@@ -105,7 +133,10 @@ def canonical_turns(df: DataFrame, record: str = "record") -> DataFrame:
     """``df`` with ``fingerprint``, ``layout`` and ``turns`` (role, text) of JSON records.
 
     A record whose fingerprint no layout declares, a broken or null one has null ``layout`` and ``turns``; its
-    ``schema`` tells what it looks like. Turns without role or text have an empty one. Other columns pass through.
+    ``schema`` tells what it looks like. So has one whose list of turns is no list, mixes the fields of layouts or
+    holds an element without any of them: no turn is lost without notice. Turns without role or text have an empty
+    one; a text that is an object or a list is taken as its JSON. Other columns pass through; ``_parsed`` and
+    ``_layout`` are reserved.
     """
     parsed = df.withColumn("_parsed", F.try_parse_json(record))
     keyed = parsed.withColumn("fingerprint", F.when(F.col("_parsed").isNotNull(), fingerprint(F.col("_parsed"))))

@@ -9,13 +9,14 @@ ones different. So an item with other parameters is found, while texts that only
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwatch.llm.common import blocks
+from driftwatch.llm.common import blocks, give_back, store
 from driftwatch.llm.words import _PLACE, mix, spans
 
 #: Words that are units where they follow a number.
@@ -28,7 +29,7 @@ UNITS = (
 
 #: Bits of the field that tells which windows the benchmark holds; false hits are dropped by the join.
 WINDOW_BITS = 1 << 24
-NUMBER, NAME, UNIT = mix(np.array([0x11, 0x22, 0x33], np.uint64))
+NUMBER, NAME, UNIT, LITERAL = mix(np.array([0x11, 0x22, 0x33, 0x44], np.uint64))
 
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
@@ -48,12 +49,24 @@ def _hash_units() -> np.ndarray:
 _UNITS = _hash_units()
 
 
-def templates(data: np.ndarray, cuts: np.ndarray):
-    """Tokens of the texts: first byte, end, text, template hash, and whether the token is a slot."""
+class Tokens(NamedTuple):
+    """Tokens of some texts: first byte, end, text, literal hash, template hash, whether it is a slot, and whether it
+    is a capital that opens a sentence (no slot, but perhaps a name)."""
+
+    first: np.ndarray
+    last: np.ndarray
+    text: np.ndarray
+    literal: np.ndarray
+    kind: np.ndarray
+    slot: np.ndarray
+    opening: np.ndarray
+
+
+def templates(data: np.ndarray, cuts: np.ndarray) -> Tokens:
     n = len(data)
     if not n:
-        zero = np.zeros(0, np.int64)
-        return zero, zero, zero, np.zeros(0, np.uint64), np.zeros(0, bool)
+        zero, none, no = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
+        return Tokens(zero, zero, zero, none, none, no, no)
     digit = _DIGIT[data]
     plain = _CLEAN[data]
     inner = _INNER[data]
@@ -72,7 +85,7 @@ def templates(data: np.ndarray, cuts: np.ndarray):
     first, last, part, hashes = spans(plain, parts)
     texts = np.searchsorted(cuts, first, side="right") - 1
     if not len(first):
-        return first, last, texts, hashes, np.zeros(0, bool)
+        return Tokens(first, last, texts, hashes, hashes, np.zeros(0, bool), np.zeros(0, bool))
     number = figure[first]
     # a capital and then a small letter; words all in capitals are shouted, not named
     wide = data[first] == 0xC3
@@ -91,81 +104,81 @@ def templates(data: np.ndarray, cuts: np.ndarray):
     unit = after & (_UNITS[at] == hashes) & ~number
     name = upper & ~opens & ~number & ~unit
     kinds = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, hashes)))
-    return first, last, texts, kinds, number | unit | name
+    return Tokens(first, last, texts, hashes, kinds, number | unit | name, upper & opens & ~number & ~unit)
 
 
-def windows(data: np.ndarray, cuts: np.ndarray, width: int):
-    """Windows of every text: hash, text, first token, and the tokens' arrays. Windows mostly of slots are left out;
-    a text of ``width / 2`` to ``width`` tokens is one window."""
-    first, last, texts, kinds, slot = templates(data, cuts)
-    bounds = np.searchsorted(texts, np.arange(len(cuts)))
-    at, hashes = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    if len(kinds) >= width:
-        m = len(kinds) - width + 1
-        value = np.zeros(m, np.uint64)
-        for k in range(width):
-            value += kinds[k : m + k] * _PLACE[k]
-        slots = np.concatenate([[0], np.cumsum(slot)])
-        ok = (texts[:m] == texts[width - 1 :]) & (2 * (slots[width:] - slots[:m]) <= width)
-        at, hashes = np.flatnonzero(ok), mix(value[ok])
-    short = np.flatnonzero((np.diff(bounds) < width) & (2 * np.diff(bounds) >= width))
-    return first, last, texts, slot, kinds, bounds, at, hashes, short
+def windows(tokens: Tokens, n: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """Windows of ``n`` tokens inside one text, in three groups: first token, hash, the tokens' slots, and whether the
+    values are part of the hash. A window is in the first group (template) or the second (mostly slots, literal); one
+    with an opening capital is also in the third, as a template with names there."""
+    m = len(tokens.kind) - n + 1
+    if m <= 0:
+        return []
+    inside = tokens.text[:m] == tokens.text[n - 1 :]
 
+    def count(marks: np.ndarray) -> np.ndarray:
+        sums = np.concatenate([[0], np.cumsum(marks)])
+        return sums[n:] - sums[:m]
 
-def _short_hash(kinds: np.ndarray) -> np.ndarray:
-    return mix((kinds * _PLACE[: len(kinds)]).sum(keepdims=True) ^ _PLACE[len(kinds)])
+    def keyed(at: np.ndarray, values: np.ndarray, salt: np.uint64) -> np.ndarray:
+        total = np.zeros(len(at), np.uint64)
+        for k in range(n):
+            total += values[at + k] * _PLACE[k]
+        return mix(total ^ salt)
 
+    heavy = 2 * count(tokens.slot) > n
+    named = tokens.slot | tokens.opening
+    plain, literal = np.flatnonzero(inside & ~heavy), np.flatnonzero(inside & heavy)
+    both = np.flatnonzero(inside & (count(tokens.opening) > 0) & (2 * count(named) <= n))
+    return [
+        (plain, keyed(plain, tokens.kind, _PLACE[n]), tokens.slot, False),
+        (literal, keyed(literal, tokens.literal, _PLACE[n] ^ LITERAL), tokens.slot, True),
+        (both, keyed(both, np.where(tokens.opening, NAME, tokens.kind), _PLACE[n]), named, False),
+    ]
 
-def _slots(raw: bytes, first, last, slot, low: int, high: int) -> list[str]:
-    return [raw[first[k] : last[k]].decode("utf-8", "replace").lower() for k in range(low, high) if slot[k]]
 
+def _slots(raw: bytes, tokens: Tokens, slot: np.ndarray, low: int, n: int) -> list[str]:
+    return [raw[tokens.first[k] : tokens.last[k]].decode("utf-8", "replace").lower() for k in range(low, low + n) if slot[k]]
 
-_FIELDS = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("hash", pa.int64()), ("at", pa.int64()), ("of", pa.int64()), ("slots", pa.list_(pa.string()))])
+
+_FIELDS = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("hash", pa.int64()), ("at", pa.int64()), ("n", pa.int64()), ("literal", pa.bool_()), ("slots", pa.list_(pa.string()))])
 
 
 def _windows_of(rows: DataFrame, width: int, field=None, lengths: tuple[int, ...] = ()) -> DataFrame:
-    """``(id, row, hash, at, of, slots)``: windows with their place, the text's number of windows, and slot values.
+    """``(id, row, hash, at, n, literal, slots)``: windows with their place and length, and their slots' values.
 
-    With ``field``, only windows whose bit is set; texts then also offer shorter windows of the given ``lengths``.
+    Items (without ``field``) give windows of ``width`` tokens; those of ``width / 2`` to ``width`` tokens are one
+    window. Documents give windows of ``width`` and of the given ``lengths``, but only those whose bit ``field`` has.
     """
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch, data, cuts in blocks(batches, "text"):
-            first, last, texts, slot, kinds, bounds, at, hashes, short = windows(data, cuts, width)
-            end = at + width
-            more = [(at, end, hashes)]
-            if field is None:
-                for t in short.tolist():
-                    more.append((np.array([bounds[t]]), np.array([bounds[t + 1]]), _short_hash(kinds[bounds[t] : bounds[t + 1]])))
-            for n in lengths:
-                m = len(kinds) - n + 1
-                if m > 0:
-                    value = np.zeros(m, np.uint64)
-                    for k in range(n):
-                        value += kinds[k : m + k] * _PLACE[k]
-                    ok = np.flatnonzero(texts[:m] == texts[n - 1 :])
-                    more.append((ok, ok + n, mix(value[ok] ^ _PLACE[n])))
-            low, high, keys = (np.concatenate(x) for x in zip(*more))
-            if field is not None:
-                bit = (keys % np.uint64(WINDOW_BITS)).astype(np.int64)
-                hit = (field.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
-                low, high, keys = low[hit], high[hit], keys[hit]
-            if not len(low):
-                continue
-            owner = texts[low]
-            n_windows = np.bincount(owner, minlength=batch.num_rows)
-            raw = data.tobytes()
-            ids, marks = batch.column(0), batch.column(1).to_numpy()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    ids.take(pa.array(owner)).cast(pa.int64()), pa.array(marks[owner]), pa.array(keys.view(np.int64)),
-                    pa.array(low - bounds[owner]), pa.array(n_windows[owner].astype(np.int64)),
-                    pa.array([_slots(raw, first, last, slot, a, b) for a, b in zip(low.tolist(), high.tolist())], pa.list_(pa.string())),
-                ],
-                schema=_FIELDS,
-            )
-
-    return rows.mapInArrow(run, "id long, row long, hash long, at long, of long, slots array<string>")
+            tokens = templates(data, cuts)
+            bounds = np.searchsorted(tokens.text, np.arange(len(cuts)))
+            raw, ids, marks = None, batch.column(0), batch.column(1).to_numpy()
+            for n in (width, *(lengths if field is not None else range(-(-width // 2), width))):
+                for at, keys, slot, literal in windows(tokens, n):
+                    if field is not None:
+                        bit = (keys % np.uint64(WINDOW_BITS)).astype(np.int64)
+                        hit = (field.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+                    else:
+                        hit = (n == width) | (np.diff(bounds)[tokens.text[at]] == n)
+                    at, keys = at[hit], keys[hit]
+                    if not len(at):
+                        continue
+                    raw = data.tobytes() if raw is None else raw
+                    owner = tokens.text[at]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            ids.take(pa.array(owner)).cast(pa.int64()), pa.array(marks[owner]), pa.array(keys.view(np.int64)),
+                            pa.array(at - bounds[owner]), pa.array(np.full(len(at), n, np.int64)), pa.array(np.full(len(at), literal)),
+                            pa.array([_slots(raw, tokens, slot, a, n) for a in at.tolist()], pa.list_(pa.string())),
+                        ],
+                        schema=_FIELDS,
+                    )
+        give_back()
+
+    return rows.mapInArrow(run, "id long, row long, hash long, at long, n long, literal boolean, slots array<string>")
 
 
 def leaks(
@@ -174,17 +187,25 @@ def leaks(
 ) -> DataFrame:
     """``(doc_id, row_key, item_id, n_windows, n_matched, share, n_slots)`` for every document that leaks an item.
 
-    ``share`` is the part of the item's windows that stands in the document at its best alignment; it must reach
-    ``min_share``. ``row_key`` hashes the text, to tell rows apart that repeat an id.
+    ``share`` is the part of the item's windows that stands in the document at its best alignment, of the template
+    windows or of all, whichever is larger; it must reach ``min_share``. ``n_windows`` and ``n_matched`` count all.
+    ``row_key`` hashes the text, to tell rows apart that repeat an id.
 
-    Items of fewer than ``width / 2`` tokens, null and empty ones have no window and are never found; those between
-    are matched whole. Null and empty texts leak nothing. An item or document that comes twice is reported once per
-    (id, text). Empty tables give no rows; other columns are ignored.
+    An item mostly of slots is found where it is copied, not with other values. Items of fewer than ``width / 2``
+    tokens, null and empty ones have no window and are never found; those between are matched whole. Null and empty
+    texts leak nothing. An item or document that comes twice is reported once per (id, text). Very long texts are read
+    whole, as a block of their own. Of alignments with one share the smallest shift is told. Empty tables give no rows;
+    other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
-    items = _windows_of(benchmark.select(F.col(item_column).alias("id"), F.xxhash64(item_text).alias("row"), F.col(item_text).alias("text")), width)
-    items = items.select(F.col("id").alias("item_id"), F.col("row").alias("item_row"), "hash", F.col("at").alias("item_at"), F.col("of").alias("n_windows"), F.col("slots").alias("item_slots")).distinct()
-    bit = F.expr(f"conv(hex(hash), 16, 10)").cast("decimal(20,0)") % WINDOW_BITS
+    items = _windows_of(benchmark.select(F.col(item_column).alias("id"), F.xxhash64(item_text).alias("row"), F.col(item_text).alias("text")), width).distinct()
+    items = store(items, "benchmark-windows")  # read for the field, the lengths, the totals and the join
+    totals = items.groupBy(F.col("id").alias("item_id"), F.col("row").alias("item_row")).agg(
+        F.count_distinct("at").alias("n_windows"), F.count_distinct(F.when(~F.col("literal"), F.col("at"))).alias("n_templates"),
+    )
+    lengths = tuple(r["n"] for r in items.filter(F.col("n") < width).select("n").distinct().collect())  # at most width / 2
+    items = items.select(F.col("id").alias("item_id"), F.col("row").alias("item_row"), "hash", F.col("at").alias("item_at"), "literal", F.col("slots").alias("item_slots"))
+    bit = F.expr("conv(hex(hash), 16, 10)").cast("decimal(20,0)") % WINDOW_BITS
     rows = items.select((bit.cast("long") + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")
     ).collect()  # at most WINDOW_BITS / 32768 rows of 4 KB
@@ -192,20 +213,18 @@ def leaks(
     for row in rows:
         bits[(row["bucket"] - 1) * 4096 : row["bucket"] * 4096] = np.frombuffer(bytes(row["bits"]), np.uint8)
     field = spark.sparkContext.broadcast(bits)
-    # at most width / 2 lengths; only those that some short item has
-    short = benchmark.select(F.size(F.split(F.trim(F.coalesce(item_text, F.lit(""))), "\\s+")).alias("n")).filter(F.col("n") < 2 * width).limit(1).count()
-    lengths = tuple(range(-(-width // 2), width)) if short else ()
     found = _windows_of(docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("row"), F.col(text).alias("text")), width, field, lengths)
     met = found.select(F.col("id").alias("doc_id"), F.col("row").alias("row_key"), "hash", "at", "slots").join(items, "hash")
     aligned = met.groupBy("doc_id", "row_key", "item_id", "item_row", (F.col("at") - F.col("item_at")).alias("shift")).agg(
-        F.max("n_windows").alias("n_windows"), F.count_distinct("item_at").alias("n_matched"),
+        F.count_distinct("item_at").alias("n_matched"), F.count_distinct(F.when(~F.col("literal"), F.col("item_at"))).alias("n_alike"),
         F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots"))).alias("pairs"),
-    )
+    ).join(totals, ["item_id", "item_row"])
     pairs = F.array_distinct("pairs")
     one = F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda p: p["item_slots"])))
     other = F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda p: p["slots"])))
     agree = aligned.withColumn("n_slots", F.size(pairs).cast("long")).filter(one & other)
-    best = agree.withColumn("share", F.col("n_matched") / F.col("n_windows")).filter(F.col("share") >= min_share)
+    shares = F.greatest(F.col("n_matched") / F.col("n_windows"), F.try_divide("n_alike", "n_templates"))
+    best = agree.withColumn("share", shares).filter(F.col("share") >= min_share)
     top = F.max_by(F.struct("n_windows", "n_matched", "share", "n_slots"), F.struct("share", -F.col("shift"))).alias("t")
     return best.groupBy("doc_id", "row_key", "item_id").agg(top).select("doc_id", "row_key", "item_id", "t.*")
 

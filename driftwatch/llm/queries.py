@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwatch.llm import bloom_lm, chat, decontaminate, jaccard_join, kneser_ney, line_dedup, packing, perplexity_rules, phrases, sharding, spelling, toxicity, whitening
+from driftwatch.llm import bloom_lm, chat, checking_sql, decontaminate, jaccard_join, kneser_ney, line_dedup, packing, perplexity_rules, phrases, sharding, spelling, toxicity, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op3_chat_format": checking_sql.OP3, "op10_line_dedup": checking_sql.OP10}
 
 
 def _query(fn: Callable[[SparkSession, str], DataFrame]):
@@ -60,9 +60,9 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = lambda r: F.forall(r, lambda t: F.coalesce(t["role"].isin("user", "assistant"), F.lit(False)))
     text = lambda k: F.coalesce(F.get("t", F.lit(k))["text"], F.lit(""))
     pair = F.to_json(F.struct(text(0).alias("prompt"), text(1).alias("response")))
-    shared = lambda t: F.struct(F.when(t["role"] == "user", "human").otherwise("gpt").alias("from"), t["text"].alias("value"))
+    shared = lambda t: F.struct(F.when(t["role"] == "user", "human").otherwise("gpt").alias("from"), F.coalesce(t["text"], F.lit("")).alias("value"))
     system = F.to_json(F.struct(text(0).alias("system"), F.transform(rest, shared).alias("conversations")))
-    messages = F.to_json(F.struct(F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content"))).alias("messages")))
+    messages = F.to_json(F.struct(F.transform("t", lambda t: F.struct(t["role"].alias("role"), F.coalesce(t["text"], F.lit("")).alias("content"))).alias("messages")))
     return turns.select(
         "conv_id",
         F.when(roles == F.array(F.lit("user"), F.lit("assistant")), pair)

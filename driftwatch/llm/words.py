@@ -1,8 +1,9 @@
 """Words and shingles of whole texts as arrays of 64-bit hashes.
 
-A word is a maximal run without the six ASCII white-space bytes, with A-Z lower-cased. Its hash is a polynomial over
-its bytes modulo 2**64, then mixed; equal words have equal hashes everywhere, and among ten million different words
-the chance of any collision is about 3 in a million. Long texts are hashed in runs that end at white space, so memory
+A word is a maximal run without the six ASCII white-space bytes, with A-Z lower-cased. Its hash is the sum of its
+bytes' numbers, each times a number of its place, modulo 2**64, then mixed. The places' numbers follow no rule: with
+powers of one base, regular long words would meet. Equal words have equal hashes everywhere, and among ten million
+different words the chance of any collision is about 3 in a million. Long texts are hashed in runs that end at white space, so memory
 follows the number of words, not the bytes times a constant.
 """
 
@@ -15,8 +16,6 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BASE = 0x9E3779B97F4A7C15
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 RUN = 1 << 20
 
 
@@ -30,15 +29,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 _PLACE = mix(np.arange(1001, 1065, dtype=np.uint64)) | np.uint64(1)
+_WEIGHT = [mix(np.arange(5001, 6025, dtype=np.uint64)) | np.uint64(1)]
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _POWERS[k] = np.multiply.accumulate(steps)
-    return _POWERS
+def _weights(n: int) -> np.ndarray:
+    """Odd multipliers of the first ``n`` places of a word, without any rule that words could follow."""
+    if len(_WEIGHT[0]) < n:
+        _WEIGHT[0] = mix(np.arange(5001, 5001 + max(n, 2 * len(_WEIGHT[0])), dtype=np.uint64)) | np.uint64(1)
+    return _WEIGHT[0]
 
 
 def spans(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -60,11 +58,12 @@ def spans(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     while low < len(starts):
         high = max(low + 1, int(np.searchsorted(ends, starts[low] + RUN, side="right")))
         a, b = starts[low], ends[high - 1]
-        power, inverse = _powers(b - a)
+        own = starts[low:high]
+        place = np.arange(a, b) - np.repeat(own, np.diff(own, append=b))
         value = _BYTE[LOWER[data[a:b]]]
         value[sep[a:b]] = 0
-        value *= power[: b - a]
-        hashes[low:high] = np.add.reduceat(value, starts[low:high] - a) * inverse[starts[low:high] - a]
+        value *= _weights(int(place.max()) + 1)[place]
+        hashes[low:high] = np.add.reduceat(value, own - a)
         low = high
     texts = np.searchsorted(cuts, starts, side="right") - 1
     return starts, ends, texts, mix(hashes)
