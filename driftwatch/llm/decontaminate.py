@@ -107,9 +107,9 @@ def templates(data: np.ndarray, cuts: np.ndarray) -> Tokens:
     return Tokens(first, last, texts, hashes, kinds, number | unit | name, upper & opens & ~number & ~unit)
 
 
-def windows(tokens: Tokens, n: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
-    """Windows of ``n`` tokens inside one text, in three groups: first token, hash, the tokens' slots, and whether the
-    values are part of the hash. A window is in the first group (template) or the second (mostly slots, literal); one
+def windows(tokens: Tokens, n: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, bool, bool]]:
+    """Windows of ``n`` tokens inside one text, in three groups: first token, hash, the tokens' slots, whether the
+    values are part of the hash, and whether opening capitals count as names. A window is in the first group (template) or the second (mostly slots, literal); one
     with an opening capital is also in the third, as a template with names there."""
     m = len(tokens.kind) - n + 1
     if m <= 0:
@@ -131,9 +131,9 @@ def windows(tokens: Tokens, n: int) -> list[tuple[np.ndarray, np.ndarray, np.nda
     plain, literal = np.flatnonzero(inside & ~heavy), np.flatnonzero(inside & heavy)
     both = np.flatnonzero(inside & (count(tokens.opening) > 0) & (2 * count(named) <= n))
     return [
-        (plain, keyed(plain, tokens.kind, _PLACE[n]), tokens.slot, False),
-        (literal, keyed(literal, tokens.literal, _PLACE[n] ^ LITERAL), tokens.slot, True),
-        (both, keyed(both, np.where(tokens.opening, NAME, tokens.kind), _PLACE[n]), named, False),
+        (plain, keyed(plain, tokens.kind, _PLACE[n]), tokens.slot, False, False),
+        (literal, keyed(literal, tokens.literal, _PLACE[n] ^ LITERAL), tokens.slot, True, False),
+        (both, keyed(both, np.where(tokens.opening, NAME, tokens.kind), _PLACE[n]), named, False, True),
     ]
 
 
@@ -141,11 +141,11 @@ def _slots(raw: bytes, tokens: Tokens, slot: np.ndarray, low: int, n: int) -> li
     return [raw[tokens.first[k] : tokens.last[k]].decode("utf-8", "replace").lower() for k in range(low, low + n) if slot[k]]
 
 
-_FIELDS = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("hash", pa.int64()), ("at", pa.int64()), ("n", pa.int64()), ("literal", pa.bool_()), ("slots", pa.list_(pa.string()))])
+_FIELDS = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("hash", pa.int64()), ("at", pa.int64()), ("n", pa.int64()), ("literal", pa.bool_()), ("named", pa.bool_()), ("slots", pa.list_(pa.string()))])
 
 
 def _windows_of(rows: DataFrame, width: int, field=None, lengths: tuple[int, ...] = ()) -> DataFrame:
-    """``(id, row, hash, at, n, literal, slots)``: windows with their place and length, and their slots' values.
+    """``(id, row, hash, at, n, literal, named, slots)``: windows with their place and length, and their slots' values.
 
     Items (without ``field``) give windows of ``width`` tokens; those of ``width / 2`` to ``width`` tokens are one
     window. Documents give windows of ``width`` and of the given ``lengths``, but only those whose bit ``field`` has.
@@ -157,7 +157,7 @@ def _windows_of(rows: DataFrame, width: int, field=None, lengths: tuple[int, ...
             bounds = np.searchsorted(tokens.text, np.arange(len(cuts)))
             raw, ids, marks = None, batch.column(0), batch.column(1).to_numpy()
             for n in (width, *(lengths if field is not None else range(-(-width // 2), width))):
-                for at, keys, slot, literal in windows(tokens, n):
+                for at, keys, slot, literal, named in windows(tokens, n):
                     if field is not None:
                         bit = (keys % np.uint64(WINDOW_BITS)).astype(np.int64)
                         hit = (field.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
@@ -171,14 +171,14 @@ def _windows_of(rows: DataFrame, width: int, field=None, lengths: tuple[int, ...
                     yield pa.RecordBatch.from_arrays(
                         [
                             ids.take(pa.array(owner)).cast(pa.int64()), pa.array(marks[owner]), pa.array(keys.view(np.int64)),
-                            pa.array(at - bounds[owner]), pa.array(np.full(len(at), n, np.int64)), pa.array(np.full(len(at), literal)),
+                            pa.array(at - bounds[owner]), pa.array(np.full(len(at), n, np.int64)), pa.array(np.full(len(at), literal)), pa.array(np.full(len(at), named)),
                             pa.array([_slots(raw, tokens, slot, a, n) for a in at.tolist()], pa.list_(pa.string())),
                         ],
                         schema=_FIELDS,
                     )
         give_back()
 
-    return rows.mapInArrow(run, "id long, row long, hash long, at long, n long, literal boolean, slots array<string>")
+    return rows.mapInArrow(run, "id long, row long, hash long, at long, n long, literal boolean, named boolean, slots array<string>")
 
 
 def leaks(
@@ -204,7 +204,7 @@ def leaks(
         F.count_distinct("at").alias("n_windows"), F.count_distinct(F.when(~F.col("literal"), F.col("at"))).alias("n_templates"),
     )
     lengths = tuple(r["n"] for r in items.filter(F.col("n") < width).select("n").distinct().collect())  # at most width / 2
-    items = items.select(F.col("id").alias("item_id"), F.col("row").alias("item_row"), "hash", F.col("at").alias("item_at"), "literal", F.col("slots").alias("item_slots"))
+    items = items.select(F.col("id").alias("item_id"), F.col("row").alias("item_row"), "hash", F.col("at").alias("item_at"), "literal", "named", F.col("slots").alias("item_slots"))
     bit = F.expr("conv(hex(hash), 16, 10)").cast("decimal(20,0)") % WINDOW_BITS
     rows = items.select((bit.cast("long") + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")
@@ -215,7 +215,9 @@ def leaks(
     field = spark.sparkContext.broadcast(bits)
     found = _windows_of(docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("row"), F.col(text).alias("text")), width, field, lengths)
     met = found.select(F.col("id").alias("doc_id"), F.col("row").alias("row_key"), "hash", "at", "slots").join(items, "hash")
-    aligned = met.groupBy("doc_id", "row_key", "item_id", "item_row", (F.col("at") - F.col("item_at")).alias("shift")).agg(
+    # two readings of an alignment: opening capitals are words, or they may be names too; either one may agree
+    met = met.withColumn("reading", F.explode(F.when(F.col("named"), F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    aligned = met.groupBy("doc_id", "row_key", "item_id", "item_row", "reading", (F.col("at") - F.col("item_at")).alias("shift")).agg(
         F.count_distinct("item_at").alias("n_matched"), F.count_distinct(F.when(~F.col("literal"), F.col("item_at"))).alias("n_alike"),
         F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots"))).alias("pairs"),
     ).join(totals, ["item_id", "item_row"])
@@ -225,7 +227,7 @@ def leaks(
     agree = aligned.withColumn("n_slots", F.size(pairs).cast("long")).filter(one & other)
     shares = F.greatest(F.col("n_matched") / F.col("n_windows"), F.try_divide("n_alike", "n_templates"))
     best = agree.withColumn("share", shares).filter(F.col("share") >= min_share)
-    top = F.max_by(F.struct("n_windows", "n_matched", "share", "n_slots"), F.struct("share", -F.col("shift"))).alias("t")
+    top = F.max_by(F.struct("n_windows", "n_matched", "share", "n_slots"), F.struct("share", -F.col("shift"), -F.col("reading"))).alias("t")
     return best.groupBy("doc_id", "row_key", "item_id").agg(top).select("doc_id", "row_key", "item_id", "t.*")
 
 
