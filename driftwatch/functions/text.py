@@ -53,7 +53,6 @@ EMBEDDING_PATTERNS = (
     (r"https?://\S+", "[URL]"),
 )
 
-EMBEDDING_MAX_CHARS = 8000
 CHUNK_CHARS = 1000
 
 
@@ -125,8 +124,8 @@ def semantic_text(col: Column) -> Column:
     return clean_text(replace_all(F.regexp_replace(col, "<[^>]+>", " "), BOILERPLATE_PATTERNS, " "))
 
 
-def preprocess_embedding(col: Column, placeholders_first: bool = False) -> Column:
-    """Text as it is handed to an embedding model, at most 8000 characters.
+def preprocess_embedding(col: Column, placeholders_first: bool = False, max_chars: int | None = None) -> Column:
+    """Text as it is handed to an embedding model, whole or its first ``max_chars`` characters.
 
     By default special characters go before the e-mail and URL placeholders,
     which therefore never match; ``placeholders_first`` puts those first.
@@ -137,7 +136,8 @@ def preprocess_embedding(col: Column, placeholders_first: bool = False) -> Colum
     out = F.coalesce(col, F.lit(""))
     for pattern, value in steps:
         out = F.regexp_replace(out, unicode_pattern(pattern), value)
-    return F.substring(F.trim(F.lower(out)), 1, EMBEDDING_MAX_CHARS)
+    out = F.trim(F.lower(out))
+    return out if max_chars is None else F.substring(out, 1, max_chars)
 
 
 def chunk_text(col: Column, limit: int = CHUNK_CHARS) -> Column:

@@ -211,7 +211,7 @@ class Rule:
     def label(self) -> str:
         if self.category == "benign":
             return f"benign_indicator: {self.pattern}"
-        return f"{self.category}: {self.pattern[:50]}..."
+        return f"{self.category}: {self.pattern}"
 
 
 def build_rules(table=RULE_TABLE) -> tuple[Rule, ...]:

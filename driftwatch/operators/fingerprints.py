@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 def exact_duplicates(df: DataFrame, key: str, digest: Column) -> DataFrame:
     """Rows whose digest occurs more than once, with group size and first member.
 
-    Only keys and digests are shuffled. Group sizes are combined before the
-    shuffle; the join back is split by adaptive execution if one digest
-    dominates.
+    Texts are scanned and hashed once: both branches read one exchange of keys
+    and digests, dealt by key so that no digest makes a task larger. Group
+    sizes are combined before their shuffle; the join back is split by adaptive
+    execution if one digest dominates.
     """
-    hashed = df.select(key, digest.alias("content_hash"))
+    hashed = df.select(key, digest.alias("content_hash")).repartition(key)
     groups = (
         hashed.groupBy("content_hash")
         .agg(F.count(F.lit(1)).alias("n_copies"), F.min(key).alias(f"first_{key}"))

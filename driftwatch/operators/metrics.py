@@ -73,9 +73,9 @@ def _site_report(sites: DataFrame, facts: list[DataFrame], health: Column) -> Da
     ).drop("_response")
 
 
-def site_metrics(sites: DataFrame, snaps: DataFrame, alerts: DataFrame, depth: int = 100) -> DataFrame:
-    """Uptime and health of every site over its newest ``depth`` snapshots."""
-    recent = newest(snaps, ["website_id"], _by_time("captured_at"), depth)
+def site_metrics(sites: DataFrame, snaps: DataFrame, alerts: DataFrame, depth: int | None = None) -> DataFrame:
+    """Uptime and health of every site over all its snapshots, or its newest ``depth``."""
+    recent = snaps if depth is None else newest(snaps, ["website_id"], _by_time("captured_at"), depth)
     share = F.col("successful_scans") / F.col("total_scans") * 10
     health = F.greatest(F.lit(0.0), share - F.col("defacements_detected") * 2)
     return _site_report(sites, [_scan_totals(recent), _defacements(alerts)], health)
@@ -127,14 +127,20 @@ def site_status(sites: DataFrame, snaps: DataFrame, alerts: DataFrame, depth: in
     )
 
 
-def metrics_summary(sites: DataFrame, snaps: DataFrame, alerts: DataFrame, as_of: str) -> DataFrame:
-    """One row: site totals, scan and defacement counts, mean scan duration."""
+def metrics_summary(
+    sites: DataFrame, snaps: DataFrame, alerts: DataFrame, as_of: str, depth: int | None = None
+) -> DataFrame:
+    """One row: site totals, scan and defacement counts, mean scan duration.
+
+    All scans count, or the newest ``depth`` of every site.
+    """
     today, week = F.to_date(at(as_of)), before(as_of, 168)
     site_row = sites.agg(
         F.count(F.lit(1)).alias("total_websites"), F.count_if("is_active").alias("active_websites")
     ).withColumn("inactive_websites", F.col("total_websites") - F.col("active_websites"))
     known = sites.select(F.col("id").alias("website_id"))
-    recent = newest(snaps, ["website_id"], _by_time("captured_at"), 100).join(known, "website_id", "left_semi")
+    scans = snaps if depth is None else newest(snaps, ["website_id"], _by_time("captured_at"), depth)
+    recent = scans.join(known, "website_id", "left_semi")
     scan_row = recent.agg(
         F.count_if(F.to_date("captured_at") == today).alias("total_scans_today"),
         F.count_if(F.col("captured_at") >= week).alias("total_scans_this_week"),

@@ -342,13 +342,20 @@ def blocks_fingerprint(blocked: DataFrame) -> DataFrame:
     ).drop("_kept", "_joined")
 
 
-def content_parts(extracted: DataFrame, key: str) -> DataFrame:
-    """One row per page and content type that has text, ready for embedding."""
-    block = F.array_join(F.slice("text_blocks", 1, 10), " ")
+def content_parts(
+    extracted: DataFrame, key: str, max_blocks: int | None = None, max_chars: int | None = None
+) -> DataFrame:
+    """One row per page and content type that has text, ready for embedding.
+
+    All text blocks are joined, or the first ``max_blocks``; the combined part holds the whole main content, or its
+    first ``max_chars`` characters.
+    """
+    listed, main = F.col("text_blocks"), F.col("main_content")
+    block = F.array_join(listed if max_blocks is None else F.slice(listed, 1, max_blocks), " ")
     full = F.concat_ws(
         " ",
         F.nullif("title", F.lit("")),
-        F.nullif(F.substring("main_content", 1, 2000), F.lit("")),
+        F.nullif(main if max_chars is None else F.substring(main, 1, max_chars), F.lit("")),
         F.nullif("meta_description", F.lit("")),
     )
     parts = F.array(

@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 from driftwatch.functions.text import fixed, unicode_pattern
 from driftwatch.functions.threat_rules import RULES, SUSPICIOUS_KEYWORDS, THREAT_CATEGORIES, Rule, required_literals
 
-MAX_LABELS = 10
-MAX_INDICATORS = 20
-MATCHES_PER_RULE = 3
 CONTEXT_CHARS = 50
 
 
@@ -125,10 +122,16 @@ def rule_scores(df: DataFrame, rules=RULES) -> DataFrame:
     )
 
 
-def rule_verdict(df: DataFrame, as_coded: bool = False, rules=RULES) -> DataFrame:
-    """Adds ``rule_label``, ``rule_confidence`` and the first ten rule labels.
+def _first(values: Column | str, limit: int | None) -> Column:
+    """The first ``limit`` entries of an array, all without a limit."""
+    values = F.col(values) if isinstance(values, str) else values
+    return values if limit is None else F.slice(values, 1, limit)
 
-    A total below zero (benign signs only) gives confidence 0; ``as_coded``
+
+def rule_verdict(df: DataFrame, as_coded: bool = False, rules=RULES, max_labels: int | None = None) -> DataFrame:
+    """Adds ``rule_label``, ``rule_confidence`` and ``triggered_rules``, the labels of the rules that match.
+
+    All labels are kept unless ``max_labels`` says how many. A total below zero (benign signs only) gives confidence 0; ``as_coded``
     takes its magnitude instead.
     """
     raw = F.abs("total_score") if as_coded else F.greatest(F.lit(0.0), F.col("total_score"))
@@ -140,7 +143,7 @@ def rule_verdict(df: DataFrame, as_coded: bool = False, rules=RULES) -> DataFram
         {
             "rule_label": label,
             "rule_confidence": boosted,
-            "triggered_rules": F.transform(F.slice("hits", 1, MAX_LABELS), lambda i: labels[i - 1]),
+            "triggered_rules": F.transform(_first("hits", max_labels), lambda i: labels[i - 1]),
         }
     ).drop("_c")
 
@@ -158,8 +161,13 @@ def match_context(text: Column, matched: Column, size: int = CONTEXT_CHARS) -> C
     return F.when(at == 0, "").otherwise(cut)
 
 
-def threat_indicators(df: DataFrame, text: str = "text", limit: int | None = MAX_INDICATORS, rules=RULES) -> DataFrame:
-    """Adds ``indicators``: up to three matches per threat rule, in rule order."""
+def threat_indicators(
+    df: DataFrame, text: str = "text", limit: int | None = None, rules=RULES, per_rule: int | None = None
+) -> DataFrame:
+    """Adds ``indicators``: the matches of every threat rule, in rule order and then in text order.
+
+    All matches are kept unless ``per_rule`` (of each rule) or ``limit`` (of each text) says how many.
+    """
     patterns = _table(rules, lambda r: unicode_pattern(r.pattern))
     categories = _table(rules, lambda r: r.category)
     numbers = _table(rules, lambda r: r.rule_no, "int")
@@ -169,7 +177,7 @@ def threat_indicators(df: DataFrame, text: str = "text", limit: int | None = MAX
     def found(i: Column) -> Column:
         matches = F.regexp_extract_all(F.col(text), patterns[i - 1], F.lit(0))
         return F.transform(
-            F.slice(matches, 1, MATCHES_PER_RULE),
+            _first(matches, per_rule),
             lambda m: F.struct(
                 categories[i - 1].alias("category"),
                 numbers[i - 1].alias("rule_no"),
@@ -180,11 +188,11 @@ def threat_indicators(df: DataFrame, text: str = "text", limit: int | None = MAX
 
     threat_hits = F.filter("hits", lambda i: i <= max(threats))
     listed = F.flatten(F.transform(threat_hits, found))
-    return df.withColumn("indicators", F.slice(listed, 1, limit) if limit else listed)
+    return df.withColumn("indicators", _first(listed, limit))
 
 
-def rule_reasoning(df: DataFrame) -> DataFrame:
-    """Adds ``rule_reasoning``: the verdict in sentences."""
+def rule_reasoning(df: DataFrame, max_labels: int | None = None) -> DataFrame:
+    """Adds ``rule_reasoning``: the verdict in sentences, with all rule labels or the first ``max_labels``."""
     c = F.col("rule_confidence")
     shown = F.concat(F.lit(" ("), fixed(c), F.lit(")"))
     opening = (
@@ -206,7 +214,7 @@ def rule_reasoning(df: DataFrame) -> DataFrame:
         ),
         F.when(
             F.size("triggered_rules") > 0,
-            F.concat(F.lit("Key indicators: "), F.array_join(F.slice("triggered_rules", 1, 3), ", ")),
+            F.concat(F.lit("Key indicators: "), F.array_join(_first("triggered_rules", max_labels), ", ")),
         ),
         closing,
     ]

@@ -55,9 +55,7 @@ BASELINE VISUAL CONTEXT:
 
 Analyze whether these visual changes indicate defacement or legitimate updates.""",
 }
-PROMPT_CHARS = 50_000
 CUT_MARK = "\n\n[Content truncated due to length]"
-STATIC_ITEMS = 5
 
 LABELS = ("benign", "defacement", "unclear")
 ANSWER_SCHEMA = (
@@ -66,11 +64,15 @@ ANSWER_SCHEMA = (
 )
 
 
-def prompt_text(df: DataFrame, prompt_type: str = "general_analysis") -> DataFrame:
+def prompt_text(
+    df: DataFrame, prompt_type: str = "general_analysis", max_chars: int | None = None, static_items: int | None = None
+) -> DataFrame:
     """Adds ``prompt`` from url, site_context, changed and static content, previous verdict.
 
-    An unknown type uses the general format.
+    An unknown type uses the general format. Prompts are whole; ``max_chars`` cuts them with a mark, ``static_items``
+    takes that many entries of the static content.
     """
+    static = F.col("static_context") if static_items is None else F.slice("static_context", 1, static_items)
     layout = PROMPT_FORMATS.get(prompt_type, PROMPT_FORMATS["general_analysis"])
     previous = F.concat(
         F.lit("Previous: "), "previous_label", F.lit(" (confidence: "), F.col("previous_confidence").cast("string"), F.lit(")")
@@ -82,14 +84,16 @@ def prompt_text(df: DataFrame, prompt_type: str = "general_analysis") -> DataFra
             F.size("changed_content") > 0, F.array_join("changed_content", "\n\n")
         ).otherwise("No content changes detected"),
         "static_context": F.when(
-            F.size("static_context") > 0, F.array_join(F.slice("static_context", 1, STATIC_ITEMS), "\n\n")
+            F.size("static_context") > 0, F.array_join(static, "\n\n")
         ).otherwise("No context available"),
         "previous_classification": F.coalesce(previous, F.lit("None")),
     }
     full = F.concat(*_fill(layout, values))
+    if max_chars is None:
+        return df.withColumn("prompt", full)
     staged = df.withColumn("_full", full)
-    cut = F.concat(F.substring("_full", 1, PROMPT_CHARS), F.lit(CUT_MARK))
-    return staged.withColumn("prompt", F.when(F.length("_full") > PROMPT_CHARS, cut).otherwise(F.col("_full"))).drop("_full")
+    cut = F.concat(F.substring("_full", 1, max_chars), F.lit(CUT_MARK))
+    return staged.withColumn("prompt", F.when(F.length("_full") > max_chars, cut).otherwise(F.col("_full"))).drop("_full")
 
 
 def _fill(layout: str, values: dict[str, Column]) -> list[Column]:
@@ -130,7 +134,7 @@ def parse_verdicts(df: DataFrame, answer: str = "answer") -> DataFrame:
         F.concat(F.lit("Severity: "), F.coalesce("_p.severity", F.lit("medium"))),
     )
     plain = F.concat(F.col(answer), F.lit("\n\nRecommended action: investigate\n\nSeverity: medium"))
-    broken = F.concat(F.lit("JSON parsing error. Raw response: "), F.substring(answer, 1, 500))
+    broken = F.concat(F.lit("JSON parsing error. Raw response: "), F.col(answer))
     return staged.withColumns(
         {
             "label": F.when(none | bad | ~label.isin(*LABELS), "unclear").otherwise(F.coalesce(label, F.lit("unclear"))),
@@ -153,15 +157,17 @@ def error_verdicts(requests: DataFrame, answers: DataFrame, key: str) -> DataFra
     )
 
 
-def classification_request(df: DataFrame) -> DataFrame:
+def classification_request(df: DataFrame, max_blocks: int | None = None) -> DataFrame:
     """Adds ``changed_content``, ``static_context`` and ``site_context`` (JSON).
 
-    Input has main content and text blocks of the new and the baseline version.
+    Input has main content and text blocks of the new and the baseline version; all blocks are taken, or the first
+    ``max_blocks``.
     """
 
     def parts(main: str, blocks: str) -> Column:
         head = F.when(F.coalesce(F.col(main), F.lit("")) != "", F.array(main)).otherwise(F.array().cast("array<string>"))
-        return F.concat(head, F.coalesce(F.slice(blocks, 1, 5), F.array().cast("array<string>")))
+        listed = F.col(blocks) if max_blocks is None else F.slice(blocks, 1, max_blocks)
+        return F.concat(head, F.coalesce(listed, F.array().cast("array<string>")))
 
     context = F.struct(
         "website_id", F.col("url").alias("website_url"), "website_name", "title", "meta_description", "word_count",

@@ -31,7 +31,7 @@ SELECT website_id, website_name, website_url, total_scans, successful_scans, fai
   round(art, 6) AS average_response_time_ms, round(CAST(uptime AS DOUBLE), 6) AS uptime_percentage, """
 
 
-@query("site_metrics", ("sites", "snaps", "alerts"), SITE_FACTS.format(source=f"(SELECT * FROM {RANKED_SNAPS} y WHERE rn <= 100)") + """
+@query("site_metrics", ("sites", "snaps", "alerts"), SITE_FACTS.format(source="snaps") + """
   CASE WHEN total_scans > 0 THEN round(greatest(0.0, successful_scans / total_scans * 10 - defacements_detected * 2), 6) END AS health_score FROM b""")
 def site_metrics(t):
     out = metrics.site_metrics(t.sites, t.snaps, t.alerts)
@@ -58,7 +58,7 @@ def site_status(t):
 
 
 @query("metrics_summary", ("sites", "snaps", "alerts"), f"""
-, r AS (SELECT * FROM {RANKED_SNAPS} z WHERE rn <= 100)
+, r AS (SELECT * FROM snaps)
 SELECT (SELECT count(*) FROM sites) AS total_websites, (SELECT count(*) FROM sites WHERE is_active) AS active_websites,
   (SELECT count(*) FROM sites WHERE NOT is_active) AS inactive_websites,
   (SELECT count(*) FROM r WHERE CAST(captured_at AS DATE) = DATE '2024-01-30') AS total_scans_today,

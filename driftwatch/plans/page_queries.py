@@ -233,9 +233,9 @@ def hash_text_blocks(t):
 
 PARTS_SQL = f"""
 , bx AS (SELECT page_id, array_agg(text ORDER BY pos) AS b FROM bl GROUP BY 1),
-pt AS (SELECT p.page_id, main_content AS m, {q.clean(decode_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)"))} AS ti, array_to_string(b[1:10], ' ') AS bt FROM pages_injected p JOIN mc USING (page_id) LEFT JOIN bx USING (page_id)),
+pt AS (SELECT p.page_id, main_content AS m, {q.clean(decode_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)"))} AS ti, array_to_string(b, ' ') AS bt FROM pages_injected p JOIN mc USING (page_id) LEFT JOIN bx USING (page_id)),
 pa AS (SELECT page_id, 'main_content' AS content_type, m AS text FROM pt UNION ALL SELECT page_id, 'title', ti FROM pt UNION ALL SELECT page_id, 'text_blocks', bt FROM pt
-  UNION ALL SELECT page_id, 'combined', concat_ws(' ', nullif(ti, ''), nullif(substr(m, 1, 2000), '')) FROM pt)
+  UNION ALL SELECT page_id, 'combined', concat_ws(' ', nullif(ti, ''), nullif(m, '')) FROM pt)
 """
 
 
@@ -253,7 +253,7 @@ def vectorize_parts_embedded(t):
 
 @query("classification_request", ("pages_injected",), PAGE_SQL + MAIN_SQL + f"""
 , bx AS (SELECT page_id, array_agg(text ORDER BY pos) AS b FROM bl GROUP BY 1),
-v AS (SELECT p.page_id, p.page_id // 10 AS site, main_content AS m, b[1:5] AS b FROM pages_injected p JOIN mc USING (page_id) LEFT JOIN bx USING (page_id)),
+v AS (SELECT p.page_id, p.page_id // 10 AS site, main_content AS m, b FROM pages_injected p JOIN mc USING (page_id) LEFT JOIN bx USING (page_id)),
 w AS (SELECT *, lag(m) OVER (PARTITION BY site ORDER BY page_id) AS om, lag(b) OVER (PARTITION BY site ORDER BY page_id) AS ob FROM v)
 SELECT page_id, array_to_string(list_concat(CASE WHEN m <> '' THEN [m] ELSE [] END, b), chr(10)) AS changed_content,
   coalesce(array_to_string(list_concat(CASE WHEN om <> '' THEN [om] ELSE [] END, ob), chr(10)), '') AS static_context, om IS NOT NULL AS has_baseline FROM w""", recursive=True)

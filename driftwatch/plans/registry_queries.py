@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from driftwatch.operators import metrics
 from driftwatch.operators import registry as reg
-from driftwatch.plans.metrics_queries import SITE_FACTS, RANKED_SNAPS, rounded
+from driftwatch.plans.metrics_queries import SITE_FACTS, rounded
 from driftwatch.plans.registry import query
 from driftwatch.plans.views import AS_OF, AS_OF_SQL
 from driftwatch.sources import tables
@@ -157,7 +157,7 @@ def table_counts(t):
     return tables.count_tables({name: getattr(t, name) for name in names})
 
 
-EXPORT_SQL = SITE_FACTS.format(source=f"(SELECT * FROM {RANKED_SNAPS} y WHERE rn <= 100)").replace("\nSELECT website_id", ",\nreport AS (SELECT website_id", 1)
+EXPORT_SQL = SITE_FACTS.format(source="snaps").replace("\nSELECT website_id", ",\nreport AS (SELECT website_id", 1)
 
 
 @query("export_metrics", ("sites", "snaps", "alerts"), EXPORT_SQL + "1 AS one FROM b) SELECT website_id, website_name, total_scans, uptime_percentage FROM report")

@@ -82,7 +82,7 @@ h AS {hits_sql("docs_planted", "doc_id")},
 s AS (SELECT doc_id, text, hits, labels, {_SUMS} FROM h, k),
 v1 AS (SELECT *, round({" + ".join(f"{c}_score" for c in (*THREAT_CATEGORIES, "benign"))}, 9) AS total_score, CASE WHEN {_TOP} <= 0 THEN 'unknown' {_LEAD} END AS threat_category,
   list_filter([{_PRESENT}], lambda x: x IS NOT NULL) AS categories FROM s),
-v2 AS (SELECT *, least(1.0, $RAW) AS c, list_transform(hits[1:10], lambda i: labels[i]) AS triggered FROM v1),
+v2 AS (SELECT *, least(1.0, $RAW) AS c, list_transform(hits, lambda i: labels[i]) AS triggered FROM v1),
 v3 AS (SELECT *, CASE WHEN c >= 0.7 THEN 'defacement' WHEN c >= 0.4 THEN 'unclear' ELSE 'benign' END AS rule_label,
   CAST(CASE WHEN len(categories) > 2 THEN least(1.0, c * 1.2) ELSE c END AS DOUBLE) AS rule_confidence FROM v2)
 """
@@ -123,7 +123,7 @@ SELECT doc_id, concat_ws('. ', CASE WHEN rule_confidence >= 0.8 THEN 'High confi
     ELSE 'Low confidence assessment' END || ' (' || format('{:.2f}', rule_confidence) || ')',
   CASE WHEN threat_category <> 'unknown' THEN 'Primary threat type: ' || threat_category END,
   CASE WHEN len(categories) > 1 THEN 'Multiple threat indicators detected: ' || array_to_string(categories, ', ') END,
-  CASE WHEN len(triggered) > 0 THEN 'Key indicators: ' || array_to_string(triggered[1:3], ', ') END,
+  CASE WHEN len(triggered) > 0 THEN 'Key indicators: ' || array_to_string(triggered, ', ') END,
   CASE WHEN rule_confidence >= 0.9 THEN 'CRITICAL: Immediate action required' WHEN rule_confidence >= 0.7 THEN 'HIGH: Prompt investigation needed'
     WHEN rule_confidence >= 0.5 THEN 'MEDIUM: Review recommended' END) AS rule_reasoning FROM v3""")
 def rule_reasoning(t):
@@ -136,9 +136,9 @@ _FOUND = "\n".join(
 INDICATOR_SQL = f"""
 , {table_sql()}, h AS {hits_sql("docs_planted", "doc_id", "text", THREAT_CATEGORIES)},
 x AS (SELECT doc_id, text, unnest(hits) AS i FROM h),
-y AS (SELECT doc_id, text, i, (CASE i {_FOUND} END)[1:3] AS ms FROM x),
+y AS (SELECT doc_id, text, i, CASE i {_FOUND} END AS ms FROM x),
 z AS (SELECT doc_id, text, i, unnest(ms) AS matched_text, unnest(range(1, len(ms) + 1)) AS n FROM y),
-ind AS (SELECT doc_id, text, i, n, matched_text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, n) AS rn FROM z) w WHERE rn <= 20)
+ind AS (SELECT doc_id, text, i, n, matched_text FROM z)
 """
 
 

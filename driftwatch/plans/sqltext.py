@@ -84,7 +84,7 @@ def embed_text(x: str) -> str:
     out = f"coalesce({x}, '')"
     for pattern, value in text.EMBEDDING_PATTERNS[:3]:
         out = sub(out, pattern, value)
-    return f"substr(trim(lower({bare_numbers(out, '[NUM]')})), 1, 8000)"
+    return f"trim(lower({bare_numbers(out, '[NUM]')}))"
 
 
 def keyword_similarity(a: str, b: str) -> str:

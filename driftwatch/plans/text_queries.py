@@ -132,7 +132,7 @@ for _kind in vd.PROMPT_FORMATS:
 
     @query(f"llm_prompts{_suffix}", (), f"""
 , p AS (SELECT doc_id, {prompt_sql(_kind)} AS prompt FROM documents)
-SELECT doc_id, CASE WHEN length(prompt) > 50000 THEN substr(prompt, 1, 50000) || chr(10) || chr(10) || '[Content truncated due to length]' ELSE prompt END AS prompt FROM p
+SELECT doc_id, prompt FROM p
 """)
     def llm_prompts(t, kind=_kind):
         even = F.col("doc_id") % 2 == 0

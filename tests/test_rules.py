@@ -77,3 +77,17 @@ def test_context_has_dots_where_cut(spark):
     df = spark.createDataFrame([(body, "NEEDLE"), (body, "missing")], "t string, m string")
     got = [r[0] for r in df.select(rules.match_context(F.col("t"), F.col("m"))).collect()]
     assert got == ["..." + "a" * 50 + "NEEDLE" + "b" * 20, ""]
+
+
+def test_long_texts_keep_late_indicators(spark):
+    from driftwatch.operators import rules as operators
+    from pyspark.sql import functions as F
+
+    text = "hacked by someone. " * 30 + "eval(base64_decode(x))"
+    judged = operators.judge_text(spark.createDataFrame([(1, text)], "id long, text string"))
+    row = judged.select("indicators", "triggered_rules", "rule_reasoning").first()
+    assert len(row.indicators) > 20 and len({i.category for i in row.indicators}) > 1
+    assert sum(i.matched_text.lower().startswith("hacked by") for i in row.indicators) >= 30
+    assert all(label in row.rule_reasoning for label in row.triggered_rules)
+    short = operators.threat_indicators(operators.rule_hits(spark.createDataFrame([(1, text)], "id long, text string")), limit=20, per_rule=3)
+    assert short.select(F.size("indicators")).first()[0] <= 20
