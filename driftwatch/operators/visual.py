@@ -6,6 +6,8 @@ in row order). All measures are computed inside the row, without a shuffle.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,48 +99,70 @@ def histogram_correlation(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("histogram_correlation", F.greatest(F.lit(0.0), F.coalesce(score, F.lit(0.0))))
 
 
-def changed_regions(
-    pairs: DataFrame, tile: int = 64, min_pixels: int = MIN_REGION_PIXELS, sensitivity: float = SENSITIVITY
-) -> DataFrame:
-    """Adds ``changed_regions``: tiles with more than ``min_pixels`` changed pixels.
+def label_regions(mask: np.ndarray, min_pixels: int) -> list[dict[str, int]]:
+    """Connected components (by edges) of a row-by-column mask with more than ``min_pixels`` pixels.
 
-    Each region has the bounding box of its changed pixels and their number.
+    Rows are cut into runs of marked pixels; runs of neighbouring rows that overlap are joined by union-find, so the
+    time is linear in the pixels but for a logarithm.
     """
-    differences = grey_values(*[_difference(c) for c in CHANNELS])
-    marked = F.filter(
-        F.transform(
-            differences,
-            lambda v, i: F.struct(
-                (i % F.col("width")).cast("int").alias("x"), F.floor(i / F.col("width")).cast("int").alias("y"), v.alias("v")
-            ),
-        ),
-        lambda p: p["v"] > int(255 * sensitivity),
-    )
-    staged = pairs.withColumn("_marked", marked)
+    height, width = mask.shape
+    step = width + 1
+    marks = np.zeros((height, step), np.int8)  # an unmarked column parts the rows
+    marks[:, :width] = mask
+    edges = np.diff(marks.ravel(), prepend=0, append=0)
+    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    low = np.searchsorted(ends, starts + step, side="right")
+    met = np.maximum(np.searchsorted(starts, ends + step, side="left") - low, 0)
+    upper = np.repeat(np.arange(len(starts)), met)
+    lower = np.arange(met.sum()) - np.repeat(np.cumsum(met) - met, met) + np.repeat(low, met)
+    root = np.arange(len(starts))
+    while True:
+        one, other = root[upper], root[lower]
+        apart = one != other
+        if not apart.any():
+            break
+        upper, lower, one, other = upper[apart], lower[apart], one[apart], other[apart]
+        np.minimum.at(root, np.maximum(one, other), np.minimum(one, other))
+        while (root != root[root]).any():
+            root = root[root]
+    _, label = np.unique(root, return_inverse=True)
+    n = int(label.max()) + 1 if len(label) else 0
+    y, left, right = starts // step, starts % step, ends - 1 - starts // step * step
+    area = np.bincount(label, ends - starts, n).astype(np.int64)
+    x0, y0, x1, y1 = np.full(n, width), np.full(n, height), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    np.minimum.at(x0, label, left), np.minimum.at(y0, label, y), np.maximum.at(x1, label, right), np.maximum.at(y1, label, y)
+    kept = sorted(np.flatnonzero(area > min_pixels).tolist(), key=lambda k: (y0[k], x0[k]))
+    return [
+        {"x": int(x0[k]), "y": int(y0[k]), "width": int(x1[k] - x0[k]), "height": int(y1[k] - y0[k]), "area": int(area[k])}
+        for k in kept
+    ]
 
-    def where(p: Column) -> Column:
-        return F.struct(F.floor(p["y"] / tile).alias("ty"), F.floor(p["x"] / tile).alias("tx"))
 
-    tiles = F.array_sort(F.array_distinct(F.transform("_marked", where)))
+def changed_regions(
+    pairs: DataFrame, min_pixels: int = MIN_REGION_PIXELS, sensitivity: float = SENSITIVITY
+) -> DataFrame:
+    """Adds ``changed_regions``: connected shapes of more than ``min_pixels`` changed pixels, from the top down.
 
-    def region(t: Column) -> Column:
-        inside = F.filter("_marked", lambda p: where(p) == t)
-        xs, ys = F.transform(inside, lambda p: p["x"]), F.transform(inside, lambda p: p["y"])
-        return F.struct(
-            F.array_min(xs).alias("x"),
-            F.array_min(ys).alias("y"),
-            (F.array_max(xs) - F.array_min(xs)).alias("width"),
-            (F.array_max(ys) - F.array_min(ys)).alias("height"),
-            F.size(inside).alias("area"),
-        )
+    Each region has the bounding box of its pixels and their number. Pixels are connected by edges. Only the marks of
+    changed pixels leave the JVM. Images without pixels, or null ones, have no regions.
+    """
 
-    regions = F.filter(F.transform(tiles, region), lambda r: r["area"] > min_pixels)
-    return staged.withColumn("changed_regions", regions).drop("_marked")
+    @F.pandas_udf("array<struct<x:int,y:int,width:int,height:int,area:int>>")
+    def regions(marks: pd.Series, width: pd.Series) -> pd.Series:
+        out = []
+        for row, w in zip(marks, width):
+            empty = row is None or not len(row) or not w > 0
+            out.append([] if empty else label_regions(np.asarray(row, bool).reshape(-1, int(w)), min_pixels))
+        return pd.Series(out)
+
+    differences = grey_values(*[_difference(c) for c in CHANNELS])
+    changed = F.transform(differences, lambda v: F.coalesce(v > int(255 * sensitivity), F.lit(False)))
+    return pairs.withColumn("changed_regions", regions(changed, F.col("width")))
 
 
-def visual_diff(pairs: DataFrame, tile: int = 64, min_pixels: int = MIN_REGION_PIXELS) -> DataFrame:
+def visual_diff(pairs: DataFrame, min_pixels: int = MIN_REGION_PIXELS) -> DataFrame:
     """Adds similarity, difference, significance and a summary of each image pair."""
-    measured = changed_regions(histogram_correlation(pixel_similarity(pairs)), tile, min_pixels)
+    measured = changed_regions(histogram_correlation(pixel_similarity(pairs)), min_pixels)
     blend = F.col("pixel_similarity") * PIXEL_WEIGHT + F.col("histogram_correlation") * HISTOGRAM_WEIGHT
     scored = measured.withColumn("similarity_score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), blend))).withColumn(
         "difference_percentage", (1.0 - F.col("similarity_score")) * 100

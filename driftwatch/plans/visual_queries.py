@@ -46,24 +46,28 @@ grid AS (SELECT image_id, ch, v FROM (SELECT DISTINCT image_id FROM pr) i, (VALU
 hc AS (SELECT grid.image_id, greatest(0, coalesce(nullif(corr(CAST(coalesce(a.k, 0) AS DOUBLE), CAST(coalesce(b.k, 0) AS DOUBLE)), 'nan'::DOUBLE), 0)) AS hc FROM grid
   LEFT JOIN hs a ON a.image_id = grid.image_id - 7 AND a.ch = grid.ch AND a.v = grid.v LEFT JOIN hs b ON b.image_id = grid.image_id AND b.ch = grid.ch AND b.v = grid.v GROUP BY 1),
 gd AS (SELECT image_id, pos % 8 AS x, pos // 8 AS y, (sum(abs(o - n) * CASE ch WHEN 0 THEN 19595 WHEN 1 THEN 38470 ELSE 7471 END) + 32768) // 65536 AS g FROM pr GROUP BY 1, pos),
-rg AS (SELECT image_id, y // 4 AS ty, x // 4 AS tx, min(x) AS x, min(y) AS y, max(x) - min(x) AS w, max(y) - min(y) AS h, count(*) AS area FROM gd WHERE g > 25 GROUP BY 1, 2, 3 HAVING count(*) > 6),
+ch AS MATERIALIZED (SELECT image_id, x, y FROM gd WHERE g > 25),
+ed AS MATERIALIZED (SELECT a.image_id, a.y * 8 + a.x AS p, b.y * 8 + b.x AS q FROM ch a JOIN ch b ON b.image_id = a.image_id AND abs(a.x - b.x) + abs(a.y - b.y) = 1),
+rc AS (SELECT image_id, y * 8 + x AS p, y * 8 + x AS q FROM ch UNION SELECT rc.image_id, rc.p, ed.q FROM rc JOIN ed ON ed.image_id = rc.image_id AND ed.p = rc.q),
+lb AS (SELECT image_id, p, min(q) AS label FROM rc GROUP BY 1, 2),
+rg AS (SELECT image_id, min(p % 8) AS x, min(p // 8) AS y, max(p % 8) - min(p % 8) AS w, max(p // 8) - min(p // 8) AS h, count(*) AS area FROM lb GROUP BY image_id, label HAVING count(*) > 6),
 sc AS (SELECT image_id, ps, hc, greatest(0.0, least(1.0, ps * CAST(0.7 AS DOUBLE) + hc * CAST(0.3 AS DOUBLE))) AS s, (SELECT count(*) FROM rg WHERE rg.image_id = ps.image_id) AS nr FROM ps JOIN hc USING (image_id))
 """
 
 
-@query("pixel_similarity", ("pixels",), PAIR_SQL + "SELECT image_id, round(ps, 6) AS pixel_similarity FROM ps")
+@query("pixel_similarity", ("pixels",), PAIR_SQL + "SELECT image_id, round(ps, 6) AS pixel_similarity FROM ps", recursive=True)
 def pixel_similarity(t):
     return rounded(vis.pixel_similarity(pairs(t)).select("image_id", "pixel_similarity"), "pixel_similarity")
 
 
 @query("histogram", ("pixels",), IMAGE_SQL + """
-SELECT image_id, CAST(ch * 256 + v AS INT) AS bin, CAST(count(*) AS INT) AS n_pixels FROM px GROUP BY 1, 2""")
+, b AS (SELECT image_id, unnest(range(0, 768)) AS bin FROM im)
+SELECT b.image_id, CAST(b.bin AS INT) AS bin, CAST(count(px.v) AS INT) AS n_pixels FROM b LEFT JOIN px ON px.image_id = b.image_id AND px.ch * 256 + px.v = b.bin GROUP BY 1, 2""")
 def histogram(t):
-    bins = vis.histograms(images(t)).select("image_id", F.posexplode("histogram").alias("bin", "n_pixels"))
-    return bins.filter(F.col("n_pixels") > 0)
+    return vis.histograms(images(t)).select("image_id", F.posexplode("histogram").alias("bin", "n_pixels"))
 
 
-@query("histogram_correlation", ("pixels",), PAIR_SQL + "SELECT image_id, round(CAST(hc AS DOUBLE), 6) AS histogram_correlation FROM hc")
+@query("histogram_correlation", ("pixels",), PAIR_SQL + "SELECT image_id, round(CAST(hc AS DOUBLE), 6) AS histogram_correlation FROM hc", recursive=True)
 def histogram_correlation(t):
     return rounded(vis.histogram_correlation(pairs(t)).select("image_id", "histogram_correlation"), "histogram_correlation")
 
@@ -73,9 +77,9 @@ _SUMMARY = """CASE WHEN s >= 0.99 THEN 'No significant visual changes detected'
 
 
 @query("visual_diff", ("pixels",), PAIR_SQL + f"""
-SELECT image_id, round(s, 6) AS similarity_score, round((1 - s) * 100, 6) AS difference_percentage, s < 0.8 AS has_significant_change, {_SUMMARY} AS change_summary FROM sc""")
+SELECT image_id, round(s, 6) AS similarity_score, round((1 - s) * 100, 6) AS difference_percentage, s < 0.8 AS has_significant_change, {_SUMMARY} AS change_summary FROM sc""", recursive=True)
 def visual_diff(t):
-    out = vis.visual_diff(pairs(t), tile=4, min_pixels=6)
+    out = vis.visual_diff(pairs(t), min_pixels=6)
     return rounded(
         out.select("image_id", "similarity_score", "difference_percentage", "has_significant_change", "change_summary"),
         "similarity_score", "difference_percentage",
@@ -83,9 +87,9 @@ def visual_diff(t):
 
 
 @query("changed_regions", ("pixels",), PAIR_SQL + """
-SELECT image_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(w AS INT) AS width, CAST(h AS INT) AS height, CAST(area AS INT) AS area FROM rg""")
+SELECT image_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(w AS INT) AS width, CAST(h AS INT) AS height, CAST(area AS INT) AS area FROM rg""", recursive=True)
 def changed_regions(t):
-    out = vis.changed_regions(pairs(t), tile=4, min_pixels=6)
+    out = vis.changed_regions(pairs(t), min_pixels=6)
     rows = out.select("image_id", F.explode_outer("changed_regions").alias("r")).filter("r IS NOT NULL")
     return rows.select("image_id", "r.*")
 
@@ -103,12 +107,12 @@ def visual_fingerprint(t):
 
 @query("viewport_compare", ("pixels",), PAIR_SQL.replace("image_id - 7", "image_id - 3") + """
 SELECT im.image_id // 3 AS site, im.image_id % 3 AS viewport, round(CASE WHEN im.image_id // 3 % 4 <> 0 THEN s END, 6) AS similarity_score, CASE WHEN im.image_id // 3 % 4 <> 0 THEN s < 0.8 END AS has_significant_change
-FROM im LEFT JOIN sc USING (image_id)""")
+FROM im LEFT JOIN sc USING (image_id)""", recursive=True)
 def viewport_compare(t):
     shots = images(t).withColumns({"site": F.floor(F.col("image_id") / 3), "viewport": F.col("image_id") % 3})
     baselines = shots.withColumn("site", F.col("site") + 1).filter(F.col("site") % 4 != 0)
     matched = vis.viewport_pairs(shots, baselines, ["site", "viewport"])
-    out = vis.visual_diff(matched, tile=4, min_pixels=6)
+    out = vis.visual_diff(matched, min_pixels=6)
     known = F.col("old_r").isNotNull()
     return out.select(
         "site", "viewport", F.when(known, F.round("similarity_score", 6)).alias("similarity_score"),
