@@ -7,10 +7,17 @@ counts are smoothed towards the words':
     p(w | v) = (c(v w) + prior * p(w)) / (c(v) + prior),   p(w) = (c(w) + 1/2) / (N + (V + 1) / 2)
 
 Lower edges of the quantised counts are used above and upper edges below, so the probabilities of all words sum to 1
-at most (but for the filter's rare false hits). The logarithm of a text is a sum of terms that each need the counts
-that belong to one word. So the filter is cut into slices by word, each of a bounded size; slice after slice is
-broadcast, and the partial sums of all texts are added. The number of slices grows with the corpus, the broadcast
-does not.
+at most (but for the filter's rare false hits). The filter is cut into parts by word and n-gram. As long as all parts
+together keep within a fixed number of bytes they are broadcast, and every task probes them for its texts. A larger
+filter stays on the cluster: blocks of texts ask the part that holds their n-grams, a part probes its filter for them,
+and the answers are added up per text. Both ways probe the same parts, so they give the same scores, and neither reads
+the texts more than three times, whatever the corpus holds.
+
+A term is split for that. With c and p the counts and word probability as read back,
+
+    log p(w | v) = log(prior * p(w)) - log(c(v) + prior) + log(1 + c(v w) / (prior * p(w)))
+
+the first two parts need the filter of one word, the third that of the pair and of its last word.
 """
 
 from __future__ import annotations
@@ -20,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,82 +67,91 @@ def _place(grams: np.ndarray, words: np.ndarray, slices: int, shards: int) -> np
     return ((words >> np.uint64(11)) % np.uint64(slices)).astype(np.int64) * shards + ((grams >> np.uint64(31)) % np.uint64(shards)).astype(np.int64)
 
 
-_BLOB = pa.schema([("part", pa.int64()), ("kind", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in ("grams", "counts", "held", "docs", "tf", "keys")), ("n_docs", pa.int64())])
-
-
-def _dealt(rows: DataFrame, slices: int, shards: int) -> DataFrame:
-    """Blocks of counts (training texts) and of which text holds which word (all texts), by part of the filter."""
-
-    def block(words: list[np.ndarray], starts: list[np.ndarray], keys: list[np.ndarray], train: list[np.ndarray]):
+_BLOB = pa.schema([("part", pa.int64()), ("block", pa.int64()), *((c, pa.binary()) for c in ("grams", "counts", "words", "runs", "held", "docs", "tf", "keys")), ("n_docs", pa.int64())])
+
+
+def _blobs(out: dict[str, list], name: int, grams: np.ndarray, words: np.ndarray, doc: np.ndarray, train: np.ndarray, place, holders: bool, keys: np.ndarray, n_docs: int) -> None:
+    """Add one row for each part: its n-grams with their counts in training texts, the word that each belongs to (runs
+    of one word), and, with ``holders``, which text holds it how often."""
+    by = np.argsort(grams, kind="stable")  # texts stay in order
+    g, d, t = grams[by], doc[by], train[by]
+    new = np.ones(len(g), bool)
+    new[1:] = (g[1:] != g[:-1]) | (d[1:] != d[:-1])
+    at = np.flatnonzero(new)
+    tf = np.diff(np.append(at, len(g)))
+    g, d, of_train, word = g[at], d[at], np.where(t[at], tf, 0), words[by][at]
+    first = np.ones(len(g), bool)
+    first[1:] = g[1:] != g[:-1]
+    runs = np.flatnonzero(first)
+    held, count = np.diff(np.append(runs, len(g))), np.add.reduceat(of_train, runs)
+    gram, word = g[runs], word[runs]
+    part = place(gram, word)
+    order = np.lexsort((word, part))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    entries = np.argsort(np.repeat(rank, held), kind="stable")
+    gram, word, held, count, part = gram[order], word[order], held[order], count[order], part[order]
+    ends = np.concatenate([[0], np.cumsum(held)])
+    d, tf = d[entries].astype(np.uint16), tf[entries].astype(np.uint32)
+    edges = np.concatenate([np.flatnonzero(np.diff(part, prepend=-1)), [len(part)]])
+    for k, (low, high) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
+        own = word[low:high]
+        starts = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1])
+        e = slice(ends[low], ends[high]) if holders else slice(0, 0)
+        for c, x in (
+            ("part", int(part[low])), ("block", name), ("grams", gram[low:high].tobytes()), ("counts", count[low:high].astype(np.uint32).tobytes()),
+            ("words", own[starts].tobytes()), ("runs", np.diff(np.append(starts, len(own))).astype(np.uint32).tobytes()),
+            ("held", held[low:high].astype(np.uint32).tobytes() if holders else b""), ("docs", d[e].tobytes()), ("tf", tf[e].tobytes()),
+            ("keys", keys.tobytes() if k == 0 else b""), ("n_docs", n_docs if k == 0 else 0),
+        ):
+            out[c].append(x)
+
+
+def _dealt(rows: DataFrame, slices: int, shards: int, of_pairs: bool, holders: bool = True) -> DataFrame:
+    """Blocks of counts (of training texts) and of which text holds what (all texts), by part of the filter."""
+
+    def block(ordinal: int, words: list[np.ndarray], starts: list[np.ndarray], keys: list[np.ndarray], train: list[np.ndarray]):
         w = np.concatenate(words)
         lengths = np.concatenate([np.diff(s) for s in starts])
-        begin = np.concatenate([[0], np.cumsum(lengths)])
-        learn = np.concatenate(train)
-        own = np.concatenate(keys)
+        learn, own = np.concatenate(train), np.concatenate(keys)
         doc = np.repeat(np.arange(len(lengths)), lengths)
         of_train = np.repeat(learn, lengths)
-        name = int(mix(mix(own.view(np.uint64) + np.arange(len(own), dtype=np.uint64)).sum(keepdims=True)).view(np.int64)[0])
+        # blocks of equal texts are told apart by where they come from; both passes name a block alike
+        place = np.array([TaskContext.get().partitionId(), ordinal], np.uint64)
+        name = int(mix(mix(own.view(np.uint64) + np.arange(len(own), dtype=np.uint64)).sum(keepdims=True) + mix(place + _PAIR).sum())[0].view(np.int64))
         out = {f.name: [] for f in _BLOB}
-
-        def add(part, kind, grams, counts, held, docs, tf, n_docs):
-            for c, x in (("part", part), ("kind", kind), ("block", name), ("grams", grams.tobytes()), ("counts", counts.astype(np.uint32).tobytes()), ("held", held), ("docs", docs), ("tf", tf), ("keys", own.tobytes() if kind == 0 else b""), ("n_docs", n_docs)):
-                out[c].append(x)
-
-        # words: one entry for each text that holds it
-        by = np.argsort(w, kind="stable")
-        sw, sd, st = w[by], doc[by], of_train[by]
-        new = np.ones(len(sw), bool)
-        new[1:] = (sw[1:] != sw[:-1]) | (sd[1:] != sd[:-1])
-        at = np.flatnonzero(new)
-        tf = np.diff(np.append(at, len(sw)))
-        ew, ed, et = sw[at], sd[at], np.where(st[at], tf, 0)
-        first = np.ones(len(ew), bool)
-        first[1:] = ew[1:] != ew[:-1]
-        runs = np.flatnonzero(first)
-        word, held, count = ew[runs], np.diff(np.append(runs, len(ew))), np.add.reduceat(et, runs)
-        part = _place(word, word, slices, shards)
-        order = np.argsort(part, kind="stable")
-        edges = np.searchsorted(part[order], np.arange(slices * shards + 1))
-        entry_part = np.repeat(part, held)
-        entry_order = np.argsort(entry_part, kind="stable")
-        entry_edges = np.searchsorted(entry_part[entry_order], np.arange(slices * shards + 1))
-        for p in np.flatnonzero(np.diff(edges)).tolist():
-            o, e = order[edges[p] : edges[p + 1]], entry_order[entry_edges[p] : entry_edges[p + 1]]
-            add(p, 0, word[o], count[o], held[o].astype(np.uint32).tobytes(), ed[e].astype(np.uint16).tobytes(), tf[e].astype(np.uint32).tobytes(), int(learn.sum()) if p == part[0] else 0)
-        # pairs of the training texts
-        before, grams = pairs(w, begin)
-        grams, last = grams[of_train], w[of_train]
-        unique, where, count = np.unique(grams, return_index=True, return_counts=True)
-        part = _place(unique, last[where], slices, shards * PAIR_PARTS)
-        order = np.argsort(part, kind="stable")
-        edges = np.searchsorted(part[order], np.arange(slices * shards * PAIR_PARTS + 1))
-        for p in np.flatnonzero(np.diff(edges)).tolist():
-            o = order[edges[p] : edges[p + 1]]
-            add(p, 1, unique[o], count[o], b"", b"", b"", 0)
+        if of_pairs:
+            grams = pairs(w, np.concatenate([[0], np.cumsum(lengths)]))[1]
+            if not holders:
+                grams, w, doc, of_train = grams[of_train], w[of_train], doc[of_train], of_train[of_train]
+            if len(grams):
+                _blobs(out, name, grams, w, doc, of_train, lambda g, x: _place(g, x, slices, shards * PAIR_PARTS), holders, own[:0], 0)
+        else:
+            _blobs(out, name, w, w, doc, of_train, lambda g, x: _place(g, x, slices, shards), True, own, int(learn.sum()))
         return pa.RecordBatch.from_pydict(out, schema=_BLOB)
 
     def run(batches: Iterator[pa.RecordBatch]):
         held: list[list] = [[], [], [], []]
-        n = docs = 0
+        n = docs = made = 0
         for batch, data, cuts in blocks(batches, "text"):
             for low in range(0, batch.num_rows, BLOCK_DOCS):
                 high = min(batch.num_rows, low + BLOCK_DOCS)
                 w, starts = tokens(data[cuts[low] : cuts[high]], cuts[low : high + 1] - cuts[low])
                 if docs + high - low > BLOCK_DOCS:
-                    yield block(*held)
-                    held, n, docs = [[], [], [], []], 0, 0
+                    yield block(made, *held)
+                    held, n, docs, made = [[], [], [], []], 0, 0, made + 1
                 for kept, x in zip(held, (w, starts, batch.column(0).to_numpy()[low:high], ~batch.column(1).to_numpy(zero_copy_only=False)[low:high])):
                     kept.append(x)
                 n, docs = n + len(w), docs + high - low
                 if n >= BLOCK_TOKENS:
-                    yield block(*held)
-                    held, n, docs = [[], [], [], []], 0, 0
+                    yield block(made, *held)
+                    held, n, docs, made = [[], [], [], []], 0, 0, made + 1
         if docs:
-            yield block(*held)
+            yield block(made, *held)
         held.clear()
         give_back()
 
-    return rows.select("key", "held_out", "text").mapInArrow(run, "part long, kind int, block long, grams binary, counts binary, held binary, docs binary, tf binary, keys binary, n_docs long")
+    return rows.select("key", "held_out", "text").mapInArrow(run, ", ".join(f"{f.name} {'binary' if f.type == pa.binary() else 'long'}" for f in _BLOB))
 
 
 def _entries(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,10 +170,10 @@ def _probe(grams: np.ndarray, level) -> tuple[np.ndarray, np.ndarray]:
     return h >> np.uint64(32), bits
 
 
-def _filter(grams: np.ndarray, counts: np.ndarray, most_words: int) -> np.ndarray:
-    """A part's filter: 64-bit words, one for about three entries, at most ``most_words``."""
+def _filter(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A part's filter: 64-bit words, one for about three entries."""
     g, level = _entries(grams, counts)
-    words = np.zeros(max(1, min(most_words, -(-len(g) * ENTRY_BITS // 64))), np.uint64)
+    words = np.zeros(max(1, -(-len(g) * ENTRY_BITS // 64)), np.uint64)
     at, bits = _probe(g, level)
     at = (at % np.uint64(len(words))).astype(np.int64)
     order = np.argsort(at, kind="stable")
@@ -167,74 +184,147 @@ def _filter(grams: np.ndarray, counts: np.ndarray, most_words: int) -> np.ndarra
     return words
 
 
-def _summed(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _levels(words: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Quantised count of each n-gram in one part's filter, found by probing level after level."""
+    return _climb(grams, lambda left, at: words[(at % np.uint64(len(words))).astype(np.int64)])
+
+
+def _climb(grams: np.ndarray, read) -> np.ndarray:
+    out = np.zeros(len(grams), np.int64)
+    left = np.arange(len(grams))
+    level = 1
+    while len(left) and level < len(_EDGES) - 2:
+        at, bits = _probe(grams[left], level)
+        left = left[(read(left, at) & bits) == bits]
+        out[left] = level
+        level += 1
+    return out
+
+
+def _context(level: np.ndarray) -> np.ndarray:
+    """Upper edge of the count that a level stands for."""
+    return np.where(level > 0, _EDGES[level + 1], 0.0)
+
+
+def _summed(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A part's n-grams in order, their counts and the words they belong to."""
+    grams = np.concatenate([np.frombuffer(g, np.uint64) for g in frame["grams"]])
     by = np.argsort(grams, kind="stable")
-    grams, counts = grams[by], counts[by].astype(np.int64)
-    starts = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.zeros(0, np.int64)
-    return grams[starts], np.add.reduceat(counts, starts) if len(starts) else counts
-
-
-def _part(frame: pd.DataFrame, most_words: int) -> pd.DataFrame:
-    """Filter of one part and kind, and for words the exact sums of each block's texts."""
-    part, kind = int(frame["part"].iloc[0]), int(frame["kind"].iloc[0])
-    most_words = most_words if kind == 0 else max(1, most_words // PAIR_PARTS)
-    blobs = [np.frombuffer(g, np.uint64) for g in frame["grams"]]
-    counts = [np.frombuffer(c, np.uint32) for c in frame["counts"]]
-    grams, total = _summed(np.concatenate(blobs), np.concatenate(counts))
-    give_back()
+    grams = grams[by]
+    counts = np.concatenate([np.frombuffer(c, np.uint32) for c in frame["counts"]])[by].astype(np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+    words = np.concatenate([np.repeat(np.frombuffer(w, np.uint64), np.frombuffer(r, np.uint32)) for w, r in zip(frame["words"], frame["runs"])])
+    return grams[starts], np.add.reduceat(counts, starts), words[by[starts]]
+
+
+_SUMS = "kind int, part long, block long, x binary, docs binary, base binary, known binary, n_tokens binary, score binary, n long, v long, d long"
+
+
+def _row(kind: int, part: int, block: int = 0, x: bytes = b"", docs: bytes = b"", base: bytes = b"", known: bytes = b"", n_tokens: bytes = b"", score: bytes = b"", n: int = 0, v: int = 0, d: int = 0) -> dict:
+    return {"kind": kind, "part": part, "block": block, "x": x, "docs": docs, "base": base, "known": known, "n_tokens": n_tokens, "score": score, "n": n, "v": v, "d": d}
+
+
+def _holders(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(row.held, np.uint32), np.frombuffer(row.docs, np.uint16).astype(np.int64), np.frombuffer(row.tf, np.uint32)
+
+
+def _word_part(frame: pd.DataFrame, prior: float) -> pd.DataFrame:
+    """Filter of one part of the words (kind 0), and the sums of each block's texts over them (kind 2)."""
+    part = int(frame["part"].iloc[0])
+    grams, total, _ = _summed(frame)
     seen = total > 0
-    known, count = grams[seen], total[seen]
-    out = [{"kind": kind, "part": part, "block": 0, "x": _filter(known, count, most_words).tobytes(), "y": b"", "z": b"", "n": int(count.sum()), "v": len(known), "d": int(frame["n_docs"].sum())}]
-    if kind == 0:
-        for k, row in enumerate(frame.itertuples()):
-            at = np.minimum(np.searchsorted(known, blobs[k]), max(len(known) - 1, 0))
-            c = np.where(known[at] == blobs[k], count[at], 0) if len(known) else np.zeros(len(blobs[k]), np.int64)
-            held = np.frombuffer(row.held, np.uint32)
-            c = np.repeat(c, held)
-            docs, tf = np.frombuffer(row.docs, np.uint16).astype(np.int64), np.frombuffer(row.tf, np.uint32)
-            keys = np.frombuffer(row.keys, np.int64)
-            sums = np.bincount(docs, tf * np.log10(c + 0.5), len(keys))
-            of_known = np.bincount(docs, np.where(c > 0, tf, 0), len(keys)).astype(np.int64)
-            out.append({"kind": 2, "part": part, "block": row.block, "x": row.keys, "y": sums.tobytes(), "z": of_known.tobytes(), "n": 0, "v": 0, "d": 0})
+    words = _filter(grams[seen], total[seen])
+    level = _levels(words, grams)
+    # what a word adds wherever it stands, less what it costs as the word before another; the end stands before none
+    own = np.log10(_EDGES[level] + 0.5) - np.where(grams == END, 0.0, np.log10(_context(level) + prior))
+    base = np.log10(total + 0.5)
+    out = [_row(0, part, x=words.tobytes(), n=int(total.sum()), v=int(seen.sum()), d=int(frame["n_docs"].sum()))]
+    for row in frame.itertuples():
+        at = np.searchsorted(grams, np.frombuffer(row.grams, np.uint64))
+        held, docs, tf = _holders(row)
+        at = np.repeat(at, held)
+        n_tokens = np.bincount(docs, tf)
+        there = np.flatnonzero(n_tokens)
+        sums = [np.bincount(docs, x)[there] for x in (tf * base[at], tf * seen[at], tf * own[at])]
+        out.append(_row(
+            2, part, row.block, row.keys, there.astype(np.uint16).tobytes(), sums[0].tobytes(), sums[1].astype(np.uint32).tobytes(),
+            n_tokens[there].astype(np.uint32).tobytes(), sums[2].tobytes(),
+        ))
+    give_back()
     return pd.DataFrame(out)
 
 
-def _base(frame: pd.DataFrame) -> pd.DataFrame:
-    sums = sum(np.frombuffer(y, np.float64) for y in frame["y"])
-    known = sum(np.frombuffer(z, np.int64) for z in frame["z"])
-    return pd.DataFrame({"key": np.frombuffer(frame["x"].iloc[0], np.int64), "base_sum": sums, "n_known": known})
+def _pair_filter(frame: pd.DataFrame) -> pd.DataFrame:
+    """Filter of one part of the pairs (kind 1)."""
+    grams, total, _ = _summed(frame)
+    return pd.DataFrame([_row(1, int(frame["part"].iloc[0]), x=_filter(grams, total).tobytes())])
+
+
+def _pair_part(frame: pd.DataFrame, filters: pd.DataFrame, shards: int, totals: tuple[int, int, int], prior: float) -> pd.DataFrame:
+    """What the pairs of one part add to the texts of each block (kind 3)."""
+    if not len(frame):
+        return pd.DataFrame([], columns=list(_row(3, 0)))
+    part = int(frame["part"].iloc[0])
+    grams, total, words = _summed(frame)
+    level = _levels(_filter(grams[total > 0], total[total > 0]), grams)
+    unique, where = np.unique(words, return_inverse=True)
+    shard = _place(unique, unique, 1, shards)
+    of_word = np.zeros(len(unique), np.int64)
+    for s, x in zip(filters["part"] % shards, filters["x"]):
+        own = shard == s
+        of_word[own] = _levels(np.frombuffer(x, np.uint64), unique[own])
+    p = ((_EDGES[of_word] + 0.5) / (totals[0] + 0.5 * (totals[1] + 1)))[where]
+    term = np.log10(1 + _EDGES[level] / (prior * p))
+    out = []
+    for row in frame.itertuples():
+        held, docs, tf = _holders(row)
+        sums = np.bincount(docs, tf * np.repeat(term[np.searchsorted(grams, np.frombuffer(row.grams, np.uint64))], held))
+        there = np.flatnonzero(sums)
+        out.append(_row(3, part, row.block, docs=there.astype(np.uint16).tobytes(), score=sums[there].tobytes()))
+    give_back()
+    return pd.DataFrame(out)
+
+
+def _of_block(frame: pd.DataFrame) -> pd.DataFrame:
+    """The sums of one block's texts over all parts."""
+    keys = np.frombuffer(max(frame["x"], key=len), np.int64)
+    base, known, n_tokens, score = np.zeros(len(keys)), np.zeros(len(keys)), np.zeros(len(keys)), np.zeros(len(keys))
+    for row in frame.itertuples():
+        docs = np.frombuffer(row.docs, np.uint16)  # each text at most once
+        score[docs] += np.frombuffer(row.score, np.float64)
+        if row.kind == 2:
+            base[docs] += np.frombuffer(row.base, np.float64)
+            known[docs] += np.frombuffer(row.known, np.uint32)
+            n_tokens[docs] += np.frombuffer(row.n_tokens, np.uint32)
+    return pd.DataFrame({"key": keys, "base_sum": base, "n_known": known.astype(np.int64), "n_tokens": n_tokens.astype(np.int64), "score": score})
 
 
 class Probe:
-    """A slice of the filter."""
-
-    def __init__(self, parts: dict[tuple[int, int], bytes], slice_: int, slices: int, shards: int):
-        self.slice, self.slices, self.shards = slice_, slices, (shards, shards * PAIR_PARTS)
-        self.words, self.begin, self.size = {}, {}, {}
-        for kind in (0, 1):
-            n = self.shards[kind]
-            own = [np.frombuffer(parts.get((kind, slice_ * n + s), b"\0" * 8), np.uint64) for s in range(n)]
-            self.size[kind] = np.array([len(o) for o in own], np.uint64)
-            self.begin[kind] = np.concatenate([[0], np.cumsum(self.size[kind])[:-1]]).astype(np.uint64)
-            self.words[kind] = np.concatenate(own)
-
-    def owns(self, words: np.ndarray) -> np.ndarray:
-        return (words >> np.uint64(11)) % np.uint64(self.slices) == np.uint64(self.slice)
-
-    def level(self, kind: int, grams: np.ndarray) -> np.ndarray:
-        """Quantised count of each n-gram, found by probing level after level."""
-        out = np.zeros(len(grams), np.int64)
-        left = np.arange(len(grams))
-        level = 1
-        while len(left) and level < len(_EDGES) - 2:
-            g = grams[left]
-            at, bits = _probe(g, level)
-            shard = ((g >> np.uint64(31)) % np.uint64(self.shards[kind])).astype(np.int64)
-            place = self.begin[kind][shard] + at % self.size[kind][shard]
-            left = left[(self.words[kind][place.astype(np.int64)] & bits) == bits]
-            out[left] = level
-            level += 1
-        return out
+    """All parts of the filter."""
+
+    def __init__(self, slices: int, shards: int, sizes: dict[tuple[int, int], int]):
+        self.slices, self.shards = slices, (shards, shards * PAIR_PARTS)
+        self.size = [np.array([sizes.get((kind, s), 1) for s in range(slices * n)], np.int64) for kind, n in enumerate(self.shards)]
+        self.begin = [np.concatenate([[0], np.cumsum(size)]) for size in self.size]
+        self.words = [np.zeros(begin[-1], np.uint64) for begin in self.begin]
+
+    def fill(self, kind: int, part: int, x: bytes) -> None:
+        self.words[kind][self.begin[kind][part] : self.begin[kind][part + 1]] = np.frombuffer(x, np.uint64)
+
+    def levels(self, kind: int, grams: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Quantised count of each n-gram; ``words`` tells the word that it belongs to."""
+        part = _place(grams, words, self.slices, self.shards[kind])
+        begin, size = self.begin[kind][part], self.size[kind][part].astype(np.uint64)
+        return _climb(grams, lambda left, at: self.words[kind][begin[left] + (at % size[left]).astype(np.int64)])
+
+
+def _gathered(parts: DataFrame, slices: int, shards: int) -> Probe:
+    """The filter on the driver, filled part by part; the caller has checked its size."""
+    sizes = {(r["kind"], r["part"]): r["n"] // 8 for r in parts.select("kind", "part", F.octet_length("x").alias("n")).collect()}
+    probe = Probe(slices, shards, sizes)
+    for row in parts.select("kind", "part", "x").toLocalIterator():
+        probe.fill(row["kind"], row["part"], row["x"])
+    return probe
 
 
 def _scores(rows: DataFrame, probe, totals: tuple[int, int, int], prior: float) -> DataFrame:
@@ -245,30 +335,41 @@ def _scores(rows: DataFrame, probe, totals: tuple[int, int, int], prior: float)
         for batch, data, cuts in blocks(batches, "text"):
             w, starts = tokens(data, cuts)
             before, grams = pairs(w, starts)
-            term = np.zeros(len(w))
-            own = np.flatnonzero(model.owns(w))
-            unique, where = np.unique(w[own], return_inverse=True)
-            level = model.level(0, unique)
+            unique, where = np.unique(np.append(w, BEGIN), return_inverse=True)
+            level = model.levels(0, unique, unique)
             p = (_EDGES[level] + 0.5) / (n_train + 0.5 * (distinct + 1))
-            term[own] = np.log10(_EDGES[model.level(1, grams[own])] + prior * p[where])
-            own = np.flatnonzero(model.owns(before))
-            unique, where = np.unique(before[own], return_inverse=True)
-            context = np.where(unique == BEGIN, n_docs, np.where(level_of := model.level(0, unique), _EDGES[level_of + 1], 0.0))
-            term[own] -= np.log10(context + prior)[where]
-            sums = np.add.reduceat(term, starts[:-1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(starts)), pa.array(sums)], names=["key", "n_tokens", "score"])
+            context = np.where(unique == BEGIN, n_docs, _context(level))
+            at = where[:-1]
+            earlier = np.append(where[-1], at[:-1])
+            earlier[starts[:-1]] = where[-1]
+            term = np.log10(_EDGES[model.levels(1, grams, w)] + prior * p[at]) - np.log10(context + prior)[earlier]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.add.reduceat(term, starts[:-1]))], names=["key", "score"])
+        give_back()
 
-    return rows.select("key", "text").mapInArrow(run, "key long, n_tokens long, score double")
+    return rows.select("key", "text").mapInArrow(run, "key long, score double")
+
+
+def _routed(rows: DataFrame, parts: DataFrame, slices: int, shards: int, totals: tuple[int, int, int], prior: float) -> DataFrame:
+    """What the pairs add to each block of texts, by asking the parts of a filter that no broadcast holds. A part of
+    the pairs meets the words' filters of its slice."""
+    n = shards * PAIR_PARTS
+    slice_ = F.floor(F.col("part") / shards)
+    words = parts.filter("kind = 0").select("part", "x", F.explode(F.sequence(slice_ * n, slice_ * n + n - 1)).alias("to"))
+    return _dealt(rows, slices, shards, True).groupBy("part").cogroup(words.groupBy("to")).applyInPandas(
+        lambda left, right: _pair_part(left, right, shards, totals, prior), _SUMS
+    )
 
 
 def score_documents(
-    docs: DataFrame, held_out: Column, id_column: str = "doc_id", text: str = "text", prior: float = 2000.0, shard_bytes: int = 1 << 26, slice_bytes: int = 1 << 28
+    docs: DataFrame, held_out: Column, id_column: str = "doc_id", text: str = "text", prior: float = 2000.0,
+    shard_bytes: int = 1 << 26, slice_bytes: int = 1 << 28, broadcast_bytes: int = 1 << 26,
 ) -> DataFrame:
     """Every text's log10 probability under a model learned from the rows that are not ``held_out``.
 
     Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``. ``base_score`` is the exact
-    unigram score with half a count added, from sharded joins of word counts; ``score`` comes from the filter. A
-    slice of the filter has at most ``slice_bytes`` bytes whatever the corpus holds.
+    unigram score with half a count added, from sharded joins of word counts; ``score`` comes from the filter, which
+    is broadcast where its measured size is at most ``broadcast_bytes`` and asked by shard otherwise. There is a part
+    of the words' filter for about ``shard_bytes`` of text and a slice of words for about ``slice_bytes``.
 
     Null and blank texts are the end token alone. A null ``held_out`` counts as false. Repeated rows learn as often as they come and get the same scores; rows
     that share an id but not the text are scored apart. Without training rows every count is zero. An empty table
@@ -278,32 +379,27 @@ def score_documents(
     key = F.xxhash64(F.col(id_column), F.col(text))
     rows = docs.select(F.col(id_column).alias("doc_id"), key.alias("key"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     n_bytes = text_bytes(rows)
-    # about one entry for each four bytes of text, if every pair were new
-    slices = -(-max(n_bytes, 1) // 4 * ENTRY_BITS // 8 // slice_bytes)
-    slices = max(1, slices)
-    shards = max(4, shards_for(n_bytes, shard_bytes) // slices)
-    most = slice_bytes // 8 // shards // 2
-    parts = _dealt(rows, slices, shards).groupBy("part", "kind").applyInPandas(
-        lambda f: _part(f, most), "kind int, part long, block long, x binary, y binary, z binary, n long, v long, d long"
-    )
-    parts = store(parts, "bloom-parts")
+    slices = max(1, -(-n_bytes // slice_bytes))
+    shards = max(1, shards_for(n_bytes, shard_bytes) // slices)
+    parts = store(_dealt(rows, slices, shards, False).groupBy("part").applyInPandas(lambda f: _word_part(f, prior), _SUMS), "bloom-words")
     told = parts.filter("kind = 0").agg(F.sum("n").alias("n"), F.sum("v").alias("v"), F.sum("d").alias("d")).first()
     totals = (int(told["n"] or 0), int(told["v"] or 0), int(told["d"] or 0))
-    partial = []
-    for s in range(slices):
-        of_slice = F.when(F.col("kind") == 0, F.floor(F.col("part") / shards)).otherwise(F.floor(F.col("part") / (shards * PAIR_PARTS)))
-        own = parts.filter((F.col("kind") < 2) & (of_slice == s)).select("kind", "part", "x").collect()
-        probe = spark.sparkContext.broadcast(Probe({(r["kind"], r["part"]): bytes(r["x"]) for r in own}, s, slices, shards))
-        partial.append(store(_scores(rows, probe, totals, prior).dropDuplicates(["key"]), f"scores-{s}"))
-        del own
-        probe.unpersist()
-    every = partial[0]
-    for more in partial[1:]:
-        every = every.unionByName(more)
-    scores = every.groupBy("key").agg(F.max("n_tokens").alias("n_tokens"), F.sum("score").alias("score"))
-    base = parts.filter("kind = 2").select("block", "x", "y", "z").groupBy("block").applyInPandas(_base, "key long, base_sum double, n_known long").dropDuplicates(["key"])
-    known = rows.select("doc_id", "key", "held_out").join(scores, "key").join(base, "key")
-    return known.select(
+    sums, probe = parts.filter("kind = 2"), None
+    # where a quarter of all training tokens were pairs of their own and these alone were too much, none is gathered
+    if totals[0] // 4 * ENTRY_BITS // 8 <= broadcast_bytes:
+        trained = _dealt(rows.filter(~F.col("held_out")), slices, shards, True, holders=False)
+        filters = parts.filter("kind = 0").unionByName(store(trained.groupBy("part").applyInPandas(_pair_filter, _SUMS), "bloom-pairs"))
+        if (filters.agg(F.sum(F.octet_length("x")).alias("n")).first()["n"] or 0) <= broadcast_bytes:
+            probe = spark.sparkContext.broadcast(_gathered(filters, slices, shards))
+    if probe is None:
+        sums = sums.unionByName(_routed(rows, parts, slices, shards, totals, prior))
+    scored = sums.groupBy("block").applyInPandas(_of_block, "key long, base_sum double, n_known long, n_tokens long, score double").dropDuplicates(["key"])
+    if probe is None:  # what all texts share: the prior's weight, the words' total, and the first context
+        shared = F.lit(float(np.log10(prior) - np.log10(totals[0] + 0.5 * (totals[1] + 1))))
+        scored = scored.withColumn("score", F.col("score") + F.col("n_tokens") * shared - float(np.log10(totals[2] + prior)))
+    else:
+        scored = scored.drop("score").join(_scores(rows, probe, totals, prior).dropDuplicates(["key"]), "key")
+    return rows.select("doc_id", "key", "held_out").join(scored, "key").select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(totals[0]).cast("long").alias("train_tokens"),
         (F.col("base_sum") - F.col("n_tokens") * F.log10(F.lit(totals[0] + 0.5 * (totals[1] + 1)))).alias("base_score"), "score",
     )

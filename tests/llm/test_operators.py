@@ -170,8 +170,35 @@ def test_bloom_model_base_score_is_exact(docs, empty):
     got = bloom_lm.score_documents(docs, held).collect()
     assert Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 4)) for r in got) == want
     assert all(r.score < 0 and r.train_tokens == n for r in got)
-    sliced = {(r.doc_id, r.n_tokens): r.score for r in bloom_lm.score_documents(docs, held, slice_bytes=1 << 14).collect()}
-    assert all(abs(sliced[r.doc_id, r.n_tokens] - r.score) < 0.05 * r.n_tokens for r in got)
+    # the score against exact counts, quantised: only the filter's rare false hits may differ
+    after, begins = Counter(), 0
+    for r in rows():
+        if r[0] is None or zlib.crc32(str(r[0]).encode()) % 5 != 1:
+            begins += 1
+            w = [*lower(r[1]), None]
+            after.update(zip(["", *w], w))
+    edge = lambda c, up: bloom_lm.BASE ** (math.floor(math.log(c, bloom_lm.BASE) + 1e-9) + up) if c else 0.0
+    exact = {}
+    for r in rows():
+        w = [*lower(r[1]), None]
+        total = 0.0
+        for a, b in zip(["", *w], w):
+            p = (edge(counts[b], 0) + 0.5) / (n + 0.5 * (v + 1))
+            total += math.log10(edge(after[a, b], 0) + 2000 * p) - math.log10((edge(counts[a], 1) if a else begins) + 2000)
+        exact[r[0], len(w)] = total
+    away = [abs(exact[r.doc_id, r.n_tokens] - r.score) / r.n_tokens for r in got]
+    assert max(away) < 0.05 and sum(x < 1e-9 for x in away) > 0.8 * len(away)
+    # a filter too large to be broadcast is asked by shard, whatever the parts and blocks
+    routed = {(r.doc_id, r.n_tokens): r for r in bloom_lm.score_documents(docs, held, broadcast_bytes=0).collect()}
+    assert all(abs(routed[r.doc_id, r.n_tokens].score - r.score) < 1e-9 * r.n_tokens and abs(routed[r.doc_id, r.n_tokens].base_score - r.base_score) < 1e-6 for r in got)
+    cut = dict(slice_bytes=1 << 14, shard_bytes=1 << 12)
+    sliced = {(r.doc_id, r.n_tokens): r.score for r in bloom_lm.score_documents(docs, held, **cut).collect()}
+    split = {(r.doc_id, r.n_tokens): r.score for r in bloom_lm.score_documents(docs.repartition(7), held, broadcast_bytes=0, **cut).collect()}
+    assert all(abs(sliced[k] - split[k]) < 1e-9 * k[1] and abs(sliced[k] - exact[k]) < 0.05 * k[1] for k in sliced) and len(split) == len(sliced)
+    # equal rows in partitions of their own: each learns, none is added twice
+    same = docs.filter("doc_id = 0").select("doc_id", "text")
+    twice = bloom_lm.score_documents(same.unionAll(same).unionAll(same), F.lit(False), broadcast_bytes=0).collect()
+    assert len(twice) == 3 and len({r.base_score for r in twice}) == 1 and all(r.train_tokens == 3 * r.n_tokens == 3 * r.n_known for r in twice)
     assert bloom_lm.score_documents(empty, held).count() == 0
 
 
