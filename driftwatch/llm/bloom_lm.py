@@ -40,7 +40,7 @@ END, BEGIN = mix(np.array([0xE4D, 0xBE6], np.uint64))
 _PAIR = mix(np.array([77, 78], np.uint64)) | np.uint64(1)
 _EDGES = BASE ** np.arange(-1, 120, dtype=np.float64)  # _EDGES[q] is the lower edge of level q
 _EDGES[0] = 0.0
-BLOCK_TOKENS, BLOCK_DOCS = 1 << 21, 60_000
+BLOCK_TOKENS, BLOCK_DOCS = 1 << 19, 60_000
 #: Parts that hold pairs for each one that holds words.
 PAIR_PARTS = 6
 
@@ -70,10 +70,22 @@ def _place(grams: np.ndarray, words: np.ndarray, slices: int, shards: int) -> np
 _BLOB = pa.schema([("part", pa.int64()), ("block", pa.int64()), *((c, pa.binary()) for c in ("grams", "counts", "words", "runs", "held", "docs", "tf", "keys")), ("n_docs", pa.int64())])
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Mostly small numbers below 2**32 in few bytes: equal bytes side by side, compressed."""
+    raw = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    return len(numbers).to_bytes(4, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    raw = pa.decompress(data[4:], decompressed_size=4 * n, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, n).T).reshape(-1).view("<u4")
+
+
 def _blobs(out: dict[str, list], name: int, grams: np.ndarray, words: np.ndarray, doc: np.ndarray, train: np.ndarray, place, holders: bool, keys: np.ndarray, n_docs: int) -> None:
     """Add one row for each part: its n-grams with their counts in training texts, the word that each belongs to (runs
     of one word), and, with ``holders``, which text holds it how often."""
-    by = np.argsort(grams, kind="stable")  # texts stay in order
+    by = np.argsort(grams, kind="stable").astype(np.int32)  # texts stay in order
     g, d, t = grams[by], doc[by], train[by]
     new = np.ones(len(g), bool)
     new[1:] = (g[1:] != g[:-1]) | (d[1:] != d[:-1])
@@ -92,16 +104,16 @@ def _blobs(out: dict[str, list], name: int, grams: np.ndarray, words: np.ndarray
     entries = np.argsort(np.repeat(rank, held), kind="stable")
     gram, word, held, count, part = gram[order], word[order], held[order], count[order], part[order]
     ends = np.concatenate([[0], np.cumsum(held)])
-    d, tf = d[entries].astype(np.uint16), tf[entries].astype(np.uint32)
+    d, tf = d[entries], tf[entries]
     edges = np.concatenate([np.flatnonzero(np.diff(part, prepend=-1)), [len(part)]])
     for k, (low, high) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
         own = word[low:high]
         starts = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1])
         e = slice(ends[low], ends[high]) if holders else slice(0, 0)
         for c, x in (
-            ("part", int(part[low])), ("block", name), ("grams", gram[low:high].tobytes()), ("counts", count[low:high].astype(np.uint32).tobytes()),
-            ("words", own[starts].tobytes()), ("runs", np.diff(np.append(starts, len(own))).astype(np.uint32).tobytes()),
-            ("held", held[low:high].astype(np.uint32).tobytes() if holders else b""), ("docs", d[e].tobytes()), ("tf", tf[e].tobytes()),
+            ("part", int(part[low])), ("block", name), ("grams", gram[low:high].tobytes()), ("counts", _packed(count[low:high])),
+            ("words", own[starts].tobytes()), ("runs", _packed(np.diff(np.append(starts, len(own))))),
+            ("held", _packed(held[low:high]) if holders else b""), ("docs", d[e].tobytes()), ("tf", _packed(tf[e])),
             ("keys", keys.tobytes() if k == 0 else b""), ("n_docs", n_docs if k == 0 else 0),
         ):
             out[c].append(x)
@@ -114,7 +126,7 @@ def _dealt(rows: DataFrame, slices: int, shards: int, of_pairs: bool, holders: b
         w = np.concatenate(words)
         lengths = np.concatenate([np.diff(s) for s in starts])
         learn, own = np.concatenate(train), np.concatenate(keys)
-        doc = np.repeat(np.arange(len(lengths)), lengths)
+        doc = np.repeat(np.arange(len(lengths), dtype=np.uint16), lengths)
         of_train = np.repeat(learn, lengths)
         # blocks of equal texts are told apart by where they come from; both passes name a block alike
         place = np.array([TaskContext.get().partitionId(), ordinal], np.uint64)
@@ -140,12 +152,14 @@ def _dealt(rows: DataFrame, slices: int, shards: int, of_pairs: bool, holders: b
                 if docs + high - low > BLOCK_DOCS:
                     yield block(made, *held)
                     held, n, docs, made = [[], [], [], []], 0, 0, made + 1
+                    give_back()
                 for kept, x in zip(held, (w, starts, batch.column(0).to_numpy()[low:high], ~batch.column(1).to_numpy(zero_copy_only=False)[low:high])):
                     kept.append(x)
                 n, docs = n + len(w), docs + high - low
                 if n >= BLOCK_TOKENS:
                     yield block(made, *held)
                     held, n, docs, made = [[], [], [], []], 0, 0, made + 1
+                    give_back()
         if docs:
             yield block(made, *held)
         held.clear()
@@ -211,9 +225,9 @@ def _summed(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     grams = np.concatenate([np.frombuffer(g, np.uint64) for g in frame["grams"]])
     by = np.argsort(grams, kind="stable")
     grams = grams[by]
-    counts = np.concatenate([np.frombuffer(c, np.uint32) for c in frame["counts"]])[by].astype(np.int64)
+    counts = np.concatenate([_unpacked(c) for c in frame["counts"]])[by].astype(np.int64)
     starts = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
-    words = np.concatenate([np.repeat(np.frombuffer(w, np.uint64), np.frombuffer(r, np.uint32)) for w, r in zip(frame["words"], frame["runs"])])
+    words = np.concatenate([np.repeat(np.frombuffer(w, np.uint64), _unpacked(r)) for w, r in zip(frame["words"], frame["runs"])])
     return grams[starts], np.add.reduceat(counts, starts), words[by[starts]]
 
 
@@ -225,7 +239,7 @@ def _row(kind: int, part: int, block: int = 0, x: bytes = b"", docs: bytes = b""
 
 
 def _holders(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.frombuffer(row.held, np.uint32), np.frombuffer(row.docs, np.uint16).astype(np.int64), np.frombuffer(row.tf, np.uint32)
+    return _unpacked(row.held), np.frombuffer(row.docs, np.uint16).astype(np.int64), _unpacked(row.tf)
 
 
 def _word_part(frame: pd.DataFrame, prior: float) -> pd.DataFrame:
