@@ -54,12 +54,17 @@ def tokens(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, np.concatenate([[0], np.cumsum(np.bincount(texts, minlength=n) + 1)])
 
 
-def pairs(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The word before each token, and the hash of the two."""
+def lefts_of(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """40 bits of the word before each token: what tells pairs with one last word apart. That two such pairs meet is
+    far rarer than a false hit of the filter."""
     before = np.empty_like(words)
     before[1:] = words[:-1]
     before[starts[:-1]] = BEGIN
-    return before, mix(before * _PAIR[0] + words * _PAIR[1])
+    return mix(before) >> np.uint64(24)
+
+
+def pair_grams(lefts: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return mix(lefts * _PAIR[0] + words * _PAIR[1])
 
 
 def _place(grams: np.ndarray, words: np.ndarray, slices: int, shards: int) -> np.ndarray:
@@ -82,27 +87,30 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, n).T).reshape(-1).view("<u4")
 
 
-def _blobs(out: dict[str, list], name: int, grams: np.ndarray, words: np.ndarray, doc: np.ndarray, train: np.ndarray, place, holders: bool, keys: np.ndarray, n_docs: int) -> None:
-    """Add one row for each part: its n-grams with their counts in training texts, the word that each belongs to (runs
-    of one word), and, with ``holders``, which text holds it how often."""
+def _blobs(out: dict[str, list], name: int, lefts: np.ndarray | None, words: np.ndarray, doc: np.ndarray, train: np.ndarray, place, holders: bool, keys: np.ndarray, n_docs: int) -> None:
+    """Add one row for each part: its words, or pairs (five bytes each, and runs of one last word), with their counts
+    in training texts and, with ``holders``, which text holds it how often."""
+    of_pairs = lefts is not None
+    grams = pair_grams(lefts, words) if of_pairs else words
     by = np.argsort(grams, kind="stable").astype(np.int32)  # texts stay in order
     g, d, t = grams[by], doc[by], train[by]
     new = np.ones(len(g), bool)
     new[1:] = (g[1:] != g[:-1]) | (d[1:] != d[:-1])
     at = np.flatnonzero(new)
     tf = np.diff(np.append(at, len(g)))
-    g, d, of_train, word = g[at], d[at], np.where(t[at], tf, 0), words[by][at]
+    g, d, of_train = g[at], d[at], np.where(t[at], tf, 0)
     first = np.ones(len(g), bool)
     first[1:] = g[1:] != g[:-1]
     runs = np.flatnonzero(first)
     held, count = np.diff(np.append(runs, len(g))), np.add.reduceat(of_train, runs)
-    gram, word = g[runs], word[runs]
+    gram, word, left = g[runs], words[by[at[runs]]], lefts[by[at[runs]]] if of_pairs else None
     part = place(gram, word)
     order = np.lexsort((word, part))
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     entries = np.argsort(np.repeat(rank, held), kind="stable")
-    gram, word, held, count, part = gram[order], word[order], held[order], count[order], part[order]
+    word, held, count, part = word[order], held[order], count[order], part[order]
+    shipped = word if not of_pairs else left[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
     ends = np.concatenate([[0], np.cumsum(held)])
     d, tf = d[entries], tf[entries]
     edges = np.concatenate([np.flatnonzero(np.diff(part, prepend=-1)), [len(part)]])
@@ -111,8 +119,8 @@ def _blobs(out: dict[str, list], name: int, grams: np.ndarray, words: np.ndarray
         starts = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1])
         e = slice(ends[low], ends[high]) if holders else slice(0, 0)
         for c, x in (
-            ("part", int(part[low])), ("block", name), ("grams", gram[low:high].tobytes()), ("counts", _packed(count[low:high])),
-            ("words", own[starts].tobytes()), ("runs", _packed(np.diff(np.append(starts, len(own))))),
+            ("part", int(part[low])), ("block", name), ("grams", shipped[low:high].tobytes()), ("counts", _packed(count[low:high])),
+            ("words", own[starts].tobytes() if of_pairs else b""), ("runs", _packed(np.diff(np.append(starts, len(own)))) if of_pairs else b""),
             ("held", _packed(held[low:high]) if holders else b""), ("docs", d[e].tobytes()), ("tf", _packed(tf[e])),
             ("keys", keys.tobytes() if k == 0 else b""), ("n_docs", n_docs if k == 0 else 0),
         ):
@@ -133,13 +141,13 @@ def _dealt(rows: DataFrame, slices: int, shards: int, of_pairs: bool, holders: b
         name = int(mix(mix(own.view(np.uint64) + np.arange(len(own), dtype=np.uint64)).sum(keepdims=True) + mix(place + _PAIR).sum())[0].view(np.int64))
         out = {f.name: [] for f in _BLOB}
         if of_pairs:
-            grams = pairs(w, np.concatenate([[0], np.cumsum(lengths)]))[1]
+            lefts = lefts_of(w, np.concatenate([[0], np.cumsum(lengths)]))
             if not holders:
-                grams, w, doc, of_train = grams[of_train], w[of_train], doc[of_train], of_train[of_train]
-            if len(grams):
-                _blobs(out, name, grams, w, doc, of_train, lambda g, x: _place(g, x, slices, shards * PAIR_PARTS), holders, own[:0], 0)
+                lefts, w, doc, of_train = lefts[of_train], w[of_train], doc[of_train], of_train[of_train]
+            if len(lefts):
+                _blobs(out, name, lefts, w, doc, of_train, lambda g, x: _place(g, x, slices, shards * PAIR_PARTS), holders, own[:0], 0)
         else:
-            _blobs(out, name, w, w, doc, of_train, lambda g, x: _place(g, x, slices, shards), True, own, int(learn.sum()))
+            _blobs(out, name, None, w, doc, of_train, lambda g, x: _place(g, x, slices, shards), True, own, int(learn.sum()))
         return pa.RecordBatch.from_pydict(out, schema=_BLOB)
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -220,14 +228,26 @@ def _context(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, _EDGES[level + 1], 0.0)
 
 
+def _grams(row) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams of a blob and the words that they belong to."""
+    if not row.words:
+        words = np.frombuffer(row.grams, np.uint64)
+        return words, words
+    words = np.repeat(np.frombuffer(row.words, np.uint64), _unpacked(row.runs))
+    lefts = np.zeros((len(words), 8), np.uint8)
+    lefts[:, :5] = np.frombuffer(row.grams, np.uint8).reshape(-1, 5)
+    return pair_grams(lefts.reshape(-1).view("<u8"), words), words
+
+
 def _summed(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A part's n-grams in order, their counts and the words they belong to."""
-    grams = np.concatenate([np.frombuffer(g, np.uint64) for g in frame["grams"]])
+    blobs = [_grams(row) for row in frame.itertuples()]
+    grams, words = (np.concatenate(x) for x in zip(*blobs))
+    del blobs
     by = np.argsort(grams, kind="stable")
     grams = grams[by]
     counts = np.concatenate([_unpacked(c) for c in frame["counts"]])[by].astype(np.int64)
     starts = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
-    words = np.concatenate([np.repeat(np.frombuffer(w, np.uint64), _unpacked(r)) for w, r in zip(frame["words"], frame["runs"])])
     return grams[starts], np.add.reduceat(counts, starts), words[by[starts]]
 
 
@@ -292,7 +312,7 @@ def _pair_part(frame: pd.DataFrame, filters: pd.DataFrame, shards: int, totals:
     out = []
     for row in frame.itertuples():
         held, docs, tf = _holders(row)
-        sums = np.bincount(docs, tf * np.repeat(term[np.searchsorted(grams, np.frombuffer(row.grams, np.uint64))], held))
+        sums = np.bincount(docs, tf * np.repeat(term[np.searchsorted(grams, _grams(row)[0])], held))
         there = np.flatnonzero(sums)
         out.append(_row(3, part, row.block, docs=there.astype(np.uint16).tobytes(), score=sums[there].tobytes()))
     give_back()
@@ -348,7 +368,7 @@ def _scores(rows: DataFrame, probe, totals: tuple[int, int, int], prior: float)
         model: Probe = probe.value
         for batch, data, cuts in blocks(batches, "text"):
             w, starts = tokens(data, cuts)
-            before, grams = pairs(w, starts)
+            grams = pair_grams(lefts_of(w, starts), w)
             unique, where = np.unique(np.append(w, BEGIN), return_inverse=True)
             level = model.levels(0, unique, unique)
             p = (_EDGES[level] + 0.5) / (n_train + 0.5 * (distinct + 1))
@@ -376,7 +396,7 @@ def _routed(rows: DataFrame, parts: DataFrame, slices: int, shards: int, totals:
 
 def score_documents(
     docs: DataFrame, held_out: Column, id_column: str = "doc_id", text: str = "text", prior: float = 2000.0,
-    shard_bytes: int = 1 << 26, slice_bytes: int = 1 << 28, broadcast_bytes: int = 1 << 26,
+    shard_bytes: int = 1 << 26, slice_bytes: int = 1 << 26, broadcast_bytes: int = 1 << 24,
 ) -> DataFrame:
     """Every text's log10 probability under a model learned from the rows that are not ``held_out``.
 
@@ -394,7 +414,7 @@ def score_documents(
     rows = docs.select(F.col(id_column).alias("doc_id"), key.alias("key"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     n_bytes = text_bytes(rows)
     slices = max(1, -(-n_bytes // slice_bytes))
-    shards = max(1, shards_for(n_bytes, shard_bytes) // slices)
+    shards = max(1, -(-shards_for(n_bytes, shard_bytes) // slices))
     parts = store(_dealt(rows, slices, shards, False).groupBy("part").applyInPandas(lambda f: _word_part(f, prior), _SUMS), "bloom-words")
     told = parts.filter("kind = 0").agg(F.sum("n").alias("n"), F.sum("v").alias("v"), F.sum("d").alias("d")).first()
     totals = (int(told["n"] or 0), int(told["v"] or 0), int(told["d"] or 0))
