@@ -60,7 +60,7 @@ def pixel_similarity(t):
     return rounded(vis.pixel_similarity(pairs(t)).select("image_id", "pixel_similarity"), "pixel_similarity")
 
 
-@query("histogram", ("pixels",), IMAGE_SQL + """
+@query("histogram", ("pixels_double",), IMAGE_SQL + """
 , b AS (SELECT image_id, unnest(range(0, 768)) AS bin FROM im)
 SELECT b.image_id, CAST(b.bin AS INT) AS bin, CAST(count(px.v) AS INT) AS n_pixels FROM b LEFT JOIN px ON px.image_id = b.image_id AND px.ch * 256 + px.v = b.bin GROUP BY 1, 2""")
 def histogram(t):
