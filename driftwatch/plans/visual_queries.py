@@ -120,7 +120,7 @@ def viewport_compare(t):
     )
 
 
-@query("screenshot_hash", ("pixels",), IMAGE_SQL + """
+@query("screenshot_hash", ("pixels_double",), IMAGE_SQL + """
 SELECT image_id, sha256(unhex(string_agg(printf('%02X', v), '' ORDER BY ch, pos))) AS screenshot_hash FROM px GROUP BY 1""")
 def screenshot_hash(t):
     values = F.concat(*vis.CHANNELS)
