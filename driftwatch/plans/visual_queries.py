@@ -76,7 +76,7 @@ _SUMMARY = """CASE WHEN s >= 0.99 THEN 'No significant visual changes detected'
   ELSE CASE WHEN s >= 0.8 THEN 'Moderate' WHEN s >= 0.5 THEN 'Significant' ELSE 'Major' END || format(' visual changes detected ({:.1f}% difference, {} regions)', (1 - s) * 100, nr) END"""
 
 
-@query("visual_diff", ("pixels",), PAIR_SQL + f"""
+@query("visual_diff", ("pixels_double",), PAIR_SQL + f"""
 SELECT image_id, round(s, 6) AS similarity_score, round((1 - s) * 100, 6) AS difference_percentage, s < 0.8 AS has_significant_change, {_SUMMARY} AS change_summary FROM sc""", recursive=True)
 def visual_diff(t):
     out = vis.visual_diff(pairs(t), min_pixels=6)

@@ -14,7 +14,7 @@ import __spark_entry__ as entry
 EDGES = np.array([-0.1, 0.272549, 0.445098], np.float32)
 
 
-@pytest.mark.parametrize("name", ["histogram", "screenshot_hash"])
+@pytest.mark.parametrize("name", ["histogram", "screenshot_hash", "visual_diff"])
 def test_edge_pixels_agree_with_sql(spark, tmp_path, name):
     vectors = [np.roll(np.resize(np.append(EDGES, k / 50).astype(np.float32), 64), k) for k in range(30)]
     ids = np.arange(30)
