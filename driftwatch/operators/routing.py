@@ -102,7 +102,8 @@ def matched_by_index(alerts: DataFrame, templates: DataFrame) -> DataFrame:
     ``conditions`` maps columns of ``alerts`` to the values they may have. A template matches if each condition holds; a
     null or absent column satisfies its condition, an empty list of values only that way. Alerts are reduced to their
     distinct combinations of the columns that conditions name; each combination meets the index of (type, column, value)
-    in one equi-join, and a template matches where it is met once for each of its conditions. Equal priorities go by
+    in one equi-join. The index holds a template under the one of its conditions whose values the fewest templates share;
+    the others are tested on what is met. Equal priorities go by
     ``position``, then by id; a template id that repeats counts as one (the first by position).
     """
     spare = F.col("position") if "position" in templates.columns else F.lit(0)
@@ -115,16 +116,17 @@ def matched_by_index(alerts: DataFrame, templates: DataFrame) -> DataFrame:
     fields = sorted(r["f"] for r in named.collect())  # at most the columns of the alerts
     held = F.filter(F.map_entries(F.coalesce("conditions", F.create_map().cast("map<string,array<string>>"))), lambda e: e["key"].isin(fields))
     token = lambda field, value: F.struct(field.alias("field"), value.alias("value"))
-    accepted = F.transform(
-        held, lambda e: F.transform(
-            F.array_union(F.transform(F.array_distinct(F.array_compact(e["value"])), lambda v: F.concat(F.lit("="), v)), F.array(F.lit("-"))), lambda v: token(e["key"], v)
-        )
-    )
+    values = lambda e: F.array_union(F.transform(F.array_distinct(F.array_compact(e["value"])), lambda v: F.concat(F.lit("="), v)), F.array(F.lit("-")))
+    conds = F.transform(held, lambda e: F.struct(e["key"].alias("field"), values(e).alias("values")))
+    table = table.select("template_id", "t", F.col("t.alert_type").alias("_type"), conds.alias("conds"))
+    # a condition that many templates share tells little: a template is only looked up by its rarest one
+    told = table.select("template_id", "_type", F.explode("conds").alias("c")).select("template_id", "_type", "c.field", F.explode("c.values").alias("value"))
+    held_by = told.filter("value != '-'").groupBy("_type", "field", "value").agg(F.count(F.lit(1)).alias("_n"))
+    cost = told.join(held_by, ["_type", "field", "value"], "left").groupBy("template_id", "field").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_n"))
+    rarest = cost.groupBy("template_id").agg(F.min(F.struct("_n", "field")).alias("o")).select("template_id", F.col("o.field").alias("_by"))
     always = F.array(token(F.lit(""), F.lit("")))
-    index = table.select(
-        "template_id", F.col("t.alert_type").alias("_type"), F.greatest(F.size(held), F.lit(1)).alias("_wanted"),
-        F.explode(F.when(F.size(held) == 0, always).otherwise(F.flatten(accepted))).alias("k"),
-    ).select("template_id", "_type", "_wanted", "k.field", "k.value")
+    chosen = F.flatten(F.transform(F.filter("conds", lambda c: c["field"] == F.col("_by")), lambda c: F.transform(c["values"], lambda v: token(c["field"], v))))
+    index = table.join(rarest, "template_id", "left").select("t", "_type", "conds", F.explode(F.when(F.size("conds") == 0, always).otherwise(chosen)).alias("k")).select("t", "_type", "conds", "k.field", "k.value")
     typed = alerts.withColumn("router_type", router_type(F.col("alert_type")))
     marks = {f"_m{k}": _known(F.col(f)) for k, f in enumerate(fields)}
     typed = typed.withColumns({"_type": F.col("router_type"), **marks})
@@ -132,8 +134,9 @@ def matched_by_index(alerts: DataFrame, templates: DataFrame) -> DataFrame:
     seen = typed.select(*combination).filter(F.col("_type").isNotNull()).distinct()
     tokens = F.array(token(F.lit(""), F.lit("")), *[token(F.lit(f), F.col(m)) for f, m in zip(fields, marks)])
     met = seen.select(*combination, F.explode(tokens).alias("k")).select(*combination, "k.field", "k.value").join(index, ["_type", "field", "value"])
-    whole = met.groupBy(*combination, "template_id").agg(F.count(F.lit(1)).alias("_n"), F.first("_wanted").alias("_wanted")).filter("_n = _wanted")
-    lists = whole.join(table.select("template_id", "t"), "template_id").groupBy(*combination).agg(F.array_sort(F.collect_list("t")).alias("_hits"))
+    known = F.create_map(F.lit(""), F.lit(""), *[x for f, m in zip(fields, marks) for x in (F.lit(f), F.col(m))])
+    every = F.forall("conds", lambda c: F.array_contains(c["values"], F.element_at(known, c["field"])))
+    lists = met.filter(every).groupBy(*combination).agg(F.array_sort(F.collect_list("t")).alias("_hits"))
     shown = lambda hits: F.transform(hits, lambda t: F.struct(*[t[c].alias(c) for c in _SHOWN]))
     spare_ids = [DEFAULT_FALLBACK, *FALLBACKS.values()]
     fallback = table.filter(F.col("template_id").isin(spare_ids)).select(F.col("template_id").alias("_spare"), F.array("t").alias("_fallback"))
