@@ -5,11 +5,11 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from functools import cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +18,9 @@ from driftwatch.llm.common import blocks, give_back
 from driftwatch.llm.words import spans
 
 #: Examples that are packed together, and words that a task remembers.
-BLOCK_EXAMPLES, BLOCK_TOKENS, KNOWN_WORDS = 8192, 1 << 21, 400_000
-_STEM = regex.compile(r"(\p{L}+)([!-@\[-`{-~].*)", regex.S)
+BLOCK_EXAMPLES, BLOCK_TOKENS, KNOWN_WORDS = 8192, 1 << 21, 1_000_000
+#: Words that are tokenised in one text, and characters beyond which a word is a text of its own.
+_JOINED, _LONG_WORD = 256, 1024
 _LETTER_PIECE = 1 << 14
 
 
@@ -27,8 +28,7 @@ class Encoder:
     """Token ids of whole texts by a word-level vocabulary file; every different word is tokenised once per partition.
 
     Such a vocabulary drops white space and never joins across it, so a text's ids are those of its words in order. A
-    word of letters followed by a mark is tokenised in those two parts, between which the vocabulary's splitter always
-    parts. The memory is emptied when it is full, which changes no result.
+    word is remembered as its hash and its ids in arrays. The memory is emptied when it is full, which changes no result.
     """
 
     def __init__(self, path: str, end: int):
@@ -44,21 +44,35 @@ class Encoder:
         self.keys = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
         self.words = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
         self.ids, self.starts, self.n_words = [np.array([self.end], np.uint32)], np.array([0, 1], np.int64), 1
-        self.parts: dict[str, list[int]] = {}
 
-    def _tokenise(self, texts: list[str]) -> list[list[int]]:
-        pieces = [(m[1], m[2]) if (m := _STEM.fullmatch(t)) else (t,) for t in texts]
-        new = [p for p in {p for ps in pieces for p in ps} if p not in self.parts]
-        for p, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False)):
-            self.parts[p] = e.ids
-        return [self.parts[ps[0]] if len(ps) == 1 else self.parts[ps[0]] + self.parts[ps[1]] for ps in pieces]
+    def _tokenise(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after the other, and how many each has. Words are handed over many at a time with spaces
+        between them and told apart by where their tokens begin; long words, and those that normalising changes, stand alone."""
+        alone = [len(t) > _LONG_WORD or not (t.isascii() or is_normalized("NFC", t)) for t in texts]
+        together = [k for k, own in enumerate(alone) if not own]
+        groups = [together[k : k + _JOINED] for k in range(0, len(together), _JOINED)]
+        single = [k for k, own in enumerate(alone) if own]
+        counts, ids, owners = np.zeros(len(texts), np.int64), [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for group, found in zip(groups, self.model.encode_batch([" ".join([texts[k] for k in g]) for g in groups], add_special_tokens=False)):
+            ends = np.cumsum([len(texts[k]) + 1 for k in group])
+            at = np.fromiter((o[0] for o in found.offsets), np.int64)
+            ids.append(np.array(found.ids, np.uint32))
+            owners.append(np.array(group)[np.searchsorted(ends, at, side="right")])
+        for k, found in zip(single, self.model.encode_batch_fast([texts[k] for k in single], add_special_tokens=False)):
+            ids.append(np.array(found.ids, np.uint32))
+            owners.append(np.full(len(found.ids), k))
+        every, owner = np.concatenate(ids), np.concatenate(owners)
+        if single:
+            every = every[np.argsort(owner, kind="stable")]
+        counts += np.bincount(owner, minlength=len(texts))
+        return every, counts
 
     def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        if self.n_words + len(keys) > KNOWN_WORDS or len(self.parts) > KNOWN_WORDS:
+        if self.n_words + len(keys) > KNOWN_WORDS:
             self.clear()
-        found = self._tokenise(texts)
-        self.ids.append(np.fromiter((i for ids in found for i in ids), np.uint32))
-        ends = np.cumsum([len(ids) for ids in found], dtype=np.int64) + self.starts[-1]
+        found, counts = self._tokenise(texts)
+        self.ids.append(found)
+        ends = np.cumsum(counts) + self.starts[-1]
         self.starts = np.concatenate([self.starts, ends])
         fresh = np.arange(self.n_words, self.n_words + len(keys))
         self.n_words += len(keys)
