@@ -66,9 +66,13 @@ def parse(pages: DataFrame, html: str = "html") -> DataFrame:
     return parsed.withColumn("elements", elements).drop("_walked")
 
 
-def span_text(node: Column) -> Column:
-    """Clean text inside an element."""
-    inside = F.slice("texts", node["pos"] + 2, F.greatest(node["end"] - node["pos"] - 1, F.lit(0)))
+def span_text(node: Column, texts: Column) -> Column:
+    """Clean text inside an element.
+
+    Over many elements, ``texts`` must be bound outside their lambda (``h.let``): the optimizer copies the column's
+    expression to where it is read, and all texts of the page would be cleaned again for each element.
+    """
+    inside = F.slice(texts, node["pos"] + 2, F.greatest(node["end"] - node["pos"] - 1, F.lit(0)))
     return F.array_join(F.filter(inside, lambda x: x != ""), " ")
 
 
@@ -104,41 +108,44 @@ def outline(parsed: DataFrame) -> DataFrame:
         within = body.isNull() | ((n["pos"] >= body["pos"]) & (n["pos"] <= body["end"]))
         return within & (n["depth"] >= top) & (n["depth"] - top <= MAX_DEPTH)
 
-    def describe(n: Column, body: Column) -> Column:
+    def describe(n: Column, body: Column, texts: Column) -> Column:
         return F.struct(
             n["pos"].alias("pos"),
             n["tag"].alias("tag"),
             (n["depth"] - F.coalesce(body["depth"], F.lit(0))).alias("depth"),
             F.filter(F.split(F.coalesce(_attribute(n, "class"), F.lit("")), r"\s+"), lambda c: c != "").alias("classes"),
             _attribute(n, "id").alias("id"),
-            F.length(span_text(n)).alias("text_length"),
+            F.length(span_text(n, texts)).alias("text_length"),
             n["children"].alias("child_count"),
             F.when(n["tag"].isin(*DETAILED_TAGS), n["attrs"]).alias("attributes"),
         )
 
     # Values used once per element are bound first, or they would be computed for each.
     described = h.let(
-        _body(), lambda body: F.transform(F.filter("elements", lambda n: inside(n, body)), lambda n: describe(n, body))
+        F.col("texts"),
+        lambda texts: h.let(
+            _body(), lambda body: F.transform(F.filter("elements", lambda n: inside(n, body)), lambda n: describe(n, body, texts))
+        ),
     )
     return parsed.withColumn("dom_outline", described)
 
 
 def text_blocks(parsed: DataFrame) -> DataFrame:
     """Adds ``text_blocks``: distinct texts of block elements, in page order."""
-    chosen = F.filter("elements", lambda n: n["tag"].isin(*BLOCK_TAGS))
-    texts = F.filter(F.transform(chosen, span_text), lambda x: F.length(x) >= MIN_BLOCK_CHARS)
-    return parsed.withColumn("text_blocks", F.array_distinct(texts))
+    chosen = F.filter("nodes", lambda n: n["tag"].isin(*BLOCK_TAGS))
+    found = h.let(F.col("texts"), lambda texts: F.transform(chosen, lambda n: span_text(n, texts)))
+    return parsed.withColumn("text_blocks", F.array_distinct(F.filter(found, lambda x: F.length(x) >= MIN_BLOCK_CHARS)))
 
 
 def links(parsed: DataFrame, url: str = "url") -> DataFrame:
     """Adds ``links``: absolute address, text, title and whether it leaves the host."""
 
-    def describe(n: Column) -> Column:
+    def describe(n: Column, texts: Column) -> Column:
         target = h.resolve(F.col(url), F.trim(_attribute(n, "href")))
         there = h.host(target)
         return F.struct(
             target.alias("url"),
-            span_text(n).alias("text"),
+            span_text(n, texts).alias("text"),
             F.coalesce(_attribute(n, "title"), F.lit("")).alias("title"),
             ((there != "") & (there != h.host(F.col(url)))).alias("is_external"),
         )
@@ -147,7 +154,8 @@ def links(parsed: DataFrame, url: str = "url") -> DataFrame:
         href = F.trim(F.coalesce(_attribute(n, "href"), F.lit("")))
         return (n["tag"] == "a") & (href != "") & ~F.startswith(href, F.lit("#"))
 
-    return parsed.withColumn("links", F.transform(F.filter("elements", usable), describe))
+    found = h.let(F.col("texts"), lambda texts: F.transform(F.filter("elements", usable), lambda n: describe(n, texts)))
+    return parsed.withColumn("links", found)
 
 
 def images(parsed: DataFrame, url: str = "url") -> DataFrame:
@@ -179,9 +187,9 @@ def forms(parsed: DataFrame) -> DataFrame:
             _attribute(n, "required").isNotNull().alias("required"),
         )
 
-    def describe(n: Column) -> Column:
+    def describe(n: Column, elements: Column) -> Column:
         inputs = F.filter(
-            "elements",
+            elements,
             lambda m: m["tag"].isin("input", "textarea", "select") & (m["pos"] > n["pos"]) & (m["pos"] < n["end"]),
         )
         return F.struct(
@@ -189,8 +197,10 @@ def forms(parsed: DataFrame) -> DataFrame:
             F.transform(inputs, field).alias("inputs"),
         )
 
-    found = F.filter("elements", lambda n: n["tag"] == "form")
-    return parsed.withColumn("forms", F.transform(found, describe))
+    def described(elements: Column) -> Column:
+        return F.transform(F.filter(elements, lambda n: n["tag"] == "form"), lambda n: describe(n, elements))
+
+    return parsed.withColumn("forms", h.let(F.col("elements"), described))
 
 
 def main_content(parsed: DataFrame) -> DataFrame:
@@ -239,7 +249,7 @@ def main_content(parsed: DataFrame) -> DataFrame:
     )
     staged = parsed.withColumn("_best", best)
     return staged.withColumn(
-        "main_content", F.when(F.col("_best").isNotNull(), span_text(F.col("_best"))).otherwise(rest)
+        "main_content", F.when(F.col("_best").isNotNull(), span_text(F.col("_best"), F.col("texts"))).otherwise(rest)
     ).drop("_best", "_plausible")
 
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import time
 from html import unescape
 from urllib.parse import urljoin
 
@@ -118,3 +119,13 @@ def test_children_and_hidden_spans(spark):
 def test_long_pages_take_linear_time(spark):
     row = parsed(spark, "<body>" + "<div><p>x</p></div>" * 20000 + "<div>" * 20000).selectExpr("size(nodes) n", "nodes[0].children c").first()
     assert (row.n, row.c) == (80001, 20001)
+
+
+def test_texts_of_a_long_page_are_cleaned_once_for_all_its_elements(spark):
+    n = 6000
+    page = "<html><body>" + "".join(f"<p>paragraph number {k} a&amp;b</p><a href='/{k}'>x</a>" for k in range(n)) + "</body></html>"
+    parsed = pg.parse(spark.createDataFrame([(1, "http://a.example/", page)], "page_id long, url string, html string"))
+    start = time.time()
+    assert pg.text_blocks(parsed).select(F.size("text_blocks")).first()[0] == n
+    assert pg.links(parsed).select(F.size("links")).first()[0] == n
+    assert time.time() - start < 25
