@@ -2,12 +2,14 @@
 
 Two sets with Jaccard similarity of at least t must share a token among the first ``n - ceil(t * n) + 1`` tokens of
 each, under ANY global order of the tokens. The join asks for such a shared token under each of several orders, and
-verifies only pairs that pass them all. Every order puts tokens that are frequent in the corpus last and mixes the
-rest by a hash of its own; which tokens count as frequent is a bounded list that only steers the work.
+verifies only pairs that pass them all. Every order takes tokens by their estimated frequency, rare ones first, and
+mixes equals by a hash of its own. The estimates come from counts of all tokens by hash, a field of fixed size for
+each order; they only steer the work.
 
 Copies are no pairs: equal sets are one class, and only classes are joined. A group of thousands of near copies is no
 list of pairs either: each shared token first links its classes to one hub (a candidate per class and token), the hubs
-that hold make components, and only classes of one token that are still in different components are paired.
+that hold make components, and only classes of one token that are still in different components are paired. Every link
+lies inside a component, so links are counted there afterwards: small components whole, large ones by pairs of blocks.
 
 Every class carries a bitmap of 256 parities: each token flips one bit. Two bitmaps differ in at most as many bits as
 the sets differ in tokens, so pairs whose bitmaps differ too much can't link and are not sent to verification. The hub
@@ -16,11 +18,13 @@ of a token is the class next to the majority of its classes' bitmaps: of many ne
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +32,10 @@ from driftwatch.llm.common import blocks, give_back, shards_for, store, text_byt
 from driftwatch.llm.components import connected_components
 from driftwatch.llm.words import mix, shingle_sets
 
-#: The frequent tokens that the orders put last: at most so many, and so many from each part of the input.
-FREQUENT, FREQUENT_PART, FREQUENT_LEAST, PART_TOKENS = 1 << 16, 1 << 12, 4, 1 << 20
+#: Bits of a token's place among the counts that estimate its frequency, and how many counts one row holds.
+PLACE_BITS, CHUNK = 22, 1 << 16
+#: Tokens and classes of a block of a component, within which links are counted, and how many columns at once.
+BLOCK_TOKENS, BLOCK_CLASSES, COLUMNS = 1 << 20, 512, 1 << 13
 #: Bits of the filter that tells which documents' sets are wanted; its misses cost bytes, not results.
 WANTED_BITS = 1 << 24
 #: 64-bit words of a class's bitmap of parities, and from how many classes on the hub of a token follows the majority.
@@ -55,60 +61,76 @@ def _batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(columns)
 
 
-def profiles(docs: DataFrame, width: int) -> DataFrame:
-    """One scan: rows ``(kind 0, doc_id, class, size, bitmap)`` per document and ``(kind 1, -, token, count)`` for tokens that
-    are frequent in a part of the input."""
+def _mixed(grams: np.ndarray, order: int) -> np.ndarray:
+    return mix(grams ^ mix(np.array([order + 1], np.uint64)))
 
-    def frequent(parts: list[np.ndarray]):
-        tokens, counts = np.unique(np.concatenate(parts), return_counts=True)
-        top = np.flatnonzero(counts >= FREQUENT_LEAST)
-        if len(top) > FREQUENT_PART:
-            top = top[np.argsort(counts[top], kind="stable")[-FREQUENT_PART:]]
-        return _batch(kind=pa.array(np.ones(len(top), np.int32)), id=pa.nulls(len(top), pa.int64()), key=pa.array(_signed(tokens[top])), n=pa.array(counts[top].astype(np.int64)), **{w: pa.nulls(len(top), pa.int64()) for w in WORDS})
+
+def _place(mixed: np.ndarray) -> np.ndarray:
+    return (mixed >> np.uint64(64 - PLACE_BITS)).astype(np.int64)
+
+
+def profiles(docs: DataFrame, width: int, orders: int) -> DataFrame:
+    """One scan: rows ``(kind 0, doc_id, class, size, bitmap)`` per document and, for each task, ``(kind 1, chunk, -, -, -, counts)``:
+    how many tokens (one per document) have each place under each order."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        parts, held = [], 0
+        counts, some = np.zeros((orders, 1 << PLACE_BITS), np.uint32), False
         for batch, data, cuts in blocks(batches, "text"):
-            keys, sizes, bits = [], [], []
+            keys, sizes, bits, parts = [], [], [], []
             for grams in shingle_sets(data, cuts, width):
                 keys.append(_signature(grams))
                 sizes.append(len(grams))
                 bits.append(_parities(grams))
                 parts.append(grams)
-                held += len(grams)
             words = {w: pa.array(np.ascontiguousarray(x)) for w, x in zip(WORDS, _signed(np.stack(bits)).T)}
-            yield _batch(kind=pa.array(np.zeros(len(sizes), np.int32)), id=batch.column(0).cast(pa.int64()), key=pa.array(_signed(keys)), n=pa.array(sizes, pa.int64()), **words)
-            if held >= PART_TOKENS:
-                yield frequent(parts)
-                parts, held = [], 0
-        if held:
-            yield frequent(parts)
-        del parts
+            empty = pa.nulls(len(sizes), pa.binary())
+            yield _batch(kind=pa.array(np.zeros(len(sizes), np.int32)), id=batch.column(0).cast(pa.int64()), key=pa.array(_signed(keys)), n=pa.array(sizes, pa.int64()), **words, counts=empty)
+            tokens = np.concatenate(parts)
+            for order in range(orders):
+                np.add.at(counts[order], _place(_mixed(tokens, order)), np.uint32(1))
+            some |= len(tokens) > 0
+        for k, chunk in enumerate(counts.reshape(-1, CHUNK) if some else ()):
+            told = zlib.compress(np.minimum(chunk, 255).astype(np.uint8).tobytes(), 1)
+            none = {c: pa.nulls(1, pa.int64()) for c in ("key", "n", *WORDS)}
+            yield _batch(kind=pa.array([1], pa.int32()), id=pa.array([k], pa.int64()), **none, counts=pa.array([told], pa.binary()))
+        del counts
         give_back()
 
-    return docs.select(F.col("doc_id").alias("id"), "text").mapInArrow(run, ", ".join(["kind int, id long, key long, n long", *(f"{w} long" for w in WORDS)]))
+    return docs.select(F.col("doc_id").alias("id"), "text").mapInArrow(run, ", ".join(["kind int, id long, key long, n long", *(f"{w} long" for w in WORDS), "counts binary"]))
+
+
+def frequencies(scanned: DataFrame, orders: int) -> np.ndarray:
+    """A level of 0 to 63 for each order and place: by how far its count lies above or below the mean one."""
+    mean = (scanned.filter("kind = 0").agg(F.sum("n")).first()[0] or 0) / (1 << PLACE_BITS)
+
+    def level(frame: pd.DataFrame) -> pd.DataFrame:
+        z = (sum(np.frombuffer(zlib.decompress(x), np.uint8).astype(np.float64) for x in frame["counts"]) - mean) / max(mean**0.5, 1.0)
+        found = np.where(z <= 8, 8 + 4 * z, 40 + 2 * np.log2(np.maximum(z, 8) / 8))
+        return pd.DataFrame({"id": frame["id"].iloc[:1], "levels": [np.clip(found, 0, 63).astype(np.uint8).tobytes()]})
+
+    rows = scanned.filter("kind = 1").select("id", "counts").groupBy("id").applyInPandas(level, "id long, levels binary").collect()
+    levels = np.zeros(orders << PLACE_BITS, np.uint8)  # of fixed size, however large the corpus
+    for row in rows:
+        levels[row["id"] * CHUNK : (row["id"] + 1) * CHUNK] = np.frombuffer(row["levels"], np.uint8)
+    return levels.reshape(orders, -1)
 
 
-def _order(grams: np.ndarray, order: int, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Rank of each token under a global order: first by how frequent it is known to be, then by a hash."""
-    rank = mix(grams ^ mix(np.array([order + 1], np.uint64))) >> np.uint64(6)
-    known, level = frequent
-    if len(known):
-        at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
-        rank = rank + (np.where(known[at] == grams, level[at], 0).astype(np.uint64) << np.uint64(58))
-    return rank
+def _order(grams: np.ndarray, order: int, levels: np.ndarray) -> np.ndarray:
+    """Rank of each token under a global order: first by how frequent it seems to be, then by a hash."""
+    mixed = _mixed(grams, order)
+    return (levels[order][_place(mixed)].astype(np.uint64) << np.uint64(58)) | (mixed & np.uint64((1 << 58) - 1))
 
 
-def _prefix(grams: np.ndarray, order: int, frequent, percent: int) -> np.ndarray:
+def _prefix(grams: np.ndarray, order: int, levels: np.ndarray, percent: int) -> np.ndarray:
     """The tokens of which a similar set shares one: the first ones under the order."""
     n = len(grams)
     length = n - -(-n * percent // 100) + 1
     if length >= n:
         return grams
-    return grams[np.argpartition(_order(grams, order, frequent), length - 1)[:length]]
+    return grams[np.argpartition(_order(grams, order, levels), length - 1)[:length]]
 
 
-def postings(docs: DataFrame, width: int, percent: int, orders: int, shards: int, frequent) -> DataFrame:
+def postings(docs: DataFrame, width: int, percent: int, orders: int, shards: int, levels: Broadcast) -> DataFrame:
     """Prefix tokens of every class and order, dealt by token into blocks of arrays. A part of the input sends a class once."""
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -140,7 +162,7 @@ def postings(docs: DataFrame, width: int, percent: int, orders: int, shards: int
                 if len(grams) and (key := _signature(grams)) not in seen:
                     seen.add(key)
                     for order in range(orders):
-                        held.append((order, key, len(grams), _prefix(grams, order, frequent, percent)))
+                        held.append((order, key, len(grams), _prefix(grams, order, levels.value, percent)))
                         n += len(held[-1][3])
             if n >= 1 << 18:
                 yield emit()
@@ -349,6 +371,63 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long").distinct()
 
 
+def _inside(frame: pd.DataFrame, percent: int) -> Iterator[pd.DataFrame]:
+    """How many links each class has to the others of its block, or of the two blocks, counted exactly.
+
+    Intersections are products of 0/1 matrices (a row per class, a column per token that two classes hold).
+    """
+    for (_, low, high), own in frame.groupby(["label", "low", "high"], sort=False):
+        sets = [_set(x) for x in own["grams"]]
+        sizes = np.array([len(x) for x in sets])
+        tokens, at, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = held > 1
+        row, column = np.repeat(np.arange(len(sets)), sizes)[shared[at]], (np.cumsum(shared) - 1)[at][shared[at]]
+        by = np.argsort(column, kind="stable")
+        row, column = row[by], column[by]
+        part = own["part"].to_numpy()
+        left, right = np.flatnonzero(part == low), np.flatnonzero(part == high)
+        both = np.zeros((len(left), len(right)), np.int64)
+        for start in range(0, int(shared.sum()), COLUMNS):
+            a, b = np.searchsorted(column, [start, start + COLUMNS])
+            holds = np.zeros((len(sets), COLUMNS), np.float32)
+            holds[row[a:b], column[a:b] - start] = 1
+            both += (holds[left] @ holds[right].T).astype(np.int64)
+        linked = 100 * both >= percent * (sizes[left][:, None] + sizes[right][None, :] - both)
+        classes = own["class"].to_numpy()
+        if low == high:
+            np.fill_diagonal(linked, False)
+        else:
+            yield pd.DataFrame({"class": classes[right], "n": linked.sum(axis=0)})
+        yield pd.DataFrame({"class": classes[left], "n": linked.sum(axis=1)})
+
+
+def link_counts(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``(class, n_links)`` of every class of ``named(class, label, n_shingles)`` that is not alone in its component.
+    ``sets(class, grams)`` may repeat a class.
+
+    All pairs of a component are looked at, as every link lies in one. A component of two is one link. A larger one is
+    cut into blocks of bounded size, and a task counts within a block or between two; many small components share a task.
+    """
+    sizes = named.groupBy("label").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("tokens")).filter("members > 1")
+    parts = F.ceil(F.greatest(F.col("tokens") / BLOCK_TOKENS, F.col("members") / BLOCK_CLASSES)).cast("int")
+    met = store(named.join(sizes, "label").select("class", "label", "members", "tokens", parts.alias("parts")), "components")
+    many = met.filter("members > 2")
+    whole = many.filter("parts = 1").select("label", "tokens").distinct().agg(F.sum("tokens")).first()[0] or 0
+    groups = max(16, -(-whole // BLOCK_TOKENS))
+    dealt = many.withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("class", "label", "part", "parts", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+    key = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("label"), F.lit(groups))).otherwise(F.xxhash64("label", "low", "high"))
+    own = sets.join(many.select("class"), "class", "left_semi").dropDuplicates(["class"])
+    rows = dealt.join(own, "class").select(key.alias("key"), "class", "label", "part", "low", "high", "grams")
+
+    def count(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat(_inside(frame, percent))
+
+    found = rows.groupBy("key").applyInPandas(count, "class long, n long").groupBy("class").agg(F.sum("n").alias("n_links"))
+    return found.unionByName(met.filter("members = 2").select("class", F.lit(1).cast("long").alias("n_links")))
+
+
 def near_duplicates(
     docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, orders: int = 2, shard_bytes: int = 1 << 26
 ) -> DataFrame:
@@ -356,7 +435,7 @@ def near_duplicates(
 
     Documents link when ``100 * |intersection| >= percent * |union|`` of their distinct ``width``-word shingles;
     components are the documents that links reach. ``component_id`` is the component's smallest id, ``n_links`` the
-    number of links that the join verified for the document's class (each joins it to another class).
+    number of all links of the document's class (each joins it to another class).
 
     Null or blank text has an empty set, links with nothing and is its own component. Texts under ``width`` words are
     one shingle. Equal sets are one class, whatever their number; rows that repeat an id stay rows of their own in the
@@ -366,22 +445,20 @@ def near_duplicates(
     spark = docs.sparkSession
     docs = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"))
     shards = shards_for(text_bytes(docs), shard_bytes)
-    scanned = store(profiles(docs, width), "shingle-profiles")
+    scanned = store(profiles(docs, width, orders), "shingle-profiles")
     rows = scanned.filter("kind = 0").select(F.col("id").alias("doc_id"), F.col("key").alias("class"), F.col("n").alias("n_shingles"), *WORDS)
-    top = scanned.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(FREQUENT).toPandas()
-    top = top.assign(key=top["key"].to_numpy(np.int64).view(np.uint64)).sort_values("key")
-    frequent = (top["key"].to_numpy(np.uint64), np.minimum(np.log2(np.maximum(top["n"].to_numpy(np.float64), 1)) + 1, 62).astype(np.uint64))
-
-    dealt = postings(docs, width, percent, orders, shards, frequent)
+    levels = spark.sparkContext.broadcast(frequencies(scanned, orders))
+    dealt = postings(docs, width, percent, orders, shards, levels)
     shared = store(dealt.groupBy("key").applyInPandas(_shared, "key long, kind int, x binary, y binary, z binary"), "shared-tokens")
-    classes = rows.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("id"), *(F.min(w).alias(w) for w in WORDS))
+    levels.unpersist()
+    classes = rows.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n_shingles"), *(F.min(w).alias(w) for w in WORDS))
 
-    def linked(pairs: DataFrame) -> DataFrame:
+    def linked(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         pairs = store(pairs.distinct(), "candidates")
         both = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
         wanted = classes.join(both, "class", "left_semi")
         sets = store(wanted_sets(docs, wanted, width), "wanted-sets")
-        return store(verify(pairs, sets, percent), "links")
+        return store(verify(pairs, sets, percent), "links"), sets
 
     found = shared.filter("kind = 1").select("key", "x", "y", "z")
     members = _longs(shared.filter("kind = 2").select("key", "x"), **{"class": "x"}).join(classes.select("class", *WORDS), "class")
@@ -391,7 +468,7 @@ def near_duplicates(
 
     first = F.col("key") < shards
     told = members.filter(first).withColumn("label", F.col("class"))
-    links = linked(found.filter(first).groupBy("key").cogroup(told.groupBy("key")).applyInPandas(hub, "a long, b long"))
+    links, sets = linked(found.filter(first).groupBy("key").cogroup(told.groupBy("key")).applyInPandas(hub, "a long, b long"))
     labels = connected_components(links)
     told = members.join(labels, F.col("class") == F.col("node"), "left").select("key", "class", F.coalesce("label", "class").alias("label"), *WORDS)
 
@@ -402,11 +479,12 @@ def near_duplicates(
 
     rest = found.groupBy("key").cogroup(told.groupBy("key")).applyInPandas(across, "a long, b long, ord int")
     passed = rest.groupBy("a", "b").agg(F.count_distinct("ord").alias("n")).filter(F.col("n") == orders).select("a", "b")
-    links = links.unionByName(linked(passed)).distinct()
+    more, other_sets = linked(passed)
+    links = links.unionByName(more).distinct()
     labels = connected_components(links)
-    ends = links.select(F.col("a").alias("class")).unionByName(links.select(F.col("b").alias("class")))
-    degree = ends.groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
-    named = classes.join(labels, F.col("class") == F.col("node"), "left").select("class", "id", F.coalesce("label", "class").alias("label"))
+    named = classes.join(labels, F.col("class") == F.col("node"), "left").select("class", "id", "n_shingles", F.coalesce("label", "class").alias("label"))
+    # a class with a link was verified, so its set is among these
+    degree = link_counts(named, sets.unionByName(other_sets), percent)
     smallest = named.groupBy("label").agg(F.min("id").alias("component_id"))
     of_class = named.join(smallest, "label").join(degree, "class", "left").select("class", "component_id", "n_links")
     filled = rows.filter("n_shingles > 0").join(of_class, "class")
