@@ -1,10 +1,9 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over signs (6-bit classes of bytes: letters without case, digits as one, the usual marks, lead and
-following bytes), of order four. Counts are tables with a row for each n-gram and probabilities come from joins of
-these tables, sharded by n-gram; as there are at most 2**24 four-grams, their probabilities then fit a broadcast of
-bounded size, and each document's perplexity is a sum over its signs. A document is kept if its perplexity does
-not exceed a quantile of the trusted documents of its language.
+The model is over the bytes of a text as they are, of order four. Counts are tables with a row for each n-gram and
+probabilities come from joins of these tables, sharded by n-gram. The four-grams that texts hold, with their
+probabilities, are then broadcast: eight bytes for each different one, and each document's perplexity is a sum over
+its bytes. A document is kept if its perplexity does not exceed a quantile of the trusted documents of its language.
 """
 
 from __future__ import annotations
@@ -17,37 +16,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftwatch.llm.common import blocks, store
+from driftwatch.llm.common import blocks, give_back, store
 
-ORDER, BITS = 4, 6
-SYMBOLS = 1 << BITS
-SPAN = SYMBOLS**ORDER
-EDGE = 0  # stands before a text (and after it once)
-
-
-def _classes() -> np.ndarray:
-    out = np.full(256, 1, np.uint32)  # other control and unusual bytes
-    for k in range(26):
-        out[65 + k] = out[97 + k] = 2 + k
-    out[48:58] = 28
-    for k, sign in enumerate(" \n\t.,;:!?'\"-()/|#$%&*+=<>@_[]{}"):
-        out[ord(sign)] = min(29 + k, SYMBOLS - 2)
-    out[128:] = 61
-    out[[0xC3, 0xC2]] = 62
-    return out
-
-
-_CLASS = _classes()
-_CLASS[0xA0:0xC0] = 60  # the second byte of Latin letters
+ORDER, BITS = 4, 8
+#: Bits of a sign in tables that are given to ``probabilities`` without saying so.
+PLAIN_BITS = 6
+EDGE = 0xFF  # stands before a text (and after it once); no UTF-8 text holds this byte
+#: Different four-grams that a task holds before it tells them, and how many the driver takes at once.
+HELD, TAKEN = 1 << 21, 1 << 20
 
 
 def grams(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The four-gram that ends at every sign and at every text's end, and where each text's begin."""
     n = len(cuts) - 1
     starts = cuts + np.arange(n + 1)
-    symbols = np.zeros(len(data) + n, np.uint32)
+    symbols = np.full(len(data) + n, EDGE, np.uint32)
     owner = np.repeat(np.arange(n), np.diff(cuts))
-    symbols[np.arange(len(data)) + owner] = _CLASS[data]
+    symbols[np.arange(len(data)) + owner] = data
     code = symbols.copy()
     place = np.arange(len(symbols)) - np.repeat(starts[:-1], np.diff(starts))
     for back in range(1, ORDER):
@@ -65,23 +50,40 @@ def trusted_ids(labels: DataFrame, id_column: str, label: str) -> DataFrame:
     return highest.filter("_label = 1").select("_id")
 
 
-def trusted_counts(trusted: DataFrame, text: str) -> DataFrame:
-    """``(gram, n)`` over the trusted texts."""
+def gram_counts(docs: DataFrame, text: str) -> DataFrame:
+    """``(gram, n)`` over the texts."""
+
+    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        at, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        return at, np.bincount(where, np.concatenate([p[1] for p in parts]), len(at)).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        total = np.zeros(SPAN, np.int64)
-        for _, data, cuts in blocks(batches, "text"):
-            at, n = np.unique(grams(data, cuts)[0], return_counts=True)
-            total[at] += n
-        at = np.flatnonzero(total)
-        for low in range(0, len(at), 1 << 16):
-            yield pa.RecordBatch.from_pydict({"gram": at[low : low + (1 << 16)].astype(np.int32), "n": total[at[low : low + (1 << 16)]]})
+        parts, held = [], 0
+
+        def told():
+            at, n = merged(parts)
+            for low in range(0, len(at), 1 << 16):
+                yield pa.RecordBatch.from_pydict({"gram": at[low : low + (1 << 16)].astype(np.int64), "n": n[low : low + (1 << 16)]})
 
-    found = trusted.select(F.col(text).alias("text")).mapInArrow(run, "gram int, n long")
+        for _, data, cuts in blocks(batches, "text"):
+            parts.append(np.unique(grams(data, cuts)[0], return_counts=True))
+            held += len(parts[-1][0])
+            if held >= 2 * HELD:
+                parts = [merged(parts)]
+                held = len(parts[0][0])
+                if held >= HELD:
+                    yield from told()
+                    parts, held = [], 0
+        if parts:
+            yield from told()
+        parts.clear()
+        give_back()
+
+    found = docs.select(F.col(text).alias("text")).mapInArrow(run, "gram long, n long")
     return found.groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def probabilities(counts: DataFrame, asked: DataFrame) -> DataFrame:
+def probabilities(counts: DataFrame, asked: DataFrame, bits: int = PLAIN_BITS) -> DataFrame:
     """``(gram, log10_p)`` for every asked four-gram, by joins of the counts of each order.
 
     The highest order uses counts, the lower ones how many different signs come before; each order takes one of three
@@ -89,59 +91,52 @@ def probabilities(counts: DataFrame, asked: DataFrame) -> DataFrame:
     order below. The lowest is mixed with the uniform distribution.
     """
     table, orders = counts.select(F.col("gram").cast("long").alias("g"), "n"), []
+    signs = 1 << bits
     for order in range(ORDER, 0, -1):
         orders.append((order, table))
-        shorter = SYMBOLS ** (order - 1)
+        shorter = signs ** (order - 1)
         # each distinct gram says once that its first sign comes before the rest
         table = table.groupBy((F.col("g") % shorter).alias("g")).agg(F.count(F.lit(1)).alias("n"))
-    out = asked.select(F.col("gram").cast("long").alias("gram")).distinct().withColumn("p", F.lit(1.0 / SYMBOLS))
+    out = asked.select(F.col("gram").cast("long").alias("gram")).distinct().withColumn("p", F.lit(1.0 / signs))
     for order, table in reversed(orders):
-        size = SYMBOLS**order
+        size = signs**order
         t = [table.agg(F.count_if(F.col("n") == k)).first()[0] for k in (1, 2, 3, 4)]
         y = t[0] / (t[0] + 2 * t[1]) if t[0] + t[1] else 0.5
         discount = [min(max(k - (k + 1) * y * t[k] / t[k - 1], 0.05), k - 0.05) if t[k - 1] else 0.5 for k in (1, 2, 3)]
         d = F.when(F.col("n") == 1, discount[0]).when(F.col("n") == 2, discount[1]).otherwise(discount[2])
         # a context is what stands before the last sign of a gram
-        context = table.groupBy(F.floor(F.col("g") / SYMBOLS).cast("long").alias("c")).agg(F.sum("n").alias("total"), F.sum(d).alias("freed"))
+        context = table.groupBy(F.shiftright("g", bits).alias("c")).agg(F.sum("n").alias("total"), F.sum(d).alias("freed"))
         own = table.select("g", (F.col("n") - d).alias("left"))
-        out = out.withColumns({"g": F.col("gram") % size, "c": F.floor(F.col("gram") % size / SYMBOLS).cast("long")})
+        out = out.withColumns({"g": F.col("gram") % size, "c": F.shiftright(F.col("gram") % size, bits)})
         out = out.join(own, "g", "left").join(context, "c", "left")
         # an unseen context says nothing: the order below stands alone
         p = F.when(F.col("total").isNull(), F.col("p")).otherwise((F.coalesce("left", F.lit(0.0)) + F.col("freed") * F.col("p")) / F.col("total"))
         out = out.select("gram", p.alias("p"))
-    return out.select(F.col("gram").cast("int").alias("gram"), F.log10("p").alias("log10_p"))
-
-
-def asked_grams(docs: DataFrame, text: str) -> DataFrame:
-    """The distinct four-grams of all texts: at most ``SPAN``, however many texts there are."""
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        seen = np.zeros(SPAN, bool)
-        for _, data, cuts in blocks(batches, "text"):
-            seen[grams(data, cuts)[0]] = True
-        at = np.flatnonzero(seen).astype(np.int32)
-        for low in range(0, len(at), 1 << 16):
-            yield pa.RecordBatch.from_pydict({"gram": at[low : low + (1 << 16)]})
-
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "gram int").distinct()
+    return out.select("gram", F.log10("p").alias("log10_p"))
 
 
 def perplexities(docs: DataFrame, model: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """``docs``' columns ``keep`` with ``n_signs`` and ``perplexity`` of the whole text.
 
-    The model has a row for each four-gram of the corpus, so at most ``SPAN`` (64 MB as an array), and is broadcast.
+    The model has a row for each different four-gram of the corpus and is broadcast, eight bytes a row.
     """
-    found = model.toPandas()
-    told = docs.sparkSession.sparkContext.broadcast((found["gram"].to_numpy(np.int32), found["log10_p"].to_numpy(np.float32)))
+    parts = -(-model.count() // TAKEN)
+    taken = [model.filter(F.pmod(F.xxhash64("gram"), F.lit(parts)) == k).toPandas() for k in range(parts)]
+    known = np.concatenate([np.zeros(0, np.uint32), *(t["gram"].to_numpy(np.uint32) for t in taken)])
+    value = np.concatenate([np.zeros(0, np.float32), *(t["log10_p"].to_numpy(np.float32) for t in taken)])
+    by = np.argsort(known)
+    told = docs.sparkSession.sparkContext.broadcast((known[by], value[by]))
 
     def run(batches: Iterator[pa.RecordBatch]):
-        table = np.zeros(SPAN, np.float32)
-        table[told.value[0]] = told.value[1]
+        known, value = told.value
         for batch, data, cuts in blocks(batches, "_scored_text"):
             code, starts = grams(data, cuts)
             n = np.diff(starts)
-            mean = np.add.reduceat(table[code].astype(np.float64), starts[:-1]) / n
+            asked, where = np.unique(code, return_inverse=True)
+            worth = value[np.searchsorted(known, asked)].astype(np.float64)
+            mean = np.add.reduceat(worth[where], starts[:-1]) / n
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n.astype(np.int64)), pa.array(10.0**-mean)], names=[*keep, "n_signs", "perplexity"])
+        give_back()
 
     rows = docs.select(*keep, F.col(text).alias("_scored_text"))
     schema = T.StructType([*docs.select(*keep).schema, T.StructField("n_signs", T.LongType()), T.StructField("perplexity", T.DoubleType())])
@@ -167,8 +162,8 @@ def judge(
     ids = store(trusted_ids(labels, id_column, label), "trusted-ids")
     # one shuffle of the texts, at every size: the list of ids grows with the corpus
     trusted = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text")).join(ids.hint("merge"), F.col("id") == F.col("_id"), "left_semi")
-    counts = store(trusted_counts(trusted, "text"), "trusted-counts")
-    model = probabilities(counts, asked_grams(docs, text))
+    counts = store(gram_counts(trusted, "text"), "trusted-counts")
+    model = store(probabilities(counts, gram_counts(docs, text), BITS), "gram-probabilities")
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(language).alias("lang"), F.col(text).alias("text"))
     scored = store(perplexities(rows, model, "text", ["doc_id", "lang"]), "perplexities")
     scored = scored.withColumn("band", F.floor(F.log2(F.col("n_signs").cast("double")) / 2).cast("int"))
