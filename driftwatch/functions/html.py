@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 # Tags dropped with their content, and tags without an end tag.
 DROPPED_BLOCKS = ("script", "style", "noscript", "head", "svg", "comment")
 DROPPED_TAGS = ("meta", "link", "path")
+PAGES_AT_ONCE = 256  # pages whose tags are walked before the next ones are taken
 VOID_TAGS = (
     "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr",
 )
@@ -212,6 +213,11 @@ def page_nodes(marks: Column, hiding: Column) -> Column:
 
     @F.arrow_udf(WALKED)
     def walk(marks: pa.Array, hiding: pa.Array) -> pa.Array:
+        # a batch of Spark's has thousands of pages; as Python objects only a few at a time
+        cuts = range(0, max(len(marks), 1), PAGES_AT_ONCE)
+        return pa.concat_arrays([walked(marks.slice(k, PAGES_AT_ONCE), hiding.slice(k, PAGES_AT_ONCE)) for k in cuts])
+
+    def walked(marks: pa.Array, hiding: pa.Array) -> pa.Array:
         pages = [_walk(m or [], h or []) for m, h in zip(marks.to_pylist(), hiding.to_pylist())]
         found, spans, covered = ([p[k] for p in pages] for k in range(3))
         flags = pa.ListArray.from_arrays(offsets(covered), pa.array([x for row in covered for x in row], pa.bool_()))

@@ -99,10 +99,11 @@ def previous_at(t):
     return history.previous_at(probes, t.snaps)
 
 
-def versions(t):
-    """Old and new version columns of each document, fingerprinted before pairing.
+def versions(t, *names: str):
+    """Old and new version columns of each document, fingerprinted before pairing: those named, or all.
 
-    Texts are read once and never shuffled; only fingerprints and keyword sets are.
+    Texts are read once and never shuffled; only fingerprints and keyword sets are. Columns travel packed, so the
+    optimizer cannot leave out the ones that nobody reads.
     """
     body = F.col("text")
     fields = {
@@ -114,6 +115,7 @@ def versions(t):
         "structure_hash": F.md5(F.floor(F.length(body) / 400).cast("string")),
         "visual_hash": F.when(F.length(body) % 3 != 0, F.md5(F.substring(body, 1, 1))),
     }
+    fields = {name: fields[name] for name in names or fields}
     docs = t.documents.select(
         F.col("doc_id").alias("pair_id"), "source", *[value.alias(f"new_{name}") for name, value in fields.items()]
     )
@@ -149,7 +151,7 @@ c AS (SELECT *, old_hash <> new_hash AS content_hash_changed, CASE WHEN old_hash
 SELECT pair_id, content_hash_changed, round(CAST(content_similarity AS DOUBLE), 6) AS content_similarity FROM c
 """)
 def content_compare(t):
-    out = changes.content_compare(versions(t))
+    out = changes.content_compare(versions(t, "hash", "text"))
     return out.select("pair_id", "content_hash_changed", F.round("content_similarity", 6).alias("content_similarity"))
 
 
@@ -157,7 +159,7 @@ def content_compare(t):
 SELECT pair_id, structure_hash_changed, CAST(structure_similarity AS DOUBLE) AS structure_similarity FROM c
 """)
 def structure_compare(t):
-    out = changes.structure_compare(versions(t), signatures=False)
+    out = changes.structure_compare(versions(t, "structure_hash"), signatures=False)
     return out.select("pair_id", "structure_hash_changed", "structure_similarity")
 
 
@@ -165,14 +167,14 @@ def structure_compare(t):
 SELECT pair_id, CAST(visual_similarity AS DOUBLE) AS visual_similarity FROM c
 """)
 def visual_hash_compare(t):
-    return changes.visual_hash_compare(versions(t)).select("pair_id", "visual_similarity")
+    return changes.visual_hash_compare(versions(t, "visual_hash")).select("pair_id", "visual_similarity")
 
 
 @query("metadata_compare", ("doc_pairs",), VERSIONS_SQL + """
 SELECT pair_id, array_to_string(metadata_changes, ',') AS metadata_changes FROM c
 """)
 def metadata_compare(t):
-    out = changes.metadata_compare(versions(t))
+    out = changes.metadata_compare(versions(t, "title", "meta_description", "word_count"))
     return out.select("pair_id", F.array_join("metadata_changes", ",").alias("metadata_changes"))
 
 
@@ -225,7 +227,7 @@ SELECT pair_id, round(sim, 6) AS content_similarity, CAST(st AS DOUBLE) AS struc
     THEN concat('Word count changed: ', coalesce(old_word_count, 0), ' → ', coalesce(new_word_count, 0)) END], lambda x: x IS NOT NULL), '; ') AS change_summary FROM s
 """)
 def significant_change(t):
-    out = changes.significant_change(versions(t))
+    out = changes.significant_change(versions(t, "text", "title", "word_count", "structure_hash"))
     return out.select(
         "pair_id", F.round("content_similarity", 6).alias("content_similarity"), "structure_similarity",
         "title_changed", "significant_change", F.array_join("change_summary", "; ").alias("change_summary"),
