@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from driftwatch.functions import html
 from driftwatch.functions.text import normalize_text
+from driftwatch.operators.sliced import lag_over
 
 
 def plan(df) -> str:
@@ -35,3 +36,14 @@ def test_a_batch_of_pages_is_walked_in_slices(spark, monkeypatch):
         assert (got[k] is None) == (m is None)
         if m is not None:
             assert [list(n) for n in got[k].nodes] == html._walk(m, h)[0] and got[k].covered == html._walk(m, h)[2]
+
+
+def test_lag_reads_its_rows_once(spark, tmp_path):
+    rows = [(k, "ab"[k % 2] if k % 5 else None, f"x{k}") for k in range(40)]
+    spark.createDataFrame(rows, "id long, key string, x string").write.parquet(str(tmp_path / "t"))
+    df = lag_over(spark.read.parquet(str(tmp_path / "t")), ["key"], ["id"], F.floor(F.col("id") / 8), {"old": F.upper("x")})
+    got = {r.id: r.old for r in df.collect()}
+    last, expected = {}, {}
+    for k, key, x in rows:
+        expected[k], last[key] = last.get(key), x.upper()
+    assert got == expected and "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
