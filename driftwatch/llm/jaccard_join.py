@@ -11,6 +11,11 @@ list of pairs either: each shared token first links its classes to one hub (a ca
 that hold make components, and only classes of one token that are still in different components are paired. Every link
 lies inside a component, so links are counted there afterwards: small components whole, large ones by pairs of blocks.
 
+The first token that a pair shares lies among the first ``n - ceil(2t / (1 + t) * n) + 1`` of the smaller set, its early
+ones. A posting stays only if its token brings it beside a class of near size with the smaller one early. What stays is
+dealt anew by the smallest class of its token's run, so that classes which share many tokens meet in few places, however
+many shards the tokens had; a long run adds a salt of its token, which bounds what one place gets.
+
 Every class carries a bitmap of 256 parities: each token flips one bit. Two bitmaps differ in at most as many bits as
 the sets differ in tokens, so pairs whose bitmaps differ too much can't link and are not sent to verification. The hub
 of a token is the class next to the majority of its classes' bitmaps: of many near copies, one that was edited least.
@@ -38,6 +43,8 @@ PLACE_BITS, CHUNK = 22, 1 << 16
 BLOCK_TOKENS, BLOCK_CLASSES, COLUMNS = 1 << 20, 512, 1 << 13
 #: Bits of the filter that tells which documents' sets are wanted; its misses cost bytes, not results.
 WANTED_BITS = 1 << 24
+#: Classes of a token from which on its run is dealt with a salt, one more for each such number.
+SALTED = 1 << 12
 #: 64-bit words of a class's bitmap of parities, and from how many classes on the hub of a token follows the majority.
 WORDS, LONG_RUN = [f"w{k}" for k in range(4)], 8
 _CLASS, _COUNT = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -122,12 +129,13 @@ def _order(grams: np.ndarray, order: int, levels: np.ndarray) -> np.ndarray:
 
 
 def _prefix(grams: np.ndarray, order: int, levels: np.ndarray, percent: int) -> np.ndarray:
-    """The tokens of which a similar set shares one: the first ones under the order."""
+    """The tokens of which a similar set shares one: the first ones under the order. Their lowest bit tells early ones,
+    of which a similar set that is no smaller shares one."""
     n = len(grams)
-    length = n - -(-n * percent // 100) + 1
-    if length >= n:
-        return grams
-    return grams[np.argpartition(_order(grams, order, levels), length - 1)[:length]]
+    length, early = n - -(-n * percent // 100) + 1, n - -(-2 * n * percent // (100 + percent)) + 1
+    if early < n:
+        grams = grams[np.argpartition(_order(grams, order, levels), sorted({early - 1, min(length, n) - 1}))[:length]]
+    return (grams & ~np.uint64(1)) | (np.arange(len(grams)) < early).astype(np.uint64)
 
 
 def postings(docs: DataFrame, width: int, percent: int, orders: int, shards: int, levels: Broadcast) -> DataFrame:
@@ -175,14 +183,19 @@ def postings(docs: DataFrame, width: int, percent: int, orders: int, shards: int
     return docs.select("text").mapInArrow(run, "key long, tokens binary, classes binary, sizes binary, counts binary")
 
 
+def _same(tokens: np.ndarray) -> np.ndarray:
+    """Whether each token but the first is that before it; the lowest bit is no part of a token."""
+    return (tokens[1:] ^ tokens[:-1]) <= 1
+
+
 def _read(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token, class and size of every posting of a shard, by token; only tokens of two classes or more."""
+    """Token (with its lowest bit), class and size of every posting of a shard, by token; only tokens of two classes or more."""
     join = lambda name, kind: np.frombuffer(b"".join(frame[name]), kind)
     tokens = join("tokens", np.uint64)
     by = np.argsort(tokens, kind="stable")
     ordered = tokens[by]
     twice = np.zeros(len(by), bool)
-    twice[1:] = ordered[1:] == ordered[:-1]
+    twice[1:] = _same(ordered)
     twice[:-1] |= twice[1:]
     # most tokens come once: the rest of the work is on the others alone
     by = by[twice]
@@ -194,7 +207,7 @@ def _read(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     new[1:] = (tokens[1:] != tokens[:-1]) | (classes[1:] != classes[:-1])  # parts of the input may send a class alike
     tokens, classes, sizes = tokens[new], classes[new], sizes[new]
     again = np.zeros(len(tokens), bool)
-    again[1:] = tokens[1:] == tokens[:-1]
+    again[1:] = _same(tokens)
     again[:-1] |= again[1:]
     return tokens[again], classes[again], sizes[again]
 
@@ -216,17 +229,75 @@ def _alike(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, percent:
     return (100 + percent) * differ <= (100 - percent) * (a.astype(np.int64) + b.astype(np.int64))
 
 
-def _shared(frame: pd.DataFrame) -> pd.DataFrame:
-    """What a shard's tokens say: the postings that two classes or more share (kind 1), and these classes (kind 2)."""
-    key = int(frame["key"].iloc[0])
+def _starts(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the run of each token begins, and how long it is."""
+    starts = np.flatnonzero(np.concatenate([[True], ~_same(tokens)]))
+    return starts, np.diff(np.append(starts, len(tokens)))
+
+
+def _useful(tokens: np.ndarray, classes: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The postings beside another of near size where the smaller one of the two is early."""
+    early = (tokens & np.uint64(1)) == 1
+    by = np.lexsort((~early, sizes, tokens >> np.uint64(1)))
+    tokens, classes, sizes, early = tokens[by], classes[by], sizes[by], early[by]
+    starts, lengths = _starts(tokens)
+    first = np.repeat(starts, lengths)
+    # the last early posting before each one is the largest of those that are no larger
+    last = np.maximum.accumulate(np.where(early, np.arange(len(tokens)), -1))
+    last = np.concatenate([[-1], last[:-1]])
+    follows = (last >= first) & _near(sizes, sizes[last], percent)
+    leads = np.zeros(len(tokens), bool)
+    leads[:-1] = early[:-1] & (first[1:] == first[:-1]) & _near(sizes[1:], sizes[:-1], percent)
+    return tuple(x[follows | leads] for x in (tokens, classes, sizes))
+
+
+def _shared(frame: pd.DataFrame, percent: int, shards: int) -> pd.DataFrame:
+    """The postings of a shard that may tell a link, dealt by the smallest class of each token's run."""
+    order = int(frame["key"].iloc[0]) // shards
     tokens, classes, sizes = _read(frame)
-    held = np.unique(classes)
-    give_back()
     out = []
     if len(tokens):
-        out.append({"key": key, "kind": 1, "x": tokens.tobytes(), "y": classes.tobytes(), "z": sizes.tobytes()})
-        out.append({"key": key, "kind": 2, "x": held.tobytes(), "y": b"", "z": b""})
-    return pd.DataFrame(out, columns=["key", "kind", "x", "y", "z"])
+        tokens, classes, sizes = _useful(tokens, classes, sizes, percent)
+    if len(tokens):
+        starts, lengths = _starts(tokens)
+        salt = (tokens[starts] >> np.uint64(1)) % (1 + lengths // SALTED).astype(np.uint64)
+        place = np.repeat(mix(np.minimum.reduceat(classes, starts) ^ mix(salt)) % np.uint64(shards), lengths)
+        by = np.argsort(place, kind="stable")
+        tokens, classes, sizes, place = tokens[by], classes[by], sizes[by], place[by]
+        cuts = np.flatnonzero(np.diff(place, prepend=place[:1] + np.uint64(1), append=place[-1:] + np.uint64(1)))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            out.append({"key": order * shards + int(place[a]), "x": tokens[a:b].tobytes(), "y": classes[a:b].tobytes(), "z": sizes[a:b].tobytes()})
+    give_back()
+    return pd.DataFrame(out, columns=["key", "x", "y", "z"])
+
+
+def _gathered(frame: pd.DataFrame) -> pd.DataFrame:
+    """What came to a place: its postings (kind 1), of tokens with the same classes only one, and its classes (kind 2)."""
+    tokens, classes, sizes = (np.frombuffer(b"".join(frame[c]), kind) for c, kind in (("x", np.uint64), ("y", np.uint64), ("z", np.uint32)))
+    starts, lengths = _starts(tokens)
+    _, one = np.unique(np.stack([np.add.reduceat(mix(classes), starts), lengths.astype(np.uint64)], 1), axis=0, return_index=True)
+    kept = np.zeros(len(starts), bool)
+    kept[one] = True
+    kept = np.repeat(kept, lengths)
+    tokens, classes, sizes = tokens[kept] >> np.uint64(1), classes[kept], sizes[kept]
+    key = int(frame["key"].iloc[0])
+    held = np.unique(classes)
+    give_back()
+    return pd.DataFrame([
+        {"key": key, "kind": 1, "x": tokens.tobytes(), "y": classes.tobytes(), "z": sizes.tobytes()},
+        {"key": key, "kind": 2, "x": held.tobytes(), "y": b"", "z": b""},
+    ])
+
+
+def shared_tokens(dealt: DataFrame, percent: int, shards: int) -> DataFrame:
+    """Rows ``(key, 1, tokens, classes, sizes)`` of the postings that may tell a link and ``(key, 2, classes, -, -)`` of
+    their classes; ``key`` is the order times ``shards`` plus a place."""
+
+    def shared(frame: pd.DataFrame) -> pd.DataFrame:
+        return _shared(frame, percent, shards)
+
+    moved = dealt.groupBy("key").applyInPandas(shared, "key long, x binary, y binary, z binary")
+    return moved.groupBy("key").applyInPandas(_gathered, "key long, kind int, x binary, y binary, z binary")
 
 
 def _known(told: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -449,7 +520,7 @@ def near_duplicates(
     rows = scanned.filter("kind = 0").select(F.col("id").alias("doc_id"), F.col("key").alias("class"), F.col("n").alias("n_shingles"), *WORDS)
     levels = spark.sparkContext.broadcast(frequencies(scanned, orders))
     dealt = postings(docs, width, percent, orders, shards, levels)
-    shared = store(dealt.groupBy("key").applyInPandas(_shared, "key long, kind int, x binary, y binary, z binary"), "shared-tokens")
+    shared = store(shared_tokens(dealt, percent, shards), "shared-tokens")
     levels.unpersist()
     classes = rows.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n_shingles"), *(F.min(w).alias(w) for w in WORDS))
 
@@ -461,16 +532,18 @@ def near_duplicates(
         return store(verify(pairs, sets, percent), "links"), sets
 
     found = shared.filter("kind = 1").select("key", "x", "y", "z")
-    members = _longs(shared.filter("kind = 2").select("key", "x"), **{"class": "x"}).join(classes.select("class", *WORDS), "class")
+
+    def members(of: DataFrame) -> DataFrame:
+        return _longs(of.filter("kind = 2").select("key", "x"), **{"class": "x"}).join(classes.select("class", *WORDS), "class")
 
     def hub(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return pd.concat([_pairs(np.zeros(0, np.uint64), np.zeros(0, np.uint64)), *_hubs(left, right, percent)])
 
     first = F.col("key") < shards
-    told = members.filter(first).withColumn("label", F.col("class"))
+    told = members(shared.filter(first)).withColumn("label", F.col("class"))
     links, sets = linked(found.filter(first).groupBy("key").cogroup(told.groupBy("key")).applyInPandas(hub, "a long, b long"))
     labels = connected_components(links)
-    told = members.join(labels, F.col("class") == F.col("node"), "left").select("key", "class", F.coalesce("label", "class").alias("label"), *WORDS)
+    told = members(shared).join(labels, F.col("class") == F.col("node"), "left").select("key", "class", F.coalesce("label", "class").alias("label"), *WORDS)
 
     def across(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         pairs = list(_across(left, right, percent))
