@@ -19,8 +19,10 @@ from driftwatch.llm.words import spans
 
 #: Examples that are packed together, and words that a task remembers.
 BLOCK_EXAMPLES, BLOCK_TOKENS, KNOWN_WORDS = 8192, 1 << 21, 1_000_000
-#: Words that are tokenised in one text, and characters beyond which a word is a text of its own.
-_JOINED, _LONG_WORD = 256, 1024
+#: Bytes of text that are encoded at once (their words' places and hashes need some fifty times that).
+RUN_BYTES = 1 << 19
+#: Words that are tokenised in one text, and characters beyond which a word is a text of its own; words whose tokens are held as objects.
+_JOINED, _LONG_WORD, _TOKENISED = 256, 1024, 4096
 _LETTER_PIECE = 1 << 14
 
 
@@ -70,7 +72,8 @@ class Encoder:
     def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
         if self.n_words + len(keys) > KNOWN_WORDS:
             self.clear()
-        found, counts = self._tokenise(texts)
+        parts = [self._tokenise(texts[k : k + _TOKENISED]) for k in range(0, len(texts), _TOKENISED)]
+        found, counts = (np.concatenate(x) for x in zip(*parts))
         self.ids.append(found)
         ends = np.cumsum(counts) + self.starts[-1]
         self.starts = np.concatenate([self.starts, ends])
@@ -244,7 +247,7 @@ def pack(
             return pa.RecordBatch.from_arrays([ids, *[pa.array(v, type=ty) for v, ty in zip(rest, types)]], names=names)
 
         kind = pa.int64()
-        for batch, data, cuts in blocks(batches, "text"):
+        for batch, data, cuts in blocks(batches, "text", RUN_BYTES):
             column = batch.column(0)
             kind, names = column.type, column.to_pylist()
             ids, starts = model.encode(data, cuts)

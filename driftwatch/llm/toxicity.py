@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftwatch.llm.common import blocks
+from driftwatch.llm.common import blocks, give_back
 from driftwatch.llm.words import LOWER, mix, spans
 
 #: Names of groups, by kind. A swap stays within a line.
@@ -44,6 +44,8 @@ _SIGNS = np.arange(256, dtype=np.uint8)
 _SIGNS[[b for b in range(128) if not chr(b).isalnum()]] = 0x20
 
 SAMPLE, FEATURES = 20_000, 2048
+#: Bytes of text that are taken apart at once (their words and beginnings need some forty times that), and words that are counted at once.
+RUN_BYTES, COUNTED = 1 << 19, 1 << 19
 
 
 class Model(NamedTuple):
@@ -103,6 +105,35 @@ def _sampled(batch: pa.RecordBatch, ids: np.ndarray, labels: np.ndarray) -> tupl
     return hit, labels[at] if len(ids) else np.zeros(len(own), np.int32)
 
 
+def word_counts(found: Iterator[tuple[np.ndarray, int]], each: int = COUNTED) -> Iterator[pa.RecordBatch]:
+    """``word``, ``n`` and ``toxic`` (of how many texts, of how many toxic ones) from the words and marks of texts; copies count once.
+
+    About ``each`` words are counted at once; a word's sums come once for each such part and meet in the aggregation.
+    """
+
+    def counts() -> pa.RecordBatch:
+        every = np.concatenate([w for w, _ in held])
+        mark = np.repeat([m for _, m in held], [len(w) for w, _ in held])
+        unique, where = np.unique(every, return_inverse=True)
+        n = np.bincount(where, minlength=len(unique))
+        toxic = np.bincount(where, weights=mark, minlength=len(unique))
+        return pa.RecordBatch.from_pydict({"word": unique.view(np.int64), "n": n.astype(np.int64), "toxic": toxic.astype(np.int64)})
+
+    seen: set[int] = set()
+    held: list[tuple[np.ndarray, int]] = []
+    size = 0
+    for words, mark in found:
+        if (key := hash(words.tobytes())) not in seen:
+            seen.add(key)
+            held.append((words, mark))
+            size += len(words)
+            if size >= each:
+                yield counts()
+                held, size = [], 0
+    if held:
+        yield counts()
+
+
 def train(
     docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5, held_out: int = 0,
     sample: int = SAMPLE, features: int = FEATURES, penalty: float = 1.0, l2: float = 1e-4,
@@ -120,7 +151,7 @@ def train(
     rows = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
 
     def sampled(batches: Iterator[pa.RecordBatch]):
-        for batch, data, cuts in blocks(batches, "text"):
+        for batch, data, cuts in blocks(batches, "text", RUN_BYTES):
             hit, mark = _sampled(batch, *told.value)
             if not hit.any():
                 continue
@@ -129,19 +160,8 @@ def train(
                     yield words, int(mark[k])
 
     def count(batches):
-        seen: set[int] = set()
-        held: list[tuple[np.ndarray, int]] = []
-        for words, mark in sampled(batches):
-            if (key := hash(words.tobytes())) not in seen:
-                seen.add(key)
-                held.append((words, mark))
-        if held:
-            every = np.concatenate([w for w, _ in held])
-            mark = np.repeat([m for _, m in held], [len(w) for w, _ in held])
-            unique, where = np.unique(every, return_inverse=True)
-            n = np.bincount(where, minlength=len(unique))
-            toxic = np.bincount(where, weights=mark, minlength=len(unique))
-            yield pa.RecordBatch.from_pydict({"word": unique.view(np.int64), "n": n.astype(np.int64), "toxic": toxic.astype(np.int64)})
+        yield from word_counts(sampled(batches))
+        give_back()
 
     n_toxic, n = int(marks.sum()), len(marks)
     if not 0 < n_toxic < n:
@@ -161,6 +181,7 @@ def train(
             out["mark"].append(mark)
             out["at"].append(at[known.value[at] == found].astype(np.uint16).tobytes())
         yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("mark", pa.int32()), ("at", pa.binary())]))
+        give_back()
 
     # copies meet here again, so that each different text weighs once
     held = rows.mapInArrow(gather, "mark int, at binary").groupBy("at").agg(F.max("mark").alias("mark")).orderBy("at").toPandas()
@@ -224,7 +245,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
 
     def run(batches: Iterator[pa.RecordBatch]):
         words, weights, bias = told.value
-        for batch, data, cuts in blocks(batches, "_scored_text"):
+        for batch, data, cuts in blocks(batches, "_scored_text", RUN_BYTES):
             odds = np.full(batch.num_rows, bias)
             if len(words):
                 for k, found in enumerate(words_of(data, cuts)):
@@ -232,5 +253,6 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
                     odds[k] += weights[at[words[at] == found]].sum()
             result = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(result)], names=[*names, "score"])
+        give_back()
 
     return rest.mapInArrow(run, schema)
